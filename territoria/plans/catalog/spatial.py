@@ -67,11 +67,11 @@ def zones(t):
 _K = "(n_nationkey::BIGINT * 977 + 13)"
 _ZONES = f"""oct(i, c, s) AS (VALUES {', '.join(f'({i}, {c}e0, {s}e0)' for i, (c, s) in enumerate(OCTAGON))}),
  vx AS (SELECT n_nationkey AS zid, i, {lon_sql(_K)} + (0.8e0 + (n_nationkey % 5) * 0.4e0) * c AS lon, {lat_sql(_K)} + (0.8e0 + (n_nationkey % 5) * 0.4e0) * 0.7e0 * s AS lat FROM nation, oct),
- ed AS (SELECT a.zid, a.lon AS ax, a.lat AS ay, b.lon AS bx, b.lat AS by FROM vx a JOIN vx b ON a.zid = b.zid AND b.i = (a.i + 1) % 8),
- ar AS (SELECT zid, abs(sum(ax * by - bx * ay)) / 2 AS area FROM ed GROUP BY 1),
- pe AS (SELECT id, zid, sum(CASE WHEN (ay > p.lat) <> (by > p.lat) AND p.lon < (bx - ax) * (p.lat - ay) / (by - ay) + ax THEN 1 ELSE 0 END) % 2 = 1 AS inside,
-   min(sqrt(pow(p.lon - ax - tt * (bx - ax), 2) + pow(p.lat - ay - tt * (by - ay), 2))) AS dist
-   FROM (SELECT p.*, ed.*, least(greatest(((p.lon - ax) * (bx - ax) + (p.lat - ay) * (by - ay)) / (pow(bx - ax, 2) + pow(by - ay, 2)), 0e0), 1e0) AS tt FROM pts p, ed) p GROUP BY 1, 2)"""
+ ed AS (SELECT a.zid, a.lon AS ax, a.lat AS ay, b.lon AS bx, b.lat AS b_y FROM vx a JOIN vx b ON a.zid = b.zid AND b.i = (a.i + 1) % 8),
+ ar AS (SELECT zid, abs(sum(ax * b_y - bx * ay)) / 2 AS area FROM ed GROUP BY 1),
+ pe AS (SELECT id, zid, sum(CASE WHEN (ay > p.lat) <> (b_y > p.lat) AND p.lon < (bx - ax) * (p.lat - ay) / (b_y - ay) + ax THEN 1 ELSE 0 END) % 2 = 1 AS inside,
+   min(sqrt(pow(p.lon - ax - tt * (bx - ax), 2) + pow(p.lat - ay - tt * (b_y - ay), 2))) AS dist
+   FROM (SELECT p.*, ed.*, least(greatest(((p.lon - ax) * (bx - ax) + (p.lat - ay) * (b_y - ay)) / (pow(bx - ax, 2) + pow(b_y - ay, 2)), 0e0), 1e0) AS tt FROM pts p, ed) p GROUP BY 1, 2)"""
 
 
 @query("point_in_polygon", "J10 S9", f"""
@@ -327,10 +327,10 @@ def kernel_smoothing(t):
 
 
 @query("colocated_pairs", "J21", f"""
-WITH {SITE_POINTS}, q AS (SELECT id, x, y, id % 2 AS g FROM pts), b AS (SELECT p.id, s.id AS o, {_D} AS d, row_number() OVER (PARTITION BY p.id ORDER BY {_D}, s.id) AS k FROM q p JOIN q s ON p.g <> s.g AND abs(p.x - s.x) <= 6 AND abs(p.y - s.y) <= 6 AND {_D} <= 6)
+WITH {SITE_POINTS}, q AS (SELECT id, x, y, id % 3 AS g FROM pts), b AS (SELECT p.id, s.id AS o, {_D} AS d, row_number() OVER (PARTITION BY p.id ORDER BY {_D}, s.id) AS k FROM q p JOIN q s ON p.g <> s.g AND abs(p.x - s.x) <= 25 AND abs(p.y - s.y) <= 25 AND {_D} <= 25)
 SELECT DISTINCT least(id, o) AS a, greatest(id, o) AS b, round(d, 6) AS dist FROM b WHERE k = 1""")
 def colocated_pairs(t):
-    return sp.other_level_pairs(site_points(t).withColumn("g", F.col("id") % 2), "g", 6.0).withColumn("dist", r("dist"))
+    return sp.other_level_pairs(site_points(t).withColumn("g", F.col("id") % 3), "g", 25.0).withColumn("dist", r("dist"))
 
 
 @query("enriched_site_scores", "E5 J7 P30d W5 P50", f"""
