@@ -206,7 +206,7 @@ def polygon_join(points: DataFrame, polys: DataFrame, key: str, values: Sequence
     spots = points.select("lon", "lat").distinct().withColumn("cx", F.floor(F.col("lon") / cell).cast("long")).withColumn(
         "cy", F.floor(F.col("lat") / cell).cast("long"))
     hit = spots.join(_covering(polys, key, cell, 0.0, values), ["cx", "cy"], "inner").where(inside_ring("lon", "lat", "ring"))
-    order = F.struct((-F.col("_area")).alias("a"), F.col(key)) if largest else F.struct(F.col(key))
+    order = F.struct((-F.round("_area", 9)).alias("a"), F.col(key)) if largest else F.struct(F.col(key))
     pick = F.struct(key, *values)
     inside = hit.groupBy("lon", "lat").agg(F.min_by(pick, order).alias("_in"))
     found = spots.join(inside, ["lon", "lat"], "left")

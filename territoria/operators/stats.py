@@ -152,11 +152,12 @@ def pearson_pairs(df: DataFrame, columns: Sequence[str], flag: float = 0.7) -> D
     return one.select(F.inline(rows)).withColumn("flagged", F.coalesce(F.abs("r") > flag, F.lit(False)))
 
 
-def spearman(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, n, rho): Pearson of average-tie ranks over rows where both exist."""
-    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y"))
+def spearman(df: DataFrame, x: str, y: str, keys: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """(keys, n, rho): Pearson of average-tie ranks over rows where both exist; ``weight`` repeats a row that many times."""
+    times = F.col(weight).cast("double") if weight else F.lit(1.0)
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y"), times.alias("_n"))
     # Rows only matter through the counts of (x, y): collapsing them first removes hot values.
-    both = both.groupBy(*keys, "_x", "_y").agg(F.count(F.lit(1)).cast("double").alias("_w"))
+    both = both.groupBy(*keys, "_x", "_y").agg(F.sum("_n").alias("_w"))
     ranked = _weighted_rank(_weighted_rank(both, "_x", "_rx", keys), "_y", "_ry", keys)
     w, a, b = F.col("_w"), F.col("_rx"), F.col("_ry")
     n = F.sum(w)

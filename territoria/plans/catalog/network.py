@@ -162,10 +162,10 @@ def component_bridges(t):
 
 
 @query("node_degrees", "G2 A44", f"""
-WITH {_LINES} SELECT src AS id, count(*) AS degree, round(sum(admittance), 6) AS weighted_degree, round(sum(s_nom), 6) AS total_rating, round(avg(admittance), 6) AS mean_weight, max(voltage) AS max_voltage FROM e GROUP BY 1""")
+WITH {_LINES} SELECT src AS id, count(*) AS degree, round(sum(admittance), 8) AS weighted_degree, round(sum(s_nom), 8) AS total_rating, round(avg(admittance), 8) AS mean_weight, max(voltage) AS max_voltage FROM e GROUP BY 1""")
 def node_degrees(t):
     d = gh.degree_features(lines(t), voltage="voltage")
-    return d.select("id", "degree", r("weighted_degree").alias("weighted_degree"), r("total_rating").alias("total_rating"), r("mean_weight").alias("mean_weight"), "max_voltage")
+    return d.select("id", "degree", r("weighted_degree", 8).alias("weighted_degree"), r("total_rating", 8).alias("total_rating"), r("mean_weight", 8).alias("mean_weight"), "max_voltage")
 
 
 def _pagerank_sql(iters: int) -> str:

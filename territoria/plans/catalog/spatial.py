@@ -91,7 +91,7 @@ def polygon_mask(t):
 @query("burned_cells", "A13", f"""
 WITH c AS (SELECT DISTINCT floor(({lon_sql('c_custkey')} + 5) / 0.5e0)::INT AS ix, floor(({lat_sql('c_custkey')} - 41) / 0.5e0)::INT AS iy FROM customer),
  pts AS (SELECT ix * 1000 + iy AS id, -4.75e0 + ix * 0.5e0 AS lon, 41.25e0 + iy * 0.5e0 AS lat FROM c), {_ZONES}
-SELECT id, arg_max(pe.zid, area * 1000 - pe.zid / 1e6) AS zid FROM pe JOIN ar ON pe.zid = ar.zid WHERE inside GROUP BY 1 UNION ALL SELECT id, NULL FROM pe GROUP BY 1 HAVING NOT bool_or(inside)""")
+SELECT id, arg_max(pe.zid, round(area, 9) * 1000 - pe.zid / 1e6) AS zid FROM pe JOIN ar ON pe.zid = ar.zid WHERE inside GROUP BY 1 UNION ALL SELECT id, NULL FROM pe GROUP BY 1 HAVING NOT bool_or(inside)""")
 def burned_cells(t):
     c = site_points(t).select(F.floor((F.col("lon") + 5) / 0.5).cast("int").alias("ix"), F.floor((F.col("lat") - 41) / 0.5).cast("int").alias("iy")).distinct()
     c = c.select((F.col("ix") * 1000 + F.col("iy")).alias("id"), (-4.75 + F.col("ix") * 0.5).alias("lon"), (41.25 + F.col("iy") * 0.5).alias("lat"))
