@@ -1,7 +1,8 @@
 """Exact ranks, quantiles and running totals that never sort a whole group in one task.
 
-Rows are first collapsed to (keys, value, count), which removes hot values. The distinct values are cut
-into ordered blocks at sketch quantiles, each block is summed on its own, and the block totals (at most
+Rows are first collapsed to (keys, value, count), which removes hot values, and checkpointed, so nothing upstream runs
+twice. Up to ``ONE_PASS_ROWS`` distinct values (counted, not guessed) one window is enough. Beyond that the values are
+cut into ordered blocks at sketch quantiles, each block is summed on its own, and the block totals (at most
 ``COARSE * FINE`` rows per key) give every block its offset.
 """
 
@@ -13,7 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-COARSE, FINE = 16, 16
+from territoria.session import cut_lineage
+
+COARSE, FINE = 32, 32
+ONE_PASS_ROWS = 1_000_000
 
 
 def _with_block(vc: DataFrame, coarse: int, fine: int) -> DataFrame:
@@ -33,6 +37,11 @@ def _with_block(vc: DataFrame, coarse: int, fine: int) -> DataFrame:
 def _running(vc: DataFrame, keys: Sequence[str], sums: Sequence[str], coarse: int, fine: int) -> DataFrame:
     """For each (keys, value): total of every ``sums`` column over strictly smaller values, and over the group."""
     keys = list(keys)
+    vc = cut_lineage(vc)
+    if vc.count() <= ONE_PASS_ROWS:
+        below = W.partitionBy(*keys).orderBy("value").rowsBetween(W.unboundedPreceding, -1)
+        return vc.select(*keys, "value", *sums, *[F.coalesce(F.sum(c).over(below), F.lit(0)).alias(f"below_{c}") for c in sums],
+                         *[F.sum(c).over(W.partitionBy(*keys)).alias(f"all_{c}") for c in sums])
     vc = _with_block(vc, coarse, fine)
     inner = W.partitionBy(*keys, "_block").orderBy("value").rowsBetween(W.unboundedPreceding, -1)
     rows = vc.select("*", *[F.coalesce(F.sum(c).over(inner), F.lit(0)).alias(f"_in_{c}") for c in sums])

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from territoria.functions.scalars import ColumnLike, col
 from territoria.operators.ranking import COARSE, FINE, _running, quantiles
+from territoria.session import cut_lineage
 
 
 def share(cond: Column) -> Column:
@@ -158,7 +159,9 @@ def spearman(df: DataFrame, x: str, y: str, keys: Sequence[str] = (), weight: st
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y"), times.alias("_n"))
     # Rows only matter through the counts of (x, y): collapsing them first removes hot values.
     both = both.groupBy(*keys, "_x", "_y").agg(F.sum("_n").alias("_w"))
-    ranked = _weighted_rank(_weighted_rank(both, "_x", "_rx", keys), "_y", "_ry", keys)
+    both = cut_lineage(both)
+    ranked = _weighted_rank(both, both, "_x", "_rx", keys)
+    ranked = _weighted_rank(ranked, both, "_y", "_ry", keys)
     w, a, b = F.col("_w"), F.col("_rx"), F.col("_ry")
     n = F.sum(w)
     cov = F.sum(w * a * b) - F.sum(w * a) * F.sum(w * b) / n
@@ -168,9 +171,10 @@ def spearman(df: DataFrame, x: str, y: str, keys: Sequence[str] = (), weight: st
     return ranked.groupBy(*keys).agg(*aggs) if keys else ranked.agg(*aggs)
 
 
-def _weighted_rank(df: DataFrame, value: str, out: str, keys: Sequence[str]) -> DataFrame:
+def _weighted_rank(df: DataFrame, base: DataFrame, value: str, out: str, keys: Sequence[str]) -> DataFrame:
+    """Adds the rank of ``value`` counted over ``base``."""
     keys = list(keys)
-    vc = df.groupBy(*keys, F.col(value).cast("double").alias("value")).agg(F.sum("_w").alias("n"))
+    vc = base.groupBy(*keys, F.col(value).cast("double").alias("value")).agg(F.sum("_w").alias("n"))
     r = _running(vc, keys, ["n"], COARSE, FINE)
     # Ranks are centred on the group's middle to keep the sums of squares small.
     rank = F.col("below_n") + (F.col("n") + 1) / 2 - (F.col("all_n") + 1) / 2
