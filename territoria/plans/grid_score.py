@@ -37,3 +37,25 @@ def enforce_temporal_variance(scored: DataFrame) -> None:
     spread = scored.agg(F.avg("drought_std").alias("s")).head()["s"]
     if spread is None or spread < 1e-6:
         raise ValueError("drought component has no variation over time")
+
+
+def score_cells(static: DataFrame, months: DataFrame, cell: str, month: str, baseline, window: int = 12, year: int | None = None) -> DataFrame:
+    """From raw layers to scored cells.
+
+    ``static``: cell, bws_raw, gws_raw, station_z, withdrawals. ``months``: cell, month, precip.
+    Rolling precipitation -> gamma index -> drought stress; groundwater from layer and stations; demand stress raised
+    by withdrawals; then ``index_over_time`` per cell for the target year.
+    """
+    from territoria.functions.combine import layered_mean
+    from territoria.functions.scalars import clip01, linear_stress, withdrawal_modulation, z_to_stress
+    from territoria.operators.grid import capped_share
+    from territoria.operators.series import rolling_sum, spi_gamma
+
+    acc = months.withColumn("acc", rolling_sum("precip", [cell], month, window))
+    spi = spi_gamma(acc, [cell], "acc", baseline).withColumn("drought", linear_stress("spi"))
+    spi = spi if year is None else spi.where(F.year(month) == year)
+    s = capped_share(static, "withdrawals", out="pressure")
+    gws = layered_mean({"_g": 0.5, "_z": 0.2}, ["_g", "_z"])
+    s = s.withColumn("_g", clip01("gws_raw", 5)).withColumn("_z", z_to_stress("station_z")).select(
+        cell, withdrawal_modulation(clip01("bws_raw", 5), "pressure").alias("bws"), gws.alias("gws"))
+    return index_over_time(spi.join(s, cell), [cell], month)
