@@ -46,7 +46,7 @@ LONLAT_KM = {"5km": 5.0, "15km": 15.0, "30km": 30.0}
 
 def _steps(low: float, high: float, step: float) -> int:
     """Number of centres low + step/2, low + 3*step/2, … below high."""
-    return math.ceil((high - low - step / 2) / step - 1e-9)
+    return math.ceil((high - (low + step / 2)) / step)
 
 
 def metric_grid(resolution: float = 5000.0, bounds: tuple[float, float, float, float] = METRIC_BOUNDS) -> Grid:

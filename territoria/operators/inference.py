@@ -120,22 +120,22 @@ def sobol(df: DataFrame, key: str, bounds: Mapping[str, tuple[float, float]], mo
     The model is evaluated on every row of ``df`` for every design row; parameters are plain columns in the model.
     """
     names = list(bounds)
-    sets = ["A", "B", *names]
+    sets = ["_A", "_B", *names]
 
     def param(name: str) -> Column:
         low, high = bounds[name]
-        from_b = (F.col("_set") == "B") | (F.col("_set") == name)
+        from_b = (F.col("_set") == "_B") | (F.col("_set") == name)
         u = F.when(from_b, uniform(seed + 1, "_d", F.lit(name))).otherwise(uniform(seed, "_d", F.lit(name)))
         return low + (high - low) * u
 
     rows = df.withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("_set", F.explode(F.array(*[F.lit(s) for s in sets])))
     y = rows.select("*", *[param(p).alias(p) for p in names]).select(key, "_d", "_set", model().alias("_y"))
     wide = y.groupBy(key, "_d").pivot("_set", sets).agg(F.first("_y"))
-    long = wide.unpivot([key, "_d", "A", "B"], names, "param", "_y")
-    var = (F.var_pop("A") + F.var_pop("B")) / 2
+    long = wide.unpivot([key, "_d", "_A", "_B"], names, "param", "_y")
+    var = (F.var_pop("_A") + F.var_pop("_B")) / 2
     return long.groupBy(key, "param").agg(
-        F.try_divide(var - F.avg(F.pow(F.col("B") - F.col("_y"), 2)) / 2, var).alias("first_order"),
-        F.try_divide(F.avg(F.pow(F.col("A") - F.col("_y"), 2)) / 2, var).alias("total"))
+        F.try_divide(var - F.avg(F.pow(F.col("_B") - F.col("_y"), 2)) / 2, var).alias("first_order"),
+        F.try_divide(F.avg(F.pow(F.col("_A") - F.col("_y"), 2)) / 2, var).alias("total"))
 
 
 def monotone(df: DataFrame, variables: Sequence[str], model: Callable[[Mapping[str, Column]], Column], delta: float = 0.01) -> DataFrame:

@@ -106,16 +106,24 @@ def quantile_name(p: float, prefix: str = "p") -> str:
     return f"{prefix}{format(100 * p, 'g').replace('.', '_')}"
 
 
-def surrogate_key(df: DataFrame, order: str, tie: str | None = None, out: str = "sk") -> DataFrame:
-    """Row numbers 1..n in ``order`` (ties by a unique ``tie``) without the single-partition window."""
-    a = value_ranks(df, order).select(F.col("value").alias("_v"), F.col("below_n").alias("_b"))
+def surrogate_key(df: DataFrame, order: str, tie: str | None = None, out: str = "sk", rest: Sequence[str] = ()) -> DataFrame:
+    """Row numbers 1..n in ``order`` then ``tie`` (both numeric) without the single-partition window.
+
+    Rows that agree on both are few by contract; they are numbered by ``rest`` inside their own small group.
+    """
+    a = value_ranks(df, order).select(F.col("value").alias("_v"), F.col("below_n").alias("_b"), F.col("n").alias("_nv"))
     df = df.join(a, F.col(order).cast("double") == F.col("_v"), "inner").drop("_v")
-    if tie is None:
-        return df.withColumn(out, F.col("_b") + 1).drop("_b")
-    b = value_ranks(df, tie, [order]).select(
-        F.col(order).alias("_o"), F.col("value").alias("_t"), F.col("below_n").alias("_bt"))
-    df = df.join(b, (F.col(order) == F.col("_o")) & (F.col(tie).cast("double") == F.col("_t")), "inner")
-    return df.withColumn(out, F.col("_b") + F.col("_bt") + 1).drop("_b", "_bt", "_o", "_t")
+    number = F.col("_b") + 1
+    if tie is not None:
+        # Only values that occur more than once need a second rank.
+        b = value_ranks(df.where(F.col("_nv") > 1), tie, [order]).select(
+            F.col(order).alias("_o"), F.col("value").alias("_t"), F.col("below_n").alias("_bt"), F.col("n").alias("_nt"))
+        df = df.join(b, (F.col(order) == F.col("_o")) & (F.col(tie).cast("double") == F.col("_t")), "left")
+        number = number + F.coalesce("_bt", F.lit(0))
+        if rest:
+            same = F.row_number().over(W.partitionBy(order, tie).orderBy(*rest)) - 1
+            number = number + F.when(F.col("_nt") > 1, same).otherwise(0)
+    return df.withColumn(out, number).drop("_b", "_nv", "_bt", "_nt", "_o", "_t")
 
 
 def cumulative_share(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:

@@ -76,6 +76,11 @@ def baseline_z(df: DataFrame, keys: Sequence[str], month: str, value: str, years
     return df.withColumn(out, F.when((sd > 0) & (n >= minimum), (F.col(value) - mu) / sd))
 
 
+def decimal_round(value: ColumnLike, digits: int = 2) -> Column:
+    """Rounds at six decimals first, so a half cent does not depend on the order of a floating sum."""
+    return F.round(col(value).cast("decimal(28,6)"), digits).cast("double")
+
+
 def station_anomaly(df: DataFrame, key: str, ts: str, value: str, recent: Column, baseline: Column,
                     min_recent: int = 6, min_baseline: int = 120) -> DataFrame:
     """Recent mean against baseline mean and sample deviation, one aggregation pass; near-constant stations drop out."""
@@ -86,8 +91,8 @@ def station_anomaly(df: DataFrame, key: str, ts: str, value: str, recent: Column
     kept = agg.where((F.col("n_recent") >= min_recent) & (F.col("n_baseline") >= min_baseline) & (F.col("_s") >= 0.01))
     z = (F.col("_r") - F.col("_b")) / F.col("_s")
     return kept.select(
-        key, F.round("_r", 2).alias("recent_mean"), F.round("_b", 2).alias("baseline_mean"),
-        F.round("_s", 2).alias("baseline_std"), F.round(z, 3).alias("zscore"), "n_recent", "n_baseline",
+        key, decimal_round("_r").alias("recent_mean"), decimal_round("_b").alias("baseline_mean"),
+        decimal_round("_s").alias("baseline_std"), F.round(z, 3).alias("zscore"), "n_recent", "n_baseline",
         clip(1 / (1 + F.exp(0.8 * F.round(z, 3))), 0.0, 1.0).alias("stress"))
 
 

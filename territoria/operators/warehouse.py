@@ -44,10 +44,11 @@ def exclude(df: DataFrame, key: str, ids: Sequence[int]) -> DataFrame:
     return df.where(~F.col(key).isin(*ids))
 
 
-def fact_sales(orders: DataFrame, products: DataFrame, product_key: str, order_key: str, tie: str | None = None) -> DataFrame:
+def fact_sales(orders: DataFrame, products: DataFrame, product_key: str, order_key: str, tie: str | None = None,
+               rest: Sequence[str] = ()) -> DataFrame:
     """Orders of known products with a dense surrogate key in order-key order."""
     kept = orders.join(products.select(product_key), product_key, "left_semi")
-    return surrogate_key(kept, order_key, tie, "sale_id")
+    return surrogate_key(kept, order_key, tie, "sale_id", rest)
 
 
 def revenue_by(fact: DataFrame, dim: DataFrame, on: str, keys: Sequence[str], amount: str) -> DataFrame:

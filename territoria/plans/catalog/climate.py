@@ -30,7 +30,7 @@ WITH {SUPPLIER_MONTH}, v AS (SELECT station, month, CASE WHEN (year(month) * 12
    WINDOW o AS (PARTITION BY station ORDER BY month), w3 AS (PARTITION BY station ORDER BY month ROWS 2 PRECEDING), w12 AS (PARTITION BY station ORDER BY month ROWS 11 PRECEDING))
 SELECT station, month, round(s3, 9) AS s3, round(s12, 9) AS s12, round(persistence, 9) AS persistence, round(variability, 9) AS variability, round(null_share, 9) AS null_share,
   round((q + l1 + l2) / 3, 9) AS mem_mean, round(CASE WHEN q + l1 + l2 IS NOT NULL THEN least(q, l1, l2) END, 9) AS mem_min, round(q - l2, 9) AS mem_trend,
-  round(s3 - s12 / 4, 9) AS delta, coalesce(s3 - s12 / 4 < -0.5, false) AS acute FROM a""")
+  round(s3 - s12 / 4, 11) AS delta, coalesce(s3 - s12 / 4 < -0.5, false) AS acute FROM a""")
 def rolling_windows(t):
     m = F.col("month")
     v = supplier_month(t).select("station", "month", F.when((F.year(m) * 12 + F.month(m) + F.col("station")) % 23 != 0, F.col("precip") / 1e6).alias("q"))
@@ -40,7 +40,7 @@ def rolling_windows(t):
                  series.null_share("q", k, o).alias("null_share"), *[c.alias(n) for n, c in series.lagged("q", k, o).items()])
     delta, acute = series.window_delta("s3", F.col("s12") / 4)
     return a.select("station", "month", *[r(c, 9).alias(c) for c in ("s3", "s12", "persistence", "variability", "null_share")],
-                    *[r(c, 9).alias(n) for n, c in series.memory_features("q", "q_lag1", "q_lag2").items()], r(delta, 9).alias("delta"), acute.alias("acute"))
+                    *[r(c, 9).alias(n) for n, c in series.memory_features("q", "q_lag1", "q_lag2").items()], r(delta, 11).alias("delta"), acute.alias("acute"))
 
 
 _Z = f"""{SUPPLIER_MONTH},
@@ -238,7 +238,7 @@ def value_counts_describe(t):
 @query("station_anomalies", "A9 P5", """
 WITH a AS (SELECT o_custkey AS station, avg(o_totalprice) FILTER (o_orderdate >= '2000-06-01') AS rm, avg(o_totalprice) FILTER (o_orderdate < '2000-06-01') AS bm,
   stddev_samp(o_totalprice) FILTER (o_orderdate < '2000-06-01') AS bs, count(*) FILTER (o_orderdate >= '2000-06-01') AS n_recent, count(*) FILTER (o_orderdate < '2000-06-01') AS n_baseline FROM orders GROUP BY 1)
-SELECT station, round(rm::DECIMAL(18,6), 2)::DOUBLE AS recent_mean, round(bm::DECIMAL(18,6), 2)::DOUBLE AS baseline_mean, round(bs, 2) AS baseline_std, round((rm - bm) / bs, 3) AS zscore, n_recent, n_baseline,
+SELECT station, round(rm::DECIMAL(18,6), 2)::DOUBLE AS recent_mean, round(bm::DECIMAL(18,6), 2)::DOUBLE AS baseline_mean, round(bs::DECIMAL(18,6), 2)::DOUBLE AS baseline_std, round((rm - bm) / bs, 3) AS zscore, n_recent, n_baseline,
   round(1 / (1 + exp(0.8e0 * round((rm - bm) / bs, 3))), 6) AS stress FROM a WHERE n_recent >= 2 AND n_baseline >= 5 AND bs >= 0.01""")
 def station_anomalies(t):
     o = t.orders.withColumnRenamed("o_custkey", "station")
@@ -633,12 +633,12 @@ def calendar_dimension(t):
 
 
 @query("fact_sales", "D4 W4 J5", f"""
-WITH {_PROD} SELECT row_number() OVER (ORDER BY l_orderkey * 8 + l_linenumber, l_partkey * 100000 + l_suppkey) AS sale_id, l_orderkey * 8 + l_linenumber AS order_line, l_partkey AS product_id, l_extendedprice AS amount FROM lineitem WHERE l_partkey IN (SELECT product_id FROM pr)""")
+WITH {_PROD} SELECT row_number() OVER (ORDER BY l_orderkey * 8 + l_linenumber, l_partkey * 100000 + l_suppkey, l_extendedprice) AS sale_id, l_orderkey * 8 + l_linenumber AS order_line, l_partkey AS product_id, l_extendedprice AS amount FROM lineitem WHERE l_partkey IN (SELECT product_id FROM pr)""")
 def fact_sales(t):
     lines, products = _fact(t)
     lines = t.lineitem.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("order_line"), F.col("l_partkey").alias("product_id"), F.col("l_extendedprice").alias("amount"),
                               (F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("tie"))
-    return warehouse.fact_sales(lines, products, "product_id", "order_line", "tie").select("sale_id", "order_line", "product_id", "amount")
+    return warehouse.fact_sales(lines, products, "product_id", "order_line", "tie", ["amount"]).select("sale_id", "order_line", "product_id", "amount")
 
 
 @query("monthly_revenue", "D5", f"""

@@ -318,14 +318,14 @@ _H = "coalesce(least(greatest(0.7e0 * (1 - {c}) * {s} + (1 - 0.7e0 * (1 - {c}))
 SITE_INDEX = f"""{SITES},
  dd AS (SELECT *, {_ASYM.format('spei3')} AS d3, {_ASYM.format('spei12')} AS d12 FROM sites),
  sc AS (SELECT *, {_wmean_sql(C.WEIGHTS_ARITH)} AS s2, {_wgeo_sql(C.WEIGHTS_GEOM)} AS s3, {_BOLTZ} AS cb, greatest(d3, d12) AS cm FROM dd),
- idx AS (SELECT *, {_H.format(s='s2', c='cb')} AS h2, {_H.format(s='s3', c='cb')} AS h3 FROM sc)"""
+ idx AS (SELECT *, {_H.format(s='s2', c='cb')} AS h2, {_H.format(s="s3", c="cm")} AS h3 FROM sc)"""
 
 
 def site_index_frame(t):
     s = sites(t).withColumn("d3", S.asymptotic_stress("spei3")).withColumn("d12", S.asymptotic_stress("spei12"))
     s = s.withColumn("s2", C.wmean(C.WEIGHTS_ARITH)).withColumn("s3", C.wgeo(C.WEIGHTS_GEOM))
     s = s.withColumn("cb", C.boltzmann("d3", "d12")).withColumn("cm", C.hard_max("d3", "d12"))
-    return s.withColumn("h2", C.assemble("s2", "cb")).withColumn("h3", C.assemble("s3", "cb"))
+    return s.withColumn("h2", C.assemble("s2", "cb")).withColumn("h3", C.assemble("s3", "cm"))
 
 
 _AM = {"x_bws": 0.5, "x_aridity": 0.36, "x_gws": 0.14}
