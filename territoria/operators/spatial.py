@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from territoria.functions.geo import inside_ring, ring_area, ring_bounds, ring_distance
 from territoria.operators.ranking import top_per_group
+from territoria.session import cut_lineage
 
 ROOT_KM = 2048.0
 LEAF_ROWS = 32
@@ -74,7 +75,8 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, left_id: str = "id", rig
     want = k + 1 if exclude_self else k
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     pts = right.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(F.col(right_id).alias("_rid"), "x", "y", w.alias("w"), *carry)
-    pts = top_per_group(pts, ["x", "y"], [F.col("w").desc(), F.col("_rid").asc()], want)
+    # Read by the depth check, every level and the final join: computed once.
+    pts = cut_lineage(top_per_group(pts, ["x", "y"], [F.col("w").desc(), F.col("_rid").asc()], want))
     slim = pts.select("x", "y", "w")
     depth = pyramid_depth(slim, root, leaf)
     levels = _levels(slim, root, depth)
@@ -101,12 +103,12 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, left_id: str = "id", rig
     pairs = cand.join(cells, ["cx", "cy"], "inner").withColumn("dist", F.hypot(F.col("x") - F.col("_rx"), F.col("y") - F.col("_ry")))
     pairs = pairs.where(F.col("dist") <= max_km) if max_km is not None else pairs
     pairs = pairs.withColumn("_cost", cost(F.col("dist"), F.col("w")))
-    pairs = top_per_group(pairs, ["x", "y"], [F.col("_cost").asc(), F.col("_rid").asc()], want)
-    out = rows.join(pairs.select("x", "y", "_rid", "dist", "_cost", *carry), ["x", "y"], "inner")
+    best = W.partitionBy("x", "y").orderBy(F.col("_cost").asc(), F.col("_rid").asc())
+    pairs = pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= want)
+    out = rows.join(pairs.select("x", "y", "_rid", "dist", "_cost", "rank", *carry), ["x", "y"], "inner")
     if exclude_self:
-        out = out.where(F.col(left_id) != F.col("_rid"))
-    order = W.partitionBy(left_id).orderBy("_cost", "_rid")
-    out = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        own = W.partitionBy(left_id).orderBy("rank")
+        out = out.where(F.col(left_id) != F.col("_rid")).withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
     return out.select(left_id, F.col("_rid").alias(right_id), "dist", "rank", *carry)
 
 
@@ -144,7 +146,7 @@ def radius_sums(left: DataFrame, right: DataFrame, radius: float, sums: dict[str
     only the points of the last cut cells are compared one by one.
     """
     names = list(sums)
-    pts = right.where(F.col("x").isNotNull() & F.col("y").isNotNull()).groupBy("x", "y").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    pts = cut_lineage(right.where(F.col("x").isNotNull() & F.col("y").isNotNull()).groupBy("x", "y").agg(*[F.sum(c).alias(n) for n, c in sums.items()]))
     depth = pyramid_depth(pts.select("x", "y"), root, leaf)
     finest = root / 4**depth
     levels = [pts.groupBy(_cell("x", finest).alias("cx"), _cell("y", finest).alias("cy")).agg(*[F.sum(n).alias(n) for n in names])]
