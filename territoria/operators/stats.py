@@ -261,7 +261,12 @@ def completeness(df: DataFrame, keys: Sequence[str], ts: str, step: str, unit: s
     expected = span.select(F.explode(F.sequence("_a", "_b", interval)).alias("bucket"))
     per_unit = expected.groupBy(F.date_trunc(unit, "bucket").cast("date").alias("period")).agg(F.count(F.lit(1)).alias("n_expected"))
     got = seen.groupBy(*keys, F.date_trunc(unit, "bucket").cast("date").alias("period")).agg(F.count(F.lit(1)).alias("n_seen"))
-    grid = per_unit.crossJoin(seen.select(*keys).distinct()) if keys else per_unit
+    if keys:
+        # The calendar (one struct per period) rides along as one row and is expanded per entity.
+        periods = per_unit.agg(F.collect_list(F.struct("period", "n_expected")).alias("_p"))
+        grid = seen.select(*keys).distinct().crossJoin(F.broadcast(periods)).select(*keys, F.inline("_p"))
+    else:
+        grid = per_unit
     out = grid.join(got, [*keys, "period"], "left").withColumn("n_seen", F.coalesce("n_seen", F.lit(0)))
     return out.withColumn("n_missing", F.col("n_expected") - F.col("n_seen")).withColumn(
         "coverage_pct", 100 * F.col("n_seen") / F.col("n_expected"))
