@@ -42,6 +42,15 @@ def finite(c: ColumnLike) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def wall_micros(ts: ColumnLike) -> Column:
+    """Microseconds of a wall-clock timestamp since 1970, whatever the session time zone."""
+    return F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), col(ts).cast("timestamp_ntz"))
+
+
+def wall_time(micros: ColumnLike) -> Column:
+    return F.timestamp_add("MICROSECOND", col(micros), F.expr("timestamp_ntz'1970-01-01 00:00:00'"))
+
+
 # --- units -----------------------------------------------------------------------------------
 
 def days_in_month(ts: ColumnLike) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from territoria.functions.scalars import wall_micros, wall_time
+
 
 def lookup_join(df: DataFrame, dim: DataFrame, on: str | Sequence[str], defaults: Mapping[str, object]) -> DataFrame:
     """Left join to a dimension, absent keys (and null attributes) filled with defaults."""
@@ -88,7 +90,7 @@ def nearest_in_time(left: DataFrame, right: DataFrame, keys: Sequence[str], ts:
     readings of the neighbouring non-empty buckets are carried in from a per-bucket summary.
     """
     keys = list(keys)
-    stamp = F.unix_micros(F.col(ts).cast("timestamp"))
+    stamp = wall_micros(ts)
     bucket = F.floor(stamp / (bucket_seconds * 1_000_000)).cast("long")
     lf = left.withColumn("_ts", stamp).withColumn("_b", bucket)
     rt = (right.where(F.col(ts).isNotNull()).select(*keys, stamp.alias("_ts"), F.col(value).alias("_v"))
@@ -111,7 +113,7 @@ def nearest_in_time(left: DataFrame, right: DataFrame, keys: Sequence[str], ts:
     pick = F.when(after.isNull() | (F.col("_ts") - before["t"] <= after["t"] - F.col("_ts")), before).otherwise(after)
     return rows.withColumn("_pick", pick).select(
         *left.columns, F.col("_pick")["v"].alias(out),
-        F.timestamp_micros(F.col("_pick")["t"]).cast("timestamp_ntz").alias(f"{out}_ts"))
+        wall_time(F.col("_pick")["t"]).alias(f"{out}_ts"))
 
 
 def year_over_year(df: DataFrame, keys: Sequence[str], year: str, value: str, a: int, b: int, limit: float = 0.5) -> DataFrame:

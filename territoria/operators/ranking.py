@@ -111,19 +111,19 @@ def surrogate_key(df: DataFrame, order: str, tie: str | None = None, out: str =
 
     Rows that agree on both are few by contract; they are numbered by ``rest`` inside their own small group.
     """
-    a = value_ranks(df, order).select(F.col("value").alias("_v"), F.col("below_n").alias("_b"), F.col("n").alias("_nv"))
-    df = df.join(a, F.col(order).cast("double") == F.col("_v"), "inner").drop("_v")
-    number = F.col("_b") + 1
+    a = value_ranks(df, order).select(F.col("value").alias("_sk_v"), F.col("below_n").alias("_sk_b"), F.col("n").alias("_sk_nv"))
+    df = df.join(a, F.col(order).cast("double") == F.col("_sk_v"), "inner").drop("_sk_v")
+    number = F.col("_sk_b") + 1
     if tie is not None:
         # Only values that occur more than once need a second rank.
-        b = value_ranks(df.where(F.col("_nv") > 1), tie, [order]).select(
-            F.col(order).alias("_o"), F.col("value").alias("_t"), F.col("below_n").alias("_bt"), F.col("n").alias("_nt"))
-        df = df.join(b, (F.col(order) == F.col("_o")) & (F.col(tie).cast("double") == F.col("_t")), "left")
-        number = number + F.coalesce("_bt", F.lit(0))
+        b = value_ranks(df.where(F.col("_sk_nv") > 1), tie, [order]).select(
+            F.col(order).alias("_sk_o"), F.col("value").alias("_sk_t"), F.col("below_n").alias("_sk_bt"), F.col("n").alias("_sk_nt"))
+        df = df.join(b, (F.col(order) == F.col("_sk_o")) & (F.col(tie).cast("double") == F.col("_sk_t")), "left")
+        number = number + F.coalesce("_sk_bt", F.lit(0))
         if rest:
             same = F.row_number().over(W.partitionBy(order, tie).orderBy(*rest)) - 1
-            number = number + F.when(F.col("_nt") > 1, same).otherwise(0)
-    return df.withColumn(out, number).drop("_b", "_nv", "_bt", "_nt", "_o", "_t")
+            number = number + F.when(F.col("_sk_nt") > 1, same).otherwise(0)
+    return df.withColumn(out, number).drop("_sk_b", "_sk_nv", "_sk_bt", "_sk_nt", "_sk_o", "_sk_t")
 
 
 def cumulative_share(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:

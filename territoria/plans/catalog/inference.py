@@ -100,7 +100,7 @@ def variance_indices(t):
         c = F.greatest(linear_stress(F.col("s3") + F.col("shift")), linear_stress(F.col("s12") + F.col("shift")))
         return _dynamic(s, c, F.col("b0"))
 
-    return inf.sobol(z, "zone", bounds, model, n=64).select("zone", "param", r("first_order").alias("first_order"), r("total").alias("total"))
+    return inf.sobol(z, "zone", bounds, model, n=256).select("zone", "param", r("first_order").alias("first_order"), r("total").alias("total"))
 
 
 @query("monotonicity", "M24", f"""

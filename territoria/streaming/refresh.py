@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from territoria.functions.scalars import wall_micros
+
 
 def landed(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", files_per_batch: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).format(fmt).load(path)
@@ -15,10 +17,10 @@ def monthly_stream(readings: DataFrame, station: str, reading_id: str, ts: str,
 
     Event time is the reading date; the watermark covers the publication delay and bounds the state.
     """
-    r = readings.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", delay)
+    r = readings.withColumn("_ts", F.timestamp_micros(wall_micros(ts))).withWatermark("_ts", delay)
     unique = r.dropDuplicatesWithinWatermark([station, reading_id])
     return unique.groupBy(station, F.window("_ts", "1 day").alias("_w")).agg(F.sum(value).alias("total"), F.count(value).alias("n")).select(
-        station, F.col("_w.start").cast("date").alias("day"), "total", "n")
+        station, F.date_from_unix_date(F.floor(F.unix_seconds("_w.start") / 86400).cast("int")).alias("day"), "total", "n")
 
 
 def refresh(readings: DataFrame, path: str, checkpoint: str, station: str, reading_id: str, ts: str, value: str, delay: str = "90 days"):
