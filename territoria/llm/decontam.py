@@ -129,40 +129,59 @@ class Items:
         end = np.cumsum(many)
         which = np.repeat(first[g] - (end - many), many) + np.arange(end[-1] if len(end) else 0)
         who, diagonal = item[which], np.repeat(at, many) - place[which]
-        step = self.budget[who] + 1
-        band = (diagonal + FAR) // step
-        key = (who << 40) | band
-        bands, n = np.unique(np.concatenate([key, key - 1]), return_counts=True)
-        who, band = bands >> 40, bands & ((1 << 40) - 1)
-        dense = n >= self.least[who]
+        key = (who << 40) | ((diagonal + FAR) // (self.budget[who] + 1))
+        order = np.argsort(key)
+        cells = np.flatnonzero(np.diff(key[order], prepend=-1))  # strips of k + 1 diagonals; a band is one and the next
+        of = key[order][cells]
+        size = np.diff(cells, append=len(order))
+        size[:-1] += np.where(of[1:] == of[:-1] + 1, size[1:], 0)
+        dense = np.flatnonzero(size >= self.least[of >> 40])
         best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-        for k, b, shared in zip(who[dense].tolist(), band[dense].tolist(), n[dense].tolist()):
-            budget, code = int(self.budget[k]), self.codes[k]
-            low = b * (budget + 1) - FAR  # a passage starts on a diagonal of the band, or up to k beside it
-            a, z = low - budget, low + 2 * (budget + 1) - 1 + budget
-            middle = max(0, low + budget + len(code) // 2)
-            for t in {int(np.searchsorted(begin, x, "right")) - 1 for x in (max(0, a), middle, max(0, z), z + len(code))}:
-                if not 0 <= t < len(texts) or not texts[t]:
-                    continue
-                lo = max(int(begin[t]), a)
-                text = codes[lo:min(int(begin[t + 1]) - 1, z + len(code) + budget)]
+        for c in dense.tolist():
+            k, sel = int(of[c] >> 40), order[cells[c]:cells[c] + size[c]]
+            owner = np.searchsorted(begin, diagonal[sel] + place[which[sel]], "right") - 1
+            for t in np.unique(owner).tolist():
+                mine = sel[owner == t]
+                found = self._window(k, diagonal[mine], place[which[mine]])
                 old = best.get((t, k))
-                if len(text) < len(code) - budget or (old and old[2] == 0):
-                    continue
-                whole = texts[t].find(self.texts[k], lo - int(begin[t]), lo - int(begin[t]) + len(text))
-                if whole >= 0:
-                    best[t, k] = (whole, whole + len(code), 0, shared)
-                    continue
-                edits, stop = align(code, text, a - lo, z - lo)
-                if edits > budget or (old and old[2] <= edits):
+                if found is None or (old and old[2] == 0):
                     continue
-                back = text[max(0, stop - len(code) - budget):stop][::-1]
-                _, length = align(code[::-1], back, -budget, budget, anchored=True)
-                best[t, k] = (lo + stop - length - int(begin[t]), lo + stop - int(begin[t]), edits, shared)
+                a, z, shared = found
+                got = self._passage(k, texts[t], codes, int(begin[t]), a, z)
+                if got and (not old or got[2] < old[2]):
+                    best[t, k] = (*got, shared)
         for (t, k), (start, stop, edits, shared) in sorted(best.items()):
             yield t, self.ids[k], start, stop, edits, shared
 
 
+    def _window(self, k: int, diagonal: np.ndarray, place: np.ndarray) -> tuple[int, int, int] | None:
+        """Where k + 1 neighbouring diagonals share enough different q-grams of the item: first and last diagonal, and how many."""
+        least, order = int(self.least[k]), np.argsort(diagonal)
+        diagonal, place = diagonal[order], place[order]
+        end = np.searchsorted(diagonal, diagonal + self.budget[k], "right")
+        full = [(a, b, n) for a, b in zip(range(len(end)), end.tolist()) if b - a >= least and (n := len(set(place[a:b].tolist()))) >= least]
+        if not full:
+            return None
+        return int(diagonal[full[0][0]]), int(diagonal[full[-1][1] - 1]), max(n for _, _, n in full)
+
+    def _passage(self, k: int, whole: str, codes: np.ndarray, begin: int, a: int, z: int) -> tuple[int, int, int] | None:
+        """Start, end and edits of the best passage on diagonals near a..z, if within the budget."""
+        code, budget = self.codes[k], int(self.budget[k])
+        lo = max(begin, a - budget)
+        text = codes[lo:min(begin + len(whole), z + len(code) + 2 * budget)]
+        at = whole.find(self.texts[k], lo - begin, lo - begin + len(text))
+        if at >= 0:
+            return at, at + len(code), 0
+        if len(text) < len(code) - budget:
+            return None
+        edits, stop = align(code, text, a - budget - lo, z + budget - lo)
+        if edits > budget:
+            return None
+        back = text[max(0, stop - len(code) - budget):stop][::-1]
+        _, length = align(code[::-1], back, -budget, budget, anchored=True)
+        return lo + stop - length - begin, lo + stop - begin, edits
+
+
 def blocks(benchmark: DataFrame, edits: float, q: int, most: int) -> Iterator[Items]:
     """The items in blocks of about ``most`` bytes, read one after another. Null and blank items are left out."""
     ids, texts, size = [], [], 0
