@@ -23,7 +23,7 @@ from territoria.llm.common import by_bytes, column, documents
 TIERS = (2048, 1024, 512, 256)
 END = 1
 #: Tokens that a task gathers before it packs, tokens of a step group, and words whose ids a worker keeps.
-POOL, STEP, WORDS = 2 << 20, 1 << 16, 300_000
+POOL, STEP, WORDS = 2 << 20, 1 << 16, 600_000
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -32,11 +32,16 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: Every character that a tokenizer may take for white space.
+_WHITE = [chr(i) for i in range(0x110000) if chr(i).isspace()]
+
+
 class Encoder:
     """The ids of texts by one tokenizer, as little-endian bytes.
 
     A byte-level tokenizer parts a text before each single space between other characters, so the runs between such
-    spaces are encoded once each and kept. Texts where white space meets a space are encoded whole.
+    spaces are encoded once each and kept. New runs are encoded together: each starts with a space, and no other of its
+    tokens does. Texts where white space meets a space are encoded whole.
     """
 
     def __init__(self, path: str, most: int = WORDS):
@@ -44,22 +49,36 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
+        self.starts = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.starts[[i for t, i in self.tokenizer.get_vocab().items() if t[0] == "\u0120"]] = True  # a space in the byte alphabet
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _learn(self, words: list[str]) -> None:
+        for i in range(0, len(words), 1 << 13):
+            part = words[i:i + (1 << 13)]
+            ids = np.array(self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False).ids, "<u4")
+            at = (np.flatnonzero(self.starts[ids]) * 4).tolist()
+            if len(at) != len(part):
+                raise ValueError("the tokenizer does not part texts at spaces")
+            data = ids.tobytes()
+            self.known.update(zip(part, map(data.__getitem__, map(slice, at, [*at[1:], len(data)]))))
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.most:
             self.known.clear()
-        parts: list[list[str] | None] = []
-        for t in texts:
-            p = t.split(" ")
-            whole = "<|" in t or any(not x or x[0].isspace() or x[-1].isspace() for x in p)
-            parts.append(None if whole else [p[0], *[" " + x for x in p[1:]]])
-        new = list({x for p in parts if p for x in p}.difference(self.known))
-        self.known.update(zip(new, self._ids(new)))
-        rest = iter(self._ids([t for t, p in zip(texts, parts) if p is None]))
-        return [b"".join(map(self.known.__getitem__, p)) if p else next(rest) for p in parts]
+        parts = [None if self._mixed(t) else t.split(" ") for t in texts]
+        words = [p[1:] for p in parts if p]
+        self._learn(list(set().union(*words).difference(self.known)))
+        rest = iter(self._ids([t if p is None else p[0] for t, p in zip(texts, parts)]))
+        tails = iter(words)
+        return [next(rest) if p is None else next(rest) + b"".join(map(self.known.__getitem__, next(tails))) for p in parts]
+
+    @staticmethod
+    def _mixed(text: str) -> bool:
+        """White space beside a space, a space at an end, or what might be a special token."""
+        return text[:1] == " " or text[-1:] == " " or "<|" in text or any(w in text and (f" {w}" in text or f"{w} " in text) for w in _WHITE)
 
 
 class Packer:
