@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -81,6 +82,12 @@ class Encoder:
         return text[:1] == " " or text[-1:] == " " or "<|" in text or any(w in text and (f" {w}" in text or f"{w} " in text) for w in _WHITE)
 
 
+@cache
+def encoder(path: str) -> Encoder:
+    """One for a worker process, so that what it has learned serves the tasks that follow."""
+    return Encoder(path)
+
+
 class Packer:
     """Windows out of (key, tokens) rests; a window is a tier and its pieces (key, start, length)."""
 
@@ -164,7 +171,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end: int = END, tiers: t
     schema = pa.schema([(n, kinds.get(n, pa.int64())) for n in names])
 
     def run(batches):
-        encode, packer, ids, held = Encoder(path), Packer(tiers), {}, 0
+        encode, packer, ids = encoder(path), Packer(tiers), {}
         sequence = TaskContext.get().partitionId() << 40
         steps: dict[int, int] = {}
         finish = np.array([end], "<u4").tobytes()
