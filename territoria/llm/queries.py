@@ -8,4 +8,4 @@ QUERIES = {f.__name__: f for f in (
     decontam.op1_decontamination, substrings.op2_substring_dedup, simhash.op3_simhash, packing.op4_packing, secrets.op5_secret_scan,
     langid.op6_language_id, sharding.op7_sharding, lines.op8_line_dedup, chat.op9_chat_formatting, exact.op10_exact_dedup)}
 
-SQL = {"op8_line_dedup": lines.SQL, "op9_chat_formatting": chat.SQL, "op10_exact_dedup": exact.SQL}
+SQL = {"op2_substring_dedup": substrings.SQL, "op8_line_dedup": lines.SQL, "op9_chat_formatting": chat.SQL, "op10_exact_dedup": exact.SQL}
