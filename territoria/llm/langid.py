@@ -237,7 +237,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             texts, found, a, size = [t or "" for t in column(b, at)], [], 0, 0
             for i, t in enumerate(texts):
                 size += len(t)
-                if size > 8 * PATHS or i + 1 == len(texts):
+                if size > 4 * PATHS or i + 1 == len(texts):
                     found += model.label(texts[a:i + 1])
                     a, size = i + 1, 0
             spans = [[{"start": x, "end": y, "lang": g} for x, y, g in f[2]] for f in found]
