@@ -223,4 +223,4 @@ def zone_search(t):
 
 @query("laplacian_smoothing", "M29")
 def laplacian_smoothing(t):
-    return ml.local_laplacian(node_values(t), lines(t), "admittance", hops=2).select("id", r("pred", 4).alias("pred"))
+    return ml.local_laplacian(node_values(t), lines(t), "admittance").select("id", r("pred", 4).alias("pred"))

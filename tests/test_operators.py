@@ -240,7 +240,7 @@ def test_laplacian_matches_a_dense_solve(spark, net):
     ids = sorted({x for p in e for x in p})
     vals = {i: float(10 + i * 7 % 50) for i in ids}
     v = spark.createDataFrame(list(vals.items()), "id long, value double")
-    got = {r["id"]: r["pred"] for r in learning.local_laplacian(v, edges, "admittance", hops=30).collect()}
+    got = {r["id"]: r["pred"] for r in learning.local_laplacian(v, edges, "admittance", hops=30, tol=1e-11).collect()}
     ball = [i for i in ids if i not in (30, 31, 32) and i in got]
     t = ball[0]
     comp = {r["id"]: r["component"] for r in graph.components(nodes, edges).collect()}
