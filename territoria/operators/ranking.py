@@ -1,13 +1,14 @@
 """Exact ranks, quantiles and running totals that never sort a whole group in one task.
 
 Rows are first collapsed to (keys, value, count), which removes hot values, and checkpointed, so nothing upstream runs
-twice. Up to ``ONE_PASS_ROWS`` distinct values (counted, not guessed) one window is enough. Beyond that the values are
-cut into ordered blocks at sketch quantiles, each block is summed on its own, and the block totals (at most
-``COARSE * FINE`` rows per key) give every block its offset.
+twice. The values are cut into ordered blocks at sketch quantiles, as many as it takes for about ``BLOCK_ROWS`` distinct
+values in each; each block is summed on its own, and the block totals give every block its offset. Keys and values keep
+their own types, so large whole numbers stay apart.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -16,16 +17,18 @@ from pyspark.sql import functions as F
 
 from territoria.session import cut_lineage
 
-COARSE, FINE = 32, 32
-ONE_PASS_ROWS = 1_000_000
+FINE = 32
+BLOCK_ROWS = 500_000
 
 
 def _with_block(vc: DataFrame, coarse: int, fine: int) -> DataFrame:
     """Adds the ordered block number of ``value``; the edges are one row, so they are safe to broadcast."""
+    if coarse * fine == 1:
+        return vc.withColumn("_block", F.lit(0))
     probs = [(i + 1) / (coarse * fine) for i in range(coarse * fine - 1)]
     edges = vc.agg(F.percentile_approx("value", probs, 4 * coarse * fine).alias("_edges"), F.sum("n").alias("_all"))
-    supers = F.transform(F.sequence(F.lit(fine), F.lit(fine * (coarse - 1)), F.lit(fine)),
-                         lambda i: F.element_at("_edges", i))
+    starts = F.array(*[F.lit(fine * (i + 1)) for i in range(coarse - 1)]).cast("array<int>")
+    supers = F.transform(starts, lambda i: F.element_at("_edges", i))
     # Using the total keeps ``n`` in the edges branch, so both branches share one exchange (one scan of the input).
     out = vc.crossJoin(F.broadcast(edges)).where(F.col("_all") > 0).withColumn(
         "_hi", F.size(F.filter(supers, lambda e: e <= F.col("value"))))
@@ -34,15 +37,13 @@ def _with_block(vc: DataFrame, coarse: int, fine: int) -> DataFrame:
     return out.drop("_edges", "_all", "_hi")
 
 
-def _running(vc: DataFrame, keys: Sequence[str], sums: Sequence[str], coarse: int, fine: int) -> DataFrame:
+def _running(vc: DataFrame, keys: Sequence[str], sums: Sequence[str]) -> DataFrame:
     """For each (keys, value): total of every ``sums`` column over strictly smaller values, and over the group."""
     keys = list(keys)
     vc = cut_lineage(vc)
-    if vc.count() <= ONE_PASS_ROWS:
-        below = W.partitionBy(*keys).orderBy("value").rowsBetween(W.unboundedPreceding, -1)
-        return vc.select(*keys, "value", *sums, *[F.coalesce(F.sum(c).over(below), F.lit(0)).alias(f"below_{c}") for c in sums],
-                         *[F.sum(c).over(W.partitionBy(*keys)).alias(f"all_{c}") for c in sums])
-    vc = _with_block(vc, coarse, fine)
+    blocks = math.ceil(vc.count() / BLOCK_ROWS)  # of what the checkpoint holds
+    fine = min(FINE, max(1, blocks))
+    vc = _with_block(vc, math.ceil(blocks / fine) or 1, fine)
     inner = W.partitionBy(*keys, "_block").orderBy("value").rowsBetween(W.unboundedPreceding, -1)
     rows = vc.select("*", *[F.coalesce(F.sum(c).over(inner), F.lit(0)).alias(f"_in_{c}") for c in sums])
     totals = vc.groupBy(*keys, "_block").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
@@ -61,12 +62,12 @@ def _running(vc: DataFrame, keys: Sequence[str], sums: Sequence[str], coarse: in
     )
 
 
-def value_ranks(df: DataFrame, value: str, keys: Sequence[str] = (), coarse: int = COARSE, fine: int = FINE) -> DataFrame:
+def value_ranks(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, value, n, below_n, all_n): how many rows hold the value, lie below it, and exist in the group."""
     keys = list(keys)
     vc = (df.where(F.col(value).isNotNull())
-          .groupBy(*keys, F.col(value).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n")))
-    return _running(vc, keys, ["n"], coarse, fine)
+          .groupBy(*keys, F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n")))
+    return _running(vc, keys, ["n"])
 
 
 def with_rank(df: DataFrame, value: str, out: str, keys: Sequence[str] = (), descending: bool = False,
@@ -78,7 +79,7 @@ def with_rank(df: DataFrame, value: str, out: str, keys: Sequence[str] = (), des
     rank = (F.col("all_n") + 1 - rank) if descending else rank
     rank = rank / F.col("all_n") if percentile else rank
     r = r.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("value").alias("_v"), rank.alias(out))
-    cond = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col(value).cast("double") == F.col("_v")]
+    cond = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col(value) == F.col("_v")]
     return df.join(r, cond, "left").drop("_v", *[f"_k{i}" for i in range(len(keys))])
 
 
@@ -93,7 +94,7 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[
         name = quantile_name(p, prefix)
 
         def at(k):
-            return F.max(F.when((F.col("below_n") <= k) & (k < F.col("below_n") + F.col("n")), F.col("value")))
+            return F.max(F.when((F.col("below_n") <= k) & (k < F.col("below_n") + F.col("n")), F.col("value").cast("double")))
 
         picks += [at(low).alias(f"_lo_{name}"), at(high).alias(f"_hi_{name}"), F.max(pos - low).alias(f"_f_{name}")]
     agg = r.groupBy(*keys).agg(*picks) if keys else r.agg(*picks)
@@ -112,13 +113,13 @@ def surrogate_key(df: DataFrame, order: str, tie: str | None = None, out: str =
     Rows that agree on both are few by contract; they are numbered by ``rest`` inside their own small group.
     """
     a = value_ranks(df, order).select(F.col("value").alias("_sk_v"), F.col("below_n").alias("_sk_b"), F.col("n").alias("_sk_nv"))
-    df = df.join(a, F.col(order).cast("double") == F.col("_sk_v"), "inner").drop("_sk_v")
+    df = df.join(a, F.col(order) == F.col("_sk_v"), "inner").drop("_sk_v")
     number = F.col("_sk_b") + 1
     if tie is not None:
         # Only values that occur more than once need a second rank.
         b = value_ranks(df.where(F.col("_sk_nv") > 1), tie, [order]).select(
             F.col(order).alias("_sk_o"), F.col("value").alias("_sk_t"), F.col("below_n").alias("_sk_bt"), F.col("n").alias("_sk_nt"))
-        df = df.join(b, (F.col(order) == F.col("_sk_o")) & (F.col(tie).cast("double") == F.col("_sk_t")), "left")
+        df = df.join(b, (F.col(order) == F.col("_sk_o")) & (F.col(tie) == F.col("_sk_t")), "left")
         number = number + F.coalesce("_sk_bt", F.lit(0))
         if rest:
             same = F.row_number().over(W.partitionBy(order, tie).orderBy(*rest)) - 1
@@ -131,7 +132,7 @@ def cumulative_share(df: DataFrame, value: str, keys: Sequence[str] = ()) -> Dat
     keys = list(keys)
     vc = (df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("value"))
           .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(value).cast("double")).alias("amount")))
-    r = _running(vc, keys, ["n", "amount"], COARSE, FINE)
+    r = _running(vc, keys, ["n", "amount"])
     return r.select(*keys, "value", "n", (F.col("all_n") - F.col("below_n") - F.col("n") + 1).alias("rank_desc"),
                     ((F.col("all_amount") - F.col("below_amount")) / F.col("all_amount")).alias("running_share"))
 

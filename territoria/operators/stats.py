@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from territoria.functions.scalars import ColumnLike, col
-from territoria.operators.ranking import COARSE, FINE, _running, quantiles
+from territoria.operators.ranking import _running, quantiles
 from territoria.session import cut_lineage
 
 
@@ -175,7 +175,7 @@ def _weighted_rank(df: DataFrame, base: DataFrame, value: str, out: str, keys: S
     """Adds the rank of ``value`` counted over ``base``."""
     keys = list(keys)
     vc = base.groupBy(*keys, F.col(value).cast("double").alias("value")).agg(F.sum("_w").alias("n"))
-    r = _running(vc, keys, ["n"], COARSE, FINE)
+    r = _running(vc, keys, ["n"])
     # Ranks are centred on the group's middle to keep the sums of squares small.
     rank = F.col("below_n") + (F.col("n") + 1) / 2 - (F.col("all_n") + 1) / 2
     r = r.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("value").alias("_v"), rank.alias(out))
@@ -211,7 +211,7 @@ def concordant_pairs(df: DataFrame, score: str, level: str, levels: Sequence[int
     vc = ok.groupBy(F.col(score).cast("double").alias("value")).agg(
         *[F.sum((F.col(level) == v).cast("long")).alias(n) for n, v in zip(names, levels)])
     vc = vc.withColumn("n", reduce(add, [F.col(n) for n in names]))
-    r = _running(vc, [], ["n", *names], COARSE, FINE)
+    r = _running(vc, [], ["n", *names])
     order = sorted(range(len(levels)), key=lambda i: levels[i])
     conc = reduce(add, [F.col(names[j]) * F.col(f"below_{names[i]}") for a, j in enumerate(order) for i in order[:a]], F.lit(0))
     one = r.agg(F.sum(conc.cast("double")).alias("concordant"), F.max("all_n").cast("double").alias("n"),

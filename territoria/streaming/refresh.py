@@ -5,37 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from territoria.functions.scalars import wall_micros
-
 
 def landed(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", files_per_batch: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).format(fmt).load(path)
 
 
-def monthly_stream(readings: DataFrame, station: str, reading_id: str, ts: str, value: str, delay: str = "90 days") -> DataFrame:
-    """Per station and month: sums and counts, so late files only add. Replayed readings are dropped by id.
+def refresh(readings: DataFrame, path: str, checkpoint: str):
+    """Runs over everything landed so far and stops. Each micro-batch overwrites its own folder ``batch=<id>`` of ``path``.
 
-    Event time is the reading date; the watermark covers the publication delay and bounds the state.
+    A batch that runs again after a failure replaces what it had written, so rows are stored exactly once a landing; a
+    reading that lands twice, however late, is dropped when the table is read (``readings_of``).
     """
-    r = readings.withColumn("_ts", F.timestamp_micros(wall_micros(ts))).withWatermark("_ts", delay)
-    unique = r.dropDuplicatesWithinWatermark([station, reading_id])
-    return unique.groupBy(station, F.window("_ts", "1 day").alias("_w")).agg(F.sum(value).alias("total"), F.count(value).alias("n")).select(
-        station, F.date_from_unix_date(F.floor(F.unix_seconds("_w.start") / 86400).cast("int")).alias("day"), "total", "n")
-
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-def refresh(readings: DataFrame, path: str, checkpoint: str, station: str, reading_id: str, ts: str, value: str, delay: str = "90 days"):
-    """Runs over everything landed so far and stops; closed days are appended to ``path`` exactly once."""
-    out = monthly_stream(readings, station, reading_id, ts, value, delay)
-    return out.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return readings.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def monthly_table(days: DataFrame, station: str) -> DataFrame:
-    """Monthly means from the appended day rows."""
-    return days.groupBy(station, F.trunc("day", "month").alias("month")).agg(
-        (F.sum("total") / F.sum("n")).alias("mean"), F.sum("n").alias("n"))
+def readings_of(spark: SparkSession, path: str, station: str, reading_id: str) -> DataFrame:
+    """All readings stored by ``refresh``, each once: of several landings the first batch's row counts."""
+    rows = spark.read.parquet(path)
+    rest = [c for c in rows.columns if c not in (station, reading_id)]
+    first = rows.groupBy(station, reading_id).agg(F.min(F.struct("batch", *[c for c in rest if c != "batch"])).alias("_r"))
+    return first.select(station, reading_id, *[F.col(f"_r.{c}").alias(c) for c in rest if c != "batch"])
 
 
 def monthly_batch(readings: DataFrame, station: str, reading_id: str, ts: str, value: str) -> DataFrame:
-    """The same table computed in one batch, replays dropped."""
+    """Monthly means of all readings, replays dropped."""
     unique = readings.dropDuplicates([station, reading_id])
     return unique.groupBy(station, F.trunc(F.col(ts).cast("date"), "month").alias("month")).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))

@@ -66,13 +66,19 @@ def test_nearest_join_falls_back(spark):
     assert (rows[2]["score"], rows[2]["covered"]) == (50.0, False)
 
 
-def test_rank_blocks_agree_with_one_window(spark, monkeypatch):
+def test_surrogate_key_keeps_large_keys_apart(spark):
+    keys = [2**53 + i for i in range(20)]
+    out = ranking.surrogate_key(spark.createDataFrame([(k,) for k in reversed(keys)], "k long"), "k").collect()
+    assert {r["k"]: r["sk"] for r in out} == {k: i + 1 for i, k in enumerate(keys)}
+
+
+def test_rank_blocks_agree_with_one_block(spark, monkeypatch):
     rng = np.random.default_rng(3)
     vals = np.concatenate([np.full(300, 7.0), rng.integers(0, 50, 300).astype(float), rng.normal(size=300)])
     df = spark.createDataFrame([(i, "a" if i % 3 else "b", float(v)) for i, v in enumerate(vals)], "id long, g string, v double")
     plain = sorted(map(tuple, ranking.value_ranks(df, "v", ["g"]).collect()))
     q1 = ranking.quantiles(df, "v", [0.1, 0.5, 0.95]).head()
-    monkeypatch.setattr(ranking, "ONE_PASS_ROWS", 0)
+    monkeypatch.setattr(ranking, "BLOCK_ROWS", 7)
     assert sorted(map(tuple, ranking.value_ranks(df, "v", ["g"]).collect())) == plain
     q2 = ranking.quantiles(df, "v", [0.1, 0.5, 0.95]).head()
     assert tuple(q2) == pytest.approx(tuple(q1))

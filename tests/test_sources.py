@@ -79,13 +79,14 @@ def test_sinks(spark, folder):
 
 def test_stream_equals_batch_and_ignores_replays(spark, folder):
     ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("event_id", "ts", "user_id", "value")
-    late = ev.limit(1).select(F.lit(-1).cast("long").alias("event_id"), F.expr("timestamp_ntz'2025-01-01 00:00:00'").alias("ts"), F.lit(-1).cast("long").alias("user_id"), F.lit(0.0).alias("value"))
-    ev.unionByName(ev.limit(50)).unionByName(late).write.parquet(f"{folder}/landed")
     schema = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, value DOUBLE"
-    for _ in range(2):
-        q = refresh.refresh(refresh.landed(spark, f"{folder}/landed", schema), f"{folder}/days", f"{folder}/ck", "user_id", "event_id", "ts", "value")
-        q.awaitTermination()
-    got = refresh.monthly_table(spark.read.parquet(f"{folder}/days"), "user_id").where("user_id >= 0")
+    for part in (ev.where("event_id % 2 = 0"), ev.where("event_id % 2 = 1").unionByName(ev.limit(50)), ev.where("event_id % 5 = 0")):
+        part.write.mode("append").parquet(f"{folder}/landed")
+        for _ in range(2):
+            refresh.refresh(refresh.landed(spark, f"{folder}/landed", schema), f"{folder}/readings", f"{folder}/ck").awaitTermination()
+    stored = refresh.readings_of(spark, f"{folder}/readings", "user_id", "event_id")
+    assert stored.count() == ev.count()
+    got = refresh.monthly_batch(stored, "user_id", "event_id", "ts", "value")
     want = refresh.monthly_batch(ev, "user_id", "event_id", "ts", "value")
     a = {(r["user_id"], r["month"]): (round(r["mean"], 9), r["n"]) for r in got.collect()}
     assert a == {(r["user_id"], r["month"]): (round(r["mean"], 9), r["n"]) for r in want.collect()}
