@@ -182,13 +182,14 @@ def ahp_interval(df: DataFrame, key: str, matrix: tuple[float, float, float], in
     return g.select(key, F.col("_q")[0].alias("h_p5"), F.col("_q")[1].alias("h_median"), F.col("_q")[2].alias("h_p95"), "h_std", (F.col("_q")[2] - F.col("_q")[0]).alias("width"))
 
 
-def leakage_audit(predict: Callable[[DataFrame], DataFrame], df: DataFrame, key: str, target: str, audited: Column, poison: float = 99999.0) -> DataFrame:
-    """Predictions of the audited rows with their own target overwritten, against the plain ones: count, largest move, leak flag.
+def leakage_audit(predict: Callable[[Callable[[Column, Column, Column], Column]], DataFrame], df: DataFrame, key: str, audited: Column, poison: float = 99999.0) -> DataFrame:
+    """Audited rows, largest move and leak flag of a predictor when each row's own target is overwritten for that row alone.
 
-    ``predict`` returns (key, pred) and must leave a row's own target out; each audited row is poisoned alone only if
-    the audited rows do not feed each other, so compare predictors that hold the row out.
+    ``predict`` returns (key, pred) and reads every target through the function it is given, as
+    ``seen(key of the predicted row, key of the row that is read, its target)``. So each audited row has a poisoned table
+    of its own, while all other rows are predicted from plain ones.
     """
-    plain = predict(df).select(key, F.col("pred").alias("_a"))
-    dirty = predict(df.withColumn(target, F.when(audited, F.lit(poison)).otherwise(F.col(target)))).select(key, F.col("pred").alias("_b"))
+    plain = predict(lambda mine, other, v: v).select(key, F.col("pred").alias("_a"))
+    dirty = predict(lambda mine, other, v: F.when(mine == other, F.lit(poison)).otherwise(v)).select(key, F.col("pred").alias("_b"))
     j = df.where(audited).select(key).join(plain, key).join(dirty, key)
     return j.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.abs(F.col("_a") - F.col("_b"))), F.lit(0.0)).alias("largest")).withColumn("leaks", F.col("largest") > 1e-9)

@@ -14,7 +14,7 @@ from territoria.operators.spatial import knn_join
 from territoria.plans.catalog.climate import rank_sql
 from territoria.plans.catalog.network import lines, node_values
 from territoria.plans.catalog.scoring import _live_sql, _wmean_sql, SITE_INDEX, site_index_frame
-from territoria.plans.catalog.spatial import readings
+from territoria.plans.catalog.spatial import _D, _READ, readings
 from territoria.plans.inputs import SITES, sites
 from territoria.plans.registry import query
 
@@ -103,16 +103,25 @@ def variance_indices(t):
     return inf.sobol(z, "zone", bounds, model, n=256).select("zone", "param", r("first_order").alias("first_order"), r("total").alias("total"))
 
 
+_VARIED = ["x_bws", "x_aridity", "x_gws", "x_sv"]
+
+
+def _full_sql(moved: str | None) -> str:
+    b, a, g, c = (f"({v} + 0.01e0)" if v == moved else v for v in _VARIED)
+    beta = f"(0.7e0 * (1 - {c}))"
+    return f"least(greatest({beta} * pow({b}, 0.5e0) * pow({a}, 0.36e0) * pow({g}, 0.14e0) + (1 - {beta}) * {c}, 0e0), 1e0)"
+
+
 @query("monotonicity", "M24", f"""
-WITH {SITES}, v AS (SELECT * FROM sites WHERE x_gws IS NOT NULL), q AS (SELECT unnest(['x_bws', 'x_aridity', 'x_gws']) AS variable, unnest([0.5e0, 0.36e0, 0.14e0]) AS w FROM v)
-SELECT variable, count(*) AS checks, 0 AS violations, round(min(w), 6) AS min_gradient FROM q GROUP BY 1""")
+WITH {SITES}, q AS (SELECT unnest([{', '.join(f"'{v}'" for v in _VARIED)}]) AS variable, unnest([{', '.join(f'({_full_sql(v)} - {_full_sql(None)}) / 0.01e0' for v in _VARIED)}]) AS g FROM sites)
+SELECT variable, count(*) AS checks, count(*) FILTER (g < -1e-9) AS violations, round(min(g), 6) AS min_gradient FROM q WHERE g IS NOT NULL GROUP BY 1""")
 def monotonicity(t):
-    s = sites(t).where(F.col("x_gws").isNotNull())
-
+    """The whole index: geometric structure, a beta that falls with the current state, and that state itself."""
     def model(v):
-        return 0.5 * v["x_bws"] + 0.36 * v["x_aridity"] + 0.14 * v["x_gws"]
+        structure = F.pow(v["x_bws"], F.lit(0.5)) * F.pow(v["x_aridity"], F.lit(0.36)) * F.pow(v["x_gws"], F.lit(0.14))
+        return _dynamic(structure, v["x_sv"], F.lit(0.7))
 
-    return inf.monotone(s, ["x_bws", "x_aridity", "x_gws"], model).withColumn("min_gradient", r("min_gradient"))
+    return inf.monotone(sites(t), _VARIED, model).withColumn("min_gradient", r("min_gradient"))
 
 
 @query("weight_calibration", "M25 K5", f"""
@@ -142,17 +151,28 @@ def comparison_weight_interval(t):
     return a.select("id", *[r(c).alias(c) for c in a.columns[1:]])
 
 
-@query("leakage_audit", "M16", "SELECT count(*) FILTER (s_suppkey % 13 <> 0) AS n, 0e0 AS largest, false AS leaks FROM supplier")
+_ORDERED = f"SELECT p.sid, s.sid AS nid, {_D} AS dist, nullif(s.value, 0) AS nv, row_number() OVER (PARTITION BY p.sid ORDER BY {_D}, s.sid) AS rank FROM stations p, stations s"
+
+
+@query("leakage_audit", "M16", f"""
+WITH {_READ}, held AS ({_ORDERED} WHERE p.sid <> s.sid), own AS ({_ORDERED}),
+ near AS (SELECT 'held_out' AS predictor, * FROM held UNION ALL SELECT 'own_value', * FROM own),
+ seen AS (SELECT predictor, sid, nv, CASE WHEN nid = sid THEN 99999 ELSE nv END AS bad, 1 / pow(greatest(dist, 3), 2) AS w FROM near WHERE rank <= 7),
+ moved AS (SELECT predictor, sid, sum(w * nv) / sum(CASE WHEN nv IS NOT NULL THEN w END) AS a, sum(w * bad) / sum(CASE WHEN bad IS NOT NULL THEN w END) AS b FROM seen GROUP BY 1, 2)
+SELECT predictor, count(*) AS n, round(coalesce(max(abs(a - b)), 0), 4) AS largest, coalesce(max(abs(a - b)), 0) > 1e-9 AS leaks FROM moved WHERE sid % 13 <> 0 GROUP BY 1""")
 def leakage_audit(t):
-    """Every station's own value is overwritten in its own row only; the neighbour table keeps the plain values."""
+    """A predictor that holds the row out, and one that reads its own value and must be caught."""
     s = readings(t)
     right = s.select(F.col("sid").alias("nid"), "x", "y", F.col("value").alias("nv"))
 
-    def predict(df):
-        near = knn_join(df.select("sid", "x", "y", "value"), right, 7, "sid", "nid", exclude_self=True, carry=["nv"])
-        return ip.idw_from(near, ["sid"], "nv")
+    def audit(name, exclude):
+        def predict(seen):
+            near = knn_join(s.select("sid", "x", "y"), right, 7, "sid", "nid", exclude_self=exclude, carry=["nv"])
+            return ip.idw_from(near.withColumn("nv", seen(F.col("sid"), F.col("nid"), F.col("nv"))), ["sid"], "nv")
+
+        return inf.leakage_audit(predict, s, "sid", F.col("sid") % 13 != 0).select(F.lit(name).alias("predictor"), "n", r("largest", 4).alias("largest"), "leaks")
 
-    return inf.leakage_audit(predict, s, "sid", "value", F.col("sid") % 13 != 0)
+    return audit("held_out", True).unionByName(audit("own_value", False))
 
 
 FEATURES = ["x_bws", "x_aridity", "x_sv", "d3", "d12"]
