@@ -18,6 +18,7 @@ HEADLINE = [
     "nearest_station", "nearest_neighbours_loo", "radius_neighbours", "point_in_polygon", "bilinear_resample", "withdrawal_density", "idw_sites",
     "idw_parameter_search", "hourly_emission_mix", "plant_dispatch", "zone_pooling", "network_components", "node_pagerank", "hop_statistics",
     "impedance_reach", "graph_filter", "fact_sales", "monthly_revenue", "top_products", "validation_report", "weight_calibration",
+    "grid_pipeline_scores", "site_engine",
 ]
 
 
