@@ -218,10 +218,11 @@ def inflow_mix(flows: DataFrame, production: DataFrame, values: DataFrame, node:
 
 
 def trace_mix(flows: DataFrame, production: DataFrame, keys: Sequence[str] = (), node: str = "id", prod: str = "prod", emission: str = "co2",
-              iters: int = 50, tol: float = 1e-6, high: float = 800.0, cut_every: int = 4) -> DataFrame:
+              iters: int = 1000, tol: float = 1e-6, high: float = 800.0, cut_every: int = 4) -> DataFrame:
     """Proportional sharing: every node's mix is its own emissions plus inflows at the source's mix, over its throughput.
 
-    Fixed-point rounds over (snapshot, node) for all snapshots at once, stopped when no mix moves more than ``tol``.
+    Fixed-point rounds over (snapshot, node) for all snapshots at once, stopped when no mix moves more than ``tol``;
+    not settling within ``iters`` rounds is an error.
     """
     keys = list(keys)
     f = directed_flows(flows, keys)
@@ -236,13 +237,16 @@ def trace_mix(flows: DataFrame, production: DataFrame, keys: Sequence[str] = (),
         src = state.select(*keys, F.col(node).alias("frm"), F.col("mix").alias("_m"))
         got = f.join(src, [*keys, "frm"]).groupBy(*keys, F.col("to").alias(node)).agg(F.sum(F.col("mw") * F.col("_m")).alias("_g"))
         new = F.when(F.col("_t") > 0.1, (F.col("_e") + F.coalesce("_g", F.lit(0.0))) / F.col("_t")).otherwise(F.lit(0.0))
+        new = F.least(F.greatest(new, F.lit(0.0)), F.lit(high))
         state = state.join(got, [*keys, node], "left").select(
-            *keys, node, "_t", "_e", F.least(F.greatest(new, F.lit(0.0)), F.lit(high)).alias("mix"), F.abs(new - F.col("mix")).alias("_move"))
+            *keys, node, "_t", "_e", new.alias("mix"), F.abs(new - F.col("mix")).alias("_move"))
         if i % cut_every == 0 or i == iters:
             state = cut_lineage(state)
             if state.where(F.col("_move") > tol).isEmpty():
                 break
         state = state.drop("_move") if "_move" in state.columns else state
+    else:
+        raise RuntimeError(f"tracing has not settled within {iters} rounds")
     return state.select(*keys, node, F.col("_t").alias("throughput"), "mix")
 
 

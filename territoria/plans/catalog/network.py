@@ -267,7 +267,7 @@ def inflow_mix(t):
 @query("traced_mix", "G11")
 def traced_mix(t):
     p = node_production(t).join(node_values(t), "id").select("id", "prod", (F.col("prod") * F.col("value")).alias("co2"))
-    m = gh.trace_mix(lines(t), p, iters=60, tol=1e-5)
+    m = gh.trace_mix(lines(t), p, tol=1e-5)
     return m.select("id", r("throughput", 5).alias("throughput"), r("mix", 3).alias("mix"))
 
 
