@@ -6,6 +6,9 @@ sum(t_i + 1) = distance + 1, any linked pair is within t_i in some partition i.
 (-1: partition not probed), by dynamic programming on the candidates that a count of partition values lets expect:
 where its value is common it probes elsewhere. Candidates are verified on all 64 bits where they meet, and a task
 gives back a spanning forest of what it has found, never all pairs.
+
+``one_of_each`` filters by likeness of texts: fingerprints of five words within ten bits put texts into components, and
+within a component the smallest document leads; who shares 0.8 of the five-word shingles with it goes, the rest choose anew.
 """
 
 from __future__ import annotations
@@ -24,6 +27,10 @@ from territoria.llm.common import column, documents, rows, stored
 from territoria.session import cut_lineage
 
 BITS, WORDS, DISTANCE, SEED = 64, 4, 4, 42
+#: Filtering: words of a shingle, bits within which texts are compared, share of common shingles from which one goes.
+LIKE_WORDS, LIKE_DISTANCE, LIKE = 5, 10, 0.8
+#: Members of a component that meet its leader in one task, about; larger components are dealt over several.
+DEAL = 4096
 #: Cost of a probe that is shuffled, and of a candidate that is verified, in the same unit.
 PROBE, VERIFY = 1.0, 0.02
 #: Bits of a partition's value that its count table resolves: at most 2^16 counts a partition are collected.
@@ -200,6 +207,22 @@ class Plan:
         return np.concatenate(keys), np.concatenate(who), np.concatenate(active)
 
 
+def few_links(fp: np.ndarray, active: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """All links of active rows, in blocks; None where a block holds more than four a row, a case for ``forest``."""
+    todo, every = np.unique(fp[active]), np.unique(fp)
+    a, b = [], []
+    step = max(1, (1 << 18) // len(every))
+    for i in range(0, len(todo), step):
+        x = todo[i:i + step]
+        at, to = np.nonzero(np.bitwise_count((x[:, None] ^ every[None, :]).view(np.uint64)) <= distance)
+        if len(at) > 5 * len(x):
+            return None
+        other = x[at] != every[to]
+        a.append(x[at][other])
+        b.append(every[to][other])
+    return np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *b])
+
+
 def forest(fp: np.ndarray, active: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect what links of active rows connect: each row once in its tree, each meeting of two trees once."""
     a, b = [], []
@@ -233,7 +256,7 @@ def _verify(key: np.ndarray, fp: np.ndarray, active: np.ndarray, distance: int)
     a, b = [], []
     big = size > SMALL
     for s, n in zip(edge[:-1][big], size[big]):
-        x, y = forest(fp[s:s + n], active[s:s + n], distance)
+        x, y = few_links(fp[s:s + n], active[s:s + n], distance) or forest(fp[s:s + n], active[s:s + n], distance)
         a.append(x)
         b.append(y)
     small = ~np.repeat(big, size)
@@ -343,15 +366,88 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANC
     return fps.join(final, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
-    """The rows of ``docs`` that stay: the one with the smallest doc_id of each component, all columns untouched.
+def shingles(text: str | None, words: int = LIKE_WORDS) -> np.ndarray:
+    """The different shingle numbers of a text, sorted."""
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    n = max(1, len(found) - words + 1) if found else 0
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(found[i:i + words]), SEED) for i in range(n)), np.uint64, n))
+
+
+def _texts(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, fp and a 128-bit digest of the lower-cased words of every row."""
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("digest", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = column(b, "text")
+            fp = np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
+            same = [xxhash.xxh3_128_digest(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split())) for t in texts]
+            yield rows(schema, [column(b, "doc_id"), fp, same])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long, digest binary")
+
+
+def _sets(members: DataFrame, words: int) -> DataFrame:
+    """The shingle sets of ``members`` (root, deal, deals, doc_id, text), as bytes."""
+    schema = pa.schema([("root", pa.int64()), ("deal", pa.int64()), ("deals", pa.int64()), ("doc_id", pa.int64()), ("shingles", pa.binary())])
 
-    doc_id identifies a document: of rows that repeat it one stays, and rows without it all stay.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield rows(schema, [column(b, c) for c in schema.names[:4]] + [[shingles(t, words).tobytes() for t in column(b, "text")]])
+
+    return members.select("root", "deal", "deals", "doc_id", "text").mapInArrow(run, "root long, deal long, deals long, doc_id long, shingles binary")
+
+
+def _unlike(met: DataFrame, like: float) -> DataFrame:
+    """The rows of ``met`` that share less than ``like`` of the shingles with their leader (column ``led``)."""
+    names = ["root", "deal", "deals", "doc_id", "shingles"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            apart = []
+            for mine, led in zip(column(b, "shingles"), column(b, "led"), strict=True):
+                x, y = np.frombuffer(mine, np.uint64), np.frombuffer(led, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                apart.append(both < like * (len(x) + len(y) - both))
+            yield b.select(names).filter(pa.array(apart, pa.bool_()))
+
+    return met.select(*names, "led").mapInArrow(run, "root long, deal long, deals long, doc_id long, shingles binary")
+
+
+def leaders(members: DataFrame, like: float = LIKE) -> DataFrame:
+    """The doc_ids of ``members`` that stay, by rounds: in each component the smallest leads, who is like it goes.
+
+    Of two like members of a component at least one goes, and nobody goes without a like leader that stays. The rounds end
+    when nobody is left; each takes at least one member from every component.
+    """
+    out = None
+    while not members.isEmpty():
+        first = members.groupBy("root", "deals").agg(F.min("doc_id").alias("doc_id"))
+        led = stored(members.select("doc_id", "shingles").join(first, "doc_id"), "leaders")
+        out = led.select("doc_id") if out is None else out.union(led.select("doc_id"))
+        dealt = led.select("root", F.col("doc_id").alias("leader"), F.col("shingles").alias("led"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)).alias("deal"))
+        members = stored(_unlike(members.join(dealt, ["root", "deal"]).where(F.col("doc_id") != F.col("leader")), like), "members")
+    return members.select("doc_id") if out is None else out
+
+
+def one_of_each(docs: DataFrame, words: int = LIKE_WORDS, distance: int = LIKE_DISTANCE, like: float = LIKE) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns untouched: none of them shares ``like`` of its shingles with another of its
+    component, and every one that goes does so with one that stays and has a smaller doc_id.
+
+    Texts of the same lower-cased words are copies; null and blank texts are copies of one another. doc_id identifies
+    a document: of rows that repeat it one stays, and rows without it all stay. An empty table gives no rows.
     """
-    found = near_duplicates(docs.where(F.col("doc_id").isNotNull()), words, distance)
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.where(F.col("doc_id").isNotNull()).join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(
-        docs.where(F.col("doc_id").isNull()))
+    known = docs.where(F.col("doc_id").isNotNull())
+    texts = stored(_texts(known, words).groupBy("fp", "digest").agg(F.min("doc_id").alias("doc_id")), "texts")
+    roots = components(links(texts.select("fp").distinct(), distance))
+    placed = stored(texts.join(roots, texts["fp"] == roots["node"], "left").select("doc_id", F.coalesce("root", "fp").alias("root")), "placed")
+    size = placed.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = placed.join(size.select("root", (F.floor(F.col("n") / DEAL) + 1).alias("deals")), "root").withColumn("deal", F.pmod(F.xxhash64("doc_id"), "deals"))
+    shared = stored(shared.groupBy("doc_id").agg(*[F.min_by(c, "root").alias(c) for c in ("root", "deal", "deals")]), "shared")
+    text = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).dropDuplicates(["doc_id"])
+    members = stored(_sets(shared.join(text, "doc_id"), words), "members")
+    keep = placed.select("doc_id").distinct().join(shared.select("doc_id"), "doc_id", "left_anti").union(leaders(members, like))
+    return known.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
