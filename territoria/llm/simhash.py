@@ -8,7 +8,7 @@ where its value is common it probes elsewhere. Candidates are verified on all 64
 gives back a spanning forest of what it has found, never all pairs.
 
 ``one_of_each`` filters by likeness of texts: fingerprints of five words within ten bits put texts into components, and
-within a component the smallest document leads; who shares 0.8 of the five-word shingles with it goes, the rest choose anew.
+within a component, in the order of doc_id, a document leads unless it shares 0.8 of its five-word shingles with a leader.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from territoria.llm.common import column, documents, rows, stored
@@ -31,6 +32,8 @@ BITS, WORDS, DISTANCE, SEED = 64, 4, 4, 42
 LIKE_WORDS, LIKE_DISTANCE, LIKE = 5, 10, 0.8
 #: Members of a component that meet its leader in one task, about; larger components are dealt over several.
 DEAL = 4096
+#: Members of a component that are settled in one round: at first, and at most.
+FIRST_BLOCK, BLOCK = 16, 256
 #: Cost of a probe that is shuffled, and of a candidate that is verified, in the same unit.
 PROBE, VERIFY = 1.0, 0.02
 #: Bits of a partition's value that its count table resolves: at most 2^16 counts a partition are collected.
@@ -387,52 +390,82 @@ def _texts(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long, digest binary")
 
 
+MEMBER = "root long, deal long, deals long, doc_id long, fp long, shingles binary"
+_MEMBER = pa.schema([("root", pa.int64()), ("deal", pa.int64()), ("deals", pa.int64()), ("doc_id", pa.int64()), ("fp", pa.int64()), ("shingles", pa.binary())])
+
+
 def _sets(members: DataFrame, words: int) -> DataFrame:
-    """The shingle sets of ``members`` (root, deal, deals, doc_id, text), as bytes."""
-    schema = pa.schema([("root", pa.int64()), ("deal", pa.int64()), ("deals", pa.int64()), ("doc_id", pa.int64()), ("shingles", pa.binary())])
+    """The shingle sets of ``members`` (root, deal, deals, doc_id, fp, text), as bytes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield rows(_MEMBER, [column(b, c) for c in _MEMBER.names[:5]] + [[shingles(t, words).tobytes() for t in column(b, "text")]])
+
+    return members.select(*_MEMBER.names[:5], "text").mapInArrow(run, MEMBER)
+
+
+def _alike(a: bytes, b: bytes, like: float) -> bool:
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    if min(len(x), len(y)) < like * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= like * (len(x) + len(y) - both)
+
+
+def _settled(block: DataFrame, within: int, like: float) -> DataFrame:
+    """The members of ``block`` with column ``leads``; a component's come together, by doc_id, and are at most BLOCK."""
+    schema = _MEMBER.append(pa.field("leads", pa.bool_()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root, held = None, []
         for b in batches:
-            yield rows(schema, [column(b, c) for c in schema.names[:4]] + [[shingles(t, words).tobytes() for t in column(b, "text")]])
+            leads = []
+            for r, fp, mine in zip(column(b, "root"), column(b, "fp"), column(b, "shingles"), strict=True):
+                if r != root:
+                    root, held = r, []
+                leads.append(not any(((fp ^ f) & (2**64 - 1)).bit_count() <= within and _alike(mine, other, like) for f, other in held))
+                if leads[-1]:
+                    held.append((fp, mine))
+            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in _MEMBER.names], pa.array(leads, pa.bool_())], schema=schema)
 
-    return members.select("root", "deal", "deals", "doc_id", "text").mapInArrow(run, "root long, deal long, deals long, doc_id long, shingles binary")
+    return block.select(*_MEMBER.names).repartition("root").sortWithinPartitions("root", "doc_id").mapInArrow(run, MEMBER + ", leads boolean")
 
 
-def _unlike(met: DataFrame, like: float) -> DataFrame:
-    """The rows of ``met`` that share less than ``like`` of the shingles with their leader (column ``led``)."""
-    names = ["root", "deal", "deals", "doc_id", "shingles"]
+def _led(met: DataFrame, like: float) -> DataFrame:
+    """doc_id of the rows of ``met`` that are like their leader (column ``led``)."""
+    schema = pa.schema([("doc_id", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            apart = []
-            for mine, led in zip(column(b, "shingles"), column(b, "led"), strict=True):
-                x, y = np.frombuffer(mine, np.uint64), np.frombuffer(led, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                apart.append(both < like * (len(x) + len(y) - both))
-            yield b.select(names).filter(pa.array(apart, pa.bool_()))
+            yield rows(schema, [[d for d, x, y in zip(column(b, "doc_id"), column(b, "shingles"), column(b, "led"), strict=True) if _alike(x, y, like)]])
 
-    return met.select(*names, "led").mapInArrow(run, "root long, deal long, deals long, doc_id long, shingles binary")
+    return met.select("doc_id", "shingles", "led").mapInArrow(run, "doc_id long").distinct()
 
 
-def leaders(members: DataFrame, like: float = LIKE) -> DataFrame:
-    """The doc_ids of ``members`` that stay, by rounds: in each component the smallest leads, who is like it goes.
+def leaders(members: DataFrame, within: int, like: float = LIKE) -> DataFrame:
+    """The doc_ids of ``members`` that stay: in each component, by doc_id, all that are not like one that stays before them.
 
-    Of two like members of a component at least one goes, and nobody goes without a like leader that stays. The rounds end
-    when nobody is left; each takes at least one member from every component.
+    Only members within ``within`` bits are compared. Each round settles the smallest members of every component among
+    themselves and then compares the others with those of them that stay, so the outcome is that of going one by one.
     """
-    out = None
-    while not members.isEmpty():
-        first = members.groupBy("root", "deals").agg(F.min("doc_id").alias("doc_id"))
-        led = stored(members.select("doc_id", "shingles").join(first, "doc_id"), "leaders")
-        out = led.select("doc_id") if out is None else out.union(led.select("doc_id"))
-        dealt = led.select("root", F.col("doc_id").alias("leader"), F.col("shingles").alias("led"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)).alias("deal"))
-        members = stored(_unlike(members.join(dealt, ["root", "deal"]).where(F.col("doc_id") != F.col("leader")), like), "members")
-    return members.select("doc_id") if out is None else out
+    out, size = None, FIRST_BLOCK
+    while True:
+        nth = F.row_number().over(W.partitionBy("root").orderBy("doc_id"))
+        block = stored(_settled(members.withColumn("nth", nth).where(F.col("nth") <= size), within, like), "block")
+        lead = block.where("leads")
+        out = lead.select("doc_id") if out is None else out.union(lead.select("doc_id"))
+        rest = stored(members.join(block.select("doc_id"), "doc_id", "left_anti").select(*_MEMBER.names), "rest")
+        if rest.isEmpty():
+            return out
+        dealt = lead.select("root", F.col("fp").alias("lead_fp"), F.col("shingles").alias("led"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)).alias("deal"))
+        small, large = F.least(F.length("shingles"), F.length("led")), F.greatest(F.length("shingles"), F.length("led"))
+        met = rest.join(dealt, ["root", "deal"]).where((F.bit_count(F.col("fp").bitwiseXOR(F.col("lead_fp"))) <= within) & (small >= like * large))
+        members = stored(rest.join(_led(met, like), "doc_id", "left_anti").select(*_MEMBER.names), "members")
+        size = min(BLOCK, 4 * size)
 
 
 def one_of_each(docs: DataFrame, words: int = LIKE_WORDS, distance: int = LIKE_DISTANCE, like: float = LIKE) -> DataFrame:
     """The rows of ``docs`` that stay, all columns untouched: none of them shares ``like`` of its shingles with another of its
-    component, and every one that goes does so with one that stays and has a smaller doc_id.
+    component (within twice ``distance`` bits), and every one that goes does so with one that stays and has a smaller doc_id.
 
     Texts of the same lower-cased words are copies; null and blank texts are copies of one another. doc_id identifies
     a document: of rows that repeat it one stays, and rows without it all stay. An empty table gives no rows.
@@ -440,13 +473,13 @@ def one_of_each(docs: DataFrame, words: int = LIKE_WORDS, distance: int = LIKE_D
     known = docs.where(F.col("doc_id").isNotNull())
     texts = stored(_texts(known, words).groupBy("fp", "digest").agg(F.min("doc_id").alias("doc_id")), "texts")
     roots = components(links(texts.select("fp").distinct(), distance))
-    placed = stored(texts.join(roots, texts["fp"] == roots["node"], "left").select("doc_id", F.coalesce("root", "fp").alias("root")), "placed")
+    placed = stored(texts.join(roots, texts["fp"] == roots["node"], "left").select("doc_id", "fp", F.coalesce("root", "fp").alias("root")), "placed")
     size = placed.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = placed.join(size.select("root", (F.floor(F.col("n") / DEAL) + 1).alias("deals")), "root").withColumn("deal", F.pmod(F.xxhash64("doc_id"), "deals"))
-    shared = stored(shared.groupBy("doc_id").agg(*[F.min_by(c, "root").alias(c) for c in ("root", "deal", "deals")]), "shared")
+    shared = stored(shared.groupBy("doc_id").agg(*[F.min_by(c, "root").alias(c) for c in ("root", "deal", "deals", "fp")]), "shared")
     text = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).dropDuplicates(["doc_id"])
     members = stored(_sets(shared.join(text, "doc_id"), words), "members")
-    keep = placed.select("doc_id").distinct().join(shared.select("doc_id"), "doc_id", "left_anti").union(leaders(members, like))
+    keep = placed.select("doc_id").distinct().join(shared.select("doc_id"), "doc_id", "left_anti").union(leaders(members, 2 * distance, like))
     return known.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 

@@ -160,15 +160,16 @@ def brute_kept(texts, words=5, distance=10, like=0.8):
     kept = {}
     for w, i in sorted(norm.items(), key=lambda x: x[1]):
         group = kept.setdefault(root[fps[w]], [])
-        if not any(len(sets[i] & sets[k]) >= like * len(sets[i] | sets[k]) for k in group):
-            group.append(i)
-    return {i for g in kept.values() for i in g}
+        if not any((fps[w] ^ f).bit_count() <= 2 * distance and len(sets[i] & sets[k]) >= like * len(sets[i] | sets[k]) for k, f in group):
+            group.append((i, fps[w]))
+    return {i for g in kept.values() for i, _ in g}
 
 
-@pytest.mark.parametrize("deal", [simhash.DEAL, 2])
-def test_one_of_each(spark, monkeypatch, deal):
+@pytest.mark.parametrize(("deal", "block"), [(simhash.DEAL, simhash.FIRST_BLOCK), (2, 1)])
+def test_one_of_each(spark, monkeypatch, deal, block):
     """Copies with few changes go, texts that are less alike stay, also in a component of several leaders."""
     monkeypatch.setattr(simhash, "DEAL", deal)
+    monkeypatch.setattr(simhash, "FIRST_BLOCK", block)
     rng = random.Random(9)
     vocabulary = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(300)]
     texts = list(TEXTS)
