@@ -42,6 +42,8 @@ COUNTED = 16
 CHUNK = 1 << 20
 #: Groups up to this size are compared by shifting the sorted column against itself.
 SMALL = 64
+#: Rows with texts or sets that a task turns into Python objects at a time.
+FEW = 256
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -67,13 +69,19 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _few(batches):
             fp = np.array([fingerprint(t, words) for t in column(b, "text")], np.uint64).view(np.int64)
             yield rows(schema, [column(b, "doc_id"), fp])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(0, b.num_rows, FEW):
+            yield b.slice(i, FEW)
+
+
 def _bits(fp: np.ndarray) -> np.ndarray:
     return np.unpackbits(fp.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
 
@@ -381,7 +389,7 @@ def _texts(docs: DataFrame, words: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("digest", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _few(batches):
             texts = column(b, "text")
             fp = np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
             same = [xxhash.xxh3_128_digest(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split())) for t in texts]
@@ -397,7 +405,7 @@ _MEMBER = pa.schema([("root", pa.int64()), ("deal", pa.int64()), ("deals", pa.in
 def _sets(members: DataFrame, words: int) -> DataFrame:
     """The shingle sets of ``members`` (root, deal, deals, doc_id, fp, text), as bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _few(batches):
             yield rows(_MEMBER, [column(b, c) for c in _MEMBER.names[:5]] + [[shingles(t, words).tobytes() for t in column(b, "text")]])
 
     return members.select(*_MEMBER.names[:5], "text").mapInArrow(run, MEMBER)
@@ -417,7 +425,7 @@ def _settled(block: DataFrame, within: int, like: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         root, held = None, []
-        for b in batches:
+        for b in _few(batches):
             leads = []
             for r, fp, mine in zip(column(b, "root"), column(b, "fp"), column(b, "shingles"), strict=True):
                 if r != root:
@@ -435,7 +443,7 @@ def _led(met: DataFrame, like: float) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _few(batches):
             yield rows(schema, [[d for d, x, y in zip(column(b, "doc_id"), column(b, "shingles"), column(b, "led"), strict=True) if _alike(x, y, like)]])
 
     return met.select("doc_id", "shingles", "led").mapInArrow(run, "doc_id long").distinct()
