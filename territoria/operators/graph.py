@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -23,11 +24,11 @@ def simple_edges(edges: DataFrame, aggs: Sequence[Column]) -> DataFrame:
     return edges.where(F.col("src") != F.col("dst")).groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(*aggs)
 
 
-def components(nodes: DataFrame, edges: DataFrame, node: str = "id", max_iter: int = 50) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, node: str = "id") -> DataFrame:
     """(node, component): smallest reachable id, by min-label exchange with pointer jumping until nothing changes."""
     e = cut_lineage(both_ways(edges).distinct())
     labels = nodes.select(F.col(node).alias("v")).distinct().withColumn("c", F.col("v"))
-    for _ in range(max_iter):
+    while True:
         low = e.join(labels, e["src"] == labels["v"]).groupBy(F.col("dst").alias("v")).agg(F.min("c").alias("m"))
         step = labels.join(low, "v", "left").select("v", F.col("c").alias("old"), F.least("c", F.coalesce("m", "c")).alias("c"))
         jump = step.select(F.col("v").alias("c"), F.col("c").alias("cc"))
@@ -35,8 +36,6 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "id", max_iter: i
         labels = step.select("v", "c")
         if step.where(F.col("c") != F.col("old")).isEmpty():
             break
-    else:
-        raise RuntimeError(f"components did not settle in {max_iter} rounds")
     return labels.select(F.col("v").alias(node), F.col("c").alias("component"))
 
 
@@ -152,13 +151,13 @@ def graph_filter(edges: DataFrame, values: DataFrame, weight: str, mix: Sequence
                       (F.col("g1") - F.col("g2")).alias("delta_12"), (F.col("g2") - F.col("g3")).alias("delta_23"))
 
 
-def bounded_distances(edges: DataFrame, weight: str, cutoff: float, sources: DataFrame | None = None, node: str = "id", max_iter: int = 100) -> DataFrame:
+def bounded_distances(edges: DataFrame, weight: str, cutoff: float, sources: DataFrame | None = None, node: str = "id") -> DataFrame:
     """(source, node, dist): shortest weighted distances up to the cutoff, by relaxing only the improved frontier."""
     e = cut_lineage(both_ways(edges, [weight]).groupBy("src", "dst").agg(F.min(weight).alias("_w")))
     start = (sources.select(F.col(node).alias("source")) if sources is not None else e.select(F.col("src").alias("source"))).distinct()
     best = start.select("source", F.col("source").alias("v"), F.lit(0.0).alias("d"))
     frontier = best
-    for _ in range(max_iter):
+    while True:
         step = frontier.join(e, frontier["v"] == e["src"]).select("source", F.col("dst").alias("v"), (F.col("d") + F.col("_w")).alias("d")).where(
             F.col("d") <= cutoff).groupBy("source", "v").agg(F.min("d").alias("nd"))
         merged = cut_lineage(best.join(step, ["source", "v"], "full_outer").select(
@@ -166,8 +165,6 @@ def bounded_distances(edges: DataFrame, weight: str, cutoff: float, sources: Dat
         best, frontier = merged.select("source", "v", "d"), merged.where("_new").select("source", "v", "d")
         if frontier.isEmpty():
             break
-    else:
-        raise RuntimeError(f"distances did not settle in {max_iter} rounds")
     return best.select("source", F.col("v").alias(node), F.col("d").alias("dist"))
 
 
@@ -256,12 +253,12 @@ def sampled_closeness(edges: DataFrame, weight: str, sources: DataFrame, cutoff:
     return d.groupBy(node).agg(F.count(F.lit(1)).alias("n_sources"), F.try_divide(F.lit(1.0), F.avg("dist")).alias("closeness"))
 
 
-def sampled_betweenness(edges: DataFrame, sources: DataFrame, node: str = "id", max_hops: int = 60) -> DataFrame:
+def sampled_betweenness(edges: DataFrame, sources: DataFrame, node: str = "id") -> DataFrame:
     """Hop-count betweenness from sampled sources: path counts outwards by level, dependencies back by level."""
     e = cut_lineage(both_ways(edges).distinct())
     seen = cut_lineage(sources.select(F.col(node).alias("s")).distinct().select("s", F.col("s").alias("v"), F.lit(0).alias("h"), F.lit(1.0).alias("paths")))
     frontier, depth = seen, 0
-    for h in range(1, max_hops + 1):
+    for h in count(1):
         nxt = frontier.join(e, frontier["v"] == e["src"]).select("s", F.col("dst").alias("v"), "paths").join(seen.select("s", "v"), ["s", "v"], "left_anti")
         frontier = cut_lineage(nxt.groupBy("s", "v").agg(F.sum("paths").alias("paths")).select("s", "v", F.lit(h).alias("h"), "paths"))
         if frontier.isEmpty():

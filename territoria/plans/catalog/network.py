@@ -114,19 +114,27 @@ def zone_pooling(t):
 # --- line network ----------------------------------------------------------------------------
 
 def lines(t):
-    """Lines between customers of one block of 40 keys: impedance, admittance, rating and a signed flow."""
+    """Every order is a line of its customer: to one of the next three keys or, for one in seven, up a tree of keys.
+
+    Customers with a key of 24 modulo 25 are joined in pairs, a tail of small components beside the giant one. Lines to
+    a customer that does not exist have no end and go.
+    """
     k, a = F.col("o_orderkey"), F.col("o_custkey")
-    b = a + 1 + k % 3
-    raw = t.orders.select(a.alias("src"), b.alias("dst"), (0.2 + (k % 50) / 25.0).alias("x"), (F.col("o_totalprice") / 100000).alias("s"), F.when(k % 2 == 0, 1.0).otherwise(-1.0).alias("sign"),
-                          F.when(k % 5 == 0, 400).otherwise(225).alias("v")).where(F.floor(F.col("src") / 40) == F.floor(F.col("dst") / 40))
+    pair = F.when(F.floor(a / 25) % 2 == 0, a + 25).otherwise(a - 25)
+    other = F.when((k % 7 == 0) & (a >= 8), F.floor(a / 8)).otherwise(a + 1 + k % 3)
+    end = F.when(a % 25 == 24, pair).otherwise(other + F.when(other % 25 == 24, 1).otherwise(0))
+    raw = t.orders.select(a.alias("src"), end.alias("dst"), (0.2 + (k % 50) / 25.0).alias("x"), (F.col("o_totalprice") / 100000).alias("s"),
+                          F.when((k % 2 == 0) == (a < end), 1.0).otherwise(-1.0).alias("sign"), F.when(k % 5 == 0, 400).otherwise(225).alias("v"))
     raw = raw.join(t.customer.select(F.col("c_custkey").alias("dst")), "dst", "left_semi")
     e = gh.simple_edges(raw, [F.min("x").alias("impedance"), F.sum("s").alias("s_nom"), F.sum(F.col("s") * F.col("sign")).alias("flow"), F.max("v").alias("voltage")])
     return e.withColumn("admittance", 1 / F.col("impedance"))
 
 
-_LINES = """ln AS (SELECT o_custkey AS src, o_custkey + 1 + o_orderkey % 3 AS dst, min(0.2e0 + (o_orderkey % 50) / 25e0) AS impedance, sum(o_totalprice / 100000) AS s_nom,
-   sum(o_totalprice / 100000 * CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END) AS flow, max(CASE WHEN o_orderkey % 5 = 0 THEN 400 ELSE 225 END) AS voltage FROM orders
-   WHERE o_custkey // 40 = (o_custkey + 1 + o_orderkey % 3) // 40 AND o_custkey + 1 + o_orderkey % 3 IN (SELECT c_custkey FROM customer) GROUP BY 1, 2),
+_LINES = """oo AS (SELECT *, CASE WHEN o_orderkey % 7 = 0 AND o_custkey >= 8 THEN o_custkey // 8 ELSE o_custkey + 1 + o_orderkey % 3 END AS other FROM orders),
+ oe AS (SELECT *, CASE WHEN o_custkey % 25 <> 24 THEN other + (CASE WHEN other % 25 = 24 THEN 1 ELSE 0 END) WHEN o_custkey // 25 % 2 = 0 THEN o_custkey + 25 ELSE o_custkey - 25 END AS fin FROM oo),
+ ln AS (SELECT least(o_custkey, fin) AS src, greatest(o_custkey, fin) AS dst, min(0.2e0 + (o_orderkey % 50) / 25e0) AS impedance, sum(o_totalprice / 100000) AS s_nom,
+   sum(o_totalprice / 100000 * CASE WHEN (o_orderkey % 2 = 0) = (o_custkey < fin) THEN 1 ELSE -1 END) AS flow, max(CASE WHEN o_orderkey % 5 = 0 THEN 400 ELSE 225 END) AS voltage
+   FROM oe WHERE fin IN (SELECT c_custkey FROM customer) GROUP BY 1, 2),
  e AS (SELECT src, dst, impedance, 1 / impedance AS admittance, s_nom, voltage FROM ln UNION ALL SELECT dst, src, impedance, 1 / impedance, s_nom, voltage FROM ln),
  nv AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 19 = 0 THEN 0e0 ELSE (20 + c_custkey * 31 % 380)::DOUBLE END AS value FROM customer)"""
 
@@ -278,7 +286,8 @@ def sampled_centrality(t):
     e = lines(t)
     s = stable_sample(nodes(t), "id", 200, 42)
     c = gh.sampled_closeness(e, "impedance", s, 5.0)
-    return c.join(gh.sampled_betweenness(e, s), "id", "left").select("id", "n_sources", r("closeness").alias("closeness"), r(F.coalesce("betweenness", F.lit(0.0))).alias("betweenness"))
+    every = nodes(t).join(c, "id", "left").join(gh.sampled_betweenness(e, s), "id", "left")
+    return every.select("id", F.coalesce("n_sources", F.lit(0)).alias("n_sources"), r("closeness").alias("closeness"), r(F.coalesce("betweenness", F.lit(0.0))).alias("betweenness"))
 
 
 @query("angle_differences", "J23", f"""
