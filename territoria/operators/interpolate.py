@@ -160,7 +160,9 @@ def soft_knn(nodes: DataFrame, value: str, k: int = 15, node_id: str = "sid") ->
 
 
 def kernel_smooth(points: DataFrame, value: str, sigma_km: float, point_id: str = "sid") -> DataFrame:
-    """Gaussian smoothing over 3 sigma; a point with no other neighbour keeps its value."""
+    """Gaussian smoothing over 3 sigma; a point with no other neighbour keeps its value, and with sigma 0 all do."""
+    if sigma_km == 0:
+        return points.select(point_id, F.col(value).alias("raw"), F.col(value).alias("smoothed"))
     per_spot = points.groupBy("x", "y").agg(F.sum(value).alias("_s"), F.count(value).alias("_c"), F.count(F.lit(1)).alias("_n"))
     p = radius_pairs(points, per_spot, 3 * sigma_km, ["_s", "_c", "_n"])
     w = F.exp(-0.5 * F.pow(F.col("dist") / sigma_km, F.lit(2.0)))

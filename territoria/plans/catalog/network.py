@@ -184,9 +184,9 @@ def _pagerank_sql(iters: int) -> str:
     return f"WITH {_LINES}, pr AS MATERIALIZED (SELECT src, dst, admittance / sum(admittance) OVER (PARTITION BY src) AS p FROM e), {steps} SELECT id, round(r * 1000, 7) AS pagerank FROM r{iters}"
 
 
-@query("node_pagerank", "G3", _pagerank_sql(10))
+@query("node_pagerank", "G3", _pagerank_sql(20))
 def node_pagerank(t):
-    return gh.pagerank(nodes(t), lines(t), iters=10).select("id", r(F.col("pagerank") * 1000, 7).alias("pagerank"))
+    return gh.pagerank(nodes(t), lines(t), iters=20).select("id", r(F.col("pagerank") * 1000, 7).alias("pagerank"))
 
 
 @query("node_clustering", "G4", f"""

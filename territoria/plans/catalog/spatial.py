@@ -316,11 +316,11 @@ def soft_knn(t):
 
 
 @query("kernel_smoothing", "M8", f"""
-WITH {STATIONS}, sg(sg) AS (VALUES (20e0), (40e0)), a AS (SELECT sg, p.sid, any_value(p.value) AS raw, sum(exp(-0.5e0 * pow({_D} / sg, 2)) * s.value) / sum(exp(-0.5e0 * pow({_D} / sg, 2))) AS m, count(*) AS k FROM stations p, sg, stations s WHERE {_D} <= 3 * sg GROUP BY 1, 2),
- f AS (SELECT sg, raw, CASE WHEN k >= 2 THEN m ELSE raw END AS sm FROM a) SELECT sg AS sigma, round(1 - var_pop(sm) / greatest(var_pop(raw), 1e-6), 6) AS signal_loss, round(stddev_pop(sm), 5) AS std, round(avg(sm), 5) AS mean FROM f GROUP BY 1""")
+WITH {STATIONS}, sg(sg) AS (VALUES (0e0), (5e0), (10e0), (15e0), (20e0), (40e0)), a AS (SELECT sg, p.sid, any_value(p.value) AS raw, sum(exp(-0.5e0 * pow({_D} / sg, 2)) * s.value) / sum(exp(-0.5e0 * pow({_D} / sg, 2))) AS m, count(*) AS k FROM stations p, sg, stations s WHERE {_D} <= 3 * sg GROUP BY 1, 2),
+ f AS (SELECT sg, raw, CASE WHEN sg > 0 AND k >= 2 THEN m ELSE raw END AS sm FROM a) SELECT sg AS sigma, round(1 - var_pop(sm) / greatest(var_pop(raw), 1e-6), 6) AS signal_loss, round(stddev_pop(sm), 5) AS std, round(avg(sm), 5) AS mean FROM f GROUP BY 1""")
 def kernel_smoothing(t):
     out = None
-    for sigma in (20.0, 40.0):
+    for sigma in (0.0, 5.0, 10.0, 15.0, 20.0, 40.0):
         v = ip.variance_loss(ip.kernel_smooth(stations(t), "value", sigma)).select(F.lit(sigma).alias("sigma"), r("signal_loss").alias("signal_loss"), r("std", 5).alias("std"), r("mean", 5).alias("mean"))
         out = v if out is None else out.unionByName(v)
     return out
