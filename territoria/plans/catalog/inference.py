@@ -37,7 +37,7 @@ def paired_bootstrap(t):
 
 @query("permutation_test", "M19")
 def permutation_test(t):
-    p = inf.permutation_null(site_index_frame(t), "id", "h2", "level", n=100)
+    p = inf.permutation_null(site_index_frame(t), "id", "h2", "level", n=1000)
     return p.select(*[r(c).alias(c) for c in ("observed", "low", "median", "high", "p_value")], "n")
 
 
