@@ -100,13 +100,16 @@ def literals(text: str, score: float = SCORE) -> list[tuple[int, int, str, float
     known: dict[str, list[tuple[int, int, bool]]] = {}
     found: dict[tuple[int, int], tuple[float, str]] = {}
     for name, terms in assignments(text):
-        value = []
+        value, met = {}, set()  # places in order, each once: repeats of a name add nothing
         for a, b, quoted in terms:
-            ref = _REFERENCE.match(text[a:b]) if b - a <= 128 else None
-            source = known.get(ref[1] or ref[2]) if ref and (not quoted or ref[1]) else None
-            value += source if source is not None else [(a, b, quoted)]
-        value = value[:64] if len(value) > 64 and len(set(value)) <= 64 else list(dict.fromkeys(value))
-        known[name] = value
+            ref = _REFERENCE.match(text[a:b])
+            of = (ref[1] or ref[2]) if ref and (not quoted or ref[1]) else None
+            if of is None or of not in known:
+                value[a, b, quoted] = None
+            elif of not in met:
+                met.add(of)
+                value.update(dict.fromkeys(known[of]))
+        known[name] = list(value)
         weight = sensitivity(name)
         for a, b, quoted in value if weight else ():
             s = weight * likeness(text[a:b], quoted)

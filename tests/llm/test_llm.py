@@ -289,6 +289,13 @@ def test_secrets(spark):
     assert "value" not in literal and "harmless words" not in literal and "no" not in literal
 
 
+def test_secrets_of_many_terms():
+    """A literal behind 64 terms, and one that comes through a name of over 128 characters, are scored like any other."""
+    long = "x" * 200
+    for text in ('a = "lorem"\npassword = ' + "a + " * 64 + '"S3cr3tValue99xyz"', f'{long} = "S3cr3tValue99xyz"\npassword = {long}\n'):
+        assert [(text[a:b], name) for a, b, name, _ in secrets.literals(text)] == [("S3cr3tValue99xyz", "password")]
+
+
 def test_language(spark):
     docs = spark.read.parquet(f"{FOLDER.replace('0.001', '0.01')}/documents.parquet")
     model = langid.fit(docs.where(~langid.held_out()))
