@@ -30,3 +30,10 @@ def test_query_matches_its_sql(spark, name):
     want = sorted(tuple(norm(dict(zip(names, r))[c]) for c in cols) for r in cur.fetchall())
     assert sorted(names) == cols
     assert sorted(tuple(norm(r[c]) for c in cols) for r in df.collect()) == want
+
+
+def test_dates_outside_the_calendar_are_orphans(spark):
+    """The calendar of the check ends before the data does, else no date could be missing from it."""
+    n = {r["check_name"]: r["n"] for r in contract.queries()["referential_integrity"](spark, FOLDER).collect()}
+    want = duckdb.connect().execute(f"SELECT count(*) FROM '{FOLDER}/lineitem.parquet' WHERE year(l_shipdate) <> 1998").fetchall()
+    assert n["dates"] == want[0][0] > 0
