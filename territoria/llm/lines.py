@@ -14,6 +14,8 @@ from territoria.llm.common import documents, stored
 
 #: Share of a host's pages above which a line is boilerplate, and the least number of pages that must contain it.
 RATIO, MIN_PAGES = 0.1, 10
+#: Pages that make a line repeated: with it for ``min_pages`` the ratio alone decides.
+REPEATED = 2
 _BLANK = " \t\r"
 
 

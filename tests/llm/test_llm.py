@@ -381,6 +381,15 @@ def test_lines(spark):
     assert out[0]["n_dropped"] == 1 and out[201]["n_dropped"] == 1 and out[111]["n_dropped"] == 0
 
 
+def test_pipeline_lines_of_small_hosts(spark):
+    """The ratio alone decides, however few pages a host has; a line of one page is not repeated."""
+    rows = [(i, f"own {i}\nshared\n{'pair' if i < 2 else 'other'} here", "en", "five", 1) for i in range(5)]
+    rows += [(10 + i, f"text {i}" + ("\nrare" if i < 2 else "") + ("\nmore" if i < 3 else ""), "en", "twenty", 1) for i in range(20)] + [(40, "shared\nalone", "en", "one", 1)]
+    out = {r["doc_id"]: r["text"] for r in got(corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, SCHEMA), FOLDER))}
+    assert [out[i] for i in range(5)] == [f"own {i}" for i in range(5)]
+    assert [out[10 + i] for i in range(20)] == [f"text {i}" + ("\nrare" if i < 2 else "") for i in range(20)] and out[40] == "shared\nalone"
+
+
 def test_chat_round_trip(spark):
     rng = random.Random(6)
     bits = ["[INST]", "[/INST]", "</s>", "[REPLY]", "\\", "\\[", "[", "<", "x", "\n", "é", "[ROLE]", "[SAYS]", "[/ROLE]", "$1", "<</s>"]
