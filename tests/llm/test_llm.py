@@ -12,7 +12,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from territoria.llm import chat, decontam, exact, langid, lines, packing, secrets, sharding, simhash, substrings
+from territoria.llm import alike, chat, decontam, exact, langid, lines, packing, secrets, sharding, simhash, substrings
 from territoria.llm.queries import QUERIES, SQL
 
 FOLDER = "/root/testdata/sf0.001"
@@ -193,6 +193,30 @@ def test_one_of_each_ids(spark):
     assert got(simhash.one_of_each(table(spark, []))) == []
 
 
+@pytest.mark.parametrize("most", [alike.PAIRS, 0])
+def test_near_dedup_is_exact(spark, monkeypatch, most):
+    """Every text is held against all that stay before it, whatever its fingerprint; by listed pairs and by rounds."""
+    monkeypatch.setattr(alike, "PAIRS", most)
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(300)]
+    texts = list(TEXTS)
+    for size in (40, 120, 300):
+        base = rng.choices(vocabulary, k=size)
+        for changes in range(12):
+            w = list(base)
+            for k in rng.sample(range(size), changes):
+                w[k] = rng.choice(vocabulary)
+            texts.append((1000 + len(texts), " ".join(w)))
+    sets, kept = {}, {}
+    for i, t in sorted(texts):
+        w = tuple(WORDS.findall((t or "").lower()))
+        sets[i] = {w[k:k + 5] for k in range(max(1, len(w) - 4))} if w else set()
+        if not any(sets[i] == s or len(sets[i] & s) >= 0.8 * len(sets[i] | s) for s in kept.values()):
+            kept[i] = sets[i]
+    out = {r["doc_id"] for r in got(corpus_pipeline.near_dedup(spark, table(spark, texts), FOLDER))}
+    assert out == set(kept) and out < brute_kept(texts)
+
+
 @pytest.mark.parametrize("chunk", [simhash.CHUNK, 40])
 def test_simhash_dense_and_skewed(spark, monkeypatch, chunk):
     """Clouds of close fingerprints, and a third of all rows that agree in many bits."""
