@@ -1,11 +1,11 @@
-"""Substring de-duplication with prefix-partitioned suffix trees over words.
+"""Substring de-duplication by fingerprints of word windows, in the place of prefix-partitioned suffix trees: no tree is built.
 
-A suffix is a word position of a document, cut after ``window`` words: the trees are needed to that depth only, as each
+A suffix is a word position of a document, cut after ``window`` words: trees would be needed to that depth only, as each
 node there with leaves in two documents is a repeat, and overlapping ones merge to the maximal repeats. A counting pass
 gives the top of the tree, a trie over classes of the first words; every branch with more suffixes than a task should
 hold is cut one word deeper, so prefixes vary in length and groups are memory-sized. Branches still too large at the
-last word of the trie are cut by the whole prefix. Each group then is one subtree: its suffixes are sorted by the
-fingerprint of their path, equal runs are the deep nodes, and the least document of a node decides about its leaves.
+last word of the trie are cut by the whole prefix. Each group stands for one subtree: its suffixes are sorted by the
+fingerprint of their path, equal runs stand for the deep nodes, and the least document of a node decides about its leaves.
 
 Documents lie in blocks by hash of their id. A block sends each path once, with its least document, so a passage that
 a third of all documents share reaches its subtree once a block and not once a document.
