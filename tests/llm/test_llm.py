@@ -43,7 +43,7 @@ def fixture():
 
 TEXTS = fixture()
 EMPTY = []
-TABLES = ("documents", "benchmark", "conversations")
+TABLES = ("documents", "benchmark", "conversations", "embeddings")
 
 
 def got(df):
@@ -74,9 +74,13 @@ def test_clashing_and_missing(spark, tmp_path, name):
         spark.createDataFrame([(1, None), (None, "a b c d e f g h"), (2, "")] if rows else [], "item_id long, text string").write.parquet(f"{tmp_path}/{k}/benchmark.parquet")
         talk = [(None, None, None, None), (1, 0, "user", None), (1, 0, "user", None), (1, None, "tool", "x"), (2, 1, None, "</s>\\")] if rows else []
         spark.createDataFrame(talk, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS turns", "2 AS segments").write.parquet(f"{tmp_path}/{k}/conversations.parquet")
+        vectors = [(None, [1.0]), (0, None), (0, [1.0, None]), (100, [1.0, -0.5]), (100, [1.0, -0.5]), (3, [2.0])] if rows else []
+        spark.createDataFrame(vectors, "vec_id long, embedding array<float>").selectExpr("*", "1 AS vec", "2 AS ord").write.parquet(f"{tmp_path}/{k}/embeddings.parquet")
         out = QUERIES[name](spark, f"{tmp_path}/{k}").collect()
         if name == "op9_chat_formatting":
             assert len(out) == (4 if rows else 1)
+        elif name in ("op11_topk_search", "op12_prefix_trie", "op13_spelling_variants"):
+            assert len(out) == ({"op11_topk_search": 4, "op12_prefix_trie": 1}.get(name, 0) if rows else 0)
         elif name != "op1_decontamination" and name != "op4_packing":
             assert len(out) == len(rows)
 
