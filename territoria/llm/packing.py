@@ -25,6 +25,8 @@ TIERS = (2048, 1024, 512, 256)
 END = 1
 #: Tokens that a task gathers before it packs, tokens of a step group, and words whose ids a worker keeps.
 POOL, STEP, WORDS = 2 << 20, 1 << 16, 600_000
+#: New runs that are encoded as one text.
+RUNS = 256
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -42,14 +44,15 @@ class Encoder:
 
     A byte-level tokenizer parts a text before each single space between other characters, so the runs between such
     spaces are encoded once each and kept. New runs are encoded together: each starts with a space, and no other of its
-    tokens does. Texts where white space meets a space are encoded whole.
+    tokens does. Texts where white space meets a space are encoded whole. What is kept has two generations: once the
+    young one holds half of ``most``, it becomes the old one, and what is met again moves from there to the new young one.
     """
 
     def __init__(self, path: str, most: int = WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
+        self.tokenizer, self.most, self.known, self.old = Tokenizer.from_file(path), most, {}, {}
         self.starts = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.starts[[i for t, i in self.tokenizer.get_vocab().items() if t[0] == "\u0120"]] = True  # a space in the byte alphabet
 
@@ -57,9 +60,9 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        for i in range(0, len(words), 1 << 13):
-            part = words[i:i + (1 << 13)]
-            ids = np.array(self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False).ids, "<u4")
+        parts = [words[i:i + RUNS] for i in range(0, len(words), RUNS)]
+        for part, found in zip(parts, self.tokenizer.encode_batch_fast([" " + " ".join(p) for p in parts], add_special_tokens=False)):
+            ids = np.array(found.ids, "<u4")
             at = (np.flatnonzero(self.starts[ids]) * 4).tolist()
             if len(at) != len(part):
                 raise ValueError("the tokenizer does not part texts at spaces")
@@ -67,11 +70,14 @@ class Encoder:
             self.known.update(zip(part, map(data.__getitem__, map(slice, at, [*at[1:], len(data)]))))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.most:
-            self.known.clear()
+        if len(self.known) > self.most // 2:
+            self.known, self.old = {}, self.known
         parts = [None if self._mixed(t) else t.split(" ") for t in texts]
         words = [p[1:] for p in parts if p]
-        self._learn(list(set().union(*words).difference(self.known)))
+        new = set().union(*words).difference(self.known)
+        again = new.intersection(self.old)
+        self.known.update(zip(again, map(self.old.__getitem__, again)))
+        self._learn(list(new.difference(again)))
         rest = iter(self._ids([t if p is None else p[0] for t, p in zip(texts, parts)]))
         tails = iter(words)
         return [next(rest) if p is None else next(rest) + b"".join(map(self.known.__getitem__, next(tails))) for p in parts]
@@ -161,7 +167,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end: int = END, tiers: t
 
     Every document, a null text counting as empty, becomes its ids and then ``end``. Each id lies in one piece; every
     sequence is full for its tier, or for a power of two below the least tier at the end of a task, so none needs
-    padding. step_id numbers groups of sequences of one tier that hold ``step`` tokens together. Repeated rows and rows
+    padding. step_id numbers groups of sequences of one tier that hold ``step`` tokens together; a task counts its own, so its last group of each
+    tier, and the windows of powers of two below the least tier, may hold less. Repeated rows and rows
     without a doc_id are packed like others. An empty table gives no rows. There is no shuffle: each input partition is
     packed by itself, and a task that runs again reads the same rows and gives the same sequences.
     """
