@@ -2,7 +2,7 @@
 
 A line is boilerplate on a host when the share of the host's pages that contain it exceeds a ratio. Pages with the
 same text count once, on both sides of the division: a copied page is a matter for document de-duplication, and must not
-make its own lines look like boilerplate.
+make its own lines look like boilerplate. A line of one page is not repeated; from two pages on the ratio alone decides.
 """
 
 from __future__ import annotations
@@ -12,10 +12,8 @@ from pyspark.sql import functions as F
 
 from territoria.llm.common import documents, stored
 
-#: Share of a host's pages above which a line is boilerplate, and the least number of pages that must contain it.
-RATIO, MIN_PAGES = 0.1, 10
-#: Pages that make a line repeated: with it for ``min_pages`` the ratio alone decides.
-REPEATED = 2
+#: Share of a host's pages above which a line is boilerplate, and pages that make a line repeated at all.
+RATIO, REPEATED = 0.1, 2
 _BLANK = " \t\r"
 
 
@@ -23,7 +21,7 @@ def _trimmed(line):
     return F.btrim(line, F.lit(_BLANK))
 
 
-def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = REPEATED) -> DataFrame:
     """host_key, dropped: the 64-bit numbers of a host's boilerplate lines.
 
     The list of one host is short by arithmetic: the pages of all lines add up to the lines of its pages, so at most
@@ -48,7 +46,7 @@ def _key(host: str):
     return F.coalesce(F.concat(F.lit("h"), F.col(host).cast("string")), F.lit("")).alias("host_key")
 
 
-def dedup_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def dedup_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = REPEATED) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``, and the columns n_lines and n_dropped.
 
     A null text stays null with 0 lines; blank lines are never boilerplate and stay; an empty text has one line. Every
@@ -81,7 +79,7 @@ lines AS (SELECT DISTINCT source, text, trim(l, chr(32) || chr(9) || chr(13)) AS
           FROM (SELECT source, text, unnest(string_split(text, chr(10))) AS l FROM pages)),
 counted AS (SELECT source, line, count(*) AS k FROM lines WHERE line <> '' GROUP BY source, line),
 boiler AS (SELECT c.source, list(c.line) AS ls FROM counted c JOIN total t ON c.source IS NOT DISTINCT FROM t.source
-           WHERE k >= {MIN_PAGES} AND k > {RATIO}::DOUBLE * n GROUP BY c.source),
+           WHERE k >= {REPEATED} AND k > {RATIO}::DOUBLE * n GROUP BY c.source),
 kept AS (SELECT d.doc_id, d.source, string_split(d.text, chr(10)) AS a,
          list_filter(string_split(d.text, chr(10)), lambda l: NOT list_contains(coalesce(b.ls, []), trim(l, chr(32) || chr(9) || chr(13)))) AS k
          FROM documents d LEFT JOIN boiler b ON d.source IS NOT DISTINCT FROM b.source)
