@@ -3,7 +3,8 @@
 The lexer reads what source and configuration files share: a name, an operator (= := => :) and a value of quoted
 literals, bare words and names of earlier assignments, joined by + where several. Constants are propagated: a literal
 that reaches a sensitive name through other names is scored for it. The score is the weight of the most sensitive word
-of the name times how much the literal looks like a secret.
+of the name times how much the literal looks like a secret. Each place of a text is lexed once, values share what follows
+a +, and a name points at its value, so time and memory grow with the text, whatever stands in it.
 """
 
 from __future__ import annotations
@@ -31,11 +32,13 @@ SENSITIVE = {
 }
 #: What people write where a secret will stand.
 PLACEHOLDERS = {"changeme", "example", "placeholder", "password", "secret", "token", "none", "null", "true", "false", "undefined", "your-token", "xxxxxx"}
-SCORE, LEAST = 0.5, 6
+SCORE, LEAST, LONGEST = 0.5, 6, max(map(len, PLACEHOLDERS))
 
 _OPERATOR = re.compile(r":=|=>|=(?![=~>])|:(?![:=])")
-_NAME_CHAR = re.compile(r"[A-Za-z0-9_.\-]", re.ASCII)
-_TERM = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|([^\s"'`,;+()\[\]{}<>]+))""", re.DOTALL)
+_NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
+_QUOTED = re.compile(r"""[ \t]*(?:"([^"\\\n]*(?:\\.[^"\\\n]*)*)"|'([^'\\\n]*(?:\\.[^'\\\n]*)*)'|`([^`\n]*)`)""", re.DOTALL)
+_BARE = re.compile(r"""[^\s"'`,;+()\[\]{}<>]+""")
+_SPACES = re.compile(r"[ \t]*")
 _PLUS = re.compile(r"[ \t]*\+[ \t]*\n?")
 _WORDS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 _REFERENCE = re.compile(r"^\$\{?([A-Za-z_][A-Za-z0-9_.\-]*)\}?$|^([A-Za-z_][A-Za-z0-9_.\-]*)$", re.ASCII)
@@ -46,16 +49,39 @@ def sensitivity(name: str) -> float:
     return max([0.0, *(SENSITIVE.get(w, 0.0) for w in words), *(SENSITIVE.get(a + b, 0.0) for a, b in zip(words, words[1:]))])
 
 
+def _mixed(letters: str) -> bool:
+    return letters != letters.lower()
+
+
 def likeness(literal: str, quoted: bool) -> float:
     """0 to 1: the information of the characters, less for words of prose."""
     if len(literal) < LEAST or literal.lower() in PLACEHOLDERS or literal[0] in "$<%{":
         return 0.0
     n = len(literal)
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(literal).values())
-    mixed = any(c.isdigit() for c in literal) or (literal != literal.lower() and literal[1:] != literal[1:].lower())
+    mixed = any(c.isdigit() for c in literal) or (_mixed(literal) and _mixed(literal[1:]))
     return min(1.0, entropy * n / 20) * (1.0 if mixed else 0.6 if quoted and " " not in literal else 0.3)
 
 
+def tail_likeness(text: str, starts: list[int], end: int) -> dict[int, float]:
+    """``likeness`` of the bare literals from each of ``starts`` to one ``end``: counts grow leftwards, a character at a time."""
+    out, counts, log_sum, digit, inner, at = {}, Counter(), 0.0, False, False, end
+    for a in sorted(starts, reverse=True):
+        while at > a:
+            inner = inner or (at < end and _mixed(text[at]))
+            at -= 1
+            c = counts[text[at]]
+            log_sum += (c + 1) * math.log2(c + 1) - (c * math.log2(c) if c else 0.0)
+            counts[text[at]] = c + 1
+            digit = digit or text[at].isdigit()
+        n = end - a
+        if n < LEAST or (n <= LONGEST and text[a:end].lower() in PLACEHOLDERS) or text[a] in "$<%{":
+            out[a] = 0.0
+        else:
+            out[a] = min(1.0, (n * math.log2(n) - log_sum) / 20) * (1.0 if digit or inner else 0.3)
+    return out
+
+
 def _name(text: str, at: int) -> str | None:
     """The name that ends before an operator at ``at``, quoted or not."""
     i = at
@@ -64,58 +90,134 @@ def _name(text: str, at: int) -> str | None:
     if i and text[i - 1] in "\"'`":
         i -= 1
     j = i
-    while j and _NAME_CHAR.match(text[j - 1]):
+    while j and text[j - 1] in _NAME_CHARS:
         j -= 1
     name = text[j:i].lstrip("0123456789.-")
     return name or None
 
 
-def assignments(text: str) -> Iterator[tuple[str, list[tuple[int, int, bool]]]]:
-    """Names and the terms (start, end, quoted) of their values, in order."""
-    after = 0
-    for m in _OPERATOR.finditer(text):
-        if m.start() < after or (m.start() and text[m.start() - 1] in "=!<>:+-*/|&^%~"):
-            continue
-        name = _name(text, m.start())
-        if name is None:
-            continue
-        terms, at = [], m.end()
-        while t := _TERM.match(text, at):
-            k = t.lastindex
-            terms.append((t.start(k), t.end(k), k < 4))
-            at = t.end()
-            plus = _PLUS.match(text, at)
+class Values:
+    """The values of a text as chains of terms joined by +. A chain is known by the place where it starts.
+
+    ``terms``: place to (start, end, quoted, reference, place of the next term or None). What follows a + is one chain for
+    all values that run into it. ``names``: every assignment in order, with the place of its value.
+    """
+
+    def __init__(self, text: str):
+        self.text = text
+        self.terms: dict[int, tuple[int, int, bool, str | None, int | None]] = {}
+        self.tails: dict[int, tuple[int, bool]] = {}  # where a chain ends, and whether all its terms are quoted
+        self.run = (0, 0, 0)  # the last run of bare characters: start, end, and where its last run of name characters starts
+        self.names: list[tuple[str, int]] = []
+        self.bound: dict[int, int] = {}  # term that is a reference to the place of its value
+        known: dict[str, int] = {}
+        after = 0
+        for m in _OPERATOR.finditer(text):
+            if m.start() < after or (m.start() and text[m.start() - 1] in "=!<>:+-*/|&^%~"):
+                continue
+            name = _name(text, m.start())
+            if name is None:
+                continue
+            new = self._chain(m.end())
+            if m.end() not in self.terms:
+                continue
+            for place in new:
+                of = self.terms[place][3]
+                if of is not None and of in known:
+                    self.bound[place] = known[of]
+            end, all_quoted = self.tails[m.end()]
+            after = max(after, end if all_quoted else m.end())
+            known[name] = m.end()
+            self.names.append((name, m.end()))
+
+    def _term(self, at: int) -> tuple[int, int, int, bool, str | None] | None:
+        """End of the term, start and end of its literal, whether it is quoted, and the name that it refers to."""
+        text = self.text
+        if m := _QUOTED.match(text, at):
+            k = m.lastindex
+            ref = _REFERENCE.match(m[k]) if m[k][:1] == "$" else None
+            return m.end(), m.start(k), m.end(k), True, ref[1] if ref else None
+        a = _SPACES.match(text, at).end()
+        start, end, name = self.run
+        if not start <= a < end:
+            m = _BARE.match(text, a)
+            if not m:
+                return None
+            name = end = m.end()
+            while name > a and text[name - 1] in _NAME_CHARS:
+                name -= 1
+            self.run = (a, end, name)
+        ref = None
+        if a >= name - 1 and (m := _REFERENCE.match(text[a:end])):  # name characters, after a $ at most
+            ref = m[1] or m[2]
+        return end, a, end, False, ref
+
+    def _chain(self, at: int) -> list[int]:
+        """Lexes the chain that starts at a place as far as it isn't known, and returns the new places."""
+        new, place, end = [], at, at
+        while place not in self.terms:
+            term = self._term(place)
+            if term is None:
+                break
+            new.append((place, term))
+            end = term[0]
+            plus = _PLUS.match(self.text, end)
             if not plus:
                 break
-            at = plus.end()
-        if terms:
-            after = max(after, at if all(q for _, _, q in terms) else m.end())
-            yield name, terms
+            place = end = plus.end()
+        following, (end, quoted) = (place, self.tails[place]) if place in self.terms else (None, (end, True))
+        for place, (_, a, b, own, ref) in reversed(new):
+            self.terms[place] = (a, b, own, ref, following)
+            quoted = quoted and own
+            self.tails[place] = (end, quoted)
+            following = place
+        return [place for place, _ in new]
+
+
+def assignments(text: str) -> Iterator[tuple[str, list[tuple[int, int, bool]]]]:
+    """Names and the terms (start, end, quoted) of their values, in order."""
+    values = Values(text)
+    for name, place in values.names:
+        terms = []
+        while place is not None:
+            a, b, quoted, _, place = values.terms[place]
+            terms.append((a, b, quoted))
+        yield name, terms
 
 
 def literals(text: str, score: float = SCORE) -> list[tuple[int, int, str, float]]:
-    """(start, end, name, score) of every literal that reaches a sensitive name."""
+    """(start, end, name, score) of every literal that reaches a sensitive name: the most sensitive one, of equals the first."""
     if ":" not in text and "=" not in text:
         return []
-    known: dict[str, list[tuple[int, int, bool]]] = {}
-    found: dict[tuple[int, int], tuple[float, str]] = {}
-    for name, terms in assignments(text):
-        value, met = {}, set()  # places in order, each once: repeats of a name add nothing
-        for a, b, quoted in terms:
-            ref = _REFERENCE.match(text[a:b])
-            of = (ref[1] or ref[2]) if ref and (not quoted or ref[1]) else None
-            if of is None or of not in known:
-                value[a, b, quoted] = None
-            elif of not in met:
-                met.add(of)
-                value.update(dict.fromkeys(known[of]))
-        known[name] = list(value)
-        weight = sensitivity(name)
-        for a, b, quoted in value if weight else ():
-            s = weight * likeness(text[a:b], quoted)
-            if s >= score and s > found.get((a, b), (0.0, ""))[0]:
-                found[a, b] = (s, name)
-    return [(a, b, n, round(s, 6)) for (a, b), (s, n) in sorted(found.items())]
+    values = Values(text)
+    weighted = [(w, name, place) for name, place in values.names if (w := sensitivity(name))]
+    reached: dict[tuple[int, int], tuple[float, str, bool]] = {}
+    seen: set[int] = set()
+    for weight, name, place in sorted(weighted, key=lambda x: -x[0]):  # whoever comes first to a term is its most sensitive name
+        stack = [place]
+        while stack:
+            place = stack.pop()
+            if place in seen:
+                continue
+            seen.add(place)
+            a, b, quoted, _, following = values.terms[place]
+            if following is not None:
+                stack.append(following)
+            if place in values.bound:
+                stack.append(values.bound[place])
+            else:
+                reached.setdefault((a, b), (weight, name, quoted))
+    tails: dict[int, list[int]] = {}
+    for (a, b), (_, _, quoted) in reached.items():
+        if not quoted:
+            tails.setdefault(b, []).append(a)
+    bare = {(a, b): like for b, starts in tails.items() if len(starts) > 1 for a, like in tail_likeness(text, starts, b).items()}
+    out = []
+    for (a, b), (weight, name, quoted) in sorted(reached.items()):
+        s = weight * (bare[a, b] if (a, b) in bare and not quoted else likeness(text[a:b], quoted))
+        if s >= score:
+            out.append((a, b, name, round(s, 6)))
+    return out
 
 
 def spans(text: str) -> list[tuple[str, int, int, str | None, float | None]]:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -324,6 +325,58 @@ def test_secrets_of_many_terms():
         assert [(text[a:b], name) for a, b, name, _ in secrets.literals(text)] == [("S3cr3tValue99xyz", "password")]
 
 
+def brute_literals(t):
+    """Every chain lexed anew for every assignment, and values copied."""
+    known, found, after = {}, {}, 0
+    for m in re.finditer(r":=|=>|=(?![=~>])|:(?![:=])", t):
+        if m.start() < after or (m.start() and t[m.start() - 1] in "=!<>:+-*/|&^%~"):
+            continue
+        name = re.search(r"""([A-Za-z0-9_.\-]*)["'`]?[ \t]*\Z""", t[:m.start()])[1].lstrip("0123456789.-")
+        terms, at = [], m.end()
+        while name and (x := re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|([^\s"'`,;+()\[\]{}<>]+))""", re.S).match(t, at)):
+            terms.append((x.start(x.lastindex), x.end(x.lastindex), x.lastindex < 4))
+            plus = re.compile(r"[ \t]*\+[ \t]*\n?").match(t, x.end())
+            at = plus.end() if plus else x.end()
+            if not plus:
+                break
+        if not terms:
+            continue
+        after = max(after, at if all(q for _, _, q in terms) else m.end())
+        value = []
+        for a, b, quoted in terms:
+            ref = re.fullmatch(r"\$\{?([A-Za-z_][A-Za-z0-9_.\-]*)\}?" if quoted else r"\$?\{?([A-Za-z_][A-Za-z0-9_.\-]*)\}?", t[a:b])
+            value += known[ref[1]] if ref and ref[1] in known else [(a, b, quoted)]
+        known[name] = value
+        for a, b, quoted in value:
+            s = secrets.sensitivity(name) * secrets.likeness(t[a:b], quoted)
+            if s >= secrets.SCORE and s > found.get((a, b), (0, ""))[0]:
+                found[a, b] = (s, name)
+    return [(a, b, n, round(s, 6)) for (a, b), (s, n) in sorted(found.items())]
+
+
+def test_literal_spans():
+    rng = random.Random(1)
+    bits = ["password", "token", "a", "b", " = ", ":", "=", "+", " + ", '"x1Y2z3Q9w8"', "'abcDEF123456'", "`q`", "\n", " ", "$a", '"${b}"', "zX9kq81LmPp", "==", ":=", "=>", '"', "\\", "é", "key", ".", "-"]
+    for _ in range(4000):
+        t = "".join(rng.choices(bits, k=rng.randint(3, 14)))
+        assert secrets.literals(t) == brute_literals(t), t
+
+
+@pytest.mark.parametrize("text", ["k=a+" * (1 << 18), "token:" * 170_000, "password=" * 110_000, "k= " * 300_000, 'k="+' * 250_000, "pass=$a+" * 120_000, "a" * 1_000_000 + "=", "password" + " " * 1_000_000])
+def test_secrets_of_hostile_texts(text):
+    """A million characters take seconds, whatever stands in them."""
+    start = time.process_time()
+    secrets.spans(text)
+    assert time.process_time() - start < 30
+
+
+def test_secrets_of_a_long_chain():
+    text = 'x0 = "S3cr3tValue99xyz"\n' + "".join(f'x{i} = x{i - 1} + "lit{i}Z9"\n' for i in range(1, 100_000)) + "password = x99999\n"
+    start = time.process_time()
+    found = secrets.literals(text)
+    assert time.process_time() - start < 30 and found[0][:3] == (6, 22, "password") and len(found) > 90_000
+
+
 def test_language(spark):
     docs = spark.read.parquet(f"{FOLDER.replace('0.001', '0.01')}/documents.parquet")
     model = langid.fit(docs.where(~langid.held_out()))
@@ -404,9 +457,9 @@ def test_lines(spark):
         if t is None:
             assert out[i]["text"] is None and out[i]["n_lines"] == 0
             continue
-        keep = [x for x in t.split("\n") if not (x.strip(" \t\r") and len(pages[s, x.strip(" \t\r")]) >= 10 and len(pages[s, x.strip(" \t\r")]) > 0.1 * len(totals[s]))]
+        keep = [x for x in t.split("\n") if not (x.strip(" \t\r") and len(pages[s, x.strip(" \t\r")]) >= 2 and len(pages[s, x.strip(" \t\r")]) > 0.1 * len(totals[s]))]
         assert out[i]["text"] == "\n".join(keep) and out[i]["n_dropped"] == len(t.split("\n")) - len(keep)
-    assert out[0]["n_dropped"] == 1 and out[201]["n_dropped"] == 1 and out[111]["n_dropped"] == 0
+    assert out[0]["n_dropped"] == 1 and out[201]["n_dropped"] == 1 and out[111]["n_dropped"] == 1
 
 
 def test_pipeline_lines_of_small_hosts(spark):
