@@ -1,32 +1,63 @@
 """Resampling inference and sensitivity: bootstrap, permutation, Monte Carlo, sweeps, variance indices, calibration.
 
-Every random draw is a hash of (seed, replicate, row), so a recomputed task draws the same numbers.
+Every random draw is made of 15 hexadecimal digits of an md5 of (seed, replicate, number of the draw): a recomputed task
+draws the same numbers, and so does any other engine. Draws that all rows share are one row of arrays, as long as the
+number of draws; the rows meet them in array functions, so nothing is exploded or shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+import hashlib
+import math
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 from math import pi
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from territoria.functions.combine import RELATIVE_SIGMA, WEIGHTS_INDEX
-from territoria.functions.scalars import clip
+from territoria.functions.scalars import clip, let
 from territoria.operators.ranking import quantiles, surrogate_key, value_ranks
 from territoria.operators.stats import spearman
 
+#: Rows whose columns travel to the replicates as one row of arrays; with more, draws and ranks are tables.
+ARRAY_ROWS = 1 << 20
+#: Replicates of one task.
+REPLICATES = 50
 
-def uniform(seed: int, *parts: Column | str) -> Column:
-    """Uniform in (0, 1) from a hash."""
-    cols = [F.col(p) if isinstance(p, str) else p for p in parts]
-    return (F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(2**52)) + 0.5) / float(2**52)
 
+def word(text: Column, half: int | Column = 0) -> Column:
+    """A whole number of 60 bits: the first 15 hexadecimal digits of one half of an md5."""
+    start = F.lit(1) + F.lit(16) * (F.lit(half) if isinstance(half, int) else half)
+    return F.conv(F.substr(F.md5(text), start.cast("int"), F.lit(15)), 16, 10).cast("long")
 
-def gaussian(seed: int, *parts: Column | str) -> Column:
-    """Standard normal by Box-Muller on two hash uniforms."""
-    return F.sqrt(-2 * F.ln(uniform(seed, *parts, F.lit(1)))) * F.cos(2 * pi * uniform(seed, *parts, F.lit(2)))
+
+def uniform(text: Column, half: int = 0) -> Column:
+    """Uniform in (0, 1)."""
+    return (word(text, half).cast("double") + 0.5) / float(2**60)
+
+
+def gaussian(text: Column) -> Column:
+    """Standard normal by Box-Muller on both halves of one md5."""
+    return F.sqrt(-2 * F.ln(uniform(text))) * F.cos(2 * pi * uniform(text, 1))
+
+
+def labelled(*parts) -> Column:
+    return F.concat_ws(":", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
+
+
+def words(seed: int, rep: int, n: int) -> np.ndarray:
+    """The numbers ``word`` gives for the draws 0..n-1 of a replicate: two of each md5."""
+    data = b"".join(hashlib.md5(f"{seed}:{rep}:{i}".encode()).digest() for i in range((n + 1) // 2))
+    return np.frombuffer(data, ">u8")[:n].astype(np.uint64) >> np.uint64(4)
+
+
+def drawn(seed: int, rep: str, draw: str) -> Column:
+    return word(labelled(seed, F.col(rep), F.floor(F.col(draw) / 2)), F.col(draw) % 2)
 
 
 def numbered(df: DataFrame, key: str) -> DataFrame:
@@ -37,19 +68,75 @@ def numbered(df: DataFrame, key: str) -> DataFrame:
 def draws(df: DataFrame, key: str, n_boot: int, seed: int) -> DataFrame:
     """(rep, _i, times): with-replacement draws of n rows per replicate, already counted per row."""
     size = df.agg(F.count(F.lit(1)).alias("_n"))
-    rows = df.select(key).crossJoin(F.broadcast(size)).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    pick = F.pmod(F.xxhash64(F.lit(seed), "rep", key), F.col("_n"))
-    return rows.select("rep", pick.alias("_i")).groupBy("rep", "_i").agg(F.count(F.lit(1)).alias("times"))
+    rows = numbered(df.select(key), key).select(F.col("_i").alias("_j")).crossJoin(F.broadcast(size)).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+    return rows.select("rep", (drawn(seed, "rep", "_j") % F.col("_n")).alias("_i")).groupBy("rep", "_i").agg(F.count(F.lit(1)).alias("times"))
+
+
+def _arrays(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """One row: an array of each column, by ascending key."""
+    row = F.struct(F.col(key).alias("_k"), *[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)])
+    packed = df.agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+    return packed.select(*[F.col(f"_rows._{i}").alias(c) for i, c in enumerate(columns)])
+
+
+def _replicated(df: DataFrame, key: str, columns: Sequence[str], reps: int, prepare: Callable[[np.ndarray], np.ndarray], kernel: Callable[[list[np.ndarray], int], list[tuple]], schema: str) -> DataFrame:
+    """The rows that ``kernel`` gives for the prepared columns and each replicate, in blocks of replicates; a block is a task."""
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                values = [prepare(b.column(k + 1)[i].values.to_numpy(zero_copy_only=False)) for k in range(len(columns))]
+                first = b.column(0)[i].as_py() * REPLICATES
+                out = [r for rep in range(first, min(reps, first + REPLICATES)) for r in kernel(values, rep)]
+                yield pa.RecordBatch.from_pydict({n: [r[k] for r in out] for k, n in enumerate(names)})
+
+    blocks = math.ceil(reps / REPLICATES)
+    return df.sparkSession.range(0, blocks, 1, blocks).crossJoin(F.broadcast(_arrays(df, key, columns))).mapInArrow(run, schema)
+
+
+def _places(values: np.ndarray) -> np.ndarray:
+    """The number of each row's value among the different ones, in ascending order."""
+    return np.unique(values, return_inverse=True)[1]
+
+
+def _centred_ranks(place: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Each row's average-tie rank less the mean rank, where row i occurs ``times[i]`` times and ``place`` numbers its value: one prefix sum."""
+    at = np.bincount(place, times)
+    return (np.cumsum(at) - at + (at + 1) / 2)[place] - (times.sum() + 1) / 2
+
+
+def _correlation(a: np.ndarray, b: np.ndarray, times: np.ndarray | float = 1.0) -> float | None:
+    scale = math.sqrt((times * a * a).sum() * (times * b * b).sum())
+    return float((times * a * b).sum() / scale) if scale > 0 else None
 
 
 def bootstrap_rho(df: DataFrame, key: str, models: Sequence[str], target: str, n_boot: int = 5000, seed: int = 42, min_distinct: int = 5) -> DataFrame:
-    """(model, rep, rho): rank correlation of every model with the target on shared draws; degenerate draws are dropped."""
-    ok = df.dropna(subset=[*models, target]).select(key, *[F.col(m).cast("double").alias(m) for m in models], target)
-    d = draws(ok, key, n_boot, seed)
-    rows = d.join(numbered(ok, key).drop(key), "_i")
-    good = d.groupBy("rep").agg(F.count(F.lit(1)).alias("_d")).where(F.col("_d") >= min_distinct).select("rep")
-    long = rows.join(good, "rep").unpivot(["rep", "times", target], list(models), "model", "value")
-    return spearman(long, "value", target, ["model", "rep"], "times").where(F.col("rho").isNotNull()).select("model", "rep", "rho")
+    """(model, rep, rho): rank correlation of every model with the target on shared draws; degenerate draws are dropped.
+
+    Up to ARRAY_ROWS rows, the columns are numbered once a task and each replicate is two prefix sums; beyond, draws are
+    counted, joined and ranked as tables. Both draw the same rows.
+    """
+    models = list(models)
+    ok = df.dropna(subset=[*models, target]).select(key, *[F.col(m).cast("double").alias(m) for m in models], F.col(target).cast("double").alias(target))
+    if ok.limit(ARRAY_ROWS + 1).count() > ARRAY_ROWS:
+        d = draws(ok, key, n_boot, seed)
+        rows = d.join(numbered(ok, key).drop(key), "_i")
+        good = d.groupBy("rep").agg(F.count(F.lit(1)).alias("_d")).where(F.col("_d") >= min_distinct).select("rep")
+        long = rows.join(good, "rep").unpivot(["rep", "times", target], models, "model", "value")
+        return spearman(long, "value", target, ["model", "rep"], "times").where(F.col("rho").isNotNull()).select("model", "rep", "rho")
+
+    def kernel(places: list[np.ndarray], rep: int) -> list[tuple]:
+        *xs, y = places
+        n = len(y)
+        times = np.bincount((words(seed, rep, n) % np.uint64(n)).astype(np.int64), minlength=n).astype(float) if n else np.zeros(0)
+        if (times > 0).sum() < min_distinct:
+            return []
+        b = _centred_ranks(y, times)
+        found = [(m, rep, _correlation(_centred_ranks(x, times), b, times)) for m, x in zip(models, xs)]
+        return [f for f in found if f[2] is not None]
+
+    return _replicated(ok, key, [*models, target], n_boot, _places, kernel, "model string, rep long, rho double")
 
 
 def interval(df: DataFrame, value: str, keys: Sequence[str] = (), level: float = 0.95) -> DataFrame:
@@ -68,33 +155,81 @@ def paired_bootstrap(df: DataFrame, key: str, a: str, b: str, target: str, n_boo
 
 
 def permutations(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """(rep, key, _i): a random one-to-one assignment of row indices per replicate, by block-wise hash ranks."""
-    h = df.select(key).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("_h", uniform(seed, "rep", key))
-    pos = value_ranks(h, "_h", ["rep"]).select(F.col("rep"), F.col("value").alias("_h"), F.col("below_n").alias("_i"))
-    return h.join(pos, ["rep", "_h"]).drop("_h")
+    """(rep, key, _i): a random one-to-one assignment of row indices per replicate, by block-wise ranks of draws; ties go by key."""
+    h = numbered(df.select(key), key).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("_h", drawn(seed, "rep", "_i")).drop("_i")
+    pos = value_ranks(h, "_h", ["rep"]).select(F.col("rep"), F.col("value").alias("_h"), F.col("below_n").alias("_b"))
+    tie = F.row_number().over(W.partitionBy("rep", "_h").orderBy(key)) - 1
+    return h.join(pos, ["rep", "_h"]).withColumn("_i", F.col("_b") + tie).drop("_h", "_b")
+
+
+def permutation_rho(df: DataFrame, key: str, model: str, target: str, n: int = 1000, seed: int = 42) -> DataFrame:
+    """(rep, rho) with the target dealt anew to the rows in each replicate, one to one."""
+    ok = df.dropna(subset=[model, target]).select(key, F.col(model).cast("double").alias(model), F.col(target).cast("double").alias(target))
+    if ok.limit(ARRAY_ROWS + 1).count() > ARRAY_ROWS:
+        shuffled = permutations(ok, key, n, seed).join(numbered(ok.select(key, F.col(target).alias("_t")), key).drop(key), "_i").join(ok.select(key, model), key)
+        return spearman(shuffled, model, "_t", ["rep"]).select("rep", "rho")
+
+    def kernel(ranks: list[np.ndarray], rep: int) -> list[tuple]:
+        a, b = ranks
+        dealt = np.empty(len(b))
+        dealt[np.argsort(words(seed, rep, len(b)), kind="stable")] = b  # stable: ties go by key
+        return [(rep, _correlation(a, dealt))]
+
+    return _replicated(ok, key, [model, target], n, lambda v: _centred_ranks(_places(v), np.ones(len(v))), kernel, "rep long, rho double")
 
 
 def permutation_null(df: DataFrame, key: str, model: str, target: str, n: int = 1000, seed: int = 42) -> DataFrame:
-    """One row: observed rho, median and 95 % interval of the null, and the share of null values at or above it."""
-    ok = df.dropna(subset=[model, target]).select(key, model, target)
-    shuffled = permutations(ok, key, n, seed).join(numbered(ok.select(key, F.col(target).alias("_t")), key).drop(key), "_i").join(ok.select(key, model), key)
-    null = spearman(shuffled, model, "_t", ["rep"]).select("rho")
-    real = spearman(ok, model, target).select(F.col("rho").alias("observed"))
-    p = null.crossJoin(F.broadcast(real)).agg(F.avg((F.col("rho") >= F.col("observed")).cast("double")).alias("p_value"), F.count(F.lit(1)).alias("n"))
+    """One row: observed rho, median and 95 % interval of the null, and the share of null values at or above it (to 12 decimals)."""
+    null = permutation_rho(df, key, model, target, n, seed).select("rho").where(F.col("rho").isNotNull())
+    real = spearman(df.dropna(subset=[model, target]), model, target).select(F.col("rho").alias("observed"))
+    p = null.crossJoin(F.broadcast(real)).agg(F.avg((F.round("rho", 12) >= F.round("observed", 12)).cast("double")).alias("p_value"), F.count(F.lit(1)).alias("n"))
     return real.crossJoin(F.broadcast(interval(null, "rho"))).crossJoin(F.broadcast(p))
 
 
-def monte_carlo(df: DataFrame, key: str, n: int = 1000, seed: int = 42, weights: Mapping[str, float] = WEIGHTS_INDEX, sigma: Mapping[str, float] = RELATIVE_SIGMA) -> DataFrame:
-    """Index under relative gaussian noise on each component: mean, population deviation, p10 and p90 per row."""
-    s = df.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    parts = []
-    for i, (c, w) in enumerate(weights.items()):
-        noise = gaussian(seed + i, key, "_s") * sigma[c] * F.greatest(F.col(c), F.lit(1e-6))
-        parts.append(w * clip(F.col(c) + noise, 0.0, 1.0))
-    index = clip(reduce(lambda a, b: a + b, parts), 0.0, 1.0)
-    agg = s.select(key, index.alias("_w")).groupBy(key).agg(
-        F.avg("_w").alias("mc_mean"), F.stddev_pop("_w").alias("mc_std"), F.percentile("_w", F.array(F.lit(0.1), F.lit(0.9))).alias("_p"))
-    return agg.select(key, "mc_mean", "mc_std", F.col("_p")[0].alias("mc_p10"), F.col("_p")[1].alias("mc_p90"))
+def with_draws(df: DataFrame, n: int, draw: Callable[[Column], Column], out: str = "_draws") -> DataFrame:
+    """Adds an array of the ``n`` draws that ``draw`` makes of their numbers, the same for all rows: one row, broadcast.
+
+    The rows are dealt out first, since a few narrow ones mean much work each.
+    """
+    df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    made = df.sparkSession.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), draw).alias(out))
+    return df.crossJoin(F.broadcast(made))
+
+
+def array_mean(a: Column) -> Column:
+    return let(a, lambda x: F.try_divide(F.aggregate(x, F.lit(0.0), lambda t, v: t + v), F.size(x)))
+
+
+def array_variance(a: Column) -> Column:
+    """Population variance; null where a value is."""
+    return let(a, lambda x: let(array_mean(x), lambda m: array_mean(F.transform(x, lambda v: (v - m) * (v - m)))))
+
+
+def array_quantile(ordered: Column, p: float) -> Column:
+    """Linear-interpolation quantile of an ascending array without nulls."""
+    at = F.lit(p) * (F.size(ordered) - 1)
+    low, high = F.get(ordered, F.floor(at).cast("int")), F.get(ordered, F.ceil(at).cast("int"))
+    return low + (at - F.floor(at)) * (high - low)
+
+
+def monte_carlo(df: DataFrame, key: str, n: int = 5000, seed: int = 42, weights: Mapping[str, float] = WEIGHTS_INDEX, sigma: Mapping[str, float] = RELATIVE_SIGMA) -> DataFrame:
+    """Index under relative gaussian noise on each component: mean, population deviation, p10 and p90 per row.
+
+    The figures of a row come from its own draws only, so all rows may share the same standard normal ones.
+    """
+    names = list(weights)
+    spread = df.select(key, *names, *[(sigma[c] * F.greatest(F.col(c), F.lit(1e-6))).alias(f"_s_{c}") for c in names])
+    noise = with_draws(spread, n, lambda s: F.struct(*[gaussian(labelled(seed, c, s)).alias(c) for c in names]))
+    low, high = F.lit(0.0), F.lit(1.0)
+
+    def index(z: Column) -> Column:
+        parts = [weights[c] * F.least(F.greatest(F.col(c) + z[c] * F.col(f"_s_{c}"), low), high) for c in names]
+        return F.least(F.greatest(reduce(lambda a, b: a + b, parts), low), high)
+
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in names])
+    w = noise.select(key, F.when(whole, F.sort_array(F.transform("_draws", index))).alias("_w"))
+    return w.select(key, array_mean(F.col("_w")).alias("mc_mean"), F.sqrt(array_variance(F.col("_w"))).alias("mc_std"),
+                    array_quantile(F.col("_w"), 0.1).alias("mc_p10"), array_quantile(F.col("_w"), 0.9).alias("mc_p90"))
 
 
 def ablate(df: DataFrame, scenarios: Mapping[str, Column], target: str) -> DataFrame:
@@ -114,28 +249,31 @@ def sweep(df: DataFrame, key: str, params: Sequence[Mapping[str, float | str]],
     return stat.join(spearman(j, "_h", "_ref", ["config"]).select("config", F.col("rho").alias("rank_rho")), "config", "left")
 
 
-def sobol(df: DataFrame, key: str, bounds: Mapping[str, tuple[float, float]], model: Callable[[], Column], n: int = 256, seed: int = 42) -> DataFrame:
+def sobol(df: DataFrame, key: str, bounds: Mapping[str, tuple[float, float]], model: Callable[[Mapping[str, Column]], Column], n: int = 256, seed: int = 42) -> DataFrame:
     """(key, param, first_order, total): variance shares by the Jansen estimators on A, B and A-with-one-column-of-B rows.
 
-    The model is evaluated on every row of ``df`` for every design row; parameters are plain columns in the model.
+    ``model`` takes a column for each parameter. Each row of ``df`` evaluates it on the n x (parameters + 2) rows of the
+    design, as arrays. Rows whose output doesn't vary (variance up to 1e-12) have null shares.
     """
     names = list(bounds)
-    sets = ["_A", "_B", *names]
 
-    def param(name: str) -> Column:
+    def scaled(name: str, text: Column, half: int) -> Column:
         low, high = bounds[name]
-        from_b = (F.col("_set") == "_B") | (F.col("_set") == name)
-        u = F.when(from_b, uniform(seed + 1, "_d", F.lit(name))).otherwise(uniform(seed, "_d", F.lit(name)))
-        return low + (high - low) * u
+        return low + (high - low) * uniform(text, half)
+
+    both = with_draws(df, n, lambda s: F.struct(*[scaled(p, labelled(seed, p, s), half).alias(f"{side}_{p}") for p in names for half, side in enumerate("ab")]))
+
+    def outputs(moved: Sequence[str]) -> Column:
+        return F.transform("_draws", lambda d: model({p: d[f"{'b' if p in moved else 'a'}_{p}"] for p in names}))
+
+    y = both.select(key, outputs([]).alias("_a"), outputs(names).alias("_b"), *[outputs([p]).alias(f"_y{i}") for i, p in enumerate(names)])
+    y = y.withColumn("_var", (array_variance(F.col("_a")) + array_variance(F.col("_b"))) / 2).withColumn("_var", F.when(F.col("_var") > 1e-12, F.col("_var")))
+
+    def half_square(side: str, i: int) -> Column:
+        return array_mean(F.zip_with(side, f"_y{i}", lambda u, v: (u - v) * (u - v))) / 2
 
-    rows = df.withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("_set", F.explode(F.array(*[F.lit(s) for s in sets])))
-    y = rows.select("*", *[param(p).alias(p) for p in names]).select(key, "_d", "_set", model().alias("_y"))
-    wide = y.groupBy(key, "_d").pivot("_set", sets).agg(F.first("_y"))
-    long = wide.unpivot([key, "_d", "_A", "_B"], names, "param", "_y")
-    var = (F.var_pop("_A") + F.var_pop("_B")) / 2
-    return long.groupBy(key, "param").agg(
-        F.try_divide(var - F.avg(F.pow(F.col("_B") - F.col("_y"), 2)) / 2, var).alias("first_order"),
-        F.try_divide(F.avg(F.pow(F.col("_A") - F.col("_y"), 2)) / 2, var).alias("total"))
+    shares = [F.struct(F.lit(p).alias("param"), ((F.col("_var") - half_square("_b", i)) / F.col("_var")).alias("first_order"), (half_square("_a", i) / F.col("_var")).alias("total")) for i, p in enumerate(names)]
+    return y.select(key, F.inline(F.array(*shares)))
 
 
 def monotone(df: DataFrame, variables: Sequence[str], model: Callable[[Mapping[str, Column]], Column], delta: float = 0.01) -> DataFrame:
@@ -169,17 +307,19 @@ def ahp_weights(ab: Column, ac: Column, bc: Column) -> list[Column]:
     return [r / total for r in rows]
 
 
-def ahp_interval(df: DataFrame, key: str, matrix: tuple[float, float, float], index: Callable[[], Column], n: int = 1000, perturbation: float = 0.2, seed: int = 42) -> DataFrame:
+def ahp_interval(df: DataFrame, key: str, matrix: tuple[float, float, float], index: Callable[[Sequence[Column]], Column], n: int = 1000, perturbation: float = 0.2, seed: int = 42) -> DataFrame:
     """p5, median, p95 and deviation of the index per row under perturbed comparisons (a vs b, a vs c, b vs c).
 
-    ``index`` reads the weight columns ``w_1``, ``w_2``, ``w_3``; the trials of a row are a bounded group.
+    ``index`` takes the three weights. All rows share the trials, and hold their outputs as one array.
     """
-    t = df.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    cmp_ = [v * (1 + perturbation * (2 * uniform(seed + i, "_t") - 1)) for i, v in enumerate(matrix)]
-    t = t.select("*", *[w.alias(f"w_{i + 1}") for i, w in enumerate(ahp_weights(*cmp_))]).select(key, index().alias("_h"))
-    q = F.percentile("_h", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    g = t.groupBy(key).agg(q.alias("_q"), F.stddev_pop("_h").alias("h_std"))
-    return g.select(key, F.col("_q")[0].alias("h_p5"), F.col("_q")[1].alias("h_median"), F.col("_q")[2].alias("h_p95"), "h_std", (F.col("_q")[2] - F.col("_q")[0]).alias("width"))
+    def trial(s: Column) -> Column:
+        cmp_ = [v * (1 + perturbation * (2 * uniform(labelled(seed + i, s)) - 1)) for i, v in enumerate(matrix)]
+        return F.struct(*[w.alias(f"w{i}") for i, w in enumerate(ahp_weights(*cmp_))])
+
+    t = with_draws(df, n, trial).select(key, F.sort_array(F.transform("_draws", lambda d: index([d["w0"], d["w1"], d["w2"]]))).alias("_h"))
+    h = F.col("_h")
+    low, mid, high = (array_quantile(h, p) for p in (0.05, 0.5, 0.95))
+    return t.select(key, low.alias("h_p5"), mid.alias("h_median"), high.alias("h_p95"), F.sqrt(array_variance(h)).alias("h_std"), (high - low).alias("width"))
 
 
 def leakage_audit(predict: Callable[[Callable[[Column, Column, Column], Column]], DataFrame], df: DataFrame, key: str, audited: Column, poison: float = 99999.0) -> DataFrame:

@@ -23,28 +23,66 @@ def r(c, d=6):
     return F.round(c, d)
 
 
-@query("bootstrap_interval", "M17")
+def _word(text: str, half: str = "0") -> str:
+    return f"('0x' || substr(md5({text}), 1 + 16 * ({half}), 15))::BIGINT"
+
+
+def _uniform(text: str, half: int = 0) -> str:
+    return f"(({_word(text, str(half))} + 0.5e0) / {2**60}e0)"
+
+
+_DRAWN = _word("'42:' || rep || ':' || j // 2", "j % 2")
+_OK = "ok AS (SELECT row_number() OVER (ORDER BY id) - 1 AS j, round(h2, 12) AS h2, round(h3, 12) AS h3, level FROM idx WHERE h2 IS NOT NULL AND h3 IS NOT NULL)"
+_BOOT = f"""{SITE_INDEX}, {_OK}, p AS (SELECT rep, {_DRAWN} % (SELECT count(*) FROM ok) AS i FROM ok, range(5000) r(rep)),
+ w AS (SELECT rep, i, count(*) AS w FROM p GROUP BY ALL), b AS (SELECT rep, w, h2, h3, level, count(*) OVER (PARTITION BY rep) AS apart FROM w JOIN ok ON ok.j = w.i),
+ v AS (SELECT rep, w, level, unnest(['h2', 'h3']) AS model, unnest([h2, h3]) AS value FROM b WHERE apart >= 5),
+ x AS (SELECT rep, model, value, sum(sum(w)) OVER (PARTITION BY rep, model ORDER BY value) - sum(w) / 2e0 AS a FROM v GROUP BY 1, 2, 3),
+ y AS (SELECT rep, model, level, sum(sum(w)) OVER (PARTITION BY rep, model ORDER BY level) - sum(w) / 2e0 AS b FROM v GROUP BY 1, 2, 3),
+ m AS (SELECT v.rep, v.model, sum(w) AS n, sum(w * a) AS sa, sum(w * b) AS sb, sum(w * a * b) AS ab, sum(w * a * a) AS aa, sum(w * b * b) AS bb FROM v JOIN x USING (rep, model, value) JOIN y USING (rep, model, level) GROUP BY 1, 2),
+ rho AS (SELECT rep, model, (ab - sa * sb / n) / sqrt((aa - sa * sa / n) * (bb - sb * sb / n)) AS rho FROM m)"""
+_CUTS = "round(quantile_cont({0}, 0.025), 6) AS low, round(quantile_cont({0}, 0.5), 6) AS median, round(quantile_cont({0}, 0.975), 6) AS high"
+
+
+def _ranked_models(t):
+    return site_index_frame(t).withColumn("h2", F.round("h2", 12)).withColumn("h3", F.round("h3", 12))
+
+
+@query("bootstrap_interval", "M17", f"WITH {_BOOT} SELECT model, {_CUTS.format('rho')} FROM rho GROUP BY model")
 def bootstrap_interval(t):
-    b = inf.bootstrap_rho(site_index_frame(t), "id", ["h2", "h3"], "level", n_boot=100)
+    b = inf.bootstrap_rho(_ranked_models(t), "id", ["h2", "h3"], "level")
     return inf.interval(b, "rho", ["model"]).select("model", *[r(c).alias(c) for c in ("low", "median", "high")])
 
 
-@query("paired_bootstrap", "M18")
+@query("paired_bootstrap", "M18", f"""WITH {_BOOT}, d AS (SELECT rep, max(rho) FILTER (model = 'h2') - max(rho) FILTER (model = 'h3') AS delta FROM rho GROUP BY rep)
+SELECT {_CUTS.format('delta')} FROM d""")
 def paired_bootstrap(t):
-    d = inf.paired_bootstrap(site_index_frame(t), "id", "h2", "h3", "level", n_boot=100)
+    d = inf.paired_bootstrap(_ranked_models(t), "id", "h2", "h3", "level")
     return inf.interval(d, "delta").select(*[r(c).alias(c) for c in ("low", "median", "high")])
 
 
-@query("permutation_test", "M19")
+@query("permutation_test", "M19", f"""WITH {SITE_INDEX}, ok AS (SELECT row_number() OVER (ORDER BY id) - 1 AS j, {rank_sql('round(h2, 12)')} AS a, {rank_sql('level')} AS b FROM idx WHERE h2 IS NOT NULL),
+ p AS (SELECT rep, j, a, row_number() OVER (PARTITION BY rep ORDER BY {_DRAWN}, j) - 1 AS i FROM ok, range(1000) r(rep)), o AS (SELECT corr(a, b) AS observed FROM ok),
+ rho AS (SELECT rep, corr(p.a, ok.b) AS rho FROM p JOIN ok ON ok.j = p.i GROUP BY rep)
+SELECT round(observed, 6) AS observed, {_CUTS.format('rho')}, round(avg(CASE WHEN round(rho, 12) >= round(observed, 12) THEN 1e0 ELSE 0e0 END), 6) AS p_value, count(*) AS n FROM rho, o GROUP BY observed""")
 def permutation_test(t):
-    p = inf.permutation_null(site_index_frame(t), "id", "h2", "level", n=1000)
+    p = inf.permutation_null(_ranked_models(t), "id", "h2", "level")
     return p.select(*[r(c).alias(c) for c in ("observed", "low", "median", "high", "p_value")], "n")
 
 
-@query("monte_carlo_index", "M20")
+def _normal(name: str) -> str:
+    text = f"'42:{name}:' || s"
+    return f"sqrt(-2 * ln({_uniform(text)})) * cos(2 * pi() * {_uniform(text, 1)})"
+
+
+_NOISY = " + ".join(f"{w}e0 * least(greatest({c} + z_{c} * {C.RELATIVE_SIGMA[c]}e0 * greatest({c}, 1e-6), 0e0), 1e0)" for c, w in C.WEIGHTS_INDEX.items())
+
+
+@query("monte_carlo_index", "M20", f"""WITH {SITES}, s AS (SELECT id, x_bws AS bws, coalesce(x_gws, 0.4e0) AS gws, x_sv AS drought FROM sites),
+ d AS (SELECT {', '.join(f'{_normal(c)} AS z_{c}' for c in C.WEIGHTS_INDEX)} FROM range(5000) r(s)), x AS (SELECT id, least(greatest({_NOISY}, 0e0), 1e0) AS w FROM s, d)
+SELECT id, round(avg(w), 6) AS mc_mean, round(stddev_pop(w), 6) AS mc_std, round(quantile_cont(w, 0.1), 6) AS mc_p10, round(quantile_cont(w, 0.9), 6) AS mc_p90 FROM x GROUP BY id""")
 def monte_carlo_index(t):
     s = sites(t).select("id", F.col("x_bws").alias("bws"), F.coalesce("x_gws", F.lit(0.4)).alias("gws"), F.col("x_sv").alias("drought"))
-    m = inf.monte_carlo(s, "id", n=200)
+    m = inf.monte_carlo(s, "id")
     return m.select("id", *[r(c).alias(c) for c in m.columns[1:]])
 
 
@@ -64,43 +102,63 @@ def component_ablation(t):
 _CONF = [("b05", 0.5, 5.0), ("b06", 0.6, 5.0), ("ref", 0.7, 5.0), ("b08", 0.8, 5.0), ("t1", 0.7, 1.0), ("t10", 0.7, 10.0)]
 
 
+_SWEPT = "coalesce((d3 * exp(tau * d3) + d12 * exp(tau * d12)) / (exp(tau * d3) + exp(tau * d12)), d3, d12)"
+_MIX = "coalesce(CASE WHEN {s} IS NOT NULL AND {c} IS NOT NULL THEN least(greatest({b} * (1 - {c}) * {s} + (1 - {b} * (1 - {c})) * {c}, 0e0), 1e0) END, {s}, {c})"
+
+
 @query("parameter_sweep", "M22 J19", f"""
-WITH {SITE_INDEX}, c(config, b0, tau) AS (VALUES {', '.join(f"('{n}', {b}e0, {u}e0)" for n, b, u in _CONF)}), x AS (SELECT id, config, s2, d3, d12, b0, (d3 * exp(tau * d3) + d12 * exp(tau * d12)) / (exp(tau * d3) + exp(tau * d12)) AS cj FROM idx, c WHERE d3 IS NOT NULL AND d12 IS NOT NULL),
- h AS (SELECT id, config, round(least(greatest(b0 * (1 - cj) * s2 + (1 - b0 * (1 - cj)) * cj, 0e0), 1e0), 12) AS h FROM x), j AS (SELECT h.*, f.h AS ref FROM h JOIN h f ON f.id = h.id AND f.config = 'ref'),
+WITH {SITE_INDEX}, c(config, b0, tau) AS (VALUES {', '.join(f"('{n}', {b}e0, {u}e0)" for n, b, u in _CONF)}), x AS (SELECT id, config, s2, b0, {_SWEPT} AS cj FROM idx, c),
+ h AS (SELECT id, config, round({_MIX.format(s='s2', c='cj', b='b0')}, 12) AS h FROM x), j AS (SELECT h.*, f.h AS ref FROM h JOIN h f ON f.id = h.id AND f.config = 'ref'),
  k AS (SELECT *, {rank_sql('h', 'config')} AS a, {rank_sql('ref', 'config')} AS b FROM j)
 SELECT config, round(avg(h), 7) AS mean, round(min(h), 7) AS min, round(max(h), 7) AS max, round(avg(h - ref), 7) AS shift, round(corr(a, b), 7) AS rank_rho FROM k GROUP BY 1""")
 def parameter_sweep(t):
-    base = site_index_frame(t).select("id", "s2", "d3", "d12").dropna(subset=["d3", "d12"])
-    b = F.col("b0")
+    """Every site, those with one window through the index's own fallback."""
+    base = site_index_frame(t).select("id", "s2", "d3", "d12")
 
     def index():
-        return F.round(_dynamic(F.col("s2"), _boltz("d3", "d12", F.col("tau")), b), 12)
+        return F.round(C.assemble("s2", C.boltzmann("d3", "d12", F.col("tau")), F.col("b0")), 12)
 
     s = inf.sweep(base, "id", [{"config": n, "b0": x, "tau": u} for n, x, u in _CONF], index, "ref")
     return s.select("config", *[r(c, 7).alias(c) for c in ("mean", "min", "max", "shift", "rank_rho")])
 
 
-def _boltz(a, b, tau):
-    a, b = F.col(a), F.col(b)
-    return (a * F.exp(tau * a) + b * F.exp(tau * b)) / (F.exp(tau * a) + F.exp(tau * b))
-
-
 def _dynamic(s, c, b0):
     beta = b0 * (1 - c)
     return F.least(F.greatest(beta * s + (1 - beta) * c, F.lit(0.0)), F.lit(1.0))
 
 
-@query("variance_indices", "M23")
-def variance_indices(t):
-    z = sites(t).groupBy(F.col("c_nationkey").alias("zone")).agg(*[F.avg(c).alias(c) for c in ("x_bws", "x_aridity", "x_gws", "x_sv")], F.avg("spei3").alias("s3"), F.avg("spei12").alias("s12"))
-    bounds = {"w_bws": (0.40, 0.65), "w_a": (0.10, 0.30), "w_gws": (0.10, 0.30), "w_sv": (0.05, 0.15), "b0": (0.5, 0.9), "shift": (-0.5, 0.5)}
+# Ranges of the parameters that the variance indices vary.
+_BOUNDS = {"w_bws": (0.40, 0.65), "w_a": (0.10, 0.30), "w_gws": (0.10, 0.30), "w_sv": (0.05, 0.15), "b0": (0.5, 0.9), "shift": (-0.5, 0.5)}
+_DESIGN = 256
+
 
-    def model():
-        s = C.wgeo({"x_bws": F.col("w_bws"), "x_aridity": F.col("w_a"), "x_gws": F.col("w_gws"), "x_sv": F.col("w_sv")})
-        c = F.greatest(linear_stress(F.col("s3") + F.col("shift")), linear_stress(F.col("s12") + F.col("shift")))
-        return _dynamic(s, c, F.col("b0"))
+def _sobol_sql() -> str:
+    """Design rows and the number of the moved parameter: none for A, all for B."""
+    def param(p: str, k: int) -> str:
+        low, high = _BOUNDS[p]
+        u = f"CASE WHEN m = {k} OR m = {len(_BOUNDS)} THEN {_uniform(f"'42:{p}:' || s", 1)} ELSE {_uniform(f"'42:{p}:' || s")} END"
+        return f"{low}e0 + ({high}e0 - {low}e0) * {u} AS {p}"
 
-    return inf.sobol(z, "zone", bounds, model, n=256).select("zone", "param", r("first_order").alias("first_order"), r("total").alias("total"))
+    ws = {"x_bws": "w_bws", "x_aridity": "w_a", "x_gws": "w_gws", "x_sv": "w_sv"}
+    live = " + ".join(f"CASE WHEN {c} IS NOT NULL THEN {w} ELSE 0e0 END" for c, w in ws.items())
+    logs = " + ".join(f"coalesce({w} * ln({c} + 0.05e0), 0)" for c, w in ws.items())
+    stress = [f"CASE WHEN {c} IS NOT NULL THEN least(greatest(-({c} + shift) / 3e0, 0e0), 1e0) END" for c in ("spei3", "spei12")]
+    return f"""WITH {SITES}, d AS (SELECT s, m, {', '.join(param(p, k) for k, p in enumerate(_BOUNDS))} FROM range({_DESIGN}) a(s), range(-1, {len(_BOUNDS) + 1}) b(m)),
+ x AS (SELECT id, s, m, b0, least(greatest(exp(({logs}) / ({live})) - 0.05e0, 0e0), 1e0) AS st, greatest({', '.join(stress)}) AS cy FROM sites, d),
+ y AS (SELECT id, s, m, {_MIX.format(s='st', c='cy', b='b0')} AS y FROM x), v AS (SELECT id, (var_pop(y) FILTER (m = -1) + var_pop(y) FILTER (m = {len(_BOUNDS)})) / 2 AS v FROM y GROUP BY id),
+ j AS (SELECT y.id, y.m, avg(pow(b.y - y.y, 2)) / 2 AS from_b, avg(pow(a.y - y.y, 2)) / 2 AS from_a FROM y JOIN y a ON a.id = y.id AND a.s = y.s AND a.m = -1 JOIN y b ON b.id = y.id AND b.s = y.s AND b.m = {len(_BOUNDS)} WHERE y.m BETWEEN 0 AND {len(_BOUNDS) - 1} GROUP BY 1, 2)
+SELECT j.id, list_extract([{', '.join(f"'{p}'" for p in _BOUNDS)}], m::INT + 1) AS param, round(CASE WHEN v > 1e-12 THEN (v - from_b) / v END, 6) AS first_order, round(CASE WHEN v > 1e-12 THEN from_a / v END, 6) AS total FROM j JOIN v USING (id)"""
+
+
+@query("variance_indices", "M23", _sobol_sql())
+def variance_indices(t):
+    """Per site, over the weights, the largest structural share and a shift of the drought index."""
+    def model(p):
+        structure = C.wgeo({"x_bws": p["w_bws"], "x_aridity": p["w_a"], "x_gws": p["w_gws"], "x_sv": p["w_sv"]})
+        return C.assemble(structure, F.greatest(linear_stress(F.col("spei3") + p["shift"]), linear_stress(F.col("spei12") + p["shift"])), p["b0"])
+
+    out = inf.sobol(sites(t), "id", _BOUNDS, model, _DESIGN)
+    return out.select("id", "param", r("first_order").alias("first_order"), r("total").alias("total"))
 
 
 _VARIED = ["x_bws", "x_aridity", "x_gws", "x_sv"]
@@ -140,14 +198,19 @@ def weight_calibration(t):
     return c.select("w_bws", "w_aridity", "w_gws", r("rho_train").alias("rho_train"), r("rho_test").alias("rho_test"))
 
 
-@query("comparison_weight_interval", "M26")
-def comparison_weight_interval(t):
-    s = site_index_frame(t).select("id", "x_bws", "x_aridity", "x_gws", "cb")
+_COMPARED = (3.0, 3.0, 1.0)
+_TRIAL = ", ".join(f"{v}e0 * (1 + 0.2e0 * (2 * {_uniform(f"'{42 + i}:' || s")} - 1)) AS {n}" for i, (v, n) in enumerate(zip(_COMPARED, ("ab", "ac", "bc"))))
+_W3 = {"x_bws": "w0", "x_aridity": "w1", "x_gws": "w2"}
 
-    def index():
-        return _dynamic(C.wmean({"x_bws": F.col("w_1"), "x_aridity": F.col("w_2"), "x_gws": F.col("w_3")}), F.col("cb"), F.lit(0.7))
 
-    a = inf.ahp_interval(s, "id", (3.0, 3.0, 1.0), index, n=100)
+@query("comparison_weight_interval", "M26", f"""WITH {SITE_INDEX}, c AS (SELECT {_TRIAL} FROM range(1000) r(s)), g AS (SELECT pow(ab * ac, 1 / 3e0) AS a, pow(bc / ab, 1 / 3e0) AS b, pow(1 / (ac * bc), 1 / 3e0) AS c FROM c),
+ w AS (SELECT a / (a + b + c) AS w0, b / (a + b + c) AS w1, c / (a + b + c) AS w2 FROM g),
+ x AS (SELECT id, cb, ({' + '.join(f"coalesce({w} * {c}, 0)" for c, w in _W3.items())}) / ({' + '.join(f"CASE WHEN {c} IS NOT NULL THEN {w} ELSE 0e0 END" for c, w in _W3.items())}) AS st FROM idx, w),
+ h AS (SELECT id, {_MIX.format(s='st', c='cb', b='0.7e0')} AS h FROM x)
+SELECT id, round(quantile_cont(h, 0.05), 6) AS h_p5, round(quantile_cont(h, 0.5), 6) AS h_median, round(quantile_cont(h, 0.95), 6) AS h_p95, round(stddev_pop(h), 6) AS h_std, round(quantile_cont(h, 0.95) - quantile_cont(h, 0.05), 6) AS width FROM h GROUP BY id""")
+def comparison_weight_interval(t):
+    s = site_index_frame(t).select("id", "x_bws", "x_aridity", "x_gws", "cb")
+    a = inf.ahp_interval(s, "id", _COMPARED, lambda w: C.assemble(C.wmean(dict(zip(_W3, w))), "cb"))
     return a.select("id", *[r(c).alias(c) for c in a.columns[1:]])
 
 

@@ -289,7 +289,7 @@ def test_resampling_inference(spark):
 
 def test_variance_indices_of_an_additive_model(spark):
     df = spark.createDataFrame([(1,)], "id long")
-    s = {r["param"]: r for r in inference.sobol(df, "id", {"a": (0.0, 1.0), "b": (0.0, 2.0), "c": (0.0, 1.0)}, lambda: F.col("a") + F.col("b"), 4000).collect()}
+    s = {r["param"]: r for r in inference.sobol(df, "id", {"a": (0.0, 1.0), "b": (0.0, 2.0), "c": (0.0, 1.0)}, lambda p: p["a"] + p["b"], 4000).collect()}
     assert s["a"]["total"] == pytest.approx(0.2, abs=0.03) and s["b"]["total"] == pytest.approx(0.8, abs=0.05)
     assert s["b"]["first_order"] == pytest.approx(0.8, abs=0.06) and s["c"]["total"] == pytest.approx(0, abs=1e-9)
 
@@ -310,3 +310,36 @@ def test_forest_learns_and_importance_finds_the_signal(spark):
     f = learning.fit_forest(df, ["a", "b"], "y", trees=10)
     imp = {r["feature"]: r["importance"] for r in learning.permutation_importance(f, df, "id", "y", repeats=2).collect()}
     assert imp["a"] > 0.5 > abs(imp["b"])
+
+
+def test_arrays_and_tables_draw_the_same(spark, monkeypatch):
+    """Replicates from one row of arrays, and from joined and ranked tables beyond the bound, with ties in every column."""
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(int(3 * i), float(a), float(b), int(c)) for i, (a, b, c) in enumerate(rng.integers(0, 9, (60, 3)))], "id long, a double, b double, y int")
+    runs = []
+    for bound in (inference.ARRAY_ROWS, 0):
+        monkeypatch.setattr(inference, "ARRAY_ROWS", bound)
+        boot = {(r["model"], r["rep"]): r["rho"] for r in inference.bootstrap_rho(df, "id", ["a", "b"], "y", 7).collect()}
+        runs.append((boot, {r["rep"]: r["rho"] for r in inference.permutation_rho(df, "id", "a", "y", 5).collect()}))
+    assert runs[0][0] == pytest.approx(runs[1][0]) and len(runs[0][0]) == 14 and runs[0][1] == pytest.approx(runs[1][1]) and len(runs[0][1]) == 5
+    assert inference.bootstrap_rho(df.limit(0), "id", ["a"], "y", 3).count() == 0 and inference.permutation_rho(df.limit(0), "id", "a", "y", 3).where("rho IS NOT NULL").count() == 0
+
+
+def test_permutations_stay_one_to_one_when_draws_tie(spark, monkeypatch):
+    monkeypatch.setattr(inference, "drawn", lambda seed, rep, draw: F.col(draw) % 3)
+    df = spark.createDataFrame([(5 * i, i) for i in range(40)], "id long, y long")
+    perm = [tuple(r) for r in inference.permutations(df, "id", 2, 1).select("rep", "id", "_i").collect()]
+    want = {5 * i: k for k, i in enumerate(sorted(range(40), key=lambda i: (i % 3, i)))}
+    assert sorted(perm) == sorted((rep, i, k) for rep in range(2) for i, k in want.items())
+
+
+def test_words_are_the_same_in_both_engines(spark):
+    got = [r["w"] for r in spark.range(9).select(inference.drawn(7, "id", "id").alias("w")).collect()]
+    assert got == [int(inference.words(7, rep, 9)[rep]) for rep in range(9)]
+
+
+def test_array_statistics(spark):
+    x = np.random.default_rng(1).normal(size=50)
+    row = spark.createDataFrame([(x.tolist(),), ([2.0],), ([],)], "x array<double>").select(
+        inference.array_mean(F.col("x")).alias("m"), inference.array_variance(F.col("x")).alias("v"), inference.array_quantile(F.sort_array("x"), 0.1).alias("q")).collect()
+    assert tuple(row[0]) == pytest.approx((x.mean(), x.var(), np.quantile(x, 0.1))) and tuple(row[1]) == (2.0, 0.0, 2.0) and row[2]["q"] is None
