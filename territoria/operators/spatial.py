@@ -9,6 +9,7 @@ searched once, and a location keeps only its k smallest ids.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -22,6 +23,8 @@ ROOT_KM = 2048.0
 LEAF_ROWS = 32
 MAX_DEPTH = 12
 MAX_ROOT_CELLS = 4096
+#: Undecided polygons that a cell may hold before it is split, and splits at most.
+FEW_POLYGONS, CELL_SPLITS = 4, 6
 
 
 def _cell(c: str, size: float) -> Column:
@@ -191,38 +194,88 @@ def other_level_pairs(nodes: DataFrame, group: str, max_km: float = 0.05, node:
 
 # --- polygons --------------------------------------------------------------------------------
 
-def _covering(polys: DataFrame, key: str, size: float, pad: float, values: Sequence[str]) -> DataFrame:
+def _covering(polys: DataFrame, key: str, size: float, pad: float) -> DataFrame:
+    """(cx, cy, key): the cells under each ring's box, widened by ``pad``."""
     b = ring_bounds("ring")
     xs = F.sequence(F.floor((b["west"] - pad) / size).cast("long"), F.floor((b["east"] + pad) / size).cast("long"))
     ys = F.sequence(F.floor((b["south"] - pad) / size).cast("long"), F.floor((b["north"] + pad) / size).cast("long"))
-    return polys.select(key, "ring", ring_area("ring").alias("_area"), *values, F.explode(xs).alias("cx"), ys.alias("_ys")).select(
-        key, "ring", "_area", *values, "cx", F.explode("_ys").alias("cy"))
+    return polys.select(key, F.explode(xs).alias("cx"), ys.alias("_ys")).select(key, "cx", F.explode("_ys").alias("cy"))
+
+
+def _cover(cand: DataFrame, polys: DataFrame, key: str, size: float, near: float | None) -> DataFrame:
+    """(cx, cy, key, whole, open) of the candidates (cx, cy, key) that can decide a point of their cell.
+
+    The distance from a cell's centre to a ring bounds that of each of its points by half a diagonal more or less. So a
+    cell lies wholly in a polygon, wholly outside, or is cut by the ring. A whole polygon rules out all that rank behind
+    it, and those that are only near; among the near ones, those go that are farther away at best than another at worst.
+    """
+    mid = lambda c: (F.col(c) + 0.5) * size
+    half = size * 2**0.5 / 2 * (1 + 1e-9)
+    c = cand.join(polys.select(key, "ring", "_order"), key).withColumn("_d", ring_distance(mid("cx"), mid("cy"), "ring"))
+    c = c.withColumn("_in", inside_ring(mid("cx"), mid("cy"), "ring")).drop("ring")
+    clear = F.col("_d") > half
+    c = c.withColumn("whole", clear & F.col("_in")).where(~clear | F.col("_in") | (F.lit(near is not None) & (F.col("_d") - half <= (near or 0.0))))
+    here = W.partitionBy("cx", "cy")
+    c = c.withColumn("_first", F.min(F.when(F.col("whole"), F.col("_order"))).over(here))
+    c = c.withColumn("_reach", F.min(F.when(~F.col("whole"), F.col("_d") + half)).over(here))
+    ranks = F.col("_first").isNull() | (F.col("_order") < F.col("_first"))
+    cut = ~clear & ranks
+    close = clear & ~F.col("_in") & F.col("_first").isNull() & (F.col("_d") - half <= F.col("_reach") + 1e-8)
+    c = c.where((F.col("whole") & (F.col("_order") == F.col("_first"))) | cut | close)
+    return c.select("cx", "cy", key, "whole", F.count_if(~F.col("whole")).over(here).alias("open"))
+
+
+def polygon_tests(spots: DataFrame, polys: DataFrame, key: str, near: float | None, cell: float, few: int, depth: int) -> DataFrame:
+    """(lon, lat, key, whole): the polygons (key, ring, _order) that each of the distinct ``spots`` is to be tested against."""
+    open_spots, size, tests = spots, cell, []
+    cand = _covering(polys, key, cell, near or 0.0)
+    for level in range(depth + 1):
+        at = lambda c, s=size: F.floor(F.col(c) / s).cast("long")
+        placed = open_spots.select("lon", "lat", at("lon").alias("cx"), at("lat").alias("cy"))
+        cells = placed.select("cx", "cy").distinct()
+        if level:
+            # Cells split on a grid of quarters, so a child's parent is its number over four.
+            parent = lambda c: F.floor(F.col(c) / 4).cast("long")
+            above = cand.select(F.col("cx").alias("px"), F.col("cy").alias("py"), key)
+            cand = cells.withColumn("px", parent("cx")).withColumn("py", parent("cy")).join(above, ["px", "py"]).drop("px", "py")
+        else:
+            cand = cand.join(cells, ["cx", "cy"])
+        cover = cut_lineage(_cover(cand, polys, key, size, near))
+        tests.append(placed.join(cover.where(F.col("open") <= few) if level < depth else cover, ["cx", "cy"]).select("lon", "lat", key, "whole"))
+        cand = cover.where(F.col("open") > few).select("cx", "cy", key)
+        if level == depth or cand.isEmpty():
+            break
+        open_spots, size = placed.join(cand.select("cx", "cy").distinct(), ["cx", "cy"], "left_semi").select("lon", "lat"), size / 4
+    return reduce(DataFrame.unionByName, tests)
 
 
 def polygon_join(points: DataFrame, polys: DataFrame, key: str, values: Sequence[str] = (), point_id: str = "id", near: float | None = 1.0,
-                 largest: bool = False, cell: float = 1.0) -> DataFrame:
+                 largest: bool = False, cell: float = 1.0, few: int = FEW_POLYGONS, depth: int = CELL_SPLITS) -> DataFrame:
     """Left join of points to the polygon holding them (smallest key, or largest area), then nearest within ``near``.
 
     Coordinates are ``lon``/``lat`` in the units of the rings. Columns added: key, values, ``how`` (inside, near, none).
+    Cells that hold points are covered top down: where more than ``few`` polygons are undecided, a cell is split in 16, up
+    to ``depth`` times. Rings come back only for cells that they cut or nearly touch, so a point is tested against a few
+    polygons, however many lie about its city.
     """
-    spots = points.select("lon", "lat").distinct().withColumn("cx", F.floor(F.col("lon") / cell).cast("long")).withColumn(
-        "cy", F.floor(F.col("lat") / cell).cast("long"))
-    hit = spots.join(_covering(polys, key, cell, 0.0, values), ["cx", "cy"], "inner").where(inside_ring("lon", "lat", "ring"))
-    order = F.struct((-F.round("_area", 9)).alias("a"), F.col(key)) if largest else F.struct(F.col(key))
+    order = F.struct((-F.round("_area", 9)).alias("a"), F.col(key).alias("k")) if largest else F.struct(F.col(key).alias("k"))
+    polys = polys.withColumn("_area", ring_area("ring")).withColumn("_order", order)
+    spots = cut_lineage(points.where(F.col("lon").isNotNull() & F.col("lat").isNotNull()).select("lon", "lat").distinct())
+    tested = polygon_tests(spots, polys, key, near, cell, few, depth)
+    tested = tested.join(polys.select(key, "ring", "_order", *values), key)
+    tested = tested.withColumn("_hit", F.col("whole") | inside_ring("lon", "lat", "ring"))
     pick = F.struct(key, *values)
-    inside = hit.groupBy("lon", "lat").agg(F.min_by(pick, order).alias("_in"))
-    found = spots.join(inside, ["lon", "lat"], "left")
+    picks = [F.min_by(F.when(F.col("_hit"), pick), F.when(F.col("_hit"), F.col("_order"))).alias("_in")]
     if near is not None:
-        missed = found.where(F.col("_in").isNull()).select("lon", "lat", "cx", "cy")
-        cand = missed.join(_covering(polys, key, cell, near, values), ["cx", "cy"], "inner").withColumn("_d", ring_distance("lon", "lat", "ring"))
-        close = cand.where(F.col("_d") <= near).groupBy("lon", "lat").agg(F.min_by(pick, F.struct(F.round("_d", 9), F.col(key))).alias("_nr"))
-        found = found.join(close, ["lon", "lat"], "left")
-    else:
-        found = found.withColumn("_nr", F.lit(None).cast(found.schema["_in"].dataType))
-    best = F.coalesce("_in", "_nr")
-    how = F.when(F.col("_in").isNotNull(), "inside").when(F.col("_nr").isNotNull(), "near").otherwise("none")
+        tested = tested.withColumn("_d", F.when(~F.col("_hit"), ring_distance("lon", "lat", "ring")))
+        close = F.col("_d") <= near
+        picks.append(F.min_by(F.when(close, pick), F.when(close, F.struct(F.round("_d", 9).alias("d"), F.col(key).alias("k")))).alias("_nr"))
+    found = tested.groupBy("lon", "lat").agg(*picks)
+    best = F.coalesce("_in", "_nr") if near is not None else F.col("_in")
+    how = F.when(F.col("_in").isNotNull(), "inside")
+    how = how.when(F.col("_nr").isNotNull(), "near") if near is not None else how
     found = found.select("lon", "lat", best.alias("_p"), how.alias("how"))
-    return points.join(found, ["lon", "lat"], "left").select(*[points[c] for c in points.columns], *[F.col("_p")[c].alias(c) for c in (key, *values)], "how")
+    return points.join(found, ["lon", "lat"], "left").select(*[points[c] for c in points.columns], *[F.col("_p")[c].alias(c) for c in (key, *values)], F.coalesce("how", F.lit("none")).alias("how"))
 
 
 def polygon_mask(points: DataFrame, polys: DataFrame, key: str, buffer: float, columns: Sequence[str], cell: float = 1.0) -> DataFrame:

@@ -343,3 +343,54 @@ def test_array_statistics(spark):
     row = spark.createDataFrame([(x.tolist(),), ([2.0],), ([],)], "x array<double>").select(
         inference.array_mean(F.col("x")).alias("m"), inference.array_variance(F.col("x")).alias("v"), inference.array_quantile(F.sort_array("x"), 0.1).alias("q")).collect()
     assert tuple(row[0]) == pytest.approx((x.mean(), x.var(), np.quantile(x, 0.1))) and tuple(row[1]) == (2.0, 0.0, 2.0) and row[2]["q"] is None
+
+
+def ring_facts(x, y, ring):
+    """Even-odd containment and distance to the edges."""
+    inside, far = False, []
+    for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]):
+        if (ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax:
+            inside = not inside
+        ux, uy = bx - ax, by - ay
+        t = min(max(((x - ax) * ux + (y - ay) * uy) / (ux * ux + uy * uy), 0), 1)
+        far.append(math.hypot(x - ax - t * ux, y - ay - t * uy))
+    return inside, min(far)
+
+
+def city(rng):
+    """Stars of every size, most of them over one city, and points that lie there too, some on corners."""
+    rings = {}
+    for k in range(60):
+        cx, cy = (10.2, 45.1) + rng.normal(size=2) * (0.05 if k < 45 else 3)
+        angles = np.sort(rng.uniform(0, 2 * math.pi, 9))
+        rings[k] = [(float(cx + r * math.cos(a)), float(cy + r * math.sin(a))) for a, r in zip(angles, rng.uniform(0.01, 0.04 if k < 45 else 2.5, 9))]
+    points = [tuple(map(float, p)) for p in np.vstack([(10.2, 45.1) + rng.normal(size=(150, 2)) * 0.06, rng.uniform((2, 38), (18, 52), (80, 2))])] + [rings[3][0], rings[50][4], rings[3][0]]
+    return rings, points
+
+
+@pytest.mark.parametrize(("near", "largest", "few", "depth"), [(1.0, False, 4, 6), (0.02, False, 1, 6), (None, True, 2, 3), (0.3, True, 0, 0)])
+def test_polygon_join_over_a_city(spark, near, largest, few, depth):
+    rings, points = city(np.random.default_rng(6))
+    polys = spark.createDataFrame([(k, [{"lon": x, "lat": y} for x, y in r], k * 1.5) for k, r in rings.items()], "zid long, ring array<struct<lon:double,lat:double>>, sev double")
+    df = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(points)] + [(900, None, 1.0)], "id long, lon double, lat double")
+    got = {r["id"]: (r["zid"], r["sev"], r["how"]) for r in spatial.polygon_join(df, polys, "zid", ["sev"], near=near, largest=largest, few=few, depth=depth).collect()}
+    area = {k: abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, r[1:] + r[:1]))) / 2 for k, r in rings.items()}
+    want = {900: (None, None, "none")}
+    for i, (x, y) in enumerate(points):
+        facts = {k: ring_facts(x, y, r) for k, r in rings.items()}
+        hit = min((k for k, f in facts.items() if f[0]), key=lambda k: ((-round(area[k], 9)) if largest else 0, k), default=None)
+        close = min((k for k, f in facts.items() if near is not None and f[1] <= near), key=lambda k: (round(facts[k][1], 9), k), default=None)
+        k = close if hit is None else hit
+        want[i] = (k, None if k is None else k * 1.5, "inside" if hit is not None else "near" if close is not None else "none")
+    assert got == want
+
+
+def test_polygon_tests_stay_few_in_a_city(spark):
+    """45 polygons within a tenth of a degree and 20,000 points among them: a point meets a few rings, not all."""
+    rng = np.random.default_rng(6)
+    rings, _ = city(rng)
+    polys = spark.createDataFrame([(k, [{"lon": x, "lat": y} for x, y in r]) for k, r in rings.items()], "zid long, ring array<struct<lon:double,lat:double>>")
+    polys = polys.withColumn("_order", F.struct(F.col("zid").alias("k")))
+    spots = spark.createDataFrame([tuple(map(float, p)) for p in (10.2, 45.1) + rng.normal(size=(20_000, 2)) * 0.06], "lon double, lat double")
+    n = spatial.polygon_tests(spots, polys, "zid", 1.0, 1.0, spatial.FEW_POLYGONS, spatial.CELL_SPLITS).groupBy("lon", "lat").count().agg(F.max("count").alias("most"), F.sum("count").alias("all")).head()
+    assert n["all"] < 4 * 20_000 and n["most"] <= 15
