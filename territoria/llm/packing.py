@@ -8,7 +8,9 @@ in windows of powers of two. Windows of one tier form step groups with equal num
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import cache
@@ -37,15 +39,21 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 #: Every character that a tokenizer may take for white space.
 _WHITE = [chr(i) for i in range(0x110000) if chr(i).isspace()]
+#: How a byte-level tokenizer parts a text into pieces that it encodes one by one, for texts of Latin letters
+#: (no ordinal signs and no micro sign among them), plain digits, spaces, line ends, and what is neither letter, number nor white.
+_L = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_PLAIN = re.compile(f"[{_L}0-9\t\n\r !-/:-@\\[-`{{-~\u00a1-\u00a9\u00ab\u00ac\u00ae-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u00d7\u00f7\u2010-\u2027\u2030-\u203a]*")
+_PIECES = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[0-9]+| ?[^\\s0-9{_L}]+|\\s+(?!\\S)|\\s+")
 
 
 class Encoder:
     """The ids of texts by one tokenizer, as little-endian bytes.
 
-    A byte-level tokenizer parts a text before each single space between other characters, so the runs between such
-    spaces are encoded once each and kept. New runs are encoded together: each starts with a space, and no other of its
-    tokens does. Texts where white space meets a space are encoded whole. What is kept has two generations: once the
-    young one holds half of ``most``, it becomes the old one, and what is met again moves from there to the new young one.
+    A byte-level tokenizer parts a text into pieces before it encodes each. Plain texts are parted the same way here; other
+    ones at each single space between other characters. Every piece or run is encoded once and kept. New ones that start
+    with a space are encoded together, as no other of their tokens does. Texts where white space meets a space, but for
+    plain ones, are encoded whole. What is kept has two generations: once the young one holds half of ``most``, it becomes
+    the old one, and what is met again moves from there to the new young one.
     """
 
     def __init__(self, path: str, most: int = WORDS):
@@ -55,13 +63,17 @@ class Encoder:
         self.tokenizer, self.most, self.known, self.old = Tokenizer.from_file(path), most, {}, {}
         self.starts = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.starts[[i for t, i in self.tokenizer.get_vocab().items() if t[0] == "\u0120"]] = True  # a space in the byte alphabet
+        form = json.loads(self.tokenizer.to_str())
+        parts = form.get("pre_tokenizer") or {}
+        self.by_pieces = form.get("normalizer") is None and parts.get("type") == "ByteLevel" and parts.get("use_regex", True) and not parts.get("add_prefix_space")
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        parts = [words[i:i + RUNS] for i in range(0, len(words), RUNS)]
-        for part, found in zip(parts, self.tokenizer.encode_batch_fast([" " + " ".join(p) for p in parts], add_special_tokens=False)):
+    def _learn(self, runs: list[str]) -> None:
+        """Runs that start with a space and hold no other one after another character."""
+        parts = [runs[i:i + RUNS] for i in range(0, len(runs), RUNS)]
+        for part, found in zip(parts, self.tokenizer.encode_batch_fast(["".join(p) for p in parts], add_special_tokens=False)):
             ids = np.array(found.ids, "<u4")
             at = (np.flatnonzero(self.starts[ids]) * 4).tolist()
             if len(at) != len(part):
@@ -69,23 +81,30 @@ class Encoder:
             data = ids.tobytes()
             self.known.update(zip(part, map(data.__getitem__, map(slice, at, [*at[1:], len(data)]))))
 
+    def _parts(self, text: str) -> list[str] | None:
+        if "<|" in text:
+            return None
+        if self.by_pieces and _PLAIN.fullmatch(text):
+            return _PIECES.findall(text)
+        if text[:1] == " " or text[-1:] == " " or any(w in text and (f" {w}" in text or f"{w} " in text) for w in _WHITE):
+            return None  # white space beside a space, or a space at an end
+        first, *rest = text.split(" ")
+        return [first, *[f" {r}" for r in rest]]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.most // 2:
             self.known, self.old = {}, self.known
-        parts = [None if self._mixed(t) else t.split(" ") for t in texts]
-        words = [p[1:] for p in parts if p]
-        new = set().union(*words).difference(self.known)
+        parts = [self._parts(t) for t in texts]
+        new = set().union(*[p for p in parts if p]).difference(self.known)
         again = new.intersection(self.old)
         self.known.update(zip(again, map(self.old.__getitem__, again)))
-        self._learn(list(new.difference(again)))
-        rest = iter(self._ids([t if p is None else p[0] for t, p in zip(texts, parts)]))
-        tails = iter(words)
-        return [next(rest) if p is None else next(rest) + b"".join(map(self.known.__getitem__, next(tails))) for p in parts]
-
-    @staticmethod
-    def _mixed(text: str) -> bool:
-        """White space beside a space, a space at an end, or what might be a special token."""
-        return text[:1] == " " or text[-1:] == " " or "<|" in text or any(w in text and (f" {w}" in text or f"{w} " in text) for w in _WHITE)
+        new -= again
+        spaced = [r for r in new if r[:1] == " " and r[1:].strip()]
+        self._learn(spaced)
+        alone = list(new.difference(spaced))
+        self.known.update(zip(alone, self._ids(alone)))
+        whole = iter(self._ids([t for t, p in zip(texts, parts) if p is None]))
+        return [next(whole) if p is None else b"".join(map(self.known.__getitem__, p)) for p in parts]
 
 
 @cache
