@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes that part words: space and the control characters 9 to 13. ``bytes.split()`` parts at exactly these.
@@ -141,6 +142,19 @@ class WordHasher:
         return np.concatenate([np.zeros(0, np.uint64), *out])
 
 
+def few(batches: Iterator[pa.RecordBatch], rows_: int = 256, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows_`` rows and about ``size`` bytes of texts and binaries; one row alone may hold more."""
+    for b in batches:
+        wide = [pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False) for c in b.columns if pa.types.is_binary(c.type) or pa.types.is_string(c.type)]
+        ends = np.cumsum(np.sum(wide, axis=0, dtype=np.int64)) if wide else np.zeros(b.num_rows, np.int64)
+        start = 0
+        while start < b.num_rows:
+            before = ends[start - 1] if start else 0
+            end = min(max(start + 1, int(np.searchsorted(ends, before + size, "right"))), start + rows_, b.num_rows)
+            yield b.slice(start, end - start)
+            start = end
+
+
 def by_bytes(keys: list, texts: list, most: int) -> Iterator[tuple[list, list]]:
     """The rows in runs of about ``most`` characters."""
     start, size = 0, 0

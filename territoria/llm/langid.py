@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from territoria.llm.common import column, documents, rows
+from territoria.llm.common import column, documents, few, rows
 
 #: Buckets of trigrams, documents of a language that the model is fitted on (expected), the penalty of a change of
 #: language, the share of a language's letters from which it counts as written in a script, and what a word costs a
@@ -221,8 +221,8 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, change: float = CHANGE) -> Mo
 OUT = "lang_pred string, score double, spans array<struct<start:long,end:long,lang:string>>"
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` with lang_pred, score and spans (places in code points, end exclusive).
+def identify(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
+    """All columns of ``docs`` with lang_pred, score and, if wanted, spans (places in code points, end exclusive).
 
     ``und`` with score 0 and no spans where the text is null or has no letter. Row by row, from the text alone.
     """
@@ -233,19 +233,16 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     out = ", ".join(f"in_{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
 
     def run(batches):
-        for b in batches:
-            texts, found, a, size = [t or "" for t in column(b, at)], [], 0, 0
-            for i, t in enumerate(texts):
-                size += len(t)
-                if size > 4 * PATHS or i + 1 == len(texts):
-                    found += model.label(texts[a:i + 1])
-                    a, size = i + 1, 0
-            spans = [[{"start": x, "end": y, "lang": g} for x, y, g in f[2]] for f in found]
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array(spans, pa.list_(part))],
-                names=[*b.schema.names, "lang_pred", "score", "spans"])
-
-    return inner.mapInArrow(run, f"{out}, {OUT}").toDF(*names, "lang_pred", "score", "spans")
+        for b in few(batches, 1 << 16, 4 * PATHS):
+            found = model.label([t or "" for t in column(b, at)])
+            out = [*b.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+            if spans:
+                out.append(pa.array([[{"start": x, "end": y, "lang": g} for x, y, g in f[2]] for f in found], pa.list_(part)))
+            yield pa.RecordBatch.from_arrays(out, names=[*b.schema.names, *added])
+
+    added = ["lang_pred", "score", "spans"][:3 if spans else 2]
+    kinds = OUT if spans else OUT.partition(", spans")[0]
+    return inner.mapInArrow(run, f"{out}, {kinds}").toDF(*names, *added)
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -198,10 +198,11 @@ def test_one_of_each_ids(spark):
     assert got(simhash.one_of_each(table(spark, []))) == []
 
 
-@pytest.mark.parametrize("most", [alike.PAIRS, 0])
-def test_near_dedup_is_exact(spark, monkeypatch, most):
-    """Every text is held against all that stay before it, whatever its fingerprint; by listed pairs and by rounds."""
-    monkeypatch.setattr(alike, "PAIRS", most)
+@pytest.mark.parametrize(("most", "rounds", "maps"), [(alike.PAIRS, 12, 8 << 20), (0, 12, 1), (0, 1, 8 << 20)])
+def test_near_dedup_is_exact(spark, monkeypatch, most, rounds, maps):
+    """Every text is held against all that stay before it, whatever its fingerprint; by listed pairs, by rounds, and by parts after one round."""
+    for name, x in (("PAIRS", most), ("ROUNDS", rounds), ("MAPS", maps), ("LEAST_PAIRS", 300)):
+        monkeypatch.setattr(alike, name, x)
     rng = random.Random(12)
     vocabulary = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(300)]
     texts = list(TEXTS)
@@ -212,14 +213,20 @@ def test_near_dedup_is_exact(spark, monkeypatch, most):
             for k in rng.sample(range(size), changes):
                 w[k] = rng.choice(vocabulary)
             texts.append((1000 + len(texts), " ".join(w)))
-    sets, kept = {}, {}
-    for i, t in sorted(texts):
-        w = tuple(WORDS.findall((t or "").lower()))
-        sets[i] = {w[k:k + 5] for k in range(max(1, len(w) - 4))} if w else set()
-        if not any(sets[i] == s or len(sets[i] & s) >= 0.8 * len(sets[i] | s) for s in kept.values()):
-            kept[i] = sets[i]
+    kept = brute_unlike(texts)
     out = {r["doc_id"] for r in got(corpus_pipeline.near_dedup(spark, table(spark, texts), FOLDER))}
-    assert out == set(kept) and out < brute_kept(texts)
+    assert out == kept and out < brute_kept(texts)
+
+
+def brute_unlike(texts):
+    """By doc_id, whoever shares 0.8 of its five-word shingles with none that stays before it."""
+    kept = {}
+    for i, t in sorted(texts):
+        w = tuple(WORDS.findall((t or "").translate({c: c + 32 for c in range(65, 91)})))
+        mine = {w[k:k + 5] for k in range(max(1, len(w) - 4))} if w else set()
+        if not any(mine == s or len(mine & s) >= 0.8 * len(mine | s) for s in kept.values()):
+            kept[i] = mine
+    return set(kept)
 
 
 @pytest.mark.parametrize("chunk", [simhash.CHUNK, 40])
@@ -570,7 +577,7 @@ def test_pipeline(spark, tmp_path):
         if name != "line_dedup":
             assert all(a[i] == t for i, t in b.items())
         if name == "near_dedup":
-            assert set(b) == brute_kept(a.items())
+            assert set(b) == brute_unlike(a.items())
         before = out
     tokens = sum(r["length"] for r in corpus_pipeline.packed(spark, before, FOLDER).collect())
     assert tokens == sum(r["length"] for r in corpus_pipeline.run(spark, FOLDER).collect()) > 100_000
