@@ -113,15 +113,20 @@ def local_index(components: Mapping[str, ColumnLike], weights: Mapping[str, floa
     """Struct: index, one contribution per component, and whether weights were redistributed."""
     check_weights(weights, 1e-3)
     cols = {k: col(components[k]) for k in weights}
-    den = total([F.when(cols[k].isNotNull(), w).otherwise(F.lit(0.0)) for k, w in weights.items()])
+    shares = {k: F.coalesce(c * weights[k], F.lit(0.0)) for k, c in cols.items()}
+    live = total([F.when(c.isNotNull(), weights[k]).otherwise(F.lit(0.0)) for k, c in cols.items()])
     missing = reduce(lambda a, b: a | b, [c.isNull() for c in cols.values()])
-    scale = F.when(missing, 1 / den).otherwise(F.lit(1.0))
-    parts = {k: F.coalesce(cols[k] * w, F.lit(0.0)) * scale for k, w in weights.items()}
-    return F.when(den > 0, F.struct(
-        clip(total(list(parts.values())), 0.0, 1.0).alias("index"),
-        *[p.alias(f"{k}_contrib") for k, p in parts.items()],
-        missing.alias("redistributed"),
-    ))
+
+    def scaled(v: Column) -> Column:
+        whole = F.least(F.greatest(v["sum"] * v["scale"], F.lit(0.0)), F.lit(1.0))
+        return F.struct(whole.alias("index"), *[(v[k] * v["scale"]).alias(f"{k}_contrib") for k in weights], v["missing"].alias("redistributed"))
+
+    def weighed(v: Column) -> Column:
+        scale = F.when(v["missing"], 1 / v["live"]).otherwise(F.lit(1.0))
+        return let(F.struct(*[v[k].alias(k) for k in weights], v["missing"].alias("missing"), scale.alias("scale"), total([v[k] for k in weights]).alias("sum")), scaled)
+
+    # Each step is bound once: parts, then their scale and sum, then the result.
+    return F.when(live > 0, let(F.struct(*[c.alias(k) for k, c in shares.items()], live.alias("live"), missing.alias("missing")), weighed))
 
 
 def site_score(available: Sequence[str], weights: Mapping[str, float] = WEIGHTS_SITE_SCORE) -> Column:

@@ -1,15 +1,9 @@
-"""Probability helpers. Normal quantile and log-logistic CDF are Columns; gamma kernels are numpy inside tasks."""
+"""Normal quantile and log-logistic distribution as Columns; the gamma family is in ``special``."""
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
 
 from territoria.functions.scalars import ColumnLike, clip, col, let
 
@@ -62,159 +56,3 @@ def norm_ppf(p: ColumnLike, clamp: float = 1e-6) -> Column:
 def loglogistic_cdf(x: ColumnLike, shape: ColumnLike, scale: ColumnLike) -> Column:
     x = col(x)
     return F.when(x > 0, 1 / (1 + F.pow(x / col(scale), -col(shape)))).when(x <= 0, F.lit(0.0))
-
-
-# --- numpy kernels used inside tasks ---------------------------------------------------------
-
-def digamma(x: np.ndarray) -> np.ndarray:
-    x = np.array(x, dtype=float)
-    out = np.zeros_like(x)
-    for _ in range(8):
-        small = x < 8
-        out = np.where(small, out - 1 / np.where(small, x, 1.0), out)
-        x = np.where(small, x + 1, x)
-    y = 1 / (x * x)
-    return out + np.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y * (1 / 240 - y / 132))))
-
-
-def trigamma(x: np.ndarray) -> np.ndarray:
-    x = np.array(x, dtype=float)
-    out = np.zeros_like(x)
-    for _ in range(8):
-        small = x < 8
-        out = np.where(small, out + 1 / np.where(small, x, 1.0) ** 2, out)
-        x = np.where(small, x + 1, x)
-    y = 1 / (x * x)
-    return out + 1 / x + y / 2 + y / x * (1 / 6 - y * (1 / 30 - y * (1 / 42 - y / 30)))
-
-
-def _lgamma(a: np.ndarray) -> np.ndarray:
-    return np.array([math.lgamma(v) for v in np.ravel(a)]).reshape(np.shape(a))
-
-
-def gammainc(a: np.ndarray, x: np.ndarray, rounds: int = 500) -> np.ndarray:
-    """Regularised lower incomplete gamma: power series below a+1, continued fraction above."""
-    a, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(x, float))
-    out = np.full(a.shape, np.nan)
-    out[x <= 0] = 0.0
-    ok = (x > 0) & (a > 0) & np.isfinite(x) & np.isfinite(a)
-    low, high = ok & (x < a + 1), ok & (x >= a + 1)
-    if low.any():
-        aa, xx = a[low], x[low]
-        term = 1 / aa
-        acc, n = term.copy(), aa.copy()
-        for _ in range(rounds):
-            n = n + 1
-            term = term * xx / n
-            acc = acc + term
-            if np.all(np.abs(term) < np.abs(acc) * 1e-16):
-                break
-        out[low] = acc * np.exp(-xx + aa * np.log(xx) - _lgamma(aa))
-    if high.any():
-        aa, xx = a[high], x[high]
-        b = xx + 1 - aa
-        c = np.full(b.shape, 1e300)
-        d = 1 / b
-        h = d.copy()
-        for i in range(1, rounds):
-            an = -i * (i - aa)
-            b = b + 2
-            d = an * d + b
-            d = 1 / np.where(np.abs(d) < 1e-300, 1e-300, d)
-            c = b + an / c
-            c = np.where(np.abs(c) < 1e-300, 1e-300, c)
-            step = d * c
-            h = h * step
-            if np.all(np.abs(step - 1) < 1e-15):
-                break
-        out[high] = 1 - np.exp(-xx + aa * np.log(xx) - _lgamma(aa)) * h
-    return out
-
-
-def gamma_shape(log_gap: np.ndarray) -> np.ndarray:
-    """Shape a solving ln a - digamma(a) = ln(mean x) - mean(ln x): closed-form start, then Newton."""
-    s = np.asarray(log_gap, float)
-    good = s > 0
-    g = np.where(good, s, 1.0)
-    a = (3 - g + np.sqrt((g - 3) ** 2 + 24 * g)) / (12 * g)
-    for _ in range(12):
-        a = np.maximum(a - (np.log(a) - digamma(a) - g) / (1 / a - trigamma(a)), 1e-8)
-    return np.where(good, a, np.nan)
-
-
-@pandas_udf(DoubleType())
-def gamma_shape_udf(log_gap: pd.Series) -> pd.Series:
-    return pd.Series(gamma_shape(log_gap.to_numpy(float)))
-
-
-@pandas_udf(DoubleType())
-def gamma_cdf_udf(x: pd.Series, shape: pd.Series, scale: pd.Series) -> pd.Series:
-    return pd.Series(gammainc(shape.to_numpy(float), x.to_numpy(float) / scale.to_numpy(float)))
-
-
-@pandas_udf(DoubleType())
-def pearson3_cdf_udf(x: pd.Series, skew: pd.Series, loc: pd.Series, scale: pd.Series) -> pd.Series:
-    return pd.Series(pearson3_cdf(*(s.to_numpy(float) for s in (x, skew, loc, scale))))
-
-
-def normal_cdf(z: np.ndarray) -> np.ndarray:
-    return np.array([0.5 * math.erfc(-v / math.sqrt(2)) if np.isfinite(v) else np.nan for v in np.ravel(z)])
-
-
-def pearson3_cdf(x, skew, loc, scale) -> np.ndarray:
-    """Skewed gamma with mean ``loc`` and standard deviation ``scale``; normal when the skew vanishes."""
-    x, skew, loc, scale = np.broadcast_arrays(*(np.asarray(v, float) for v in (x, skew, loc, scale)))
-    z = (x - loc) / scale
-    flat = np.abs(skew) < 1.6e-5
-    k = np.where(flat, 1.0, skew)
-    alpha = 4 / (k * k)
-    g = gammainc(alpha, np.maximum(2 / k * (z + 2 / k), 0.0))
-    out = np.where(k > 0, g, 1 - g)
-    return np.where(flat, normal_cdf(z).reshape(z.shape), np.where(np.isfinite(z), out, np.nan))
-
-
-def gamma_cdf_with_zeros(x: ColumnLike, zero_share: ColumnLike, shape: ColumnLike, scale: ColumnLike) -> Column:
-    """q0 + (1-q0) F(x); exactly q0 at or below zero."""
-    x, q0 = col(x), col(zero_share)
-    return F.when(x <= 0, q0).otherwise(q0 + (1 - q0) * gamma_cdf_udf(x, col(shape), col(scale)))
-
-
-def fit_loglogistic(x: np.ndarray, rounds: int = 100) -> tuple[float, float] | None:
-    """Maximum likelihood (shape, scale) of a log-logistic: Newton on the logistic of ln x, halving bad steps."""
-    y = np.log(np.asarray(x, float))
-    y = y[np.isfinite(y)]
-    if len(y) < 2 or y.std() < 1e-12:
-        return None
-
-    def nll(m: float, t: float) -> float:
-        z = (y - m) / math.exp(t)
-        return float(np.sum(z + t + 2 * np.logaddexp(0, -z)))
-
-    m, t = float(y.mean()), math.log(float(y.std()) * math.sqrt(3) / math.pi)
-    best = nll(m, t)
-    for _ in range(rounds):
-        s = math.exp(t)
-        z = (y - m) / s
-        f = np.tanh(z / 2)  # d nll / dz
-        h = (1 - f * f) / 2
-        grad = np.array([-f.sum() / s, len(y) - (f * z).sum()])
-        hess = np.array([[h.sum() / s**2, (h * z + f).sum() / s], [(h * z + f).sum() / s, (h * z * z + f * z).sum()]])
-        try:
-            step = np.linalg.solve(hess, grad)
-        except np.linalg.LinAlgError:
-            return None
-        if float(step @ grad) <= 0:
-            step = grad / max(1.0, float(np.abs(grad).max()))
-        size = 1.0
-        while size > 1e-8:
-            trial = nll(m - size * step[0], t - size * step[1])
-            if trial <= best:
-                break
-            size /= 2
-        else:
-            break
-        moved = size * np.abs(step).max()
-        m, t, best = m - size * step[0], t - size * step[1], trial
-        if moved < 1e-11:
-            break
-    return 1 / math.exp(t), math.exp(m)

@@ -4,16 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from territoria.functions.distributions import (
-    fit_loglogistic, gamma_cdf_with_zeros, gamma_shape_udf, loglogistic_cdf, norm_ppf, pearson3_cdf_udf,
-)
+from territoria.functions.distributions import loglogistic_cdf, norm_ppf
 from territoria.functions.scalars import ColumnLike, clip, col
+from territoria.functions.special import fit_loglogistic, gamma_cdf_with_zeros, gamma_shape, pearson3_cdf
 
 
 def monthly(df: DataFrame, keys: Sequence[str], ts: str, how: Column, out: str) -> DataFrame:
@@ -185,7 +182,7 @@ def spi_gamma(df: DataFrame, keys: Sequence[str], value: str, baseline: Column,
     fit = df.groupBy(*keys).agg(
         F.count(base).alias("_n"), F.count(pos).alias("_np"), F.avg((base == 0).cast("double")).alias("_q0"),
         F.avg(pos).alias("_m"), F.avg(F.ln(pos)).alias("_lm"))
-    fit = fit.withColumn("_a", gamma_shape_udf(F.ln("_m") - F.col("_lm"))).withColumn("_b", F.col("_m") / F.col("_a"))
+    fit = fit.withColumn("_a", gamma_shape(F.ln("_m") - F.col("_lm"))).withColumn("_b", F.col("_m") / F.col("_a"))
     joined = df.join(fit, list(keys), "left")
     prob = gamma_cdf_with_zeros(F.col(value), F.col("_q0"), F.col("_a"), F.col("_b"))
     index = (F.when(F.col("_n") < min_values, F.lit(None).cast("double"))
@@ -203,22 +200,10 @@ def thom_gamma(mean: ColumnLike, mean_log: ColumnLike) -> tuple[Column, Column]:
 
 def loglogistic_params(df: DataFrame, keys: Sequence[str], value: str, baseline: Column, min_values: int = 10) -> DataFrame:
     """(keys, shape, scale, shift): maximum likelihood on value - min + 1. Groups are one entity's baseline months."""
-    keys = list(keys)
-    base = df.where(baseline & F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.schema if f.name != "_x")
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf["_x"].to_numpy()
-        head = pdf[keys].iloc[:1].reset_index(drop=True)
-        if len(x) < min_values:
-            return head.iloc[:0].assign(shape=np.nan, scale=np.nan, shift=np.nan)
-        shift = 1.0 - x.min()
-        found = fit_loglogistic(x + shift)
-        if found is None:
-            return head.iloc[:0].assign(shape=np.nan, scale=np.nan, shift=np.nan)
-        return head.assign(shape=found[0], scale=found[1], shift=shift)
-
-    return base.groupBy(*keys).applyInPandas(fit, f"{schema}, shape double, scale double, shift double")
+    x = F.col(value).cast("double")
+    base = df.where(baseline & x.isNotNull()).groupBy(*keys).agg(F.collect_list(x).alias("_x")).where(F.size("_x") >= min_values)
+    fit = base.withColumn("shift", 1 - F.array_min("_x")).withColumn("_f", fit_loglogistic(F.transform("_x", lambda v: v + F.col("shift"))))
+    return fit.where(F.col("_f").isNotNull()).select(*keys, "_f.shape", "_f.scale", "shift")
 
 
 def spei_loglogistic(df: DataFrame, keys: Sequence[str], value: str, baseline: Column, out: str = "spei",
@@ -242,7 +227,7 @@ def pearson3_params(df: DataFrame, keys: Sequence[str], value: str, baseline: Co
 def spei_pearson3(df: DataFrame, keys: Sequence[str], value: str, baseline: Column, out: str = "spei",
                   min_values: int = 10, clamp: float = 1e-4) -> DataFrame:
     joined = df.join(pearson3_params(df, keys, value, baseline, min_values), list(keys), "left")
-    prob = pearson3_cdf_udf(F.col(value), F.col("skew"), F.col("loc"), F.col("scale"))
+    prob = pearson3_cdf(value, "skew", "loc", "scale")
     index = F.when(F.col("scale").isNotNull() & F.col(value).isNotNull(), norm_ppf(prob, clamp))
     return joined.withColumn(out, index).drop("skew", "loc", "scale")
 

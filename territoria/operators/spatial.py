@@ -23,6 +23,8 @@ ROOT_KM = 2048.0
 LEAF_ROWS = 32
 MAX_DEPTH = 12
 MAX_ROOT_CELLS = 4096
+#: Rows of one side that meet in one slice of a cell.
+CELL_ROWS = 2048
 #: Undecided polygons that a cell may hold before it is split, and splits at most.
 FEW_POLYGONS, CELL_SPLITS = 4, 6
 
@@ -125,15 +127,30 @@ def nearest_join(left: DataFrame, right: DataFrame, left_id: str = "id", right_i
     return out
 
 
-def radius_pairs(left: DataFrame, right: DataFrame, radius: float, right_cols: Sequence[str]) -> DataFrame:
-    """(x, y, dist, right_cols…) for distinct left locations and right rows within the radius, by cell equi-join."""
+def radius_cells(left: DataFrame, right: DataFrame, radius: float, right_cols: Sequence[str], most: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct left locations and right rows, each with the cell (cx, cy) and the slices (_ls, _rs) in which they meet.
+
+    A left location visits the cells around it. Where more than ``most`` rows of a side come to one cell, that side is
+    dealt into slices by hash and the other side goes to each, so no group holds more than about ``most`` of either.
+    """
     around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    spots = left.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select("x", "y").distinct()
-    a = spots.select("x", "y", around.alias("o")).select(
-        "x", "y", (_cell("x", radius) + F.col("o.i")).alias("cx"), (_cell("y", radius) + F.col("o.j")).alias("cy"))
-    b = right.select(_cell("x", radius).alias("cx"), _cell("y", radius).alias("cy"), F.col("x").alias("_rx"), F.col("y").alias("_ry"), *right_cols)
+    here = F.col("x").isNotNull() & F.col("y").isNotNull()
+    spots = cut_lineage(left.where(here).select("x", "y").distinct())
+    a = spots.select("x", "y", around.alias("o")).select("x", "y", (_cell("x", radius) + F.col("o.i")).alias("cx"), (_cell("y", radius) + F.col("o.j")).alias("cy"))
+    b = cut_lineage(right.where(here).select(_cell("x", radius).alias("cx"), _cell("y", radius).alias("cy"), F.col("x").alias("_rx"), F.col("y").alias("_ry"), *right_cols))
+    slices = lambda name: F.ceil(F.count(F.lit(1)) / most).alias(name)
+    cells = a.groupBy("cx", "cy").agg(slices("_nl")).join(b.groupBy("cx", "cy").agg(slices("_nr")), ["cx", "cy"])
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    a = a.join(cells, ["cx", "cy"]).withColumn("_ls", F.pmod(F.xxhash64("x", "y"), F.col("_nl"))).withColumn("_rs", every("_nr")).drop("_nl", "_nr")
+    b = b.join(cells, ["cx", "cy"]).withColumn("_rs", F.pmod(F.xxhash64("_rx", "_ry", *right_cols), F.col("_nr"))).withColumn("_ls", every("_nl")).drop("_nl", "_nr")
+    return a, b
+
+
+def radius_pairs(left: DataFrame, right: DataFrame, radius: float, right_cols: Sequence[str], most: int = CELL_ROWS) -> DataFrame:
+    """(x, y, dist, right_cols…) for distinct left locations and right rows within the radius, by slices of cells."""
+    a, b = radius_cells(left, right, radius, right_cols, most)
     d = F.hypot(F.col("x") - F.col("_rx"), F.col("y") - F.col("_ry"))
-    return a.join(b, ["cx", "cy"], "inner").withColumn("dist", d).where(F.col("dist") <= radius).drop("cx", "cy", "_rx", "_ry")
+    return a.join(b, ["cx", "cy", "_ls", "_rs"], "inner").withColumn("dist", d).where(F.col("dist") <= radius).drop("cx", "cy", "_ls", "_rs", "_rx", "_ry")
 
 
 def radius_join(left: DataFrame, right: DataFrame, radius: float, left_id: str = "id", right_cols: Sequence[str] = ("sid",)) -> DataFrame:
@@ -180,15 +197,46 @@ def radius_sums(left: DataFrame, right: DataFrame, radius: float, sums: dict[str
     return left.select(left_id, "x", "y").join(per_spot, ["x", "y"], "left").drop("x", "y")
 
 
-def other_level_pairs(nodes: DataFrame, group: str, max_km: float = 0.05, node: str = "id") -> DataFrame:
-    """Unordered pairs (a, b) of each node with the nearest node of another group within ``max_km``.
+def nearest_of_another_group(nodes: DataFrame, group: str, node: str = "id", max_km: float | None = None, root: float = ROOT_KM, leaf: int = LEAF_ROWS) -> DataFrame:
+    """(x, y, group, _b, dist): for each location and group the nearest node of another group, ties to the smaller id.
 
-    Nodes of one location and group are collapsed to the smallest id, so a stack of copies forms no pairs with itself.
+    The search walks the pyramid with the least and the greatest group of every cell: a cell that holds the own group only
+    is dropped, any other one has a node to offer and bounds the distance by its far corner. So a dense area of one
+    group is never searched from within.
     """
-    one = nodes.groupBy("x", "y", group).agg(F.min(node).alias("_b"))
-    p = radius_pairs(nodes, one.withColumnRenamed(group, "_g"), max_km, ["_b", "_g"])
-    full = nodes.select(node, group, "x", "y").join(p, ["x", "y"], "inner").where(F.col(group) != F.col("_g"))
-    best = full.groupBy(node).agg(F.min_by("_b", F.struct("dist", "_b")).alias("_b"), F.min("dist").alias("dist"))
+    known = nodes.where(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col(group).isNotNull())
+    one = known.groupBy("x", "y", F.col(group).alias("_g")).agg(F.min(node).alias("_b"))
+    one = cut_lineage(one)
+    spots = one.select("x", "y", F.col("_g").alias("_own"))
+    pts = cut_lineage(top_per_group(one, ["x", "y"], [F.col("_b").asc()], 2))  # whatever the own group is, one of two is another
+    depth = pyramid_depth(pts.select("x", "y"), root, leaf)
+    finest = root / 4**depth
+    levels = [pts.groupBy(_cell("x", finest).alias("cx"), _cell("y", finest).alias("cy")).agg(F.min("_g").alias("glo"), F.max("_g").alias("ghi"))]
+    for _ in range(depth):
+        up = levels[-1].groupBy(F.floor(F.col("cx") / 4).cast("long").alias("cx"), F.floor(F.col("cy") / 4).cast("long").alias("cy"))
+        levels.append(up.agg(F.min("glo").alias("glo"), F.max("ghi").alias("ghi")))
+    levels = levels[::-1]
+    cand = spots.crossJoin(F.broadcast(levels[0]))
+    here = W.partitionBy("x", "y", "_own")
+    for d in range(depth + 1):
+        size = root / 4**d
+        if d:
+            child = levels[d].select(F.floor(F.col("cx") / 4).cast("long").alias("px"), F.floor(F.col("cy") / 4).cast("long").alias("py"), "*")
+            cand = cand.select("x", "y", "_own", F.col("cx").alias("px"), F.col("cy").alias("py")).join(child, ["px", "py"], "inner")
+        near, far = _box_distance(F.col("x"), F.col("y"), F.col("cx"), F.col("cy"), size)
+        cand = cand.where((F.col("glo") != F.col("_own")) | (F.col("ghi") != F.col("_own"))).withColumn("_near", near).withColumn("_far", far)
+        if max_km is not None:
+            cand = cand.where(F.col("_near") <= max_km * (1 + 1e-9))
+        cand = cand.withColumn("_bound", F.min("_far").over(here)).where(F.col("_near") <= F.col("_bound") * (1 + 1e-9) + 1e-12).select("x", "y", "_own", "cx", "cy")
+    cells = pts.select(_cell("x", finest).alias("cx"), _cell("y", finest).alias("cy"), F.col("x").alias("_rx"), F.col("y").alias("_ry"), "_g", "_b")
+    met = cand.join(cells, ["cx", "cy"]).where(F.col("_g") != F.col("_own")).withColumn("dist", F.hypot(F.col("x") - F.col("_rx"), F.col("y") - F.col("_ry")))
+    met = met if max_km is None else met.where(F.col("dist") <= max_km)
+    return met.groupBy("x", "y", F.col("_own").alias(group)).agg(F.min_by("_b", F.struct("dist", "_b")).alias("_b"), F.min("dist").alias("dist"))
+
+
+def other_level_pairs(nodes: DataFrame, group: str, max_km: float = 0.05, node: str = "id") -> DataFrame:
+    """Unordered pairs (a, b) of each node with the nearest node of another group within ``max_km``."""
+    best = nodes.select(node, group, "x", "y").join(nearest_of_another_group(nodes, group, node, max_km), ["x", "y", group])
     return best.select(F.least(node, "_b").alias("a"), F.greatest(node, "_b").alias("b"), "dist").dropDuplicates(["a", "b"])
 
 

@@ -185,7 +185,7 @@ def _weighted_rank(df: DataFrame, base: DataFrame, value: str, out: str, keys: S
 
 def spearman_p(rho: ColumnLike, n: ColumnLike) -> Column:
     """Two-sided p of rho by the Student approximation with n-2 degrees of freedom."""
-    from territoria.functions.student import student_two_sided
+    from territoria.functions.special import student_two_sided
 
     rho, n = col(rho), col(n)
     t = rho * F.sqrt((n - 2) / F.greatest(1 - rho * rho, F.lit(1e-300)))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from territoria.functions import scalars as S
 from territoria.functions.distributions import norm_ppf
 from territoria.operators import joins, quality, ranking, sampling, series, stats, warehouse
-from territoria.plans.catalog.scoring import SITE_INDEX, ppf_sql, restriction_orders, site_index_frame
+from territoria.plans.catalog.scoring import SITE_INDEX, gamma_cdf_sql, ppf_sql, restriction_orders, site_index_frame
 from territoria.plans.inputs import (
     FACTORS, NATION_MONTH, PRODUCTION, SITES, STATIONS, SUPPLIER_MONTH, c01, lat_sql, lon_sql, nation_month, production,
     site_points, sites, stations, supplier_month,
@@ -424,38 +424,83 @@ def _balance(t):
     return m.withColumn("d", F.col("precip") - F.col("pet"))
 
 
-@query("gamma_drought_index", "A39 P27 F1")
+_BALANCE = f"""{NATION_MONTH}, b AS (SELECT nation, month, month(month) AS cal, precip, precip - pet AS d FROM nm)"""
+
+
+def gamma_shape_sql(g: str) -> str:
+    """Newton on ln a - digamma(a) = g from the closed-form start."""
+    v, y = "(1 / ((a + 8) * (a + 8)))", "(a + 8)"
+    digamma = f"(ln({y}) - 0.5e0 / {y} - {v} * (1 / 12e0 - {v} * (1 / 120e0 - {v} * (1 / 252e0 - {v} * (1 / 240e0 - {v} / 132e0)))) - {' - '.join(f'1 / (a + {k})' for k in range(8))})"
+    trigamma = f"(1 / {y} + {v} / 2 + {v} / {y} * (1 / 6e0 - {v} * (1 / 30e0 - {v} * (1 / 42e0 - {v} / 30e0))) + {' + '.join(f'1 / ((a + {k}) * (a + {k}))' for k in range(8))})"
+    start = f"(3 - {g} + sqrt(({g} - 3) * ({g} - 3) + 24 * {g})) / (12 * {g})"
+    return f"list_reduce(list_concat([{start}], [{', '.join(['0e0'] * 12)}]), lambda a, i: greatest(a - (ln(a) - {digamma} - {g}) / (1 / a - {trigamma}), 1e-8))"
+
+
+def spi_sql(table: str, keys: str, value: str, base: str, extra: str = "") -> str:
+    """CTEs ``fit`` and ``spi``: the gamma index of ``value`` in ``table``, fitted per ``keys`` on the rows of ``base``."""
+    on = " AND ".join(f"t.{k.strip()} = f.{k.strip()}" for k in keys.split(","))
+    return f"""fit0 AS (SELECT {keys}, count({value}) FILTER ({base}) AS n, count(*) FILTER ({base} AND {value} > 0) AS np, avg(({value} = 0)::INT) FILTER ({base}) AS q0,
+  avg({value}) FILTER ({base} AND {value} > 0) AS m, avg(CASE WHEN {value} > 0 THEN ln({value}) END) FILTER ({base}) AS lm FROM {table} GROUP BY {keys}),
+ fit1 AS (SELECT *, CASE WHEN ln(m) - lm > 0 THEN ln(m) - lm END AS g FROM fit0), fit AS (SELECT *, {gamma_shape_sql('g')} AS a FROM fit1),
+ spi0 AS (SELECT t.*, f.n, f.np, CASE WHEN {value} IS NULL THEN NULL WHEN {value} <= 0 THEN q0 ELSE q0 + (1 - q0) * {gamma_cdf_sql('a', f'({value} / (m / a))')} END AS p FROM {table} t JOIN fit f ON {on}),
+ spi AS (SELECT *, CASE WHEN n < 10 THEN NULL WHEN np < 4 THEN 0e0 WHEN {value} IS NOT NULL THEN {ppf_sql('p', '1e-6')} END AS spi FROM spi0)"""
+
+
+@query("gamma_drought_index", "A39 P27 F1", f"WITH {_BALANCE}, {spi_sql('b', 'nation', 'precip', 'year(month) BETWEEN 1995 AND 1999')} SELECT nation, month, round(spi, 6) AS spi FROM spi")
 def gamma_drought_index(t):
     z = series.spi_gamma(_balance(t), ["nation"], "precip", F.year("month").between(1995, 1999))
     return z.select("nation", "month", r("spi").alias("spi"))
 
 
-@query("loglogistic_drought_index", "A38 P26 S6")
+def loglogistic_sql(keys: str, base: str, least: int) -> str:
+    """CTEs ``fit`` (keys, m, t, shift) by Newton's method with bounded steps and ``p`` with the probability of every row of b."""
+    using = f"USING ({keys})"
+    return f"""o AS (SELECT {keys}, 1 - min(d) AS shift, count(*) AS n FROM b WHERE {base} GROUP BY {keys}), y AS (SELECT {keys}, shift, ln(d + shift) AS y FROM b JOIN o {using} WHERE {base} AND n >= {least}),
+ it AS (SELECT 0 AS k, {keys}, avg(y) AS m, ln(stddev_pop(y) * sqrt(3) / pi()) AS t FROM y GROUP BY {keys} HAVING stddev_pop(y) >= 1e-12 UNION ALL
+  SELECT k + 1, {keys}, m - CASE WHEN det > 0 THEN least(greatest((tt * gm - mt * gt) / det, -exp(t)), exp(t)) ELSE exp(t) * sign(gm) / 8 END,
+   t - CASE WHEN det > 0 THEN least(greatest((mm * gt - mt * gm) / det, -0.5e0), 0.5e0) ELSE 0.1e0 * sign(gt) END FROM (SELECT *, mm * tt - mt * mt AS det FROM
+   (SELECT k, {keys}, m, t, -sum(f) / exp(t) AS gm, count(*) - sum(f * z) AS gt, sum(h) / exp(2 * t) AS mm, (sum(h * z) + sum(f)) / exp(t) AS mt, sum(h * z * z) + sum(f * z) AS tt FROM
+    (SELECT *, (1 - f * f) / 2 AS h FROM (SELECT *, tanh(z / 2) AS f FROM (SELECT it.*, (y - m) / exp(t) AS z FROM it JOIN y {using} WHERE k < 80))) GROUP BY k, {keys}, m, t))),
+ fit AS (SELECT {keys}, m, t, shift FROM it JOIN o {using} WHERE k = 80), p AS (SELECT b.*, CASE WHEN t IS NULL THEN NULL WHEN d + shift > 0 THEN 1 / (1 + pow((d + shift) / exp(m), -exp(-t))) ELSE 0e0 END AS p FROM b LEFT JOIN fit {using})"""
+
+
+@query("loglogistic_drought_index", "A38 P26 S6", f"""WITH RECURSIVE {_BALANCE}, {loglogistic_sql('nation, cal', 'year(month) BETWEEN 1995 AND 2000', 4)}, z AS (SELECT *, {ppf_sql('p', '1e-6')} AS spei FROM p)
+SELECT nation, month, round(spei, 6) AS spei FROM z""")
 def loglogistic_drought_index(t):
     z = series.spei_loglogistic(_balance(t), ["nation", "cal"], "d", F.year("month").between(1995, 2000), min_values=4)
     return z.select("nation", "month", r("spei").alias("spei"))
 
 
-@query("whole_series_drought_index", "A38b")
+@query("whole_series_drought_index", "A38b", f"""WITH RECURSIVE {_BALANCE}, {loglogistic_sql('nation', 'true', 10)}, z AS (SELECT *, {ppf_sql('p', '1e-6')} AS spei FROM p)
+SELECT nation, month, round(spei, 6) AS spei FROM z""")
 def whole_series_drought_index(t):
     z = series.spei_loglogistic(_balance(t), ["nation"], "d", F.lit(True))
     return z.select("nation", "month", r("spei").alias("spei"))
 
 
-@query("pearson3_drought_index", "A40 P28")
+@query("pearson3_drought_index", "A40 P28", f"""WITH {_BALANCE}, a AS (SELECT nation, cal, avg(d) AS loc, stddev_pop(d) AS sc FROM b WHERE year(month) BETWEEN 1995 AND 2000 GROUP BY 1, 2 HAVING count(*) >= 4),
+ f AS (SELECT nation, cal, loc, sc, avg(pow((d - loc) / sc, 3)) AS k FROM b JOIN a USING (nation, cal) WHERE year(month) BETWEEN 1995 AND 2000 AND sc > 0 GROUP BY 1, 2, 3, 4),
+ x AS (SELECT b.*, k, 4 / (k * k) AS al, greatest(2 / k * ((d - loc) / sc + 2 / k), 0e0) AS x FROM b LEFT JOIN f USING (nation, cal)),
+ p AS (SELECT *, CASE WHEN k > 0 THEN {gamma_cdf_sql('al', 'x')} WHEN k < 0 THEN 1 - {gamma_cdf_sql('al', 'x')} END AS p FROM x), z AS (SELECT *, {ppf_sql('p', '1e-4')} AS spei FROM p)
+SELECT nation, month, round(spei, 6) AS spei FROM z""")
 def pearson3_drought_index(t):
     z = series.spei_pearson3(_balance(t), ["nation", "cal"], "d", F.year("month").between(1995, 2000), min_values=4)
     return z.select("nation", "month", r("spei").alias("spei"))
 
 
-@query("fit_goodness", "A43")
+@query("fit_goodness", "A43", f"""WITH RECURSIVE {_BALANCE}, {loglogistic_sql('nation', 'true', 10)},
+ g AS (SELECT nation, p, row_number() OVER (PARTITION BY nation ORDER BY d, month) AS i, count(*) OVER (PARTITION BY nation) AS n FROM p WHERE p IS NOT NULL),
+ k AS (SELECT nation, max(greatest(i / n::DOUBLE - p, p - (i - 1) / n::DOUBLE)) AS ks, max(n) AS n FROM g GROUP BY 1), x AS (SELECT *, ks * (sqrt(n) + 0.12e0 + 0.11e0 / sqrt(n)) AS x FROM k),
+ v AS (SELECT *, CASE WHEN x < 0.2 THEN 1e0 ELSE least(greatest(list_sum(list_transform(range(1, 101), lambda j: (CASE WHEN j % 2 = 1 THEN 2e0 ELSE -2e0 END) * exp(-2e0 * j * j * x * x))), 0e0), 1e0) END AS p_value FROM x)
+SELECT nation, round(ks, 8) AS ks, n, round(p_value, 6) AS p_value, p_value < 0.05 AS rejected FROM v""")
 def fit_goodness(t):
     from territoria.functions.distributions import loglogistic_cdf
 
     b = _balance(t)
     p = series.loglogistic_params(b, ["nation"], "d", F.lit(True))
     j = b.join(p, "nation").withColumn("_p", loglogistic_cdf(F.col("d") + F.col("shift"), "shape", "scale"))
-    return series.ks_test(j, ["nation"], "d", F.col("_p")).withColumn("rejected", F.col("p_value") < 0.05)
+    k = series.ks_test(j, ["nation"], "d", F.col("_p"))
+    return k.select("nation", r("ks", 8).alias("ks"), "n", r("p_value").alias("p_value"), (F.col("p_value") < 0.05).alias("rejected"))
 
 
 # --- joins and sets --------------------------------------------------------------------------

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from territoria.functions.scalars import score_band
-from territoria.plans.catalog.climate import _Z, station_z
+from territoria.functions.scalars import SCORE_BANDS, score_band
+from territoria.plans.catalog.climate import _Z, spi_sql, station_z
+from territoria.plans.catalog.scoring import _BAND as BAND_SQL
 from territoria.plans.grid_score import score_cells
-from territoria.plans.inputs import SITES, c01, sites, supplier_month
+from territoria.plans.inputs import SITES, SUPPLIER_MONTH, c01, sites, supplier_month
 from territoria.plans.registry import query
 from territoria.plans.site_engine import cell_series, local_stress
 from territoria.sources.readers import merge_variables
@@ -18,7 +19,19 @@ def r(c, d=6):
     return F.round(c, d)
 
 
-@query("grid_pipeline_scores", "E5 A17 A39 P11 P12 P29 P30b")
+_GRID = f"""{SUPPLIER_MONTH}, ac AS (SELECT station AS cell, month, CASE WHEN count(precip) OVER w = 3 THEN sum(precip) OVER w END AS acc FROM sm WINDOW w AS (PARTITION BY station ORDER BY month ROWS 2 PRECEDING)),
+ {spi_sql('ac', 'cell', 'acc', 'year(month) BETWEEN 1995 AND 1999')}, dr AS (SELECT cell, month, {c01('-spi', '3e0')} AS drought FROM spi WHERE year(month) = 2000),
+ vol AS (SELECT l_suppkey AS cell, sum(l_quantity) AS w FROM lineitem GROUP BY 1), cp AS (SELECT quantile_cont(w, 0.95) FILTER (w > 0) AS cap, max(w) AS top FROM vol JOIN supplier ON s_suppkey = cell),
+ st AS (SELECT cell, {c01('s_suppkey * 29 % 101 / 20e0', '5e0')} AS b, CASE WHEN s_suppkey % 5 <> 2 THEN {c01('s_suppkey * 31 % 101 / 20e0', '5e0')} END AS g, 1 / (1 + exp(0.8e0 * ((s_suppkey * 41 % 601) / 100e0 - 3))) AS z,
+  coalesce(least(greatest(w, 0), cap) / least(cap, top), 0) AS pr FROM supplier JOIN vol ON s_suppkey = cell, cp),
+ sc AS (SELECT cell, {c01('b + (1 - b) * 0.5e0 * pr')} AS bws, {c01('(coalesce(0.5e0 * g, 0) + 0.2e0 * z) / (CASE WHEN g IS NULL THEN 0e0 ELSE 0.5e0 END + 0.2e0)')} AS gws FROM st),
+ wm AS (SELECT cell, month, bws, gws, drought, {c01('0.60e0 * bws + 0.25e0 * gws + 0.15e0 * drought')} AS w FROM dr JOIN sc USING (cell)),
+ ag AS (SELECT cell, avg(w) AS wsi_mean, quantile_cont(w, 0.1) AS wsi_p10, quantile_cont(w, 0.9) AS wsi_p90, least(sqrt(pow(0.6e0 * 0.12e0 * max(bws), 2) + pow(0.25e0 * 0.18e0 * max(gws), 2) + pow(0.15e0 * 0.22e0 * avg(drought), 2)), 1e0) AS wsi_uncertainty,
+  100 * (1 - avg(w)) AS water_score, min(100 * (1 - w)) AS worst_month_score, avg(100 * (1 - w)) FILTER (month(month) BETWEEN 6 AND 9) AS summer_mean_score FROM wm GROUP BY cell)"""
+_SCORES = ("wsi_mean", "wsi_p10", "wsi_p90", "wsi_uncertainty", "water_score", "worst_month_score", "summer_mean_score")
+
+
+@query("grid_pipeline_scores", "E5 A17 A39 P11 P12 P29 P30b", f"""WITH {_GRID} SELECT cell, {', '.join(f'round({c}, 4) AS {c}' for c in _SCORES)}, {BAND_SQL.format('water_score', [b[0] for b in SCORE_BANDS])} AS level FROM ag""")
 def grid_pipeline_scores(t):
     """Suppliers as cells: raw layers from their attributes, monthly precipitation from the lines."""
     k = F.col("s_suppkey")
@@ -26,8 +39,7 @@ def grid_pipeline_scores(t):
     static = t.supplier.select(k.alias("cell"), ((k * 29 % 101) / 20).alias("bws_raw"), F.when(k % 5 != 2, (k * 31 % 101) / 20).alias("gws_raw"), ((k * 41 % 601) / 100 - 3).alias("station_z")).join(vol, "cell")
     months = supplier_month(t).select(F.col("station").alias("cell"), "month", "precip")
     s = score_cells(static, months, "cell", "month", F.year("month").between(1995, 1999), window=3, year=2000)
-    cols = ("wsi_mean", "wsi_p10", "wsi_p90", "wsi_uncertainty", "water_score", "worst_month_score", "summer_mean_score")
-    return s.select("cell", *[r(c, 4).alias(c) for c in cols], score_band("water_score")["level"].alias("level"))
+    return s.select("cell", *[r(c, 4).alias(c) for c in _SCORES], score_band("water_score")["level"].alias("level"))
 
 
 @query("site_engine", "E6 U5 W2 W3 P30c P38", f"""
@@ -36,15 +48,16 @@ WITH {_Z}, d AS (SELECT station, month, z, {c01('-z', '3e0')} AS d FROM z),
    WINDOW w3 AS (PARTITION BY station ORDER BY month ROWS 2 PRECEDING), w12 AS (PARTITION BY station ORDER BY month ROWS 11 PRECEDING)),
  {SITES}, n AS (SELECT count(*) AS n FROM supplier), j AS (SELECT id, month, x_bws AS b, x_gws AS g, d, s, v, least(0.30e0 * ns + 0.25e0 * 0.5e0 * (x_gws IS NULL)::INT + 0.25e0 * {c01('1 - 10 * x_sv')} + 0.20e0 * {c01('(id % 30) / 14e0')}, 1e0) AS u
    FROM sites, n JOIN c ON true WHERE c.station = id % n)
-SELECT month, count(*) AS n_sites, round(avg((0.25e0 * b + coalesce(0.15e0 * g, 0) + coalesce(0.25e0 * d, 0) + coalesce(0.15e0 * s, 0) + coalesce(0.10e0 * v, 0) + 0.10e0 * u)
-  / (0.25e0 + CASE WHEN g IS NULL THEN 0 ELSE 0.15e0 END + CASE WHEN d IS NULL THEN 0 ELSE 0.25e0 END + CASE WHEN s IS NULL THEN 0 ELSE 0.15e0 END + CASE WHEN v IS NULL THEN 0 ELSE 0.10e0 END + 0.10e0)), 6) AS mean_index,
-  count(*) FILTER (g IS NULL OR d IS NULL OR s IS NULL OR v IS NULL) AS n_redistributed FROM j GROUP BY 1""")
+SELECT id, month, round((0.25e0 * b + coalesce(0.15e0 * g, 0) + coalesce(0.25e0 * d, 0) + coalesce(0.15e0 * s, 0) + coalesce(0.10e0 * v, 0) + 0.10e0 * u)
+  / (0.25e0 + CASE WHEN g IS NULL THEN 0 ELSE 0.15e0 END + CASE WHEN d IS NULL THEN 0 ELSE 0.25e0 END + CASE WHEN s IS NULL THEN 0 ELSE 0.15e0 END + CASE WHEN v IS NULL THEN 0 ELSE 0.10e0 END + 0.10e0), 6) AS index,
+  g IS NULL OR d IS NULL OR s IS NULL OR v IS NULL AS redistributed FROM j""")
 def site_engine(t):
+    """The index of every site in every month."""
     cells = cell_series(station_z(t), "station", "month", "z")
     n = t.supplier.agg(F.count(F.lit(1)).alias("_n"))
     s = sites(t).crossJoin(F.broadcast(n)).withColumn("station", F.col("id") % F.col("_n"))
     e = local_stress(s, cells, "station", "month", F.col("x_bws"), F.col("x_gws"), F.col("x_sv"), F.col("id") % 30)
-    return e.groupBy("month").agg(F.count(F.lit(1)).alias("n_sites"), r(F.avg("index")).alias("mean_index"), F.count_if("redistributed").alias("n_redistributed"))
+    return e.select("id", "month", r("index").alias("index"), "redistributed")
 
 
 @query("cube_merge", "S6 S7 P1 S16", """

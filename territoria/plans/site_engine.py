@@ -20,7 +20,8 @@ def cell_series(cube: DataFrame, cell: str, month: str, index: str) -> DataFrame
 
 def local_stress(sites: DataFrame, cells: DataFrame, cell: str, month: str, b: Column, g: Column, fit_p: Column, distance_km: Column, site: str = "id") -> DataFrame:
     """(site, month, index, contributions…): six components combined with weights of missing ones redistributed."""
-    j = sites.join(cells, cell)
-    u = reliability("null_share", b, g, fit_p, distance_km)
-    parts = {"b": b, "g": g, "d": F.col("d"), "s": F.col("s"), "v": F.col("v"), "u": u}
-    return j.withColumn("_i", local_index(parts)).select(site, month, "_i.*")
+    names = ("b", "g", "d", "s", "v", "u")
+    j = sites.join(cells, cell).withColumn("_u", reliability("null_share", b, g, fit_p, distance_km))
+    # A projection of its own for the six values: an expression over plain columns isn't merged into the ones before it.
+    j = j.select(site, month, *[c.alias(f"_{n}") for n, c in zip(names, (b, g, F.col("d"), F.col("s"), F.col("v"), F.col("_u")))])
+    return j.withColumn("_i", local_index({n: f"_{n}" for n in names})).select(site, month, "_i.*")

@@ -9,8 +9,8 @@ from territoria.functions import combine as C
 from territoria.functions import distributions as D
 from territoria.functions import geo as G
 from territoria.functions import scalars as S
+from territoria.functions import special as P
 from territoria.functions import text as X
-from territoria.functions.student import student_p
 
 # Published site rows (x_bws, x_gws, x_sv, x_aridity, spei3, spei12) and their published indices
 # (S_struct_v2, S_conj_v2, H_v2, S_struct_v3, S_conj_v3, H_v3).
@@ -62,23 +62,57 @@ def test_normal_quantile_matches_the_standard_library(spark):
     assert df.limit(1).select(D.norm_ppf(F.lit(None).cast("double"))).head()[0] is None
 
 
-def test_gamma_student_and_pearson_tables():
-    assert D.gammainc(np.array([0.5, 2, 5, 100.0]), np.array([0.5, 3, 5, 90.0])) == pytest.approx([0.6826894921, 0.8008517265, 0.5595067149, 0.1582209891], abs=1e-8)
-    assert student_p(2.228138852, 10) == pytest.approx(0.05, abs=1e-7)
-    assert student_p(12.706204736, 1) == pytest.approx(0.05, abs=1e-7)
-    assert D.pearson3_cdf(0.0, 0.0, 0.0, 1.0) == pytest.approx(0.5)
+def values(spark, *columns):
+    return list(spark.range(1).select(*columns).head())
+
+
+def test_gamma_student_and_pearson_tables(spark):
+    f = lambda *xs: [F.lit(x) for x in xs]
+    got = values(spark, *[P.lower_gamma(*f(a, x)) for a, x in ((0.5, 0.5), (2.0, 3.0), (5.0, 5.0), (100.0, 90.0))])
+    assert got == pytest.approx([0.6826894921, 0.8008517265, 0.5595067149, 0.1582209891], abs=1e-8)
+    assert values(spark, P.student_two_sided(*f(2.228138852, 10)), P.student_two_sided(*f(12.706204736, 1))) == pytest.approx([0.05, 0.05], abs=1e-7)
+    assert values(spark, P.pearson3_cdf(*f(0.0, 0.0, 0.0, 1.0)))[0] == pytest.approx(0.5)
     # skew 2 is a shifted exponential: P(Z <= z) = 1 - exp(-(z + 1))
-    assert D.pearson3_cdf(np.array([0.5]), 2.0, 0.0, 1.0) == pytest.approx([1 - math.exp(-1.5)], abs=1e-10)
-    assert D.pearson3_cdf(np.array([-0.5]), -2.0, 0.0, 1.0) == pytest.approx([math.exp(-1.5)], abs=1e-10)
+    assert values(spark, P.pearson3_cdf(*f(0.5, 2.0, 0.0, 1.0)), P.pearson3_cdf(*f(-0.5, -2.0, 0.0, 1.0))) == pytest.approx([1 - math.exp(-1.5), math.exp(-1.5)], abs=1e-10)
     x = np.random.default_rng(1).gamma(3.0, 2.0, 50000)
-    assert D.gamma_shape(np.array([math.log(x.mean()) - np.log(x).mean()]))[0] == pytest.approx(3.0, rel=0.03)
+    assert values(spark, P.gamma_shape(F.lit(float(math.log(x.mean()) - np.log(x).mean()))))[0] == pytest.approx(3.0, rel=0.03)
 
 
-def test_loglogistic_fit_recovers_its_parameters():
-    u = np.random.default_rng(2).uniform(size=40000)
-    shape, scale = D.fit_loglogistic(50 * (u / (1 - u)) ** (1 / 3.0))
-    assert shape == pytest.approx(3.0, rel=0.02) and scale == pytest.approx(50, rel=0.02)
-    assert D.fit_loglogistic(np.array([2.0, 2.0, 2.0])) is None
+def test_special_functions_against_the_standard_library(spark):
+    a = [1e-3, 0.2, 0.5, 1.0, 3.7, 12.0, 80.0, 900.0, 1e5]
+    rows = spark.createDataFrame([(v,) for v in a], "a double").select("a", P.lgamma("a"), P.digamma("a"), P.trigamma("a")).collect()
+    for r in rows:
+        assert r[1] == pytest.approx(math.lgamma(r[0]), rel=1e-12, abs=1e-12)
+        h = 1e-4 * r[0]
+        slope = (math.lgamma(r[0] + h) - math.lgamma(r[0] - h)) / (2 * h)
+        assert r[2] == pytest.approx(slope, rel=1e-5, abs=1e-4)
+    assert values(spark, P.digamma(F.lit(1.0)), P.trigamma(F.lit(1.0))) == pytest.approx([-0.5772156649015329, math.pi**2 / 6], abs=1e-11)
+    z = [-6.0, -1.5, -1e-9, 0.0, 0.3, 4.0]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in z], "z double").select(P.normal_cdf("z")).collect()]
+    assert got == pytest.approx([NormalDist().cdf(v) for v in z], abs=1e-14)
+    pairs = [(a, x) for a in (0.05, 0.5, 1.0, 7.3, 60.0, 2500.0) for x in (1e-6, 0.3, 1.0, 7.0, 61.5, 2600.0, 9000.0)]
+    got = [r[0] for r in spark.createDataFrame(pairs, "a double, x double").select(P.lower_gamma("a", "x")).collect()]
+    want = [min(1.0, math.fsum(math.exp((a + n) * math.log(x) - x - math.lgamma(a + n + 1)) for n in range(12000))) for a, x in pairs]
+    assert got == pytest.approx(want, abs=1e-10)
+    none = values(spark, P.lower_gamma(F.lit(0.0), F.lit(1.0)), P.lower_gamma(F.lit(None).cast("double"), F.lit(1.0)), P.gamma_shape(F.lit(-1.0)), P.student_two_sided(F.lit(1.0), F.lit(0)), P.pearson3_cdf(F.lit(None).cast("double"), F.lit(1.0), F.lit(0.0), F.lit(1.0)))
+    assert none == [None] * 5
+    assert values(spark, P.lower_gamma(F.lit(2.0), F.lit(-1.0)), P.beta_cdf(F.lit(0.0), F.lit(1.0), F.lit(2.0)), P.beta_cdf(F.lit(0.25), F.lit(1.0), F.lit(2.0)), P.beta_cdf(F.lit(0.9), F.lit(3.0), F.lit(1.0))) == pytest.approx([0.0, 0.0, 1 - 0.75**2, 0.9**3])
+
+
+def test_loglogistic_fit_recovers_its_parameters(spark):
+    u = np.random.default_rng(2).uniform(size=4000)
+    x = 50 * (u / (1 - u)) ** (1 / 3.0)
+    df = spark.createDataFrame([(x.tolist(),), ([2.0, 2.0, 2.0],), ([1.0],), ([3.0, 0.0, -1.0, 5.0],)], "x array<double>")
+    full, same, one, two = [r[0] for r in df.select(P.fit_loglogistic("x")).collect()]
+    assert full["shape"] == pytest.approx(3.0, rel=0.06) and full["scale"] == pytest.approx(50, rel=0.03)
+    assert same is None and one is None and two is not None
+
+    def loss(shape, scale):
+        z = (np.log(x) - math.log(scale)) * shape
+        return float(np.sum(z - math.log(shape) + 2 * np.logaddexp(0, -z)))
+
+    best = loss(full["shape"], full["scale"])
+    assert all(best <= loss(full["shape"] * a, full["scale"] * b) for a in (0.999, 1, 1.001) for b in (0.999, 1, 1.001))
 
 
 def test_projection_of_a_known_point_and_back(spark):

@@ -394,3 +394,39 @@ def test_polygon_tests_stay_few_in_a_city(spark):
     spots = spark.createDataFrame([tuple(map(float, p)) for p in (10.2, 45.1) + rng.normal(size=(20_000, 2)) * 0.06], "lon double, lat double")
     n = spatial.polygon_tests(spots, polys, "zid", 1.0, 1.0, spatial.FEW_POLYGONS, spatial.CELL_SPLITS).groupBy("lon", "lat").count().agg(F.max("count").alias("most"), F.sum("count").alias("all")).head()
     assert n["all"] < 4 * 20_000 and n["most"] <= 15
+
+
+@pytest.mark.parametrize("most", [2048, 7])
+def test_radius_pairs_of_a_dense_cell(spark, hot_points, most):
+    pts, df = hot_points
+    got = spatial.radius_pairs(df, df, 2.0, ["sid"], most).collect()
+    spots = {tuple(p) for p in pts}
+    want = sorted((x, y, j) for x, y in spots for j in range(len(pts)) if math.hypot(*(pts[j] - (x, y))) <= 2.0)
+    assert sorted((r["x"], r["y"], r["sid"]) for r in got) == want
+
+
+def test_all_points_in_one_cell_meet_in_bounded_slices(spark):
+    df = spark.range(3000).select(F.col("id").alias("sid"), (F.col("id") / 3000).alias("x"), F.lit(0.5).alias("y"))
+    sides = spatial.radius_cells(df, df, 100.0, ["sid"], 200)
+    for side in sides:
+        assert side.groupBy("cx", "cy", "_ls", "_rs").count().agg(F.max("count")).head()[0] < 2 * 200
+    assert spatial.radius_pairs(df, df, 100.0, ["sid"], 200).count() == 9_000_000
+
+
+@pytest.mark.parametrize(("leaf", "max_km"), [(2, None), (32, 40.0), (2, 0.02)])
+def test_nearest_of_another_group(spark, hot_points, leaf, max_km):
+    """Copies of one spot in several groups, and a dense area that is of one group but for a node."""
+    pts, _ = hot_points
+    group = [0 if 160 <= i < 239 else i % 3 for i in range(len(pts))]
+    df = spark.createDataFrame([(i, float(x), float(y), g) for i, ((x, y), g) in enumerate(zip(pts, group))] + [(900, None, 1.0, 1), (901, 5.0, 5.0, None)], "id long, x double, y double, g int")
+    got = {(r["x"], r["y"], r["g"]): (r["_b"], r["dist"]) for r in spatial.nearest_of_another_group(df, "g", max_km=max_km, leaf=leaf).collect()}
+    want = {}
+    for i, p in enumerate(pts):
+        d = np.hypot(*(pts - p).T)
+        near = [(d[j], j) for j in range(len(pts)) if group[j] != group[i] and (max_km is None or d[j] <= max_km)]
+        if near:
+            want[(*p, group[i])] = min(near)[::-1]
+    assert got.keys() == want.keys() and all(got[k][1] == pytest.approx(want[k][1], abs=1e-9) for k in want)
+    assert all(got[k][0] == want[k][0] or abs(np.hypot(*(pts[got[k][0]] - k[:2])) - want[k][1]) < 1e-9 for k in want)
+    one = spatial.nearest_of_another_group(df.where("g = 1"), "g")
+    assert one.count() == 0
