@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from territoria.functions.scalars import SCORE_BANDS, score_band
 from territoria.plans.catalog.climate import _Z, spi_sql, station_z
 from territoria.plans.catalog.scoring import _BAND as BAND_SQL
-from territoria.plans.grid_score import score_cells
-from territoria.plans.inputs import SITES, SUPPLIER_MONTH, c01, sites, supplier_month
+from territoria.plans.grid_score import component_months, index_over_time
+from territoria.plans.inputs import SITE_POINTS, SITES, STATIONS, SUPPLIER_MONTH, c01, site_points, sites, stations, supplier_month
+from territoria.plans.point_profile import month_scores, point_months, point_profile
 from territoria.plans.registry import query
 from territoria.plans.site_engine import cell_series, local_stress
+from territoria.session import cut_lineage
 from territoria.sources.readers import merge_variables
 from territoria.sources.sinks import feature
 
@@ -27,19 +29,63 @@ _GRID = f"""{SUPPLIER_MONTH}, ac AS (SELECT station AS cell, month, CASE WHEN co
  sc AS (SELECT cell, {c01('b + (1 - b) * 0.5e0 * pr')} AS bws, {c01('(coalesce(0.5e0 * g, 0) + 0.2e0 * z) / (CASE WHEN g IS NULL THEN 0e0 ELSE 0.5e0 END + 0.2e0)')} AS gws FROM st),
  wm AS (SELECT cell, month, bws, gws, drought, {c01('0.60e0 * bws + 0.25e0 * gws + 0.15e0 * drought')} AS w FROM dr JOIN sc USING (cell)),
  ag AS (SELECT cell, avg(w) AS wsi_mean, quantile_cont(w, 0.1) AS wsi_p10, quantile_cont(w, 0.9) AS wsi_p90, least(sqrt(pow(0.6e0 * 0.12e0 * max(bws), 2) + pow(0.25e0 * 0.18e0 * max(gws), 2) + pow(0.15e0 * 0.22e0 * avg(drought), 2)), 1e0) AS wsi_uncertainty,
-  100 * (1 - avg(w)) AS water_score, min(100 * (1 - w)) AS worst_month_score, avg(100 * (1 - w)) FILTER (month(month) BETWEEN 6 AND 9) AS summer_mean_score FROM wm GROUP BY cell)"""
+  100 * (1 - avg(w)) AS water_score, max(bws) AS bws_norm, max(gws) AS gws_norm, avg(drought) AS drought_norm_mean, min(100 * (1 - w)) AS worst_month_score, avg(100 * (1 - w)) FILTER (month(month) BETWEEN 6 AND 9) AS summer_mean_score FROM wm GROUP BY cell)"""
 _SCORES = ("wsi_mean", "wsi_p10", "wsi_p90", "wsi_uncertainty", "water_score", "worst_month_score", "summer_mean_score")
 
 
 @query("grid_pipeline_scores", "E5 A17 A39 P11 P12 P29 P30b", f"""WITH {_GRID} SELECT cell, {', '.join(f'round({c}, 4) AS {c}' for c in _SCORES)}, {BAND_SQL.format('water_score', [b[0] for b in SCORE_BANDS])} AS level FROM ag""")
 def grid_pipeline_scores(t):
     """Suppliers as cells: raw layers from their attributes, monthly precipitation from the lines."""
+    s = index_over_time(_components(t), ["cell"], "month")
+    return s.select("cell", *[r(c, 4).alias(c) for c in _SCORES], score_band("water_score")["level"].alias("level"))
+
+
+def _components(t):
     k = F.col("s_suppkey")
     vol = t.lineitem.groupBy(F.col("l_suppkey").alias("cell")).agg(F.sum("l_quantity").alias("withdrawals"))
     static = t.supplier.select(k.alias("cell"), ((k * 29 % 101) / 20).alias("bws_raw"), F.when(k % 5 != 2, (k * 31 % 101) / 20).alias("gws_raw"), ((k * 41 % 601) / 100 - 3).alias("station_z")).join(vol, "cell")
     months = supplier_month(t).select(F.col("station").alias("cell"), "month", "precip")
-    s = score_cells(static, months, "cell", "month", F.year("month").between(1995, 1999), window=3, year=2000)
-    return s.select("cell", *[r(c, 4).alias(c) for c in _SCORES], score_band("water_score")["level"].alias("level"))
+    return component_months(static, months, "cell", "month", F.year("month").between(1995, 1999), window=3, year=2000)
+
+
+def _profile_inputs(t):
+    """Sites that ask for a month (or, by 13, for the year), the scored cells with their place, and their months."""
+    points = site_points(t).withColumn("month", F.when(F.col("id") % 13 > 0, (F.col("id") % 13).cast("int")))
+    components = cut_lineage(_components(t))
+    place = stations(t).select(F.col("sid").alias("cell"), "lon", "lat", "x", "y")
+    cells = index_over_time(components, ["cell"], "month").join(place, "cell")
+    return points, cells, month_scores(components, "cell", "month")
+
+
+_PROFILE = f"""{_GRID}, {SITE_POINTS}, {STATIONS},
+ nn AS (SELECT id, cell, d, lon, lat FROM (SELECT p.id, ag.cell, s.lon, s.lat, sqrt(pow(p.x - s.x, 2) + pow(p.y - s.y, 2)) AS d, row_number() OVER (PARTITION BY p.id ORDER BY sqrt(pow(p.x - s.x, 2) + pow(p.y - s.y, 2)), s.sid) AS rank FROM pts p, ag JOIN stations s ON s.sid = ag.cell) WHERE rank = 1 AND d <= 50),
+ po AS (SELECT p.id, CASE WHEN p.id % 13 > 0 THEN (p.id % 13)::INT END AS month, nn.cell, nn.d, nn.lon, nn.lat FROM pts p LEFT JOIN nn ON nn.id = p.id),
+ pr AS (SELECT po.*, ag.* EXCLUDE (cell), wm.cell IS NOT NULL AS monthly, wm.w, wm.drought, 100 * (1 - wm.w) AS score FROM po LEFT JOIN ag ON ag.cell = po.cell LEFT JOIN wm ON wm.cell = po.cell AND month(wm.month) = po.month)"""
+_SHOWN = ("wsi_mean", "wsi_p10", "wsi_p90", "wsi_uncertainty")
+
+
+@query("point_profile", "E1 J7", f"""WITH {_PROFILE}, s AS (SELECT *, CASE WHEN monthly THEN score ELSE water_score END AS shown FROM pr)
+SELECT id, month, cell IS NOT NULL AS covered, CASE WHEN cell IS NOT NULL THEN CASE WHEN monthly THEN 'month_' || month ELSE 'annual_mean' END END AS mode, cell, round(lon, 4) AS lon, round(lat, 4) AS lat, round(d, 4) AS distance_km,
+  round(shown, 4) AS water_score, CASE WHEN shown IS NOT NULL THEN {BAND_SQL.format('shown', [b[0] for b in SCORE_BANDS])} END AS level, {', '.join(f'round({c}, 4) AS {c}' for c in _SHOWN)},
+  round(CASE WHEN monthly THEN w ELSE wsi_mean END, 4) AS wsi, round(CASE WHEN monthly THEN drought ELSE drought_norm_mean END, 4) AS drought_norm, round(bws_norm, 4) AS bws_norm, round(gws_norm, 4) AS gws_norm,
+  round(worst_month_score, 4) AS worst_month_score, round(summer_mean_score, 4) AS summer_mean_score, round(CASE WHEN monthly THEN water_score END, 4) AS annual_water_score, round(CASE WHEN monthly THEN wsi_p90 END, 4) AS annual_wsi_p90 FROM s""")
+def point_profile_query(t):
+    """The blocks of the profile, a column a field."""
+    p = point_profile(*_profile_inputs(t), "cell")
+    parts = [*[f"components.{c}" for c in _SHOWN], "components.wsi", "components.drought_norm", "components.bws_norm", "components.gws_norm", "seasonal.worst_month_score", "seasonal.summer_mean_score"]
+    return p.select("id", "month", "covered", "mode", "nearest.cell", *[r(f"nearest.{c}", 4).alias(c) for c in ("lon", "lat", "distance_km")], r("water_score", 4).alias("water_score"), "level",
+                    *[r(c, 4).alias(c.split(".")[1]) for c in parts], r("annual.water_score", 4).alias("annual_water_score"), r("annual.wsi_p90", 4).alias("annual_wsi_p90"))
+
+
+@query("point_months", "E2 J7", f"""WITH {_PROFILE}
+SELECT pr.id, pr.cell IS NOT NULL AS covered, round(pr.water_score, 4) AS annual_score, round(100 * (1 - wsi_p90), 4) AS score_p10, round(100 * (1 - wsi_p10), 4) AS score_p90, month(wm.month)::INT AS month,
+  round(100 * (1 - wm.w), 4) AS water_score, round(wm.w, 4) AS wsi, round(wm.drought, 4) AS drought_norm FROM pr LEFT JOIN wm ON wm.cell = pr.cell""")
+def point_months_query(t):
+    """The months of every site, a row a month; a site beyond reach has one row of nulls."""
+    points, cells, months = _profile_inputs(t)
+    m = point_months(points, cells, months, "cell").select("id", "covered", "annual", F.explode_outer("months").alias("m"))
+    return m.select("id", "covered", r("annual.water_score", 4).alias("annual_score"), r("annual.water_score_p10", 4).alias("score_p10"), r("annual.water_score_p90", 4).alias("score_p90"),
+                    "m.month", *[r(f"m.{c}", 4).alias(c) for c in ("water_score", "wsi", "drought_norm")])
 
 
 @query("site_engine", "E6 U5 W2 W3 P30c P38", f"""

@@ -349,11 +349,12 @@ def enriched_site_scores(t):
 
 @query("point_monthly_series", "E2 E1", f"""
 WITH {_NEAR}, m AS (SELECT l_suppkey AS sid, month(l_shipdate) AS m, avg(l_quantity) AS q FROM lineitem GROUP BY 1, 2)
-SELECT nn.id, nn.sid, count(q) AS n_months, round(avg(q), 5) AS annual, round(avg(q) FILTER (m BETWEEN 6 AND 9), 5) AS summer, round(min(q), 5) AS worst, string_agg(round(q, 2)::DECIMAL(10, 2)::VARCHAR, ',' ORDER BY m) AS series
-FROM nn JOIN m ON nn.sid = m.sid WHERE rank = 1 AND d <= 50 GROUP BY 1, 2""")
+SELECT nn.id, CASE WHEN d <= 50 THEN nn.sid END AS sid, count(q) AS n_months, round(avg(q), 5) AS annual, round(avg(q) FILTER (m BETWEEN 6 AND 9), 5) AS summer, round(min(q), 5) AS worst, string_agg(round(q, 2)::DECIMAL(10, 2)::VARCHAR, ',' ORDER BY m) AS series
+FROM nn LEFT JOIN m ON nn.sid = m.sid AND d <= 50 WHERE rank = 1 GROUP BY 1, 2""")
 def point_monthly_series(t):
-    near = sp.knn_join(site_points(t), stations(t), 1, max_km=50.0)
+    """A row for each site; beyond 50 km all but the id is null or 0."""
+    near = sp.nearest_join(site_points(t), stations(t), max_km=50.0)
     m = t.lineitem.groupBy(F.col("l_suppkey").alias("sid"), F.month("l_shipdate").alias("m")).agg(F.avg("l_quantity").alias("q"))
     prof = m.groupBy("sid").agg(F.count("q").alias("n_months"), r(F.avg("q"), 5).alias("annual"), r(F.avg(F.when(F.col("m").between(6, 9), F.col("q"))), 5).alias("summer"), r(F.min("q"), 5).alias("worst"),
                                 F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("m", "q"))), lambda s: F.round(s["q"], 2).cast("decimal(10,2)").cast("string")), ",").alias("series"))
-    return near.join(prof, "sid").select("id", "sid", "n_months", "annual", "summer", "worst", "series")
+    return near.join(prof, "sid", "left").select("id", "sid", F.coalesce("n_months", F.lit(0)).alias("n_months"), "annual", "summer", "worst", "series")

@@ -39,12 +39,12 @@ def enforce_temporal_variance(scored: DataFrame) -> None:
         raise ValueError("drought component has no variation over time")
 
 
-def score_cells(static: DataFrame, months: DataFrame, cell: str, month: str, baseline, window: int = 12, year: int | None = None) -> DataFrame:
-    """From raw layers to scored cells.
+def component_months(static: DataFrame, months: DataFrame, cell: str, month: str, baseline, window: int = 12, year: int | None = None) -> DataFrame:
+    """(cell, month, bws, gws, drought) from raw layers.
 
     ``static``: cell, bws_raw, gws_raw, station_z, withdrawals. ``months``: cell, month, precip.
     Rolling precipitation -> gamma index -> drought stress; groundwater from layer and stations; demand stress raised
-    by withdrawals; then ``index_over_time`` per cell for the target year.
+    by withdrawals; rows of the target year only, if one is given.
     """
     from territoria.functions.combine import layered_mean
     from territoria.functions.scalars import clip01, linear_stress, withdrawal_modulation, z_to_stress
@@ -58,4 +58,9 @@ def score_cells(static: DataFrame, months: DataFrame, cell: str, month: str, bas
     gws = layered_mean({"_g": 0.5, "_z": 0.2}, ["_g", "_z"])
     s = s.withColumn("_g", clip01("gws_raw", 5)).withColumn("_z", z_to_stress("station_z")).select(
         cell, withdrawal_modulation(clip01("bws_raw", 5), "pressure").alias("bws"), gws.alias("gws"))
-    return index_over_time(spi.join(s, cell), [cell], month)
+    return spi.join(s, cell).select(cell, month, "bws", "gws", "drought")
+
+
+def score_cells(static: DataFrame, months: DataFrame, cell: str, month: str, baseline, window: int = 12, year: int | None = None) -> DataFrame:
+    """From raw layers to scored cells: ``index_over_time`` of ``component_months`` per cell."""
+    return index_over_time(component_months(static, months, cell, month, baseline, window, year), [cell], month)
