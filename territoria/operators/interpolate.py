@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Mapping, Sequence
+from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -114,6 +118,74 @@ def rcap_variants(spark) -> DataFrame:
     return rcap_params(spark, [{"config": n, "adaptive": a, "coherent": c, "k": k} for n, (a, c, k) in RCAP_VARIANTS.items()])
 
 
+# The grid of the published configuration search.
+RCAP_GRID = {"k": (8, 10, 12), "p0": (1.5, 2.0, 2.5), "p_max": (3.0, 3.5, 4.0), "m": (50.0, 60.0, 70.0), "s_r": (20.0, 30.0), "gamma0": (0.8, 1.2, 1.6), "b_h": (10.0, 20.0), "tau": (5.0, 10.0, 15.0)}
+#: Rows whose configurations are computed together.
+SEARCH_ROWS = 32
+
+
+def rcap_search(neighbours: DataFrame, targets: DataFrame, key: str, value: str, true: str, base: str, grid: Mapping[str, Sequence[float]] = RCAP_GRID) -> DataFrame:
+    """All combinations of ``grid`` over every row of ``targets`` (key, true, base): the grid's columns, the band gains and the objective.
+
+    ``neighbours``: key, rank, dist and value, as many as the largest k. Each row meets all configurations in its own task, over
+    its own array of neighbours, and a task returns sums only: the rows are never multiplied by the configurations. A row
+    without a live neighbour keeps its base.
+    """
+    names = list(grid)
+    configs = np.array(list(product(*grid.values())))
+    c = {n: configs[:, i] for i, n in enumerate(names)} | {n: np.full(len(configs), v) for n, v in RCAP.items() if n not in names}
+    bands = ((-math.inf, math.inf), (20, 50), (50, 100), (100, math.inf))
+    most = int(c["k"].max())
+
+    def predictions(dist: np.ndarray, y: np.ndarray, base_: np.ndarray) -> np.ndarray:
+        """Rows x configurations. ``y`` is not a number where there is no live neighbour of that rank."""
+        d = (np.maximum(dist[:, None, :], c["d0"][None, :, None]) + 1e-6)
+        use = ~np.isnan(y)[:, None, :] & (np.arange(most)[None, None, :] < c["k"][None, :, None])
+        y = np.where(use, y[:, None, :], 0.0)
+        w = np.where(use, d ** -c["p0"][None, :, None], 0.0)
+        total = w.sum(2)
+        mu = (w * y).sum(2) / total
+        sd = np.sqrt(np.maximum((w * (y - mu[:, :, None]) ** 2).sum(2) / total, 0.0))
+        gate = np.exp(-((mu - c["m"]) ** 2) / (2 * c["s_r"] ** 2)) * sd / (sd + c["kappa"])
+        p = c["p_min"] + (c["p_max"] - c["p_min"]) * gate
+        gamma = c["gamma0"] / (1 + np.exp(-(100 - mu) / c["b_h"]))
+        w = np.where(use, d ** -p[:, :, None] * np.exp(-gamma[:, :, None] * np.abs(y - mu[:, :, None]) / (sd + c["tau"])[:, :, None]), 0.0)
+        total = w.sum(2)
+        return np.where(total > 0, (w * y).sum(2) / np.where(total > 0, total, 1.0), np.where(np.isnan(mu), base_[:, None], mu))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight, gain = np.zeros(len(bands)), np.zeros((len(bands), len(configs)))
+        for b in batches:
+            t, base_ = (b.column(i).to_numpy(zero_copy_only=False).astype(float) for i in (0, 1))
+            for at in range(0, b.num_rows, SEARCH_ROWS):
+                part = b.column(2)[at:at + SEARCH_ROWS].to_pylist()
+                dist, y = np.ones((len(part), most)), np.full((len(part), most), np.nan)
+                for i, near in enumerate(part):
+                    for n in near or ():
+                        if n["rank"] <= most and n["y"] is not None:
+                            dist[i, n["rank"] - 1], y[i, n["rank"] - 1] = n["dist"], n["y"]
+                rows = slice(at, at + SEARCH_ROWS)
+                with np.errstate(all="ignore"):
+                    gains = np.abs(t[rows] - base_[rows])[:, None] - np.abs(t[rows][:, None] - predictions(dist, y, base_[rows]))
+                for k, (low, high) in enumerate(bands):
+                    inside = (t[rows] >= low) & (t[rows] < high)
+                    weight[k] += t[rows][inside].sum()
+                    gain[k] += gains[inside].sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(configs))), *[pa.array(g) for g in gain], *[pa.array(np.full(len(configs), w)) for w in weight]],
+                                         names=["config", *[f"g{k}" for k in range(len(bands))], *[f"w{k}" for k in range(len(bands))]])
+
+    parts = [f"{x}{k}" for x in "gw" for k in range(len(bands))]
+    near = neighbours.where(F.col("rank") <= most).groupBy(key).agg(F.collect_list(F.struct(F.col("rank").cast("int").alias("rank"), "dist", live(value).cast("double").alias("y"))).alias("_near"))
+    rows = targets.select(key, F.col(true).cast("double").alias("_t"), F.col(base).cast("double").alias("_b")).where(F.col("_t").isNotNull() & F.col("_b").isNotNull())
+    rows = rows.join(near, key, "left").select("_t", "_b", "_near")
+    total = rows.mapInArrow(sums, "config long, " + ", ".join(f"{p} double" for p in parts)).groupBy("config").agg(*[F.sum(p).alias(p) for p in parts])
+    gains = [100 * F.col(f"g{k}") / F.greatest(F.col(f"w{k}"), F.lit(1.0)) for k in range(len(bands))]
+    out = total.select("config", *[g.alias(n) for g, n in zip(gains, ("d_all", "d_20_50", "d_50_100", "d_100"))])
+    out = out.withColumn("objective", F.col("d_all") + 1.5 * F.col("d_20_50") + 1.5 * F.col("d_50_100") - F.greatest(F.lit(0.0), -F.col("d_100")))
+    table = neighbours.sparkSession.createDataFrame([(i, *map(float, r)) for i, r in enumerate(configs)], "config long, " + ", ".join(f"{n} double" for n in names))
+    return table.join(out, "config")
+
+
 def composite_gain(scored: DataFrame, true: str, pred: str, base: str, keys: Sequence[str]) -> DataFrame:
     """Objective J per config: wMAPE gains over the base overall and on the 20-50 and 50-100 bands, minus losses above 100."""
     t = F.col(true)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from territoria.functions.scalars import SCORE_BANDS, score_band
@@ -12,9 +14,10 @@ from territoria.plans.inputs import SITE_POINTS, SITES, STATIONS, SUPPLIER_MONTH
 from territoria.plans.point_profile import month_scores, point_months, point_profile
 from territoria.plans.registry import query
 from territoria.plans.site_engine import cell_series, local_stress
-from territoria.session import cut_lineage
+from territoria.session import cut_lineage, work_folder
 from territoria.sources.readers import merge_variables
 from territoria.sources.sinks import feature
+from territoria.streaming.refresh import landed, monthly_means, refresh_means
 
 
 def r(c, d=6):
@@ -143,3 +146,17 @@ def station_monthly_means(t):
 
     b = monthly_batch(t.events.withColumnRenamed("user_id", "station"), "station", "event_id", "ts", "value")
     return b.select("station", "month", r("mean").alias("mean"), "n")
+
+
+@query("streamed_monthly_means", "T1", """
+SELECT user_id AS station, date_trunc('month', ts)::DATE AS month, round(sum(value) / count(value), 6) AS mean, count(value) AS n FROM events GROUP BY 1, 2""")
+def streamed_monthly_means(t):
+    """The events land in three parts, with a run after each; the later parts bring most readings once more, and they add nothing."""
+    folder = f"{work_folder(t.spark)}/means-{uuid.uuid4().hex}"
+    events = t.events.select("event_id", "ts", "user_id", "value")
+    for part in (F.col("event_id") % 2 == 0, F.col("event_id") % 3 > 0, F.lit(True)):
+        events.where(part).write.mode("append").parquet(f"{folder}/landed")
+        stream = landed(t.spark, f"{folder}/landed", events.schema)
+        refresh_means(stream, folder, f"{folder}/checkpoint", "user_id", "event_id", "ts", "value").awaitTermination()
+    m = monthly_means(t.spark, folder)
+    return m.select("station", "month", r("mean").alias("mean"), "n")

@@ -295,6 +295,38 @@ def rcap_objective(t):
     return ip.composite_gain(j, "true", "pred", "base", ["config"]).select("config", r("d_all", 5).alias("d_all"), r("objective", 5).alias("objective"))
 
 
+_GRID_COLUMNS = list(ip.RCAP_GRID)
+
+
+def _search_sql() -> str:
+    grid = ", ".join(f"(SELECT unnest([{', '.join(f'{float(v)}e0' for v in vs)}]) AS {n})" for n, vs in ip.RCAP_GRID.items())
+    keys = "sid, k, p0"
+    gains = [("d_all", "true"), ("d1", "tv >= 20 AND tv < 50"), ("d2", "tv >= 50 AND tv < 100"), ("d3", "tv >= 100")]
+    cols = ", ".join(f"100 * coalesce(sum(abs(tv - base) - abs(tv - pred)) FILTER ({c}), 0) / greatest(coalesce(sum(tv) FILTER ({c}), 0), 1) AS {n}" for n, c in gains)
+    return f"""{_READ}, {_NB}, g AS (SELECT * FROM {grid}), kp AS (SELECT DISTINCT k, p0 FROM g),
+ a AS (SELECT sid, k, p0, greatest(dist, 3) + 1e-6 AS d, nv AS y, pow(greatest(dist, 3) + 1e-6, -p0) AS w0 FROM nb JOIN kp ON rank <= k WHERE nv IS NOT NULL),
+ m AS (SELECT {keys}, sum(w0 * y) / sum(w0) AS mu FROM a GROUP BY {keys}), s AS (SELECT {keys}, mu, sqrt(greatest(sum(w0 * pow(y - mu, 2)) / sum(w0), 0)) AS sd FROM a JOIN m USING ({keys}) GROUP BY {keys}, mu),
+ h AS (SELECT s.*, g.* EXCLUDE (k, p0), 1.5e0 + (p_max - 1.5e0) * exp(-pow(mu - m, 2) / (2 * s_r * s_r)) * sd / (sd + 12) AS p, gamma0 / (1 + exp(-(100 - mu) / b_h)) AS gm FROM s JOIN g USING (k, p0)),
+ f AS (SELECT h.*, y, pow(d, -p) * exp(-gm * abs(y - mu) / (sd + tau)) AS wt FROM h JOIN a USING ({keys})),
+ pr AS (SELECT sid, {', '.join(_GRID_COLUMNS)}, sum(wt * y) / sum(wt) AS pred FROM f GROUP BY ALL),
+ b0 AS (SELECT sid, sum(pow(greatest(dist, 3) + 1e-6, -2) * nv) / sum(pow(greatest(dist, 3) + 1e-6, -2)) AS base FROM nb WHERE rank <= 7 AND nv IS NOT NULL GROUP BY 1),
+ j AS (SELECT pr.*, base, value AS tv FROM pr JOIN b0 USING (sid) JOIN stations USING (sid) WHERE value > 0), d AS (SELECT {', '.join(_GRID_COLUMNS)}, {cols} FROM j GROUP BY ALL),
+ o AS (SELECT *, round(d_all + 1.5e0 * d1 + 1.5e0 * d2 - greatest(0, -d3), 5) AS objective FROM d)
+SELECT {', '.join(_GRID_COLUMNS)}, round(d_all, 5) AS d_all, objective, objective = max(objective) OVER () AS best FROM o"""
+
+
+@query("rcap_search", "M5 A29 K1", f"WITH {_search_sql()}")
+def rcap_search(t):
+    """All 2,916 configurations on all stations, and which have the largest objective."""
+    s = readings(t)
+    near = sp.knn_join(s, s.select(F.col("sid").alias("nid"), "x", "y", F.col("value").alias("nv")), 12, "sid", "nid", exclude_self=True, carry=["nv"])
+    base = ip.rcap_from(near, "sid", "nv", ip.rcap_params(t.spark, [{"config": "baseline", "k": 7, "adaptive": False, "coherent": False}])).select("sid", F.col("pred").alias("base"))
+    targets = s.where(F.col("value") > 0).join(base, "sid").select("sid", F.col("value").alias("true"), "base")
+    found = ip.rcap_search(near, targets, "sid", "nv", "true", "base").withColumn("objective", r("objective", 5))
+    top = found.agg(F.max("objective").alias("_top"))
+    return found.crossJoin(F.broadcast(top)).select(*_GRID_COLUMNS, r("d_all", 5).alias("d_all"), "objective", (F.col("objective") == F.col("_top")).alias("best"))
+
+
 @query("capacity_site_score", "M6", f"""
 WITH {SITE_POINTS}, {STATIONS}, c AS (SELECT p.id, s.sid, s.value, s.cap / pow({_D} + 5, 2) AS sc FROM pts p, stations s), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sc DESC, sid) AS rk FROM c)
 SELECT id, round(sum(sc * value) / sum(sc), 5) AS pred, count(*) AS n_nodes FROM k WHERE rk <= 10 GROUP BY 1""")

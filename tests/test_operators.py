@@ -430,3 +430,23 @@ def test_nearest_of_another_group(spark, hot_points, leaf, max_km):
     assert all(got[k][0] == want[k][0] or abs(np.hypot(*(pts[got[k][0]] - k[:2])) - want[k][1]) < 1e-9 for k in want)
     one = spatial.nearest_of_another_group(df.where("g = 1"), "g")
     assert one.count() == 0
+
+
+def test_configuration_search_matches_the_plain_plan(spark, monkeypatch):
+    """Dead and missing neighbours, rows without any, in chunks of two rows."""
+    monkeypatch.setattr(interpolate, "SEARCH_ROWS", 2)
+    rng = np.random.default_rng(8)
+    rows = [(i, rank, float(rng.uniform(0.1, 80)), None if rng.random() < 0.1 else 0.0 if rng.random() < 0.1 else float(rng.uniform(5, 180))) for i in range(15) for rank in range(1, 13) if (i, rank) != (3, 2)]
+    near = spark.createDataFrame([r for r in rows if r[0] != 4], "sid long, rank int, dist double, nv double")
+    targets = spark.createDataFrame([(i, float(rng.uniform(10, 160)), float(rng.uniform(10, 160))) for i in range(15)] + [(99, None, 1.0)], "sid long, true double, base double")
+    grid = {"k": (3, 12), "p0": (1.5, 2.0), "p_max": (3.0,), "m": (50.0, 70.0), "s_r": (20.0,), "gamma0": (0.8, 1.6), "b_h": (10.0,), "tau": (5.0,)}
+    got = {tuple(r[n] for n in grid): r for r in interpolate.rcap_search(near, targets, "sid", "nv", "true", "base", grid).collect()}
+    configs = [dict(zip(grid, c)) for c in itertools.product(*grid.values())]
+    params = interpolate.rcap_params(spark, [{**c, "config": str(i)} for i, c in enumerate(configs)])
+    pred = interpolate.rcap_from(near, "sid", "nv", params)
+    scored = targets.where("true IS NOT NULL").join(spark.createDataFrame([(str(i),) for i in range(len(configs))], "config string")).join(pred, ["sid", "config"], "left").withColumn("pred", F.coalesce("pred", "base"))
+    want = {r["config"]: r for r in interpolate.composite_gain(scored, "true", "pred", "base", ["config"]).collect()}
+    assert len(got) == len(configs) == 16
+    for i, c in enumerate(configs):
+        for name in ("d_all", "d_20_50", "d_50_100", "d_100", "objective"):
+            assert got[tuple(c.values())][name] == pytest.approx(want[str(i)][name], abs=1e-9)

@@ -1,4 +1,6 @@
+import datetime
 import json
+import shutil
 import tempfile
 
 import pytest
@@ -90,3 +92,24 @@ def test_stream_equals_batch_and_ignores_replays(spark, folder):
     want = refresh.monthly_batch(ev, "user_id", "event_id", "ts", "value")
     a = {(r["user_id"], r["month"]): (round(r["mean"], 9), r["n"]) for r in got.collect()}
     assert a == {(r["user_id"], r["month"]): (round(r["mean"], 9), r["n"]) for r in want.collect()}
+
+
+def test_means_grow_by_keys(spark, folder):
+    """Replays of any age, within a batch and across batches, null values, ids and dates; a batch that runs again changes nothing."""
+    schema = "station long, rid long, ts timestamp_ntz, value double"
+    day = lambda m, d: datetime.datetime(2001, m, d, 5)
+    parts = [
+        [(1, 1, day(1, 3), 2.0), (1, 2, day(1, 9), 4.0), (1, 2, day(1, 9), 4.0), (2, 1, day(1, 1), None), (None, None, day(2, 1), 7.0)],
+        [(1, 2, day(1, 9), 4.0), (1, 3, day(1, 30), 9.0), (1, 4, day(2, 1), 1.0), (None, None, day(2, 1), 7.0), (3, 1, None, 5.0)],
+        [(1, 1, day(1, 3), 2.0), (2, 2, day(1, 2), 3.0)]]
+    for k, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        refresh.refresh_means(refresh.landed(spark, f"{folder}/in", schema), f"{folder}/out", f"{folder}/ck", "station", "rid", "ts", "value").awaitTermination()
+        refresh.refresh_means(refresh.landed(spark, f"{folder}/in", schema), f"{folder}/out", f"{folder}/ck", "station", "rid", "ts", "value").awaitTermination()
+    got = {(r["station"], r["month"].month): (r["mean"], r["n"]) for r in refresh.monthly_means(spark, f"{folder}/out").collect()}
+    want = {(1, 1): (5.0, 3), (1, 2): (1.0, 1), (2, 1): (3.0, 1), (None, 2): (7.0, 1)}
+    assert got == want
+    # As after a failure between the writes of batch 2 and its commit.
+    shutil.copytree(f"{folder}/ck", f"{folder}/ck2", ignore=lambda where, names: {"2", ".2.crc"} & set(names) if where.endswith("commits") else set())
+    refresh.refresh_means(refresh.landed(spark, f"{folder}/in", schema), f"{folder}/out", f"{folder}/ck2", "station", "rid", "ts", "value").awaitTermination()
+    assert {(r["station"], r["month"].month): (r["mean"], r["n"]) for r in refresh.monthly_means(spark, f"{folder}/out").collect()} == want
