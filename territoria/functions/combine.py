@@ -161,6 +161,11 @@ def reliability(null_share: ColumnLike, bws_raw: ColumnLike, gws_raw: ColumnLike
 
 # --- local value against zone value ----------------------------------------------------------
 
+def mix_national(local: ColumnLike, national: ColumnLike, alpha: float = 0.5) -> Column:
+    """Half the local value, half that of the whole country."""
+    return alpha * col(local) + (1 - alpha) * col(national)
+
+
 def mix_linear(local: ColumnLike, zone: ColumnLike, alpha: float = 0.3) -> Column:
     return alpha * col(local) + (1 - alpha) * col(zone)
 

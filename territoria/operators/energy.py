@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from territoria.functions.scalars import ColumnLike, col
+from territoria.operators.ranking import quantiles
 
 # Load centres (lat, lon, thousand inhabitants) of the population weights.
 CITIES = (
@@ -106,3 +107,9 @@ def line_loading(flows: DataFrame, line: str = "line", flow: str = "flow", s_nom
 
 def category_capacity(df: DataFrame, category: str, cap: str, unit: float = 1000.0) -> DataFrame:
     return df.groupBy(category).agg(F.count(F.lit(1)).alias("n"), (F.sum(cap) / unit).alias("capacity")).orderBy(F.desc("capacity"), category)
+
+
+def use_distribution(loading: DataFrame, probs: Sequence[float] = (0.5, 0.75, 0.9, 0.95, 0.99, 1.0), full: float = 1.0, high: float = 0.8) -> DataFrame:
+    """One row: quantiles of the lines' ``peak`` use (``p50`` …), share and number beyond ``full``, number beyond ``high``."""
+    n = loading.agg(F.count("peak").alias("n_lines"), F.avg((F.col("peak") > full).cast("double")).alias("share_over"), F.count_if(F.col("peak") > full).alias("n_over"), F.count_if(F.col("peak") > high).alias("n_high"))
+    return n.crossJoin(F.broadcast(quantiles(loading, "peak", list(probs))))

@@ -200,10 +200,17 @@ def composite_gain(scored: DataFrame, true: str, pred: str, base: str, keys: Seq
     return d.withColumn("objective", objective)
 
 
+def bus_importance(lines: DataFrame, src: str = "src", dst: str = "dst", rating: str = "s_nom", voltage: str = "voltage") -> DataFrame:
+    """(id, importance, voltage): the ratings of all lines that end at a node, and the highest voltage among them."""
+    ends = F.explode(F.array_distinct(F.array(src, dst))).alias("id")
+    return lines.select(ends, rating, voltage).groupBy("id").agg(F.sum(rating).alias("importance"), F.max(voltage).alias("voltage"))
+
+
 def capacity_score(sites: DataFrame, nodes: DataFrame, value: str, capacity: str, k: int = 10, p: float = 2.0, d0: float = 5.0,
-                   site_id: str = "id", node_id: str = "sid") -> DataFrame:
-    """Mean value of the k nodes with the highest capacity/(d+d0)^p, weighted by that score."""
+                   site_id: str = "id", node_id: str = "sid", least_voltage: float | None = None) -> DataFrame:
+    """Mean value of the k nodes with the highest capacity/(d+d0)^p, weighted by that score; of ``least_voltage`` and more, if given."""
     live_nodes = nodes.where(F.col(capacity) > 0)
+    live_nodes = live_nodes if least_voltage is None else live_nodes.where(F.col("voltage") >= least_voltage)
     near = knn_join(sites, live_nodes, k, site_id, node_id, carry=[value, capacity], weight=capacity,
                     cost=lambda d, w: -w / F.pow(d + d0, F.lit(p)))
     w = F.col(capacity) / F.pow(F.col("dist") + d0, F.lit(p))

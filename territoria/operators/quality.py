@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from territoria.operators.ranking import quantiles
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -99,6 +101,34 @@ def structure_rules(columns: Sequence[str], required: Sequence[str], ranges: dic
     return out
 
 
+def grid_checks(cells: DataFrame, months: DataFrame, cell: str, known: dict[int, bool]) -> DataFrame:
+    """Rows of ``expect``: a scored grid against its own months, over every cell.
+
+    ``cells``: cell, water_score, wsi_mean, wsi_p10, wsi_p90, worst_month_score, summer_mean_score; ``months``: cell, m,
+    water_score, wsi. Twelve months a cell, mean and percentiles computed again, the worst month, worst <= summer <= annual,
+    months that differ, and points that are known to have a score or none.
+    """
+    again = months.groupBy(cell).agg(F.count_distinct("m").alias("_months"), F.avg("wsi").alias("_mean"), F.min("water_score").alias("_worst"))
+    q = quantiles(months, "wsi", [0.1, 0.9], [cell], prefix="_p")
+    j = cells.join(again, cell, "left").join(q, cell, "left")
+    c = F.col
+    gap = lambda a, b: F.max(F.abs(c(a) - c(b)))
+    rules = [
+        Rule("twelve_months", F.count_if(F.coalesce(c("_months"), F.lit(0)) != 12), lambda v: v == 0, 0, "cells", module="structure"),
+        Rule("mean_again", gap("_mean", "wsi_mean"), lambda v: v < 0.001, 0.001, "gap", module="percentiles"),
+        Rule("p10_again", gap("_p10", "wsi_p10"), lambda v: v < 0.002, 0.002, "gap", module="percentiles"),
+        Rule("p90_again", gap("_p90", "wsi_p90"), lambda v: v < 0.002, 0.002, "gap", module="percentiles"),
+        Rule("widest_spread", F.max(c("wsi_p90") - c("wsi_p10")), lambda v: v > 0.01, 0.01, "spread", module="variation"),
+        Rule("spread_share", 100 * F.avg((c("wsi_p90") - c("wsi_p10") > 1e-6).cast("double")), lambda v: v > 90, 90, "%", module="variation"),
+        Rule("worst_again", gap("_worst", "worst_month_score"), lambda v: v < 0.1, 0.1, "points", module="seasons"),
+        Rule("worst_over_summer", F.count_if(c("worst_month_score") > c("summer_mean_score") + 0.1), lambda v: v == 0, 0, "cells", module="seasons"),
+        Rule("summer_over_annual", F.count_if(c("summer_mean_score") > c("water_score") + 0.1), lambda v: v == 0, 0, "cells", module="seasons"),
+    ]
+    for k, scored in known.items():
+        rules.append(Rule(f"point_{k}_{'scored' if scored else 'masked'}", F.count_if((c(cell) == k) & c("water_score").isNotNull()), (lambda v: v == 1) if scored else (lambda v: v == 0), float(scored), "rows", module="mask"))
+    return expect(j, rules)
+
+
 def plausible_ranges(df: DataFrame, key: str, value: str, ranges: DataFrame) -> DataFrame:
     """Share of rows per class inside the class's (low, high)."""
     return df.join(ranges, key, "inner").groupBy(key).agg(

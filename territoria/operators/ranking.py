@@ -107,6 +107,18 @@ def quantile_name(p: float, prefix: str = "p") -> str:
     return f"{prefix}{format(100 * p, 'g').replace('.', '_')}"
 
 
+def position(df: DataFrame, value: str, tie: str, keys: Sequence[str], out: str, descending: bool = False) -> DataFrame:
+    """Row number of every row in its group by ``value``, then ascending ``tie`` (unique in the group), by block-wise ranks.
+
+    Rows whose value is null are dropped. Only values that occur more than once need a second rank, within the value.
+    """
+    keys = list(keys)
+    v = value_ranks(df, value, keys).select(*keys, F.col("value").alias(value), "n", ((F.col("all_n") - F.col("below_n") - F.col("n")) if descending else F.col("below_n")).alias("_first"))
+    placed = df.join(v, [*keys, value])
+    t = value_ranks(placed.where(F.col("n") > 1), tie, [*keys, value]).select(*keys, value, F.col("value").alias(tie), F.col("below_n").alias("_at"))
+    return placed.join(t, [*keys, value, tie], "left").withColumn(out, F.col("_first") + F.coalesce("_at", F.lit(0)) + 1).drop("n", "_first", "_at")
+
+
 def surrogate_key(df: DataFrame, order: str, tie: str | None = None, out: str = "sk", rest: Sequence[str] = ()) -> DataFrame:
     """Row numbers 1..n in ``order`` then ``tie`` (both numeric) without the single-partition window.
 

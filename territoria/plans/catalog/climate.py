@@ -110,8 +110,7 @@ WITH {SITE_INDEX}, k AS (SELECT c_nationkey, id, row_number() OVER (PARTITION BY
 SELECT c_nationkey AS zone, count(*) AS n, count(*) FILTER (r2 <> r3) AS swapped, max(abs(r2 - r3)) AS largest FROM k GROUP BY 1""")
 def rank_swaps(t):
     s = site_index_frame(t).select(F.col("c_nationkey").alias("zone"), "id", F.round("h2", 9).alias("h2"), F.round("h3", 9).alias("h3"))
-    w = W.partitionBy("zone")
-    k = s.select("zone", F.row_number().over(w.orderBy(F.desc("h2"), "id")).alias("r2"), F.row_number().over(w.orderBy(F.desc("h3"), "id")).alias("r3"))
+    k = ranking.position(ranking.position(s, "h2", "id", ["zone"], "r2", descending=True), "h3", "id", ["zone"], "r3", descending=True)
     return k.groupBy("zone").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("r2") != F.col("r3")).alias("swapped"), F.max(F.abs(F.col("r2") - F.col("r3"))).alias("largest"))
 
 
@@ -355,19 +354,35 @@ def rank_sql(col: str, part: str = "") -> str:
     return f"(rank() OVER ({p}ORDER BY {col}) + (count(*) OVER ({q}) - 1) / 2e0)"
 
 
+def spearman_p_sql(table: str) -> str:
+    """``table`` (n, rho, …) with p: the two-sided Student probability by the continued fraction of the incomplete beta."""
+    def part(x: str, a: str, b: str) -> str:
+        even = f"(i // 2) * ({b} - i // 2) / (({a} + 2 * (i // 2) - 1) * ({a} + 2 * (i // 2)))"
+        odd = f"-({a} + i // 2) * ({a} + {b} + i // 2) / (({a} + 2 * (i // 2)) * ({a} + 2 * (i // 2) + 1))"
+        numbers = f"list_transform(range(400, 0, -1), lambda i: {x} * (CASE WHEN i % 2 = 0 THEN {even} ELSE {odd} END))"
+        front = f"exp(lgamma({a} + {b}) - lgamma({a}) - lgamma({b}) + {a} * ln({x}) + {b} * ln(1 - {x})) / {a}"
+        return f"{front} / list_reduce(list_concat([1e0], {numbers}), lambda f, d: 1 + d / f)"
+
+    a, b, x = "(df / 2e0)", "0.5e0", "(df / (df + tt * tt))"
+    near = f"{x} <= ({a} + 1) / ({a} + {b} + 2)"
+    return (f"SELECT *, CASE WHEN tt = 0 THEN 1e0 WHEN {near} THEN {part(x, a, b)} ELSE 1 - {part(f'(1 - {x})', b, a)} END AS p FROM "
+            f"(SELECT *, n - 2 AS df, rho * sqrt((n - 2) / greatest(1 - rho * rho, 1e-300)) AS tt FROM {table})")
+
+
 @query("index_level_spearman", "A35 A22", f"""
-WITH {SITE_INDEX}, v AS (SELECT round(h2, 9) AS h, level FROM idx WHERE h2 IS NOT NULL), k AS (SELECT {rank_sql('h')} AS a, {rank_sql('level')} AS b FROM v) SELECT count(*) AS n, round(corr(a, b), 7) AS rho FROM k""")
+WITH {SITE_INDEX}, v AS (SELECT round(h2, 9) AS h, level FROM idx WHERE h2 IS NOT NULL), k AS (SELECT {rank_sql('h')} AS a, {rank_sql('level')} AS b FROM v), c AS (SELECT count(*) AS n, corr(a, b) AS rho FROM k), x AS ({spearman_p_sql('c')}) SELECT n, round(rho, 7) AS rho, round(p, 6) AS p_value FROM x""")
 def index_level_spearman(t):
-    return stats.spearman(site_index_frame(t).withColumn("h", F.round("h2", 9)), "h", "level").withColumn("rho", r("rho", 7))
+    s = stats.spearman(site_index_frame(t).withColumn("h", F.round("h2", 9)), "h", "level")
+    return s.select("n", r("rho", 7).alias("rho"), r(stats.spearman_p("rho", "n")).alias("p_value"))
 
 
 @query("feature_screening", "A36", f"""
 WITH {SITES}, l AS (SELECT level, unnest(['x_bws', 'x_aridity', 'x_gws', 'x_sv', 'spei3']) AS feature, unnest([x_bws, x_aridity, x_gws, x_sv, spei3]) AS v FROM sites),
- k AS (SELECT feature, {rank_sql('v', 'feature')} AS a, {rank_sql('level', 'feature')} AS b FROM l WHERE v IS NOT NULL)
-SELECT feature, count(*) AS n, round(corr(a, b), 7) AS rho, round(abs(corr(a, b)), 7) AS strength, corr(a, b) < 0 AS flip FROM k GROUP BY 1""")
+ k AS (SELECT feature, {rank_sql('v', 'feature')} AS a, {rank_sql('level', 'feature')} AS b FROM l WHERE v IS NOT NULL), c AS (SELECT feature, count(*) AS n, corr(a, b) AS rho FROM k GROUP BY 1), x AS ({spearman_p_sql('c')})
+SELECT feature, n, round(rho, 7) AS rho, round(abs(rho), 7) AS strength, rho < 0 AS flip, round(p, 6) AS p_value FROM x""")
 def feature_screening(t):
     d = stats.screen_features(sites(t), ["x_bws", "x_aridity", "x_gws", "x_sv", "spei3"], "level")
-    return d.withColumn("rho", r("rho", 7)).withColumn("strength", r("strength", 7))
+    return d.withColumn("p_value", r(stats.spearman_p("rho", "n"))).withColumn("rho", r("rho", 7)).withColumn("strength", r("strength", 7))
 
 
 @query("concordant_pairs", "J20", f"""
@@ -401,13 +416,15 @@ def robust_outliers(t):
 WITH {SUPPLIER_MONTH}, b AS (SELECT station, month, round(precip - pet, 2) AS d FROM sm),
  c AS (SELECT t.station, t.month, t.d, count(s.d) FILTER (s.d <= t.d) AS below, count(s.d) AS n FROM b t LEFT JOIN b s ON s.station = t.station AND month(s.month) = month(t.month) AND year(s.month) BETWEEN 1995 AND 1999 GROUP BY 1, 2, 3),
  p AS (SELECT *, CASE WHEN n >= 4 THEN (below + 0.5e0) / (n + 1) END AS p FROM c), z AS (SELECT *, {ppf_sql('p', '1e-4')} AS spei FROM p)
-SELECT year(month) AS year, count(spei) AS n, round(avg(spei), 6) AS mean, round(stddev_pop(spei), 6) AS std, round(min(spei), 6) AS min, round(max(spei), 6) AS max,
+SELECT year(month) AS year, count(spei) AS n, round(avg(spei), 6) AS mean, round(stddev_pop(spei), 6) AS std, round(quantile_cont(spei, 0.5), 6) AS median, round(min(spei), 6) AS min, round(max(spei), 6) AS max,
   round(100 * avg((spei <= -3.5)::INT), 6) AS sat_low_pct, round(100 * avg((spei >= 3.5)::INT), 6) AS sat_high_pct FROM z GROUP BY 1""")
 def ecdf_index(t):
     b = supplier_month(t).select("station", "month", F.month("month").alias("cal"), F.round(F.col("precip") - F.col("pet"), 2).alias("d"))
     z = series.spei_ecdf(b, ["station", "cal"], "d", F.year("month").between(1995, 1999), min_values=4)
-    s = series.index_sanity(z.withColumn("year", F.year("month")), "spei", ["year"]).join(z.groupBy(F.year("month").alias("year")).agg(F.count("spei").alias("n")), "year")
-    return s.select("year", "n", *[r(c).alias(c) for c in ("mean", "std", "min", "max", "sat_low_pct", "sat_high_pct")])
+    z = z.withColumn("year", F.year("month"))
+    s = series.index_sanity(z, "spei", ["year"]).join(z.groupBy("year").agg(F.count("spei").alias("n")), "year")
+    s = s.join(ranking.quantiles(z, "spei", [0.5], ["year"]).withColumnRenamed("p50", "median"), "year", "left")
+    return s.select("year", "n", *[r(c).alias(c) for c in ("mean", "std", "median", "min", "max", "sat_low_pct", "sat_high_pct")])
 
 
 @query("thom_gamma_fit", "A39", f"""

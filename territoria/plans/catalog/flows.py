@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from territoria.functions.scalars import SCORE_BANDS, score_band
+from territoria.operators import quality
 from territoria.plans.catalog.climate import _Z, spi_sql, station_z
 from territoria.plans.catalog.scoring import _BAND as BAND_SQL
 from territoria.plans.grid_score import component_months, index_over_time
@@ -91,6 +92,23 @@ def point_months_query(t):
                     "m.month", *[r(f"m.{c}", 4).alias(c) for c in ("water_score", "wsi", "drought_norm")])
 
 
+_KNOWN = {1: True, 2: True, 9: True, 0: False, -7: False}
+_CHECKS = [("structure", "twelve_months", "count(*) FILTER (months <> 12)", "= 0"), ("percentiles", "mean_again", "max(abs(mean - wsi_mean))", "< 0.001"), ("percentiles", "p10_again", "max(abs(p10 - wsi_p10))", "< 0.002"),
+           ("percentiles", "p90_again", "max(abs(p90 - wsi_p90))", "< 0.002"), ("variation", "widest_spread", "max(wsi_p90 - wsi_p10)", "> 0.01"), ("variation", "spread_share", "100 * avg((wsi_p90 - wsi_p10 > 1e-6)::INT)", "> 90"),
+           ("seasons", "worst_again", "max(abs(worst - worst_month_score))", "< 0.1"), ("seasons", "worst_over_summer", "count(*) FILTER (worst_month_score > summer_mean_score + 0.1)", "= 0"),
+           ("seasons", "summer_over_annual", "count(*) FILTER (summer_mean_score > water_score + 0.1)", "= 0"),
+           *[("mask", f"point_{k}_{'scored' if v else 'masked'}", f"count(*) FILTER (cell = {k} AND water_score IS NOT NULL)", f"= {int(v)}") for k, v in _KNOWN.items()]]
+
+
+@query("grid_checks", "Q3", f"""WITH {_GRID}, ag2 AS (SELECT cell, count(DISTINCT month(month)) AS months, sum(w) / count(w) AS mean, quantile_cont(w, 0.1) AS p10, quantile_cont(w, 0.9) AS p90, min(100 * (1 - w)) AS worst FROM wm GROUP BY 1),
+ j AS (SELECT * FROM ag JOIN ag2 USING (cell)) """ + " UNION ALL ".join(f"SELECT '{m}' AS module, '{n}' AS name, round({v}, 6)::DOUBLE AS value, coalesce(({v}) {c}, false) AS passed FROM j" for m, n, v, c in _CHECKS))
+def grid_checks(t):
+    """The scored cells against their own months."""
+    components = cut_lineage(_components(t))
+    checks = quality.grid_checks(index_over_time(components, ["cell"], "month"), month_scores(components, "cell", "month"), "cell", _KNOWN)
+    return checks.select("module", "name", r("value").alias("value"), "passed")
+
+
 @query("site_engine", "E6 U5 W2 W3 P30c P38", f"""
 WITH {_Z}, d AS (SELECT station, month, z, {c01('-z', '3e0')} AS d FROM z),
  c AS (SELECT station, month, d, CASE WHEN count(d) OVER w3 = 3 THEN avg(d) OVER w3 END AS s, CASE WHEN count(d) OVER w12 >= 6 THEN least(stddev_samp(d) OVER w12 / 0.5e0, 1e0) END AS v, avg((z IS NULL)::INT) OVER w12 AS ns FROM d

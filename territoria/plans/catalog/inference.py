@@ -9,6 +9,7 @@ from territoria.functions.scalars import linear_stress
 from territoria.operators import inference as inf
 from territoria.operators import interpolate as ip
 from territoria.operators import learning as ml
+from territoria.operators.ranking import quantiles
 from territoria.operators.sampling import stratified_split
 from territoria.operators.spatial import knn_join
 from territoria.plans.catalog.climate import rank_sql
@@ -249,15 +250,15 @@ def _table(t):
 @query("forest_regression", "M9 K5")
 def forest_regression(t):
     s = stratified_split(_table(t), "id", "level", 0.7, 42)
-    f = ml.fit_forest(s.where("is_train"), FEATURES, "level", trees=20)
+    f = ml.fit_forest(s.where("is_train"), FEATURES, "level")
     return f.predict(s.where(~F.col("is_train"))).select("id", "level", r("pred").alias("pred"))
 
 
 @query("permutation_importance", "M12")
 def permutation_importance(t):
     s = stratified_split(_table(t), "id", "level", 0.7, 42)
-    f = ml.fit_forest(s.where("is_train"), FEATURES, "level", trees=20)
-    p = ml.permutation_importance(f, s.where(~F.col("is_train")), "id", "level", repeats=3)
+    f = ml.fit_forest(s.where("is_train"), FEATURES, "level")
+    p = ml.permutation_importance(f, s.where(~F.col("is_train")), "id", "level", repeats=30)
     return p.select("feature", r("importance").alias("importance"), r("std").alias("std"))
 
 
@@ -269,9 +270,9 @@ def spatial_zones(t):
 
 @query("leave_cluster_out", "M14 M13")
 def leave_cluster_out(t):
-    z = ml.kmeans_zones(_table(t), 3)
+    z = ml.kmeans_zones(_table(t), 5)
     sets = {"full": FEATURES, "no_bws": FEATURES[1:]}
-    return ml.leave_group_out(z, "zone", [0, 1, 2], sets, "level", lambda d, f: ml.fit_forest(d, f, "level", trees=10)).withColumn("rho", r("rho"))
+    return ml.leave_group_out(z, "zone", [0, 1, 2, 3, 4], sets, "level").withColumn("rho", r("rho"))
 
 
 def _features(t):
@@ -280,28 +281,32 @@ def _features(t):
 
 @query("residual_correction", "M10 P41")
 def residual_correction(t):
-    p = ml.residual_correct(_features(t), "value", ["lat", "lon"], trees=10)
+    p = ml.residual_correct(_features(t), "value", ["lat", "lon"])
     return p.select("sid", *[r(c, 4).alias(c) for c in ("true", "base", "pred")])
 
 
 @query("neighbour_forest", "M11")
 def neighbour_forest(t):
-    return ml.neighbour_forest(readings(t), "value", ["lat", "lon"], trees=10).select("sid", r("true", 4).alias("true"), r("pred", 4).alias("pred"))
+    return ml.neighbour_forest(readings(t), "value", ["lat", "lon"]).select("sid", r("true", 4).alias("true"), r("pred", 4).alias("pred"))
 
 
 @query("block_validation", "M15 P46")
 def block_validation(t):
     f = _features(t)
-    m = f.agg(F.percentile_approx("lat", 0.5).alias("ml"), F.percentile_approx("lon", 0.5).alias("mo"))
+    m = quantiles(f, "lat", [0.5]).toDF("ml").crossJoin(F.broadcast(quantiles(f, "lon", [0.5]).toDF("mo")))
     f = f.crossJoin(F.broadcast(m)).withColumn("quadrant", F.concat(F.when(F.col("lat") >= F.col("ml"), "N").otherwise("S"), F.when(F.col("lon") >= F.col("mo"), "E").otherwise("W"))).drop("ml", "mo")
-    b = ml.block_validation(f, "value", "quadrant", ["NE", "NW", "SE", "SW"], trees=5)
+    b = ml.block_validation(f, "value", "quadrant", ["NE", "NW", "SE", "SW"])
     return b.select("block", "n", *[r(c, 4).alias(c) for c in ("wmape_base", "r2_base", "wmape", "r2")])
 
 
+# The zone counts and shares of the published search.
+ZONES, ALPHAS = [4, 6, 8, 10, 12, 14, 16, 18, 20, 24], [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.7, 1.0]
+
+
 @query("zone_search", "M27 P40")
 def zone_search(t):
     s = readings(t).withColumn("low", F.col("value") * 0.5).withColumn("high", F.col("value") * 1.5 + 50)
-    return ml.zone_search(s.where(F.col("value") > 0), [4, 8], [0.1, 0.3], "value", "cap", "low", "high")
+    return ml.zone_search(s.where(F.col("value") > 0), ZONES, ALPHAS, "value", "cap", "low", "high")
 
 
 @query("laplacian_smoothing", "M29")

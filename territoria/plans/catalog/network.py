@@ -8,6 +8,7 @@ from territoria.functions.scalars import clip
 from territoria.operators import energy as en
 from territoria.operators import graph as gh
 from territoria.operators import joins, stats
+from territoria.plans.catalog.network_sql import LINES_SQL as _LINES
 from territoria.plans.inputs import FACTORS, FACTORS_SQL, PRODUCTION, STATIONS, factors, lat_of, lat_sql, lon_of, lon_sql, production, site_points, stations
 from territoria.plans.registry import query
 
@@ -130,15 +131,6 @@ def lines(t):
     return e.withColumn("admittance", 1 / F.col("impedance"))
 
 
-_LINES = """oo AS (SELECT *, CASE WHEN o_orderkey % 7 = 0 AND o_custkey >= 8 THEN o_custkey // 8 ELSE o_custkey + 1 + o_orderkey % 3 END AS other FROM orders),
- oe AS (SELECT *, CASE WHEN o_custkey % 25 <> 24 THEN other + (CASE WHEN other % 25 = 24 THEN 1 ELSE 0 END) WHEN o_custkey // 25 % 2 = 0 THEN o_custkey + 25 ELSE o_custkey - 25 END AS fin FROM oo),
- ln AS (SELECT least(o_custkey, fin) AS src, greatest(o_custkey, fin) AS dst, min(0.2e0 + (o_orderkey % 50) / 25e0) AS impedance, sum(o_totalprice / 100000) AS s_nom,
-   sum(o_totalprice / 100000 * CASE WHEN (o_orderkey % 2 = 0) = (o_custkey < fin) THEN 1 ELSE -1 END) AS flow, max(CASE WHEN o_orderkey % 5 = 0 THEN 400 ELSE 225 END) AS voltage
-   FROM oe WHERE fin IN (SELECT c_custkey FROM customer) GROUP BY 1, 2),
- e AS (SELECT src, dst, impedance, 1 / impedance AS admittance, s_nom, voltage FROM ln UNION ALL SELECT dst, src, impedance, 1 / impedance, s_nom, voltage FROM ln),
- nv AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 19 = 0 THEN 0e0 ELSE (20 + c_custkey * 31 % 380)::DOUBLE END AS value FROM customer)"""
-
-
 def node_values(t):
     k = F.col("c_custkey")
     return t.customer.select(k.alias("id"), F.when(k % 19 == 0, F.lit(0.0)).otherwise((20 + k * 31 % 380).cast("double")).alias("value"))
@@ -309,6 +301,19 @@ def line_loading(t):
     return d.select("line", r("peak").alias("peak"), r("mean_use").alias("mean_use"), "n_over", "n_active")
 
 
+_USES = (0.5, 0.75, 0.9, 0.95, 0.99, 1.0)
+
+
+@query("line_use_distribution", "A44", f"""
+WITH f AS (SELECT o_custkey % 300 AS line, max(o_totalprice / 300000e0) AS peak FROM orders GROUP BY 1)
+SELECT count(*) AS n_lines, {', '.join(f"round(quantile_cont(peak, {p}), 6) AS p{format(100 * p, 'g')}" for p in _USES)}, round(avg((peak > 1.0)::INT), 6) AS share_over, count(*) FILTER (peak > 1.0) AS n_over, count(*) FILTER (peak > 0.8) AS n_high FROM f""")
+def line_use_distribution(t):
+    """Quantiles of the lines' largest use, and how many go beyond 1.0 and 0.8 of their rating."""
+    f = t.orders.select((F.col("o_custkey") % 300).alias("line"), F.col("o_totalprice").alias("flow"), F.lit(300000.0).alias("s_nom"))
+    d = en.use_distribution(en.line_loading(f), _USES)
+    return d.select("n_lines", *[r(c).alias(c) for c in d.columns if c.startswith("p")], r("share_over").alias("share_over"), "n_over", "n_high")
+
+
 @query("pure_node_counts", "A45", f"""
 WITH {_LINES} SELECT count(value) AS n, {', '.join(f"count(*) FILTER (abs(value - {v}) < 5) AS near_{k}" for k, v in FACTORS.items())}, count(*) FILTER ({' OR '.join(f'abs(value - {v}) < 5' for v in FACTORS.values())}) AS n_pure,
  count(*) FILTER ({' AND '.join(f'abs(value - {v}) > 20' for v in FACTORS.values())}) AS n_mixed FROM nv""")

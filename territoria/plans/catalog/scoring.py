@@ -394,14 +394,15 @@ SELECT id, round(zv, 7) AS zone, round(loc, 7) AS raw, round(0.3e0 * loc + 0.7e0
   round(0.2e0 * exp(-abs(loc - zv) / greatest(zv, 1)) * loc + (1 - 0.2e0 * exp(-abs(loc - zv) / greatest(zv, 1))) * zv, 7) AS adaptive,
   round(0.2e0 * exp(-0.5e0 * abs(c25 - zv) / greatest(zv, 1)) * c25 + (1 - 0.2e0 * exp(-0.5e0 * abs(c25 - zv) / greatest(zv, 1))) * zv, 7) AS clip_adaptive,
   round(exp(0.1e0 * ln(greatest(loc, 1)) + 0.9e0 * ln(greatest(zv, 1))), 7) AS log,
-  round(0.15e0 * least(greatest(loc, p25), p75) + 0.85e0 * zv, 7) AS winsor, round(0.2e0 * loc + 0.2e0 * gr + 0.6e0 * zv, 7) AS hybrid FROM j""")
+  round(0.15e0 * least(greatest(loc, p25), p75) + 0.85e0 * zv, 7) AS winsor, round(0.2e0 * loc + 0.2e0 * gr + 0.6e0 * zv, 7) AS hybrid, round(0.5e0 * loc + 0.5e0 * (SELECT sum(w * loc) / sum(w) FROM v), 7) AS national FROM j""")
 def zone_mixes(t):
     v = sites(t).select("id", F.col("c_nationkey").alias("zone_id"), (20 + 400 * F.col("x_bws")).alias("loc"), (1 + F.col("level")).alias("w"),
                         (30 + 100 * F.col("x_sv")).alias("gr"))
     z = v.groupBy("zone_id").agg((F.sum(F.col("w") * F.col("loc")) / F.sum("w")).alias("zv")).join(
         ranking.quantiles(v, "loc", [0.25, 0.75], ["zone_id"]), "zone_id")
-    j = v.join(z, "zone_id")
-    return j.select("id", *[r(f("loc", "zv"), 7).alias(n) for n, f in C.STRATEGIES.items()],
+    nation = v.agg((F.sum(F.col("w") * F.col("loc")) / F.sum("w")).alias("nat"))
+    j = v.join(z, "zone_id").crossJoin(F.broadcast(nation))
+    return j.select("id", r(C.mix_national("loc", "nat"), 7).alias("national"), *[r(f("loc", "zv"), 7).alias(n) for n, f in C.STRATEGIES.items()],
                     r(C.mix_winsor("loc", "zv", "p25", "p75"), 7).alias("winsor"), r(C.mix_hybrid("loc", "gr", "zv"), 7).alias("hybrid"))
 
 

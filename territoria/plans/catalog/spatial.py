@@ -11,6 +11,7 @@ from territoria.operators import interpolate as ip
 from territoria.operators import spatial as sp
 from territoria.operators import stats
 from territoria.operators.ranking import with_rank
+from territoria.plans.catalog.network_sql import LINES_SQL
 from territoria.plans.inputs import SITE_POINTS, SITES, STATIONS, c01, lat_of, lat_sql, lon_of, lon_sql, site_points, sites, stations
 from territoria.plans.registry import query
 
@@ -209,11 +210,17 @@ def lonlat_grid_counts(t):
     return v.groupBy("ix", "iy").agg(F.count(F.lit(1)).alias("n"), r(F.sum("c_acctbal"), 4).alias("total"))
 
 
-@query("synthetic_cube", "S11")
+def _normal_sql(text: str) -> str:
+    u = [f"((('0x' || substr(md5({text}), {1 + 16 * h}, 15))::BIGINT + 0.5e0) / {2**60}e0)" for h in (0, 1)]
+    return f"sqrt(-2 * ln({u[0]})) * cos(2 * pi() * {u[1]})"
+
+
+@query("synthetic_cube", "S11", f"""
+WITH {SITE_POINTS}, c AS (SELECT DISTINCT floor((lon + 5) / 0.5e0)::INT AS ix, floor((lat - 41) / 0.5e0)::INT AS iy FROM pts), m AS (SELECT (DATE '2022-01-01' + to_months(k::INT))::DATE AS month FROM range(12) t(k))
+SELECT ix, iy, month, round({_normal_sql("'42:' || ix || ':' || iy || ':' || month")}, 6) AS value FROM c, m""")
 def synthetic_cube(t):
-    cells = site_points(t).select(F.floor((F.col("lon") + 5) / 0.5).alias("ix"), F.floor((F.col("lat") - 41) / 0.5).alias("iy")).distinct()
-    c = gr.synthetic_cube(cells, "2022-01-01", "2022-12-01")
-    return c.groupBy("month").agg(F.count("value").alias("n"), (F.abs(F.avg("value")) < 1).alias("centred"), F.stddev_pop("value").between(0.3, 2.0).alias("spread_ok"))
+    cells = site_points(t).select(F.floor((F.col("lon") + 5) / 0.5).cast("int").alias("ix"), F.floor((F.col("lat") - 41) / 0.5).cast("int").alias("iy")).distinct()
+    return gr.synthetic_cube(cells, "2022-01-01", "2022-12-01").select("ix", "iy", "month", r("value").alias("value"))
 
 
 # --- interpolation ---------------------------------------------------------------------------
@@ -334,6 +341,20 @@ def capacity_site_score(t):
     return ip.capacity_score(site_points(t), stations(t), "value", "cap").withColumn("pred", r("pred", 5))
 
 
+@query("bus_site_score", "M6 G2", f"""
+WITH {LINES_SQL}, {SITE_POINTS}, {STATIONS}, bu AS (SELECT src AS id, sum(s_nom) AS s, CASE WHEN src % 4 = 0 THEN 90 ELSE max(voltage) END AS v FROM e GROUP BY 1),
+ c AS (SELECT s.sid, p.id, nv.value, bu.s / pow({_D} + 5, 2) AS sc FROM stations s, pts p JOIN bu USING (id) JOIN nv USING (id) WHERE bu.v >= 200 AND bu.s > 0), k AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY sc DESC, id) AS rk FROM c)
+SELECT sid, round(sum(sc * value) / sum(sc), 5) AS pred, count(*) AS n_nodes FROM k WHERE rk <= 10 GROUP BY 1""")
+def bus_site_score(t):
+    """Stations from the ten nodes of at least 200 kV with the most line capacity for their distance."""
+    from territoria.plans.catalog.network import lines, node_values
+
+    buses = ip.bus_importance(lines(t)).withColumn("voltage", F.when(F.col("id") % 4 == 0, 90).otherwise(F.col("voltage")))
+    nodes = buses.join(node_values(t), "id").join(site_points(t).select("id", "x", "y"), "id")
+    s = ip.capacity_score(stations(t), nodes, "value", "importance", site_id="sid", node_id="id", least_voltage=200.0)
+    return s.withColumn("pred", r("pred", 5))
+
+
 @query("influence_mean", "M7", f"""
 WITH {_READ}, w AS (SELECT p.sid, sum(s.cap * pow(greatest({_D}, 1), -1.5e0) * s.value) / sum(s.cap * pow(greatest({_D}, 1), -1.5e0)) AS m FROM stations p JOIN stations s ON {_D} <= 50 AND s.value <> 0 GROUP BY 1)
 SELECT stations.sid, round(coalesce(m, value), 5) AS pred FROM stations LEFT JOIN w ON w.sid = stations.sid""")
