@@ -3,7 +3,9 @@
 Texts are compared lower-cased with each run of white space made one space. A passage within k edits of an item of m
 characters keeps at least m - q + 1 - k * q of its q-grams, all on at most k + 1 neighbouring diagonals (place in
 the document minus place in the item). Bands of 2 (k + 1) diagonals that overlap by half hold any such run whole, so a
-band with fewer shared q-grams can't hold a passage; the others are aligned within their band.
+band with fewer shared q-grams can't hold a passage; the others are aligned within their band. An item takes the longest q
+up to ``Q`` for which the lemma still asks for one shared q-gram, so the shortest items are searched as well, exactly those
+under ten characters. Where band after band is full, as in repetitive texts, they are aligned together.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ ITEMS = 4 << 20
 #: Characters of documents that are searched together.
 RUN = 1 << 20
 FAR = 1 << 20
+#: Full bands in a row that are still aligned one by one.
+ROW = 8
 
 
 def normal(text: str) -> str:
@@ -94,8 +98,8 @@ class Items:
 
     @cached_property
     def least(self) -> np.ndarray:
-        """Shared q-grams that a passage has at least; at 1 or below the lemma says nothing, and one must do."""
-        return np.maximum(1, np.array([len(c) for c in self.codes], np.int64) - self.q + 1 - self.budget * self.q)
+        """Shared q-grams that a passage has at least: one or more, by the choice of q."""
+        return np.array([len(c) for c in self.codes], np.int64) - self.q + 1 - self.budget * self.q
 
     @cached_property
     def index(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -110,10 +114,7 @@ class Items:
         return gram, np.append(first, len(order)), item[order], place[order], sieve
 
     def search(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, int, int]]:
-        """(place of the text, item id, start, end, edits, shared q-grams) of the best passage of each item in each text.
-
-        An item of less than q characters is too short to be a passage and is not searched.
-        """
+        """(place of the text, item id, start, end, edits, shared q-grams) of the best passage of each item in each text."""
         gram, first, item, place, sieve = self.index
         codes = _codes("\U0010ffff".join(texts))
         if len(codes) < self.q or not len(gram):
@@ -137,14 +138,16 @@ class Items:
         size[:-1] += np.where(of[1:] == of[:-1] + 1, size[1:], 0)
         dense = np.flatnonzero(size >= self.least[of >> 40])
         best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-        for c in dense.tolist():
-            k, sel = int(of[c] >> 40), order[cells[c]:cells[c] + size[c]]
+        for c, last in self._bands(dense, of):
+            k, sel = int(of[c] >> 40), order[cells[c]:cells[last] + size[last]]
             owner = np.searchsorted(begin, diagonal[sel] + place[which[sel]], "right") - 1
             for t in np.unique(owner).tolist():
-                mine = sel[owner == t]
-                found = self._window(k, diagonal[mine], place[which[mine]])
                 old = best.get((t, k))
-                if found is None or (old and old[2] == 0):
+                if old and old[2] == 0:
+                    continue
+                mine = sel[owner == t]
+                found = self._window(k, diagonal[mine], place[which[mine]]) if last == c else self._stretch(k, diagonal[mine], place[which[mine]])
+                if found is None:
                     continue
                 a, z, shared = found
                 got = self._passage(k, texts[t], codes, int(begin[t]), a, z)
@@ -153,6 +156,24 @@ class Items:
         for (t, k), (start, stop, edits, shared) in sorted(best.items()):
             yield t, self.ids[k], start, stop, edits, shared
 
+    @staticmethod
+    def _bands(dense: np.ndarray, of: np.ndarray) -> Iterator[tuple[int, int]]:
+        """First and last cell of what is aligned at once: a band, or a row of more than ROW full bands that follow each other."""
+        if not len(dense):
+            return
+        new = np.append(True, (np.diff(dense) != 1) | (np.diff(of[dense]) != 1))
+        first = np.flatnonzero(new)
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(dense)]):
+            if b - a > ROW:
+                yield int(dense[a]), int(dense[b - 1])
+            else:
+                for c in dense[a:b].tolist():
+                    yield c, c
+
+    def _stretch(self, k: int, diagonal: np.ndarray, place: np.ndarray) -> tuple[int, int, int] | None:
+        """First and last diagonal of a row of bands, and how many different q-grams of the item they share."""
+        shared = len(np.unique(place))
+        return (int(diagonal.min()), int(diagonal.max()), shared) if shared >= self.least[k] else None
 
     def _window(self, k: int, diagonal: np.ndarray, place: np.ndarray) -> tuple[int, int, int] | None:
         """Where k + 1 neighbouring diagonals share enough different q-grams of the item: first and last diagonal, and how many."""
@@ -182,20 +203,26 @@ class Items:
         return lo + stop - length - begin, lo + stop - begin, edits
 
 
-def blocks(benchmark: DataFrame, edits: float, q: int, most: int) -> Iterator[Items]:
-    """The items in blocks of about ``most`` bytes, read one after another. Null and blank items are left out."""
-    ids, texts, size = [], [], 0
+def blocks(benchmark: DataFrame, edits: float, q: int, most: int) -> Iterator[list[Items]]:
+    """The items in blocks of about ``most`` bytes, read one after another, in parts of one q each. Null and blank items are left out."""
+    parts: dict[int, tuple[list[int], list[str]]] = {}
+    size = 0
+
+    def block() -> list[Items]:
+        return [Items(ids, texts, edits, n) for n, (ids, texts) in sorted(parts.items())]
+
     for r in benchmark.where(F.col("text").isNotNull()).select("item_id", "text").toLocalIterator():
         t = normal(r["text"])
         if t:
+            ids, texts = parts.setdefault(max(1, min(q, len(t) // (int(len(t) * edits) + 1))), ([], []))
             ids.append(r["item_id"])
             texts.append(t)
-            size += len(t.encode())
+            size += len(t.encode("utf-8", "surrogatepass"))
         if size > most:
-            yield Items(ids, texts, edits, q)
-            ids, texts, size = [], [], 0
-    if ids:
-        yield Items(ids, texts, edits, q)
+            yield block()
+            parts, size = {}, 0
+    if parts:
+        yield block()
 
 
 OUT = "doc_id long, item_id long, start long, end long, edits long, shared long"
@@ -204,8 +231,8 @@ OUT = "doc_id long, item_id long, start long, end long, edits long, shared long"
 def leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, q: int = Q, most: int = ITEMS) -> DataFrame:
     """doc_id, item_id, start, end, edits, shared: the best passage of each benchmark item in each document that holds one.
 
-    Places are characters of the normalised text. Null, blank and short texts hold none; repeated rows and rows without
-    a doc_id are reported like others. An empty table on either side gives no rows.
+    Places are characters of the normalised text, and a short item may stand within a word. Null and blank texts hold none; repeated rows
+    and rows without a doc_id are reported like others. An empty table on either side gives no rows.
     """
     schema = pa.schema([(x.split()[0], pa.int64()) for x in OUT.split(", ")])
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -214,7 +241,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, q: int =
         def run(batches, items=items):
             for b in batches:
                 for ids, texts in by_bytes(column(b, "doc_id"), column(b, "text"), RUN):
-                    found = list(items.search([normal(t or "") for t in texts]))
+                    plain = [normal(t or "") for t in texts]
+                    found = [f for part in items for f in part.search(plain)]
                     if found:
                         yield rows(schema, [[ids[f[0]] for f in found], *zip(*[f[1:] for f in found])])
 
@@ -232,7 +260,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, q: int =
             for b in batches:
                 texts, keep = column(b, at), []
                 for _, part in by_bytes(texts, texts, RUN):
-                    bad = {f[0] for f in items.search([normal(t or "") for t in part])}
+                    plain = [normal(t or "") for t in part]
+                    bad = {f[0] for q_items in items for f in q_items.search(plain)}
                     keep += [i not in bad for i in range(len(part))]
                 yield b.filter(pa.array(keep, pa.bool_()))
 

@@ -533,7 +533,7 @@ def edits(a, b):
 def test_decontamination(spark):
     rng = random.Random(8)
     prose = lambda n: " ".join("".join(rng.choices("aeiourstn", k=rng.randint(2, 7))) for _ in range(n))
-    items = [(i, prose(rng.choice([16, 30, 60]))) for i in range(8)] + [(50, None), (51, "short")]
+    items = [(i, prose(rng.choice([16, 30, 60]))) for i in range(8)] + [(50, None), (51, "short"), (52, "the quick fox"), (53, "secretx"), (54, " "), (55, "ab " * 40), (56, "xyzzy plugh twisty maze"), (57, "a colossal cave of winding ways")]
     docs, held = [], {}
     for i in range(60):
         t = prose(rng.randint(0, 120))
@@ -545,11 +545,12 @@ def test_decontamination(spark):
                 p[at:at + rng.randint(0, 1)] = rng.choice(["x", "", "yy", " "])
             t = t + " " + "".join(p).upper() + "\n\n" + prose(rng.randint(0, 80))
         docs.append((i, t))
-    docs += [(100, None), (101, ""), (102, items[0][1] + " " + items[1][1])]
+    docs += [(100, None), (101, ""), (102, items[0][1] + " " + items[1][1]), (103, "see the quikc fox run"), (104, "see the qzuick fox run"), (105, "asecretxb"), (106, "no shore here, shor t"), (107, "ab " * 700), (108, "ba b" * 400),
+             (109, "xyzzy plugk twsty maze"), (110, "xyzy plgh twsty maze"), (111, "a colosal cav of windng ways"), (112, "ab " * 20 + "zz " + "ab " * 19)]
     for i, t in docs:
         for k, x in items:
             x = decontam.normal(x or "")
-            if len(x) >= decontam.Q and (n := edits(x, decontam.normal(t or ""))) <= int(len(x) * decontam.EDITS):
+            if x and (n := edits(x, decontam.normal(t or ""))) <= int(len(x) * decontam.EDITS):
                 held[i, k] = n
     bench = spark.createDataFrame(items, "item_id long, text string")
     for most in (decontam.ITEMS, 200):
@@ -559,10 +560,19 @@ def test_decontamination(spark):
     for r in out:
         part = decontam.normal(by[r["doc_id"]])[r["start"]:r["end"]]
         assert edits(part, decontam.normal(dict(items)[r["item_id"]]) + "#" * 0) <= r["edits"] or edits(decontam.normal(dict(items)[r["item_id"]]), part) <= r["edits"]
+    assert {103, 107, 109, 111} & {i for i, _ in held} and (105, 53) in held and (104, 52) in held
     kept = {r["doc_id"] for r in got(decontam.clean(table(spark, docs), bench))}
     assert kept == {i for i, _ in docs} - {i for i, _ in held} and len({i for i, _ in held}) > 10
 
 
+def test_decontamination_of_repetitive_texts():
+    """Full bands in a row are one alignment, so time grows with text times item."""
+    for item, text in (("ab " * 40, "ab " * 16_000), ("ab " * 39 + "qq", "ab " * 16_000), ("ab " * 20 + "cd " * 20, "ab cd " * 4_000)):
+        start = time.process_time()
+        list(decontam.Items([1], [decontam.normal(item)], decontam.EDITS, 8).search([decontam.normal(text)]))
+        assert time.process_time() - start < 30
+
+
 def test_pipeline(spark, tmp_path):
     """Each stage against its operator's rule on that stage's own input; columns stay, the last one packs."""
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
