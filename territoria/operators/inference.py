@@ -76,22 +76,23 @@ def _arrays(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """One row: an array of each column, by ascending key."""
     row = F.struct(F.col(key).alias("_k"), *[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)])
     packed = df.agg(F.sort_array(F.collect_list(row)).alias("_rows"))
-    return packed.select(*[F.col(f"_rows._{i}").alias(c) for i, c in enumerate(columns)])
+    return packed.select(*[F.col(f"_rows._{i}").alias(f"_c{i}") for i in range(len(columns))])
 
 
 def _replicated(df: DataFrame, key: str, columns: Sequence[str], reps: int, prepare: Callable[[np.ndarray], np.ndarray], kernel: Callable[[list[np.ndarray], int], list[tuple]], schema: str) -> DataFrame:
-    """The rows that ``kernel`` gives for the prepared columns and each replicate, in blocks of replicates; a block is a task."""
+    """The rows that ``kernel`` gives for the prepared columns and each replicate; a block of up to REPLICATES replicates is a task."""
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 values = [prepare(b.column(k + 1)[i].values.to_numpy(zero_copy_only=False)) for k in range(len(columns))]
-                first = b.column(0)[i].as_py() * REPLICATES
-                out = [r for rep in range(first, min(reps, first + REPLICATES)) for r in kernel(values, rep)]
+                first = b.column(0)[i].as_py() * each
+                out = [r for rep in range(first, min(reps, first + each)) for r in kernel(values, rep)]
                 yield pa.RecordBatch.from_pydict({n: [r[k] for r in out] for k, n in enumerate(names)})
 
-    blocks = math.ceil(reps / REPLICATES)
+    each = max(1, min(REPLICATES, reps // 8))
+    blocks = math.ceil(reps / each)
     return df.sparkSession.range(0, blocks, 1, blocks).crossJoin(F.broadcast(_arrays(df, key, columns))).mapInArrow(run, schema)
 
 
@@ -300,6 +301,68 @@ def calibrate(df: DataFrame, names: Sequence[str], index: Callable[[], Column],
     return wide.join(table, "config")
 
 
+def calibrated(df: DataFrame, key: str, columns: Sequence[str], target: str, expert: Sequence[float], seeds: Sequence[int] = (0, 1, 2, 3, 4), step: float = 0.1, share: float = 0.7) -> DataFrame:
+    """(seed, w_1, w_2, w_3, rho_train, rho_test, rho_expert, gain): per seed the weights with the largest rank correlation on the training rows.
+
+    Rows are split within each target value by md5 of key and seed. The index is the mean of the three ``columns`` under the weights,
+    those of missing ones shared out. ``gain`` is what the chosen weights add to the ``expert`` ones on the test rows. Correlations that
+    agree to nine decimals tie, and the first vector of the grid wins. A seed is a task over arrays up to ARRAY_ROWS rows; beyond,
+    every vector is ranked as tables.
+    """
+    from territoria.functions.combine import wmean
+    from territoria.operators.sampling import stratified_split
+
+    ok = df.where(F.col(target).isNotNull()).select(F.col(key).cast("long").alias(key), *columns, F.col(target).cast("double").alias(target))
+    vectors = simplex(columns, step)
+    names = "seed long, w_1 double, w_2 double, w_3 double, rho_train double, rho_test double, rho_expert double"
+    if ok.limit(ARRAY_ROWS + 1).count() > ARRAY_ROWS:
+        out = None
+        for seed in seeds:
+            split = stratified_split(ok, key, target, share, seed)
+            scored = calibrate(split, columns, lambda: wmean({c: F.col(f"w_{c}") for c in columns}), target, "is_train", step)
+            best = scored.where(F.col("rho_train").isNotNull()).orderBy(F.round("rho_train", 9).desc(), "config").limit(1)
+            test = split.where(~F.col("is_train")).withColumn("_h", F.round(wmean(dict(zip(columns, expert))), 12))
+            one = best.crossJoin(F.broadcast(spearman(test, "_h", target).select(F.col("rho").alias("rho_expert")))).select(
+                F.lit(seed).cast("long").alias("seed"), *[F.col(f"w_{c}").alias(f"w_{i + 1}") for i, c in enumerate(columns)], "rho_train", "rho_test", "rho_expert")
+            out = one if out is None else out.unionByName(one)
+        return out.withColumn("gain", F.col("rho_test") - F.col("rho_expert"))
+    seeds = list(seeds)
+
+    def rho(x: np.ndarray, y: np.ndarray) -> float:
+        use = ~np.isnan(x)
+        found = _correlation(*(_centred_ranks(_places(v[use]), np.ones(use.sum())) for v in (x, y))) if use.any() else None
+        return math.nan if found is None else found
+
+    def index(values: Sequence[np.ndarray], weights: Sequence[float]) -> np.ndarray:
+        live = sum(w * ~np.isnan(v) for w, v in zip(weights, values))
+        total = sum(np.where(np.isnan(v), 0.0, v * w) for w, v in zip(weights, values))
+        with np.errstate(all="ignore"):
+            return np.where(live > 0, np.round(total / live, 12), np.nan)
+
+    def kernel(columns_: list[np.ndarray], rep: int) -> list[tuple]:
+        *values, y, keys = columns_
+        seed = seeds[rep]
+        drawn_ = [hashlib.md5(f"{int(k)}:{seed}".encode()).hexdigest()[:12] for k in keys]
+        train = np.zeros(len(y), bool)
+        for level in np.unique(y):
+            rows = np.flatnonzero(y == level)
+            rows = rows[np.argsort(np.array([drawn_[i] for i in rows], dtype="U12"), kind="stable")]
+            train[rows[:math.floor(len(rows) * share)]] = True
+        best = None
+        for v in vectors:
+            h = index(values, list(v.values()))
+            r = rho(h[train], y[train])
+            if not math.isnan(r) and (best is None or round(r, 9) > round(best[1], 9)):
+                best = (v, r, rho(h[~train], y[~train]))
+        if best is None:
+            return []
+        test = rho(index(values, list(expert))[~train], y[~train])
+        return [(seed, *map(float, best[0].values()), best[1], best[2], test)]
+
+    found = _replicated(ok, key, [*columns, target, key], len(seeds), lambda v: np.asarray(v, float), kernel, names)
+    return found.withColumn("gain", F.col("rho_test") - F.col("rho_expert"))
+
+
 def ahp_weights(ab: Column, ac: Column, bc: Column) -> list[Column]:
     """Weights of a 3x3 reciprocal comparison matrix: row geometric means, equal to its principal eigenvector."""
     rows = [F.pow(ab * ac, F.lit(1 / 3)), F.pow(bc / ab, F.lit(1 / 3)), F.pow(1 / (ac * bc), F.lit(1 / 3))]

@@ -199,6 +199,23 @@ def weight_calibration(t):
     return c.select("w_bws", "w_aridity", "w_gws", r("rho_train").alias("rho_train"), r("rho_test").alias("rho_test"))
 
 
+_EXPERT = (0.5, 0.36, 0.14)
+_INDEX3 = "round(({w0} * x_bws + {w1} * x_aridity + coalesce({w2} * x_gws, 0)) / ({w0} + {w1} + CASE WHEN x_gws IS NOT NULL THEN {w2} ELSE 0 END), 12)"
+
+
+@query("calibrated_weights", "M25 K5", f"""
+WITH {SITES}, k AS (SELECT sites.*, seed, row_number() OVER (PARTITION BY seed, level ORDER BY substr(md5(id::VARCHAR || ':' || seed), 1, 12)) <= floor(count(*) OVER (PARTITION BY seed, level) * 0.7e0) AS is_train FROM sites, range(5) s(seed)),
+ g AS (SELECT i, j, i / 10e0 AS w0, j / 10e0 AS w1, (10 - i - j) / 10e0 AS w2 FROM range(11) a(i), range(11) b(j) WHERE i + j <= 10 UNION ALL SELECT -1, -1, {', '.join(f'{w}e0' for w in _EXPERT)}),
+ h AS (SELECT seed, i, j, is_train, level, {_INDEX3.format(w0='w0', w1='w1', w2='w2')} AS h FROM k, g WHERE w0 + w1 + CASE WHEN x_gws IS NOT NULL THEN w2 ELSE 0 END > 0),
+ rk AS (SELECT *, {rank_sql('h', 'seed, i, j, is_train')} AS a, {rank_sql('level', 'seed, i, j, is_train')} AS b FROM h), c AS (SELECT seed, i, j, corr(a, b) FILTER (is_train) AS tr, corr(a, b) FILTER (NOT is_train) AS te FROM rk GROUP BY ALL),
+ o AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY round(tr, 9) DESC, i, j) AS rn FROM c WHERE i >= 0), x AS (SELECT o.*, e.te AS ex FROM o JOIN c e ON e.seed = o.seed AND e.i = -1 WHERE rn = 1)
+SELECT seed, i / 10e0 AS w_1, j / 10e0 AS w_2, (10 - i - j) / 10e0 AS w_3, round(tr, 6) AS rho_train, round(te, 6) AS rho_test, round(ex, 6) AS rho_expert, round(te - ex, 6) AS gain FROM x""")
+def calibrated_weights(t):
+    """The weights that each of five splits would choose, and what they gain on its test rows."""
+    c = inf.calibrated(sites(t), "id", ["x_bws", "x_aridity", "x_gws"], "level", _EXPERT)
+    return c.select("seed", *[r(f"w_{i}", 3).alias(f"w_{i}") for i in (1, 2, 3)], *[r(n).alias(n) for n in ("rho_train", "rho_test", "rho_expert", "gain")])
+
+
 _COMPARED = (3.0, 3.0, 1.0)
 _TRIAL = ", ".join(f"{v}e0 * (1 + 0.2e0 * (2 * {_uniform(f"'{42 + i}:' || s")} - 1)) AS {n}" for i, (v, n) in enumerate(zip(_COMPARED, ("ab", "ac", "bc"))))
 _W3 = {"x_bws": "w0", "x_aridity": "w1", "x_gws": "w2"}

@@ -450,3 +450,18 @@ def test_configuration_search_matches_the_plain_plan(spark, monkeypatch):
     for i, c in enumerate(configs):
         for name in ("d_all", "d_20_50", "d_50_100", "d_100", "objective"):
             assert got[tuple(c.values())][name] == pytest.approx(want[str(i)][name], abs=1e-9)
+
+
+def test_calibrated_weights_by_arrays_and_by_tables(spark, monkeypatch):
+    """The same choice from arrays and from ranked tables, with missing components and a target of three levels."""
+    rng = np.random.default_rng(3)
+    rows = [(i, float(a), float(b), None if i % 4 == 0 else float(c), 1 + int(2.999 * (0.2 * a + 0.7 * b + 0.1 * c))) for i, (a, b, c) in enumerate(rng.uniform(size=(90, 3)).round(2))]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, y int")
+    runs = []
+    for bound in (inference.ARRAY_ROWS, 0):
+        monkeypatch.setattr(inference, "ARRAY_ROWS", bound)
+        runs.append({r["seed"]: tuple(r)[1:] for r in inference.calibrated(df, "id", ["a", "b", "c"], "y", (0.4, 0.3, 0.3), (0, 1), 0.25).collect()})
+    assert runs[0].keys() == runs[1].keys() == {0, 1}
+    for seed in runs[0]:
+        assert runs[0][seed] == pytest.approx(runs[1][seed], abs=1e-9)
+        assert runs[0][seed][1] >= 0.5  # the second component carries the target

@@ -18,12 +18,18 @@ TESTED = {
     "S7": "readers.first_available / test_sources.test_cache_and_fallback", "S9": "readers.polygons / test_sources.test_polygon_source_keeps_one_row_per_id",
     "S10": "readers.union_lower / test_sources.test_pages_union_and_harmonise", "S4": "readers.read_pages / test_sources.test_pages_union_and_harmonise",
     "S12": "grid.metric_grid / test_operators.test_grid_tools", "S13": "grid.lonlat_grid / test_operators.test_grid_tools",
-    "S11": "grid.synthetic_cube / test_operators.test_synthetic_cube_is_seeded",
+    "S11": "grid.synthetic_cube / test_operators.test_synthetic_cube_is_seeded", "J10": "spatial.polygon_join / test_operators.test_polygon_join_over_a_city",
+    "J21": "spatial.nearest_of_another_group / test_operators.test_nearest_of_another_group", "M5": "interpolate.rcap_search / test_operators.test_configuration_search_matches_the_plain_plan",
+    "M17": "inference.bootstrap_rho / test_operators.test_arrays_and_tables_draw_the_same", "M19": "inference.permutations / test_operators.test_permutations_stay_one_to_one_when_draws_tie",
     "S15": "sinks.write_csv / test_sources.test_sinks", "S16": "sinks.write_cube / test_sources.test_sinks", "S17": "sinks.write_geojson / test_sources.test_sinks",
-    "S18": "sinks.write_report / test_sources.test_sinks", "T1": "streaming.refresh / test_sources.test_stream_equals_batch_and_ignores_replays",
+    "S18": "sinks.write_report / test_sources.test_sinks", "T1": "streaming.refresh_means / test_sources.test_means_grow_by_keys",
     "F2": "native Columns throughout", "Q1": "quality.enforce_gate / test_operators.test_checks_and_gate",
 }
 
+# What an id still lacks.
+PART = {"A36": "no bootstrap interval", "G11": "no SQL twin", "G12": "no SQL twin", "M29": "no SQL twin",
+        "S4": "page reader in no query", "S5": "cache in no query", "S7": "fallback in no query", "S9": "polygon reader in no query", "S16": "cube sink in no query", "S18": "report sink in no query"}
+
 
 def main() -> None:
     ids = []
@@ -35,14 +41,14 @@ def main() -> None:
     for name, q in REGISTRY.items():
         for i in q.ids.split():
             by_id.setdefault(i, []).append(f"`{name}`" + ("" if q.sql else " (rows)"))
-    lines = ["# Coverage", "", "Inventory id, the registered queries that run it (`(rows)` = no SQL twin), and the unit test where there is one.",
+    lines = ["# Coverage", "", "Inventory id, the registered queries that run it (`(rows)` = no SQL twin), and the unit test where there is one. An id marked `part` lacks what the last column names.",
              f"{len(REGISTRY)} queries, {sum(q.sql is not None for q in REGISTRY.values())} with a SQL twin. Regenerate with `python tools/coverage.py`.", "",
-             "| id | queries | unit test |", "|---|---|---|"]
+             "| id | queries | unit test | part |", "|---|---|---|---|"]
     missing = []
     for i in ids:
         if i not in by_id and i not in TESTED:
             missing.append(i)
-        lines.append(f"| {i} | {', '.join(by_id.get(i, []))} | {TESTED.get(i, '')} |")
+        lines.append(f"| {i} | {', '.join(by_id.get(i, []))} | {TESTED.get(i, '')} | {PART.get(i, '')} |")
     (ROOT / "COVERAGE.md").write_text("\n".join(lines) + "\n")
     print("ids", len(ids), "missing", missing)
 
