@@ -62,11 +62,11 @@ def lonlat_grid(key: str = "15km", bounds: tuple[float, float, float, float] = L
     return Grid(west + step / 2, south + step / 2, step, step, _steps(west, east, step), _steps(south, north, step))
 
 
-def synthetic_cube(cells: DataFrame, start: str, end: str, seed: int = 42, mean: float = 0.0, std: float = 1.0, keys: Sequence[str] = ("ix", "iy")) -> DataFrame:
-    """Gaussian value per cell and month, made of the seed, the cell and the month alone: the layout of the table has no say."""
+def synthetic_cube(cells: DataFrame, start: str, end: str, seed: int = 42, mean: float = 0.0, std: float = 1.0, keys: Sequence[str] | None = None) -> DataFrame:
+    """Gaussian value per cell and month, made of the seed, the cell's ``keys`` (all its columns, if none are given) and the month alone."""
     months = F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"), F.expr("interval 1 month"))
     cube = cells.withColumn("month", F.explode(months))
-    return cube.withColumn("value", F.lit(mean) + std * gaussian(labelled(seed, *[F.col(k) for k in keys], F.col("month"))))
+    return cube.withColumn("value", F.lit(mean) + std * gaussian(labelled(seed, *[F.col(k) for k in keys or cells.columns], F.col("month"))))
 
 
 def sample_cells(points: DataFrame, cells: DataFrame, grid: Grid, values: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
