@@ -48,11 +48,12 @@ def disaggregate(production: DataFrame, plants: DataFrame, ts: str = "ts", carri
                  cap: str = "cap", salts: int = 16) -> DataFrame:
     """(ts, plant columns, mw): national production spread by capacity share within the carrier.
 
-    A carrier is a hot key by nature, so the hours are salted and the plants repeated once per salt.
+    A carrier is a hot key by nature, so the plants are salted and the hours, far fewer rows, repeated once per salt. The
+    merge hint keeps both sides off the driver: Spark's size estimate of a repeated side leaves the repeats out.
     """
-    shares = capacity_shares(plants, carrier, cap).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    hours = production.select(ts, carrier, F.col(mw).alias("_mw"), F.pmod(F.xxhash64(ts), F.lit(salts)).cast("int").alias("_salt"))
-    return hours.join(shares, [carrier, "_salt"]).withColumn(mw, F.col("_mw") * F.col("share")).drop("_mw", "_salt", "share")
+    shares = capacity_shares(plants, carrier, cap).withColumn("_salt", F.pmod(F.xxhash64(*plants.columns), F.lit(salts)).cast("int"))
+    hours = production.select(ts, carrier, F.col(mw).alias("_mw"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    return hours.join(shares.hint("merge"), [carrier, "_salt"]).withColumn(mw, F.col("_mw") * F.col("share")).drop("_mw", "_salt", "share")
 
 
 def conservation(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str = "mw") -> DataFrame:

@@ -270,6 +270,16 @@ def test_dispatch_keeps_totals(spark):
         assert r["a"] == pytest.approx(r["b"])
 
 
+def test_dispatch_repeats_the_hours_not_the_plants(spark):
+    """Repeated plants are broadcast by their size before the repeats, which fills the driver."""
+    prod = spark.createDataFrame([(1, "a", 10.0), (1, "b", 10.0)], "ts int, carrier string, mw double")
+    plants = spark.range(200).selectExpr("id AS gen", "if(id % 2 = 0, 'a', 'b') AS carrier", "1D AS cap")
+    d = energy.disaggregate(prod, plants)
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [carrier" in plan and plan.count("Generate explode") == 1 and plan.index("Generate explode") < plan.index("Range (0, 200")
+    assert d.count() == 200 and d.agg(F.sum("mw")).first()[0] == pytest.approx(20.0)
+
+
 def test_resampling_inference(spark):
     rng = np.random.default_rng(9)
     x = rng.normal(size=150)
