@@ -20,6 +20,11 @@ def r(c, d=6):
     return F.round(c, d)
 
 
+def r_binary(c, d):
+    """Rounds c · 10^d as it is stored, like SQL: 20.275 is a little less as a double and gives 20.27. ``r`` rounds its shortest decimal."""
+    return F.round(c * 10.0**d) / 10.0**d
+
+
 _D = "sqrt(pow(p.x - s.x, 2) + pow(p.y - s.y, 2))"
 _NEAR = f"""{SITE_POINTS}, {STATIONS},
  nn AS (SELECT id, sid, d, value, zone, row_number() OVER (PARTITION BY id ORDER BY d, sid) AS rank FROM (SELECT p.id, s.sid, {_D} AS d, s.value, s.zone FROM pts p, stations s))"""
@@ -408,6 +413,6 @@ def point_monthly_series(t):
     """A row for each site; beyond 50 km all but the id is null or 0."""
     near = sp.nearest_join(site_points(t), stations(t), max_km=50.0)
     m = t.lineitem.groupBy(F.col("l_suppkey").alias("sid"), F.month("l_shipdate").alias("m")).agg(F.avg("l_quantity").alias("q"))
-    prof = m.groupBy("sid").agg(F.count("q").alias("n_months"), r(F.avg("q"), 5).alias("annual"), r(F.avg(F.when(F.col("m").between(6, 9), F.col("q"))), 5).alias("summer"), r(F.min("q"), 5).alias("worst"),
-                                F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("m", "q"))), lambda s: F.round(s["q"], 2).cast("decimal(10,2)").cast("string")), ",").alias("series"))
+    prof = m.groupBy("sid").agg(F.count("q").alias("n_months"), r_binary(F.avg("q"), 5).alias("annual"), r_binary(F.avg(F.when(F.col("m").between(6, 9), F.col("q"))), 5).alias("summer"), r_binary(F.min("q"), 5).alias("worst"),
+                                F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("m", "q"))), lambda s: r_binary(s["q"], 2).cast("decimal(10,2)").cast("string")), ",").alias("series"))
     return near.join(prof, "sid", "left").select("id", "sid", F.coalesce("n_months", F.lit(0)).alias("n_months"), "annual", "summer", "worst", "series")

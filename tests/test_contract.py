@@ -37,3 +37,18 @@ def test_dates_outside_the_calendar_are_orphans(spark):
     n = {r["check_name"]: r["n"] for r in contract.queries()["referential_integrity"](spark, FOLDER).collect()}
     want = duckdb.connect().execute(f"SELECT count(*) FROM '{FOLDER}/lineitem.parquet' WHERE year(l_shipdate) <> 1998").fetchall()
     assert n["dates"] == want[0][0] > 0
+
+
+def test_monthly_series_round_as_sql_does(spark, tmp_path):
+    """A mean of 20.275 is a little less as a double: SQL shows 20.27."""
+    con = duckdb.connect()
+    for t in ("customer", "supplier"):
+        con.execute(f"COPY (SELECT * FROM '{FOLDER}/{t}.parquet' LIMIT 1) TO '{tmp_path}/{t}.parquet'")
+    con.execute(f"""COPY (SELECT * REPLACE((SELECT min(s_suppkey) FROM '{tmp_path}/supplier.parquet') AS l_suppkey, 20e0 + (i < 11)::INT AS l_quantity)
+        FROM (SELECT * FROM '{FOLDER}/lineitem.parquet' LIMIT 1), range(40) x(i)) TO '{tmp_path}/lineitem.parquet'""")
+    con.execute(f"""COPY (SELECT * REPLACE((SELECT min(s_suppkey) FROM '{tmp_path}/supplier.parquet') AS c_custkey) FROM '{tmp_path}/customer.parquet') TO '{tmp_path}/c.parquet'""")
+    con.execute(f"COPY (SELECT * FROM '{tmp_path}/c.parquet') TO '{tmp_path}/customer.parquet'")
+    for t in ("customer", "supplier", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    want = con.execute(contract.oracle_sql()["point_monthly_series"]).fetchall()
+    assert [tuple(r) for r in contract.queries()["point_monthly_series"](spark, str(tmp_path)).collect()] == want and want[0][-1] == "20.27"
