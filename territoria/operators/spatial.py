@@ -43,6 +43,11 @@ def _box_distance(x: Column, y: Column, cx: Column, cy: Column, size: float) ->
     return F.hypot(nx, ny), F.hypot(fx, fy)
 
 
+def _dealt(spots: DataFrame) -> DataFrame:
+    """``spots`` in all shuffle partitions: a few MB of locations grow a hundredfold, so they must not be merged into one task."""
+    return spots.repartition(int(spots.sparkSession.conf.get("spark.sql.shuffle.partitions")), "x", "y")
+
+
 def _levels(points: DataFrame, root: float, depth: int) -> list[DataFrame]:
     """Cell tables of every level, each rolled up from the next finer one: (cx, cy, n, wlo, whi)."""
     finest = root / 4**depth
@@ -155,7 +160,7 @@ def radius_pairs(left: DataFrame, right: DataFrame, radius: float, right_cols: S
 
 def radius_join(left: DataFrame, right: DataFrame, radius: float, left_id: str = "id", right_cols: Sequence[str] = ("sid",)) -> DataFrame:
     """Left ids with every right row within the radius (the result itself is the list of pairs)."""
-    return left.select(left_id, "x", "y").join(radius_pairs(left, right, radius, right_cols), ["x", "y"], "inner").drop("x", "y")
+    return _dealt(left.select(left_id, "x", "y")).join(_dealt(radius_pairs(left, right, radius, right_cols)), ["x", "y"], "inner").drop("x", "y")
 
 
 def radius_sums(left: DataFrame, right: DataFrame, radius: float, sums: dict[str, Column], left_id: str = "id",

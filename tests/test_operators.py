@@ -475,3 +475,12 @@ def test_calibrated_weights_by_arrays_and_by_tables(spark, monkeypatch):
     for seed in runs[0]:
         assert runs[0][seed] == pytest.approx(runs[1][seed], abs=1e-9)
         assert runs[0][seed][1] >= 0.5  # the second component carries the target
+
+
+def test_dealt_radius_join(spark):
+    """The joined rows are many times the rows that are shuffled: they stay dealt to all shuffle partitions."""
+    df = spark.range(300).selectExpr("id", "id AS sid", "CAST(id % 20 AS double) AS x", "CAST(id % 15 AS double) AS y")
+    out = spatial.radius_join(df, df, 3.0)
+    assert out._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 2
+    pts = [(i % 20, i % 15) for i in range(300)]
+    assert out.count() == sum(math.hypot(a[0] - b[0], a[1] - b[1]) <= 3 for a in pts for b in pts)
