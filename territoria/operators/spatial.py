@@ -91,7 +91,7 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, left_id: str = "id", rig
     depth = pyramid_depth(slim, root, leaf)
     levels = _levels(slim, root, depth)
     rows = left.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(F.col(left_id), "x", "y")
-    spots = rows.select("x", "y").distinct()
+    spots = _dealt(rows.select("x", "y").distinct())
     here = W.partitionBy("x", "y")
     cand = spots.crossJoin(F.broadcast(levels[0]))
     for d in range(depth + 1):
@@ -99,6 +99,7 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, left_id: str = "id", rig
         if d:
             child = levels[d].select(F.floor(F.col("cx") / 4).cast("long").alias("px"), F.floor(F.col("cy") / 4).cast("long").alias("py"), "*")
             cand = cand.select("x", "y", F.col("cx").alias("px"), F.col("cy").alias("py")).join(child, ["px", "py"], "inner")
+            cand = _dealt(cand)
         near, far = _box_distance(F.col("x"), F.col("y"), F.col("cx"), F.col("cy"), size)
         cand = cand.withColumn("_near", near).withColumn("_best", cost(near, F.col("whi"))).withColumn("_worst", cost(far, F.col("wlo")))
         if max_km is not None:
@@ -113,6 +114,7 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, left_id: str = "id", rig
     pairs = cand.join(cells, ["cx", "cy"], "inner").withColumn("dist", F.hypot(F.col("x") - F.col("_rx"), F.col("y") - F.col("_ry")))
     pairs = pairs.where(F.col("dist") <= max_km) if max_km is not None else pairs
     pairs = pairs.withColumn("_cost", cost(F.col("dist"), F.col("w")))
+    pairs = _dealt(pairs)
     best = W.partitionBy("x", "y").orderBy(F.col("_cost").asc(), F.col("_rid").asc())
     pairs = pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= want)
     out = rows.join(pairs.select("x", "y", "_rid", "dist", "_cost", "rank", *carry), ["x", "y"], "inner")

@@ -484,3 +484,14 @@ def test_dealt_radius_join(spark):
     assert out._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 2
     pts = [(i % 20, i % 15) for i in range(300)]
     assert out.count() == sum(math.hypot(a[0] - b[0], a[1] - b[1]) <= 3 for a in pts for b in pts)
+
+
+def test_dealt_knn(spark):
+    """Candidates of every level and the last pairs are dealt to all shuffle partitions, not merged into one task."""
+    rng = np.random.default_rng(11)
+    pts = rng.uniform(0, 900, (400, 2))
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(pts)], "sid long, x double, y double")
+    out = spatial.knn_join(df, df.select(F.col("sid").alias("nid"), "x", "y"), 3, "sid", "nid", exclude_self=True, leaf=4)
+    assert out._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") >= 3
+    near = {(r["sid"], r["rank"]): r["nid"] for r in out.collect()}
+    assert all([near[i, k] for k in (1, 2, 3)] == brute_knn(pts, i, 3, True) for i in range(400))
