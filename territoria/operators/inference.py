@@ -28,6 +28,12 @@ from territoria.operators.stats import spearman
 ARRAY_ROWS = 1 << 20
 #: Replicates of one task.
 REPLICATES = 50
+#: What md5 adds in each step and by how many bits it turns, and the digests that are made at a time.
+MD5_ADDED = [np.uint32(int(abs(math.sin(i + 1)) * 2**32)) for i in range(64)]
+MD5_TURNS = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
+MD5_ROWS = 16384
+#: Rows of a Monte Carlo run whose draws are held at a time.
+DRAWN_ROWS = 32
 
 
 def word(text: Column, half: int | Column = 0) -> Column:
@@ -50,10 +56,51 @@ def labelled(*parts) -> Column:
     return F.concat_ws(":", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
 
 
+def _digests(prefix: bytes, first: int, last: int) -> np.ndarray:
+    """The md5 of ``prefix`` and each of the numbers first..last-1, which have the same count of digits, as four words each (RFC 1321, a column at a time)."""
+    n, size = last - first, len(prefix) + len(str(first))
+    text, rest = np.zeros((n, 64), np.uint8), np.arange(first, last)
+    text[:, :len(prefix)] = np.frombuffer(prefix, np.uint8)
+    for k in range(size - 1, len(prefix) - 1, -1):
+        rest, digit = np.divmod(rest, 10)
+        text[:, k] = digit + 48
+    text[:, size] = 0x80
+    text[:, 56:] = np.frombuffer((8 * size).to_bytes(8, "little"), np.uint8)
+    block = np.ascontiguousarray(text.view("<u4").T)
+    start = [np.full(n, v, np.uint32) for v in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+    a, b, c, d = start
+    for r in range(64):
+        if r < 16:
+            f, g = d ^ (b & (c ^ d)), r
+        elif r < 32:
+            f, g = c ^ (d & (b ^ c)), (5 * r + 1) % 16
+        elif r < 48:
+            f, g = b ^ c ^ d, (3 * r + 5) % 16
+        else:
+            f, g = c ^ (b | ~d), 7 * r % 16
+        f += a
+        f += MD5_ADDED[r]
+        f += block[g]
+        turn = MD5_TURNS[r // 16][r % 4]
+        a, d, c, b = d, c, b, b + ((f << np.uint32(turn)) | (f >> np.uint32(32 - turn)))
+    return np.stack([x + y for x, y in zip(start, (a, b, c, d))], axis=1).astype("<u4")
+
+
+def halves(prefix: str, n: int) -> np.ndarray:
+    """The numbers ``word`` gives for both halves of the md5 of ``prefix`` and each of 0..n-1, a row each."""
+    head, out, low = prefix.encode(), np.empty((n, 4), "<u4"), 0
+    if len(head) + len(str(n)) > 55:  # more than one block
+        return np.frombuffer(b"".join(hashlib.md5(head + str(i).encode()).digest() for i in range(n)), ">u8").reshape(n, 2).astype(np.uint64) >> np.uint64(4)
+    while low < n:
+        high = min(n, low + MD5_ROWS, 10 ** len(str(low)))
+        out[low:high] = _digests(head, low, high)
+        low = high
+    return out.view(">u8").astype(np.uint64) >> np.uint64(4)
+
+
 def words(seed: int, rep: int, n: int) -> np.ndarray:
     """The numbers ``word`` gives for the draws 0..n-1 of a replicate: two of each md5."""
-    data = b"".join(hashlib.md5(f"{seed}:{rep}:{i}".encode()).digest() for i in range((n + 1) // 2))
-    return np.frombuffer(data, ">u8")[:n].astype(np.uint64) >> np.uint64(4)
+    return halves(f"{seed}:{rep}:", (n + 1) // 2).reshape(-1)[:n]
 
 
 def drawn(seed: int, rep: str, draw: str) -> Column:
@@ -216,21 +263,42 @@ def array_quantile(ordered: Column, p: float) -> Column:
 def monte_carlo(df: DataFrame, key: str, n: int = 5000, seed: int = 42, weights: Mapping[str, float] = WEIGHTS_INDEX, sigma: Mapping[str, float] = RELATIVE_SIGMA) -> DataFrame:
     """Index under relative gaussian noise on each component: mean, population deviation, p10 and p90 per row.
 
-    The figures of a row come from its own draws only, so all rows may share the same standard normal ones.
+    The figures of a row come from its own draws only, so all rows may share the same standard normal ones. They are
+    those of ``gaussian``, a column of numbers for each component; a few rows meet them at a time.
     """
     names = list(weights)
-    spread = df.select(key, *names, *[(sigma[c] * F.greatest(F.col(c), F.lit(1e-6))).alias(f"_s_{c}") for c in names])
-    noise = with_draws(spread, n, lambda s: F.struct(*[gaussian(labelled(seed, c, s)).alias(c) for c in names]))
-    low, high = F.lit(0.0), F.lit(1.0)
-
-    def index(z: Column) -> Column:
-        parts = [weights[c] * F.least(F.greatest(F.col(c) + z[c] * F.col(f"_s_{c}"), low), high) for c in names]
-        return F.least(F.greatest(reduce(lambda a, b: a + b, parts), low), high)
-
-    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in names])
-    w = noise.select(key, F.when(whole, F.sort_array(F.transform("_draws", index))).alias("_w"))
-    return w.select(key, array_mean(F.col("_w")).alias("mc_mean"), F.sqrt(array_variance(F.col("_w"))).alias("mc_std"),
-                    array_quantile(F.col("_w"), 0.1).alias("mc_p10"), array_quantile(F.col("_w"), 0.9).alias("mc_p90"))
+    spread = df.select(key, *[F.col(c).cast("double").alias(c) for c in names], *[(sigma[c] * F.greatest(F.col(c), F.lit(1e-6))).cast("double").alias(f"_s_{c}") for c in names])
+    kind = spread.schema[key].dataType.simpleString()
+
+    def figures(x: np.ndarray, s: np.ndarray, z: list[np.ndarray]) -> list[np.ndarray]:
+        w = 0.0
+        for i, c in enumerate(names):  # of NaN and a limit Spark takes the limit if it is the upper one
+            w = w + weights[c] * np.fmin(np.maximum(x[i][:, None] + z[i] * s[i][:, None], 0.0), 1.0)
+        w = np.fmin(np.maximum(w, 0.0), 1.0)
+        at = [p * (n - 1) for p in (0.1, 0.9)]
+        w.partition(sorted({f(p) for p in at for f in (math.floor, math.ceil)}), axis=1)
+        cuts = [w[:, math.floor(p)] + (p - math.floor(p)) * (w[:, math.ceil(p)] - w[:, math.floor(p)]) for p in at]
+        return [w.mean(1), w.std(1), *cuts]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = []
+        for c in names:
+            u = (halves(f"{seed}:{c}:", n).astype(float) + 0.5) / float(2**60)
+            z.append(np.sqrt(-2 * np.log(u[:, 0])) * np.cos(2 * pi * u[:, 1]))
+        for b in batches:
+            whole = np.ones(b.num_rows, bool)
+            for i in range(len(names)):
+                whole &= b.column(1 + i).is_valid().to_numpy(zero_copy_only=False)
+            x, s = (np.stack([b.column(k + i).to_numpy(zero_copy_only=False) for i in range(len(names))]) for k in (1, 1 + len(names)))
+            out, rows = np.zeros((4, b.num_rows)), np.flatnonzero(whole)
+            for at in range(0, len(rows), DRAWN_ROWS):
+                some = rows[at:at + DRAWN_ROWS]
+                out[:, some] = figures(x[:, some], s[:, some], z)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(o, mask=~whole) for o in out]], names=[key, "mc_mean", "mc_std", "mc_p10", "mc_p90"])
+
+    # The rows are dealt out first, since a few narrow ones mean much work each.
+    dealt = spread.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.mapInArrow(run, f"`{key}` {kind}, mc_mean double, mc_std double, mc_p10 double, mc_p90 double")
 
 
 def ablate(df: DataFrame, scenarios: Mapping[str, Column], target: str) -> DataFrame:

@@ -495,3 +495,14 @@ def test_dealt_knn(spark):
     assert out._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") >= 3
     near = {(r["sid"], r["rank"]): r["nid"] for r in out.collect()}
     assert all([near[i, k] for k in (1, 2, 3)] == brute_knn(pts, i, 3, True) for i in range(400))
+
+
+@pytest.mark.parametrize("rows", [7, 16384])
+def test_digests_by_columns_are_md5(monkeypatch, rows):
+    import hashlib
+
+    monkeypatch.setattr(inference, "MD5_ROWS", rows)
+    for prefix in ("42:7:", "42:drought:", "x" * 60):
+        want = [[int(hashlib.md5(f"{prefix}{i}".encode()).hexdigest()[k:k + 15], 16) for k in (0, 16)] for i in range(1203)]
+        assert inference.halves(prefix, 1203).tolist() == want
+    assert inference.halves("42:7:", 0).shape == (0, 2) and len(inference.words(42, 7, 9)) == 9
