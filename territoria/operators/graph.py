@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame
@@ -257,21 +258,23 @@ def sampled_betweenness(edges: DataFrame, sources: DataFrame, node: str = "id")
     """Hop-count betweenness from sampled sources: path counts outwards by level, dependencies back by level."""
     e = cut_lineage(both_ways(edges).distinct())
     seen = cut_lineage(sources.select(F.col(node).alias("s")).distinct().select("s", F.col("s").alias("v"), F.lit(0).alias("h"), F.lit(1.0).alias("paths")))
-    frontier, depth = seen, 0
+    levels = [seen]
     for h in count(1):
-        nxt = frontier.join(e, frontier["v"] == e["src"]).select("s", F.col("dst").alias("v"), "paths").join(seen.select("s", "v"), ["s", "v"], "left_anti")
+        # Edges go both ways, so a neighbour of a level lies on it, next to it on the way back, or is new.
+        near = reduce(DataFrame.unionByName, levels[-2:]).select("s", "v")
+        nxt = levels[-1].join(e, levels[-1]["v"] == e["src"]).select("s", F.col("dst").alias("v"), "paths").join(near, ["s", "v"], "left_anti")
         frontier = cut_lineage(nxt.groupBy("s", "v").agg(F.sum("paths").alias("paths")).select("s", "v", F.lit(h).alias("h"), "paths"))
         if frontier.isEmpty():
             break
-        seen, depth = seen.unionByName(frontier), h
+        levels.append(frontier)
     dep = None
     total = None
-    for h in range(depth, 0, -1):
-        level = seen.where(F.col("h") == h).join(dep, ["s", "v"], "left").withColumn("d", F.coalesce("d", F.lit(0.0))) if dep is not None else seen.where(F.col("h") == h).withColumn("d", F.lit(0.0))
+    for h in range(len(levels) - 1, 0, -1):
+        level = levels[h].join(dep, ["s", "v"], "left").withColumn("d", F.coalesce("d", F.lit(0.0))) if dep is not None else levels[h].withColumn("d", F.lit(0.0))
         level = cut_lineage(level)
         mine = level.select("v", "d")
         total = mine if total is None else total.unionByName(mine)
-        prev = seen.where(F.col("h") == h - 1).select("s", F.col("v").alias("u"), F.col("paths").alias("pu"))
+        prev = levels[h - 1].select("s", F.col("v").alias("u"), F.col("paths").alias("pu"))
         back = level.select("s", F.col("v").alias("src"), ((1 + F.col("d")) / F.col("paths")).alias("k")).join(e, "src").select("s", F.col("dst").alias("u"), "k")
         dep = back.join(prev, ["s", "u"]).groupBy("s", F.col("u").alias("v")).agg(F.sum(F.col("pu") * F.col("k")).alias("d"))
     if total is None:

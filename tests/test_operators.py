@@ -506,3 +506,13 @@ def test_digests_by_columns_are_md5(monkeypatch, rows):
         want = [[int(hashlib.md5(f"{prefix}{i}".encode()).hexdigest()[k:k + 15], 16) for k in (0, 16)] for i in range(1203)]
         assert inference.halves(prefix, 1203).tolist() == want
     assert inference.halves("42:7:", 0).shape == (0, 2) and len(inference.words(42, 7, 9)) == 9
+
+
+def test_betweenness_reads_two_levels_a_round(spark, monkeypatch):
+    """On a path of ten nodes each round reads the edges and the levels next to it, however many lie behind."""
+    read, cut = [], graph.cut_lineage
+    monkeypatch.setattr(graph, "cut_lineage", lambda df: (read.append(df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD")), cut(df))[1])
+    edges = spark.range(9).selectExpr("id AS src", "id + 1 AS dst")
+    b = {r["id"]: r["betweenness"] for r in graph.sampled_betweenness(edges, spark.range(1)).collect()}
+    assert b == {i: 9.0 - i for i in range(1, 10)}
+    assert max(read) <= 6
