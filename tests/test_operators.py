@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from territoria.operators import energy, graph, grid, inference, interpolate, joins, learning, quality, ranking, series, spatial, stats
+from territoria.session import cut_lineage
 
 
 @pytest.fixture(scope="module")
@@ -516,3 +517,23 @@ def test_betweenness_reads_two_levels_a_round(spark, monkeypatch):
     b = {r["id"]: r["betweenness"] for r in graph.sampled_betweenness(edges, spark.range(1)).collect()}
     assert b == {i: 9.0 - i for i in range(1, 10)}
     assert max(read) <= 6
+
+
+def test_laplacian_balls_are_smoothed_without_joins(spark, monkeypatch):
+    """However many rounds it takes, no table is written between them; balls beyond the bound are smoothed by joins to the same values."""
+    edges = spark.createDataFrame([(i, i + s, 1.0 + (i * s) % 3) for i in range(40) for s in (1, 7)], "src long, dst long, admittance double")
+    values = spark.createDataFrame([(i, None if i % 11 == 5 else float(i * 13 % 31)) for i in range(45)], "id long, value double")
+
+    def smooth(bound):
+        written = []
+        monkeypatch.setattr(learning, "BALL_EDGES", bound)
+        monkeypatch.setattr(learning, "cut_lineage", lambda df: written.append(1) or cut_lineage(df))
+        return {r["id"]: r["pred"] for r in learning.local_laplacian(values, edges, "admittance", tol=1e-9).collect()}, len(written)
+
+    (arrays, few), (joins, many), (mixed, _) = smooth(1 << 18), smooth(0), smooth(60)
+    assert few <= 3 < many and set(arrays) == set(joins) == set(mixed) and len(arrays) == 45
+    for i, p in joins.items():
+        assert arrays[i] == pytest.approx(p, abs=1e-7) and mixed[i] == pytest.approx(p, abs=1e-7)
+
+    monkeypatch.setattr(learning, "EDGES_AT_ONCE", 1)
+    assert smooth(1 << 18)[0] == arrays
