@@ -537,3 +537,20 @@ def test_laplacian_balls_are_smoothed_without_joins(spark, monkeypatch):
 
     monkeypatch.setattr(learning, "EDGES_AT_ONCE", 1)
     assert smooth(1 << 18)[0] == arrays
+
+
+def test_forest_rows_are_read_once_and_dealt(spark, monkeypatch):
+    """The folds read a table, not the plan of their rows, and many rows are fitted by several tasks."""
+    monkeypatch.setattr(learning, "TASK_ROWS", 50)
+    rows = spark.range(200).select((F.col("id") % 4).alias("zone"), (F.col("id") * 37 % 101).cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b"))
+    rows = rows.coalesce(1).withColumn("y", F.col("a") * 2 + F.col("b"))
+    seen, fit = [], learning.fit_forest
+
+    def watched(train, feats):
+        seen.append((train.rdd.getNumPartitions(), "Range" in train._jdf.queryExecution().optimizedPlan().toString()))
+        return fit(train, feats, "y", trees=5, depth=4)
+
+    got = learning.leave_group_out(rows, "zone", [0, 1, 2, 3], {"ab": ["a", "b"], "b": ["b"]}, "y", watched).collect()
+    assert sorted((r["model"], r["fold"], r["n"]) for r in got) == [(m, str(g), 50) for m in ("ab", "b") for g in range(4)]
+    assert min(r["rho"] for r in got if r["model"] == "ab") > 0.8
+    assert seen == [(4, False)] * 8
