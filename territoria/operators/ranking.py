@@ -120,23 +120,17 @@ def position(df: DataFrame, value: str, tie: str, keys: Sequence[str], out: str,
 
 
 def surrogate_key(df: DataFrame, order: str, tie: str | None = None, out: str = "sk", rest: Sequence[str] = ()) -> DataFrame:
-    """Row numbers 1..n in ``order`` then ``tie`` (both numeric) without the single-partition window.
+    """Row numbers 1..n in ``order``, ``tie`` and ``rest``, nulls last, without the single-partition window.
 
-    Rows that agree on both are few by contract; they are numbered by ``rest`` inside their own small group.
+    The rows are sorted once, over all tasks, and stored; a row's number is its place in its part of the table plus the rows
+    of the parts before. Rows without ``order`` go.
     """
-    a = value_ranks(df, order).select(F.col("value").alias("_sk_v"), F.col("below_n").alias("_sk_b"), F.col("n").alias("_sk_nv"))
-    df = df.join(a, F.col(order) == F.col("_sk_v"), "inner").drop("_sk_v")
-    number = F.col("_sk_b") + 1
-    if tie is not None:
-        # Only values that occur more than once need a second rank.
-        b = value_ranks(df.where(F.col("_sk_nv") > 1), tie, [order]).select(
-            F.col(order).alias("_sk_o"), F.col("value").alias("_sk_t"), F.col("below_n").alias("_sk_bt"), F.col("n").alias("_sk_nt"))
-        df = df.join(b, (F.col(order) == F.col("_sk_o")) & (F.col(tie) == F.col("_sk_t")), "left")
-        number = number + F.coalesce("_sk_bt", F.lit(0))
-        if rest:
-            same = F.row_number().over(W.partitionBy(order, tie).orderBy(*rest)) - 1
-            number = number + F.when(F.col("_sk_nt") > 1, same).otherwise(0)
-    return df.withColumn(out, number).drop("_sk_b", "_sk_nv", "_sk_bt", "_sk_nt", "_sk_o", "_sk_t")
+    by = [order, *([tie] if tie is not None else []), *rest]
+    parts = cut_lineage(df.where(F.col(order).isNotNull()).orderBy(*[F.col(c).asc_nulls_last() for c in by])).select(
+        "*", F.spark_partition_id().alias("_sk_p"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_sk_i"))
+    before = W.orderBy("_sk_p").rowsBetween(W.unboundedPreceding, -1)
+    starts = parts.groupBy("_sk_p").agg(F.count(F.lit(1)).alias("_sk_n")).select("_sk_p", F.coalesce(F.sum("_sk_n").over(before), F.lit(0)).alias("_sk_b"))
+    return parts.join(F.broadcast(starts), "_sk_p").withColumn(out, F.col("_sk_b") + F.col("_sk_i") + 1).drop("_sk_p", "_sk_i", "_sk_b")
 
 
 def cumulative_share(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:

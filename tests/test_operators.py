@@ -554,3 +554,13 @@ def test_forest_rows_are_read_once_and_dealt(spark, monkeypatch):
     assert sorted((r["model"], r["fold"], r["n"]) for r in got) == [(m, str(g), 50) for m in ("ab", "b") for g in range(4)]
     assert min(r["rho"] for r in got if r["model"] == "ab") > 0.8
     assert seen == [(4, False)] * 8
+
+
+def test_surrogate_keys_take_one_sort(spark):
+    """Numbers go on from part to part and through hot keys, and no join of ranks is planned."""
+    rows = [(i % 3 if i % 2 else i, i * 7 % 11, i) for i in range(300)] + [(None, 1, 1)]
+    df = spark.createDataFrame(rows, "k long, tie long, x long").repartition(5)
+    keyed = ranking.surrogate_key(df, "k", "tie", "n", ["x"])
+    want = {r: i for i, r in enumerate(sorted(r for r in rows if r[0] is not None), 1)}
+    assert {(r["k"], r["tie"], r["x"]): r["n"] for r in keyed.collect()} == want
+    assert keyed._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
