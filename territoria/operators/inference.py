@@ -318,13 +318,19 @@ def sweep(df: DataFrame, key: str, params: Sequence[Mapping[str, float | str]],
     return stat.join(spearman(j, "_h", "_ref", ["config"]).select("config", F.col("rho").alias("rank_rho")), "config", "left")
 
 
-def sobol(df: DataFrame, key: str, bounds: Mapping[str, tuple[float, float]], model: Callable[[Mapping[str, Column]], Column], n: int = 256, seed: int = 42) -> DataFrame:
+def sobol(df: DataFrame, key: str, bounds: Mapping[str, tuple[float, float]], model: Callable[..., Column | np.ndarray], n: int = 256, seed: int = 42,
+          reads: Sequence[str] | None = None) -> DataFrame:
     """(key, param, first_order, total): variance shares by the Jansen estimators on A, B and A-with-one-column-of-B rows.
 
     ``model`` takes a column for each parameter. Each row of ``df`` evaluates it on the n x (parameters + 2) rows of the
     design, as arrays. Rows whose output doesn't vary (variance up to 1e-12) have null shares.
+
+    With ``reads`` the model is one of NumPy, for many rows: it takes the draws of each parameter and those columns of some
+    rows, a row each, with NaN for null, and gives the outputs of these rows for all draws.
     """
     names = list(bounds)
+    if reads is not None:
+        return _sobol_arrays(df, key, bounds, model, n, seed, list(reads))
 
     def scaled(name: str, text: Column, half: int) -> Column:
         low, high = bounds[name]
@@ -345,6 +351,36 @@ def sobol(df: DataFrame, key: str, bounds: Mapping[str, tuple[float, float]], mo
     return y.select(key, F.inline(F.array(*shares)))
 
 
+def _sobol_arrays(df: DataFrame, key: str, bounds: Mapping[str, tuple[float, float]], model: Callable[[Mapping[str, np.ndarray], Mapping[str, np.ndarray]], np.ndarray], n: int, seed: int, reads: list[str]) -> DataFrame:
+    names = list(bounds)
+    rows = df.select(F.col(key).alias("_k"), *[F.col(c).cast("double").alias(c) for c in reads])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = {}, {}
+        for p, (low, high) in bounds.items():
+            u = (halves(f"{seed}:{p}:", n).astype(float) + 0.5) / float(2**60)
+            a[p], b[p] = low + (high - low) * u[:, 0], low + (high - low) * u[:, 1]
+        for batch in batches:
+            shares = np.empty((batch.num_rows, len(names), 2))
+            columns = [batch.column(1 + i).to_numpy(zero_copy_only=False) for i in range(len(reads))]
+            for at in range(0, batch.num_rows, DRAWN_ROWS):
+                x = {c: v[at:at + DRAWN_ROWS, None] for c, v in zip(reads, columns)}
+                ya, yb = model(a, x), model(b, x)
+                var = (ya.var(1) + yb.var(1)) / 2
+                var = np.where(var > 1e-12, var, np.nan)
+                for i, p in enumerate(names):
+                    y = model({**a, p: b[p]}, x)
+                    shares[at:at + DRAWN_ROWS, i, 0] = (var - np.square(yb - y).mean(1) / 2) / var
+                    shares[at:at + DRAWN_ROWS, i, 1] = np.square(ya - y).mean(1) / 2 / var
+            ids = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), len(names))))
+            first, total = (pa.array(shares[:, :, i].ravel(), from_pandas=True) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(names * batch.num_rows, pa.string()), first, total], names=[key, "param", "first_order", "total"])
+
+    # The rows are dealt out first, since a few narrow ones mean much work each.
+    dealt = rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, param string, first_order double, total double")
+
+
 def monotone(df: DataFrame, variables: Sequence[str], model: Callable[[Mapping[str, Column]], Column], delta: float = 0.01) -> DataFrame:
     """(variable, checks, violations, min_gradient): forward differences of the model at every row."""
     base = {v: F.col(v) for v in variables}

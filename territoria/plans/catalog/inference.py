@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from territoria.functions import combine as C
-from territoria.functions.scalars import linear_stress
 from territoria.operators import inference as inf
 from territoria.operators import interpolate as ip
 from territoria.operators import learning as ml
@@ -154,11 +154,18 @@ SELECT j.id, list_extract([{', '.join(f"'{p}'" for p in _BOUNDS)}], m::INT + 1)
 @query("variance_indices", "M23", _sobol_sql())
 def variance_indices(t):
     """Per site, over the weights, the largest structural share and a shift of the drought index."""
-    def model(p):
-        structure = C.wgeo({"x_bws": p["w_bws"], "x_aridity": p["w_a"], "x_gws": p["w_gws"], "x_sv": p["w_sv"]})
-        return C.assemble(structure, F.greatest(linear_stress(F.col("spei3") + p["shift"]), linear_stress(F.col("spei12") + p["shift"])), p["b0"])
-
-    out = inf.sobol(sites(t), "id", _BOUNDS, model, _DESIGN)
+    weights = {"x_bws": "w_bws", "x_aridity": "w_a", "x_gws": "w_gws", "x_sv": "w_sv"}
+
+    def model(p, x):
+        live = sum(np.where(np.isnan(x[c]), 0.0, p[w]) for c, w in weights.items())
+        logs = sum(np.where(np.isnan(x[c]), 0.0, p[w] * np.log(x[c] + C.EPSILON)) for c, w in weights.items())
+        structure = np.clip(np.exp(np.divide(logs, live, out=np.full(live.shape, np.nan), where=live > 0)) - C.EPSILON, 0.0, 1.0)
+        state = np.fmax(*[np.clip(-(x[c] + p["shift"]) / 3.0, 0.0, 1.0) for c in ("spei3", "spei12")])
+        beta = p["b0"] * (1 - state)
+        mixed = np.clip(beta * structure + (1 - beta) * state, 0.0, 1.0)
+        return np.where(np.isnan(structure), state, np.where(np.isnan(state), structure, mixed))
+
+    out = inf.sobol(sites(t), "id", _BOUNDS, model, _DESIGN, reads=[*weights, "spei3", "spei12"])
     return out.select("id", "param", r("first_order").alias("first_order"), r("total").alias("total"))
 
 

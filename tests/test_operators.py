@@ -564,3 +564,14 @@ def test_surrogate_keys_take_one_sort(spark):
     want = {r: i for i, r in enumerate(sorted(r for r in rows if r[0] is not None), 1)}
     assert {(r["k"], r["tie"], r["x"]): r["n"] for r in keyed.collect()} == want
     assert keyed._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_variance_indices_of_arrays_are_those_of_columns(spark):
+    """A model of NumPy gives what the same model of columns does, null rows and rows that don't vary included."""
+    df = spark.createDataFrame([(i, None if i % 9 == 4 else (i % 5) / 4.0) for i in range(70)], "id long, x double")
+    bounds = {"a": (0.0, 1.0), "b": (0.0, 2.0)}
+    columns = inference.sobol(df, "id", bounds, lambda p: F.col("x") * (p["a"] + p["b"] * p["b"]), 64).collect()
+    arrays = inference.sobol(df, "id", bounds, lambda p, x: x["x"] * (p["a"] + p["b"] * p["b"]), 64, reads=["x"]).collect()
+    want, got = ({(r["id"], r["param"]): (r["first_order"], r["total"]) for r in rows} for rows in (columns, arrays))
+    assert set(got) == set(want) and len(arrays) == 140
+    assert all(got[k] == (pytest.approx(w) if w[0] is not None else (None, None)) for k, w in want.items())
