@@ -1,7 +1,10 @@
-"""Near-duplicates by their common shingles, found exactly: a prefix-filtered join over shingle sets.
+"""Near-duplicates by SimHash, checked on the shingles, and an exact way for the rest: a join on equal parts of shingle sets.
 
-Two sets with a Jaccard similarity of ``like`` share a number among the first n - ceil(like * n) + 1 of each, in any order
-of all numbers. The order puts numbers last that many texts of a sample hold, so that groups of one number stay small.
+SimHash fingerprints (``simhash.links``) name the near copies that are compared first. What they miss is found by the pigeonhole
+principle. Two sets with a Jaccard similarity of ``like`` differ in at most h numbers. Dealt by hash into m > h parts, they
+agree in m - h parts at least, so they share one among the first h + 1 parts of each, in any order of all parts. The order puts
+parts first that hold many numbers which few texts of a sample hold: such parts are equal in texts that are much alike and
+hardly in others, while a single number is met in a fixed share of any corpus.
 """
 
 from __future__ import annotations
@@ -16,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from territoria.llm.common import column, few, rows, stored
-from territoria.llm.simhash import LIKE, LIKE_WORDS, _alike, shingles
+from territoria.llm.common import column, few, mix, rows, stored
+from territoria.llm.simhash import DISTANCE, LIKE, LIKE_WORDS, _alike, components, fingerprints, links, shingles
 
 #: Texts of the sample, about, texts of it that make a number frequent, and frequent numbers that are told apart at most.
 SAMPLE, FREQUENT, TOLD = 4096, 3, 1 << 16
@@ -56,16 +59,36 @@ def _frequent(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     return token[order], n[order]
 
 
-def _prefix(found: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], like: float) -> np.ndarray:
-    """The first numbers of a sorted set, frequent ones last."""
-    if len(found) == 0:
-        return found
-    token, n = frequent
-    seen = np.zeros(len(found), np.int64)
-    if len(token):
-        at = np.minimum(np.searchsorted(token, found), len(token) - 1)
-        seen = np.where(token[at] == found, n[at], 0)
-    return found[np.argsort(seen, kind="stable")][:len(found) - math.ceil(like * len(found) - 1e-9) + 1]
+def _differ(a: int, b: int, like: float) -> int:
+    """The most numbers that only one of two sets of these sizes holds, if they are alike."""
+    return math.floor((1 - like) / (1 + like) * (a + b) + 1e-9)
+
+
+def _parts(found: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], like: float) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the first parts of a sorted set, as the larger or equal one and as the smaller one of a pair of two classes.
+
+    Class c holds the sizes from 2^(c-1) to 2^c - 1, and a set meets those of its class and of the classes above that a set
+    like it may be in, each with the parts of that class. A fourth of the parts more than needed leaves out the small ones.
+    """
+    n, out = len(found), ([], [])
+    if n == 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    rare = np.ones(n, bool)
+    if len(frequent[0]):
+        at = np.minimum(np.searchsorted(frequent[0], found), len(frequent[0]) - 1)
+        rare = frequent[0][at] != found
+    number, most = mix(found), math.floor(n / like + 1e-9)
+    for c in range(n.bit_length(), most.bit_length() + 1):
+        top = (1 << c) - 1
+        differ = _differ(top, top, like)
+        parts = differ + 1 + differ // 4
+        part = ((found >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+        key = np.zeros(parts, np.uint64)
+        np.add.at(key, part, number)
+        key = mix(key + mix(np.arange(parts, dtype=np.uint64) + np.uint64(c << 40)))
+        first = np.lexsort((key, -np.bincount(part, minlength=parts), -np.bincount(part[rare], minlength=parts)))
+        out[c > n.bit_length()].append(key[first[:_differ(n, min(most, top), like) + 1]])
+    return np.concatenate(out[0]), np.concatenate([np.zeros(0, np.uint64), *out[1]])
 
 
 def _map(found: np.ndarray) -> bytes:
@@ -77,16 +100,17 @@ def _map(found: np.ndarray) -> bytes:
 
 
 def _postings(texts: DataFrame, words: int, like: float) -> DataFrame:
-    """doc_id, n (size of its set), map and prefix of every text."""
+    """doc_id, n (size of its set), map and keys of every text: in its own class, and in those above it."""
     frequent = _frequent(texts, words)
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("map", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("map", pa.binary()), ("own", pa.list_(pa.int64())), ("above", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in few(batches):
             sets = [shingles(t, words) for t in column(b, "text")]
-            yield rows(schema, [column(b, "doc_id"), [len(s) for s in sets], [_map(s) for s in sets], [_prefix(s, frequent, like).view(np.int64) for s in sets]])
+            keys = [[k.view(np.int64) for k in _parts(s, frequent, like)] for s in sets]
+            yield rows(schema, [column(b, "doc_id"), [len(s) for s in sets], [_map(s) for s in sets], [k for k, _ in keys], [k for _, k in keys]])
 
-    return texts.mapInArrow(run, "doc_id long, n long, map binary, prefix array<long>")
+    return texts.mapInArrow(run, "doc_id long, n long, map binary, own array<long>, above array<long>")
 
 
 def _apart(x: list[bytes], y: list[bytes]) -> np.ndarray:
@@ -155,35 +179,61 @@ def _greedy(edges: DataFrame) -> DataFrame:
     return out
 
 
-def _gone(texts: DataFrame, words: int, like: float) -> DataFrame:
-    """The doc_ids of ``texts`` that are like one that stays before them, by doc_id.
+def _shared(post: DataFrame) -> DataFrame:
+    """The postings (doc_id, token, own) of tokens that several texts hold, one of them in its own class; their least doc_id and number."""
+    one = W.partitionBy("token")
+    post = post.select("doc_id", "token", "own", F.min("doc_id").over(one).alias("least"), F.count(F.lit(1)).over(one).alias("g"), F.max("own").over(one).alias("any"))
+    return stored(post.where("g > 1 AND any").drop("any"), "postings")
+
+
+def _leads(post: DataFrame) -> DataFrame:
+    """doc_id of those that are the least of each of their tokens, so that nothing before them is like them."""
+    return stored(post.groupBy("doc_id").agg(F.max(F.col("doc_id") - F.col("least")).alias("over")).where("over = 0").select("doc_id"), "leads")
+
+
+def _near_copies(texts: DataFrame, copies: DataFrame, leads: DataFrame, words: int) -> DataFrame:
+    """Pairs (a, b) of the least of ``leads`` in a SimHash component and the later texts of that component."""
+    fps = stored(fingerprints(texts, words).join(copies, "doc_id", "left_anti"), "fingerprints")
+    linked = components(links(fps.select("fp").distinct(), DISTANCE))
+    placed = fps.join(linked, fps["fp"] == linked["node"], "left").select("doc_id", F.coalesce("root", "fp").alias("root"))
+    placed = stored(placed, "placed")
+    first = placed.join(leads, "doc_id", "left_semi").groupBy("root").agg(F.min("doc_id").alias("a"))
+    return placed.join(first, "root").where("doc_id > a").select("a", F.col("doc_id").alias("b"))
+
+
+def _gone(texts: DataFrame, copies: DataFrame, words: int, like: float) -> DataFrame:
+    """The doc_ids of ``texts`` without ``copies`` that are like one that stays before them, by doc_id.
 
-    In a round, whoever is the least of each of its numbers stays, and what is like it goes. That thins dense groups without
-    listing their pairs, so there is one round at least; once a posting meets few others on average, or after ROUNDS rounds,
-    the pairs that are left are listed and compared, PAIRS at a time, and the alike ones settled. All give the same outcome.
+    Whoever is the least of each of its tokens stays, and what is like it goes: first what SimHash puts beside it, then, in rounds,
+    all that shares a token with it. That thins dense groups without listing their pairs; once a posting meets few others on
+    average, or after ROUNDS rounds, the pairs that are left are listed and compared, PAIRS at a time, and the alike ones settled.
+    All give the same outcome.
     """
-    made = stored(_postings(texts, words, like), "prefixes")
+    made = stored(_postings(texts.join(copies, "doc_id", "left_anti"), words, like), "parts")
     about = made.select("doc_id", "n", "map")
-    post, out = made.select("doc_id", F.explode("prefix").alias("token")), texts.select("doc_id").limit(0)
+    post = _shared(made.select("doc_id", F.explode("own").alias("token"), F.lit(True).alias("own")).union(made.select("doc_id", F.explode("above"), F.lit(False))))
+    if post.isEmpty():
+        return texts.select("doc_id").limit(0)
+    out = stored(_verified(_near_copies(texts, copies, _leads(post), words), about, texts, words, like).select(F.col("b").alias("doc_id")).distinct(), "gone")
+    post = post.join(out, "doc_id", "left_anti")
     for turn in range(ROUNDS + 1):
-        one = W.partitionBy("token")
-        post = stored(post.select("doc_id", "token", F.min("doc_id").over(one).alias("least"), F.count(F.lit(1)).over(one).alias("g")).where("g > 1"), "postings")
+        post = _shared(post)
         size = post.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("g") - 1), F.lit(0)).alias("cost")).first()
         if size["n"] == 0:
             return out
         if turn and size["cost"] <= max(2 * PAIRS, DENSE * size["n"]) or turn == ROUNDS:
             break
-        leads = stored(post.groupBy("doc_id").agg(F.max(F.col("doc_id") - F.col("least")).alias("over")).where("over = 0").select("doc_id"), "leads")
+        leads = _leads(post)
         pairs = post.where("doc_id > least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
         pairs = pairs.join(leads.select(F.col("doc_id").alias("a")), "a", "left_semi")
         gone = stored(_verified(pairs, about, texts, words, like).select(F.col("b").alias("doc_id")).distinct(), "gone")
         out = out.union(gone)
         post = post.join(leads.union(gone), "doc_id", "left_anti")
     parts = max(1, math.ceil(size["cost"] / 2 / PAIRS))
-    left = post.select(F.col("doc_id").alias("a"), "token").withColumn("part", F.pmod(F.xxhash64("a", "token"), F.lit(parts)))
-    right, edges = post.select(F.col("doc_id").alias("b"), "token"), None
+    left = post.select(F.col("doc_id").alias("a"), "token", F.col("own").alias("own_a")).withColumn("part", F.pmod(F.xxhash64("a", "token"), F.lit(parts)))
+    right, edges = post.select(F.col("doc_id").alias("b"), "token", F.col("own").alias("own_b")), None
     for part in range(parts):
-        pairs = left.where(F.col("part") == part).join(right, "token").where("a < b").select("a", "b").distinct()
+        pairs = left.where(F.col("part") == part).join(right, "token").where("a < b AND (own_a OR own_b)").select("a", "b").distinct()
         found = _verified(pairs, about, texts, words, like)
         edges = found if edges is None else edges.union(found)
     return out.union(_greedy(edges if parts == 1 else stored(edges.distinct(), "edges")))
@@ -200,10 +250,11 @@ def one_of_alike(docs: DataFrame, words: int = LIKE_WORDS, like: float = LIKE) -
     plain = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     same = stored(_digests(plain).groupBy("doc_id").agg(F.min("digest").alias("digest"), F.count(F.lit(1)).alias("n")), "digests")
     first = stored(same.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "first")
+    copies = stored(same.select("doc_id").join(first, "doc_id", "left_anti"), "copies")
+    # Whole texts meet the few ids that go, not the many that stay: the short list spares a shuffle of the corpus.
     once = same.where("n > 1").isEmpty()
-    texts = plain.join(first, "doc_id", "left_semi")
-    texts = texts if once else stored(texts.dropDuplicates(["doc_id"]), "texts")
-    keep = stored(first.join(_gone(texts, words, like), "doc_id", "left_anti"), "keep")
-    kept = known.join(keep, "doc_id", "left_semi")
+    plain = plain if once else stored(plain.dropDuplicates(["doc_id"]), "texts")
+    drop = stored(copies.union(_gone(plain, copies, words, like)), "drop")
+    kept = known.join(drop, "doc_id", "left_anti")
     kept = kept if once else kept.dropDuplicates(["doc_id"])
     return kept.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))

@@ -218,6 +218,44 @@ def test_near_dedup_is_exact(spark, monkeypatch, dense, rounds, pairs, maps):
     assert out == kept and out < brute_kept(texts)
 
 
+@pytest.mark.parametrize("sentences", [60, 4000])
+def test_near_dedup_candidates(spark, monkeypatch, sentences):
+    """SimHash puts near copies beside the first of them; texts that only have sentences in common are hardly compared."""
+    met, verified = [], alike._verified
+
+    def listed(pairs, *args):
+        met.append({(r["a"], r["b"]) for r in pairs.collect()})
+        return verified(pairs, *args)
+
+    monkeypatch.setattr(alike, "_verified", listed)
+    rng = random.Random(5)
+    common = [" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(9)) for _ in range(sentences)]
+    texts = [(i, " ".join(rng.sample(common, 12))) for i in range(300)]
+    copy = " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(400))
+    texts += [(1000 + i, f"{copy} {i}") for i in range(20)]
+    kept = {r["doc_id"] for r in got(corpus_pipeline.near_dedup(spark, table(spark, texts), FOLDER))}
+    assert kept == brute_unlike(texts) == {*range(300), 1000}
+    near = {(1000, 1000 + i) for i in range(1, 20) if (simhash.fingerprint(copy + " 0", 5) ^ simhash.fingerprint(f"{copy} {i}", 5)).bit_count() <= 4}
+    assert near and near <= met[0]
+    assert len(set().union(*met)) < 300
+
+
+@pytest.mark.parametrize("like", [0.8, 0.5])
+def test_alike_sets_share_a_part(like):
+    """Of any two sets at ``like`` or more one is found by the other, in sizes up to a class beyond, frequent numbers or not."""
+    rng = np.random.default_rng(3)
+    for n in [*range(1, 40), 64, 127, 128, 300, 1000]:
+        for _ in range(20):
+            gone = int(rng.integers(0, n))
+            new = int(rng.integers(0, n + 1))
+            numbers = rng.integers(0, 1 << 63, n + new, dtype=np.uint64)
+            x, y = np.sort(numbers[:n]), np.sort(numbers[gone:])
+            often = np.sort(rng.choice(numbers, len(numbers) // 2, replace=False))
+            if alike._alike(x.tobytes(), y.tobytes(), like):
+                (a, b), (c, d) = (alike._parts(s, (often, np.full(len(often), 3)), like) for s in (x, y))
+                assert np.isin(a, np.concatenate([c, d])).any() or np.isin(b, c).any()
+
+
 def brute_unlike(texts):
     """By doc_id, whoever shares 0.8 of its five-word shingles with none that stays before it."""
     kept = {}
