@@ -6,6 +6,9 @@ from collections.abc import Sequence
 from functools import reduce
 from itertools import count
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +16,9 @@ from pyspark.sql import functions as F
 from territoria.operators.spatial import knn_join
 from territoria.session import cut_lineage
 
+#: Sources of a block, lines of a block that is solved as arrays, and distances that are held at a time there.
+SOURCES, BLOCK_LINES, CELLS = 512, 1 << 20, 1 << 22
+
 
 def both_ways(edges: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
     """Every edge in both directions; self loops dropped."""
@@ -152,11 +158,9 @@ def graph_filter(edges: DataFrame, values: DataFrame, weight: str, mix: Sequence
                       (F.col("g1") - F.col("g2")).alias("delta_12"), (F.col("g2") - F.col("g3")).alias("delta_23"))
 
 
-def bounded_distances(edges: DataFrame, weight: str, cutoff: float, sources: DataFrame | None = None, node: str = "id") -> DataFrame:
-    """(source, node, dist): shortest weighted distances up to the cutoff, by relaxing only the improved frontier."""
-    e = cut_lineage(both_ways(edges, [weight]).groupBy("src", "dst").agg(F.min(weight).alias("_w")))
-    start = (sources.select(F.col(node).alias("source")) if sources is not None else e.select(F.col("src").alias("source"))).distinct()
-    best = start.select("source", F.col("source").alias("v"), F.lit(0.0).alias("d"))
+def _relaxed(start: DataFrame, e: DataFrame, cutoff: float) -> DataFrame:
+    """(source, v, d): least distance up to the cutoff from the nodes v of ``start`` (source, v), by relaxing only the improved frontier."""
+    best = start.select("source", "v", F.lit(0.0).alias("d"))
     frontier = best
     while True:
         step = frontier.join(e, frontier["v"] == e["src"]).select("source", F.col("dst").alias("v"), (F.col("d") + F.col("_w")).alias("d")).where(
@@ -165,7 +169,71 @@ def bounded_distances(edges: DataFrame, weight: str, cutoff: float, sources: Dat
             "source", "v", F.least("d", "nd").alias("d"), (F.col("d").isNull() | F.coalesce(F.col("nd") < F.col("d"), F.lit(False))).alias("_new")))
         best, frontier = merged.select("source", "v", "d"), merged.where("_new").select("source", "v", "d")
         if frontier.isEmpty():
-            break
+            return best
+
+
+def _solved(t: pa.Table, cutoff: float) -> pa.Table:
+    """source, v, d of a block: its nodes u, whether a node is a source of the block (own), and the ends and weights of its lines."""
+    t = t.sort_by("u").combine_chunks()
+    names, own = t.column("u").to_numpy(), np.flatnonzero(t.column("own").to_numpy())
+    line, w = (t.column(c).combine_chunks() for c in ("dst", "w"))
+    tail = np.repeat(np.arange(len(names)), pc.list_value_length(line).to_numpy(zero_copy_only=False))
+    ends, w = line.flatten().to_numpy(zero_copy_only=False), w.flatten().to_numpy(zero_copy_only=False)
+    head = np.minimum(np.searchsorted(names, ends), len(names) - 1)
+    inside = names[head] == ends
+    tail, head, w = tail[inside], head[inside], w[inside]
+    at, size, out = np.searchsorted(tail, np.arange(len(names) + 1)), len(names), []
+    step = max(1, CELLS // size)
+    for i in range(0, len(own), step):
+        mine = own[i:i + step]
+        best = np.full(len(mine) * size, np.inf)
+        front = np.arange(len(mine)) * size + mine
+        best[front] = 0.0
+        while len(front):
+            node = front % size
+            n = at[node + 1] - at[node]
+            k = np.repeat(at[node] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            d, to = np.repeat(best[front], n) + w[k], np.repeat(front - node, n) + head[k]
+            less = (d <= cutoff) & (d < best[to])
+            np.minimum.at(best, to[less], d[less])
+            front = np.unique(to[less])
+        hit = np.flatnonzero(np.isfinite(best))
+        out.append(pa.table({"source": pa.array(names[mine[hit // size]], t.schema.field("u").type), "v": pa.array(names[hit % size], t.schema.field("u").type), "d": best[hit]}))
+    return pa.concat_tables(out)
+
+
+def _in_blocks(start: DataFrame, e: DataFrame, cutoff: float) -> DataFrame:
+    """(source, v, d) of all sources, which are dealt by order of id into blocks of about SOURCES.
+
+    Rounds of joins find the nodes that any source of a block reaches, far fewer than pairs where neighbours have near ids.
+    They and their lines meet in one task, where the distances of each source are relaxed as arrays, in the same sums from the
+    source outwards. Sources of blocks with more than BLOCK_LINES lines are relaxed by joins.
+    """
+    kind = start.schema["source"].dataType.simpleString()
+    blocks = max(1, -(-start.count() // SOURCES))
+    own = cut_lineage(start.repartitionByRange(blocks, "source").select(F.spark_partition_id().alias("block"), F.col("source").alias("u")))
+    near = _relaxed(own.select(F.col("block").alias("source"), F.col("u").alias("v")), e, cutoff).select(F.col("source").alias("block"), F.col("v").alias("u"))
+    lines = e.groupBy(F.col("src").alias("u")).agg(F.collect_list(F.struct("dst", F.col("_w").cast("double").alias("w"))).alias("_l"))
+    size = near.join(lines.select("u", F.size("_l").alias("n")), "u").groupBy("block").agg(F.sum("n").alias("n"))
+    large = cut_lineage(size.where(F.col("n") > BLOCK_LINES).select("block"))
+    rows = near.join(large, "block", "left_anti").join(own.withColumn("own", F.lit(True)), ["block", "u"], "left").join(lines, "u", "left").select(
+        "block", "u", F.coalesce("own", F.lit(False)).alias("own"), F.coalesce("_l.dst", F.array().cast(f"array<{kind}>")).alias("dst"),
+        F.coalesce("_l.w", F.array().cast("array<double>")).alias("w"))
+    out = rows.groupBy("block").applyInArrow(lambda t: _solved(t, cutoff), f"source {kind}, v {kind}, d double")
+    if not large.isEmpty():
+        far = own.join(large, "block", "left_semi").select(F.col("u").alias("source"), F.col("u").alias("v"))
+        out = out.unionByName(_relaxed(far, e, cutoff))
+    return cut_lineage(out)
+
+
+def bounded_distances(edges: DataFrame, weight: str, cutoff: float, sources: DataFrame | None = None, node: str = "id") -> DataFrame:
+    """(source, node, dist): shortest weighted distances up to the cutoff, from ``sources`` by joins, from all nodes in blocks."""
+    e = cut_lineage(both_ways(edges, [weight]).groupBy("src", "dst").agg(F.min(weight).alias("_w")))
+    if sources is None:
+        best = _in_blocks(e.select(F.col("src").alias("source")).distinct(), e.where(F.col("_w") <= cutoff), cutoff)
+    else:
+        start = sources.select(F.col(node).alias("source")).distinct()
+        best = _relaxed(start.select("source", F.col("source").alias("v")), e, cutoff)
     return best.select("source", F.col("v").alias(node), F.col("d").alias("dist"))
 
 

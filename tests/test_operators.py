@@ -198,6 +198,27 @@ def test_components_and_pagerank(spark, net):
     assert [got[i] for i in ids] == pytest.approx(list(p), abs=1e-12)
 
 
+@pytest.mark.parametrize(("block", "cells", "joined"), [(1 << 20, 1 << 22, 400), (1 << 20, 1, 400), (100, 1 << 22, 5000)])
+def test_bounded_distances_in_blocks(spark, monkeypatch, block, cells, joined):
+    """All sources as arrays by block, a few at a time, or by joins where a block is large, give what sources by joins give; a node without short lines reaches itself."""
+    rounds, cut = [], graph.cut_lineage
+
+    def counted(df):
+        out = cut(df)
+        if "_new" in out.columns:
+            rounds.append(out.count())
+        return out
+
+    for name, x in (("SOURCES", 50), ("BLOCK_LINES", block), ("CELLS", cells), ("cut_lineage", counted)):
+        monkeypatch.setattr(graph, name, x)
+    edges = spark.createDataFrame([(i, i + 1, 0.1 + i % 7 / 10) for i in range(200)] + [(i, i // 2, 0.3 + i % 3 / 10) for i in range(190, 200)] + [(900, 901, 9.0)], "src long, dst long, z double")
+    got = {(r["source"], r["id"], r["dist"]) for r in graph.bounded_distances(edges, "z", 2.0).collect()}
+    assert max(rounds) <= joined
+    every = spark.range(1000).select("id").where("id <= 200 OR id IN (900, 901)")
+    want = {(r["source"], r["id"], r["dist"]) for r in graph.bounded_distances(edges, "z", 2.0, every).collect()}
+    assert got == want and (900, 900, 0.0) in got and len(got) > 1000
+
+
 def test_bounded_distances_and_betweenness(spark, net):
     e, w, nodes, edges = net
     ids = sorted({x for p in e for x in p})
