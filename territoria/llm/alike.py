@@ -5,6 +5,11 @@ principle. Two sets with a Jaccard similarity of ``like`` differ in at most h nu
 agree in m - h parts at least, so they share one among the first h + 1 parts of each, in any order of all parts. The order puts
 parts first that hold many numbers which few texts of a sample hold: such parts are equal in texts that are much alike and
 hardly in others, while a single number is met in a fixed share of any corpus.
+
+Texts that have a passage in common share the parts of that passage, and are many if it is frequent. Where a part is crowded, the
+numbers that are rarest among its texts stand in for it: of two sets that are alike, the smaller shares one of its first
+(1 - like) / (1 + like) n + 1 numbers, in any order of all, with the first (1 - like) n + 1 of the larger. What is left of the near
+copies of a text, once those like it are gone, differs from it in as many numbers, so it is not met through what they all copied.
 """
 
 from __future__ import annotations
@@ -27,6 +32,8 @@ SAMPLE, FREQUENT, TOLD = 4096, 3, 1 << 16
 #: Other texts that a posting meets, on average, up to which pairs are listed; rounds of leaders after which they are listed anyway;
 #: and pairs that are listed at once, as they are without further rounds if there are no more.
 DENSE, ROUNDS, PAIRS = 8, 12, 20_000_000
+#: Texts up to which a part is shared; those of a part that more share are met by their rarest numbers.
+CROWD = 16
 #: Least bits of a set's parity map, doubled up to twice the set; maps of two sets differ in at most as many bits as the sets in elements.
 MAP = 1024
 #: Pairs whose maps are compared at a time, and bytes of maps.
@@ -91,6 +98,18 @@ def _parts(found: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], like: flo
     return np.concatenate(out[0]), np.concatenate([np.zeros(0, np.uint64), *out[1]])
 
 
+def _rarest(found: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], like: float) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the rarest numbers of a sorted set: those that meet larger sets, and the further ones that smaller sets meet."""
+    seen = np.zeros(len(found), np.int64)
+    if len(frequent[0]):
+        at = np.minimum(np.searchsorted(frequent[0], found), len(frequent[0]) - 1)
+        seen = np.where(frequent[0][at] == found, frequent[1][at], 0)
+    key = mix(mix(found))
+    first = key[np.lexsort((key, seen))][:math.floor((1 - like) * len(found) + 1e-9) + 1]
+    own = _differ(len(found), 0, like) + 1
+    return first[:own], first[own:]
+
+
 def _map(found: np.ndarray) -> bytes:
     width = MAP
     while width < 2 * len(found):
@@ -113,6 +132,28 @@ def _postings(texts: DataFrame, words: int, like: float) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, n long, map binary, own array<long>, above array<long>")
 
 
+def _spread(post: DataFrame, texts: DataFrame, words: int, like: float) -> DataFrame:
+    """The postings (doc_id, token, own) of tokens that at most CROWD texts share, and those of the rarest numbers of the other tokens' texts.
+
+    A pair that shares a token of the first kind is met there; both texts of any other pair are among those of crowded tokens.
+    """
+    ids = stored(post.where(F.col("g") > CROWD).select("doc_id").distinct(), "crowded")
+    if ids.isEmpty():
+        return post.select("doc_id", "token", "own")
+    held = stored(texts.join(ids, "doc_id", "left_semi"), "crowd")
+    frequent = _frequent(held, words)
+    schema = pa.schema([("doc_id", pa.int64()), ("token", pa.int64()), ("own", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in few(batches):
+            for d, t in zip(column(b, "doc_id"), column(b, "text"), strict=True):
+                own, more = _rarest(shingles(t, words), frequent, like)
+                n = len(own) + len(more)
+                yield pa.RecordBatch.from_arrays([pa.array([d] * n, pa.int64()), pa.array(np.concatenate([own, more]).view(np.int64)), pa.array(np.arange(n) < len(own))], schema=schema)
+
+    return post.where(F.col("g") <= CROWD).select("doc_id", "token", "own").union(held.mapInArrow(run, "doc_id long, token long, own boolean"))
+
+
 def _apart(x: list[bytes], y: list[bytes]) -> np.ndarray:
     """The bits in which the maps of each pair differ; the longer map is folded to the shorter one."""
     out = np.zeros(len(x), np.int64)
@@ -207,6 +248,7 @@ def _gone(texts: DataFrame, copies: DataFrame, words: int, like: float) -> DataF
     Whoever is the least of each of its tokens stays, and what is like it goes: first what SimHash puts beside it, then, in rounds,
     all that shares a token with it. That thins dense groups without listing their pairs; once a posting meets few others on
     average, or after ROUNDS rounds, the pairs that are left are listed and compared, PAIRS at a time, and the alike ones settled.
+    After the first round, crowded tokens give way to rare numbers, so a pair is not listed for what many texts have in common.
     All give the same outcome.
     """
     made = stored(_postings(texts.join(copies, "doc_id", "left_anti"), words, like), "parts")
@@ -218,7 +260,10 @@ def _gone(texts: DataFrame, copies: DataFrame, words: int, like: float) -> DataF
     post = post.join(out, "doc_id", "left_anti")
     for turn in range(ROUNDS + 1):
         post = _shared(post)
-        size = post.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("g") - 1), F.lit(0)).alias("cost")).first()
+        if turn == 1:
+            post = _shared(_spread(post, texts, words, like))
+        # Pairs are listed from the texts that hold a token in their own class.
+        size = post.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(F.col("own"), F.col("g") - 1)), F.lit(0)).alias("cost")).first()
         if size["n"] == 0:
             return out
         if turn and size["cost"] <= max(2 * PAIRS, DENSE * size["n"]) or turn == ROUNDS:
@@ -230,10 +275,10 @@ def _gone(texts: DataFrame, copies: DataFrame, words: int, like: float) -> DataF
         out = out.union(gone)
         post = post.join(leads.union(gone), "doc_id", "left_anti")
     parts = max(1, math.ceil(size["cost"] / 2 / PAIRS))
-    left = post.select(F.col("doc_id").alias("a"), "token", F.col("own").alias("own_a")).withColumn("part", F.pmod(F.xxhash64("a", "token"), F.lit(parts)))
-    right, edges = post.select(F.col("doc_id").alias("b"), "token", F.col("own").alias("own_b")), None
+    left = post.where("own").select(F.col("doc_id").alias("x"), "token").withColumn("part", F.pmod(F.xxhash64("x", "token"), F.lit(parts)))
+    right, edges = post.select(F.col("doc_id").alias("y"), "token", "own"), None
     for part in range(parts):
-        pairs = left.where(F.col("part") == part).join(right, "token").where("a < b AND (own_a OR own_b)").select("a", "b").distinct()
+        pairs = left.where(F.col("part") == part).join(right, "token").where("x < y OR x > y AND NOT own").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         found = _verified(pairs, about, texts, words, like)
         edges = found if edges is None else edges.union(found)
     return out.union(_greedy(edges if parts == 1 else stored(edges.distinct(), "edges")))

@@ -240,6 +240,35 @@ def test_near_dedup_candidates(spark, monkeypatch, sentences):
     assert len(set().union(*met)) < 300
 
 
+@pytest.mark.parametrize("crowd", [1, 4])
+def test_near_dedup_of_unlike_copies(spark, monkeypatch, crowd):
+    """Texts that copied most of one text but are not alike are not listed in pairs; those that are alike among them are found."""
+    met, verified = [], alike._verified
+
+    def listed(pairs, *args):
+        met.append({(r["a"], r["b"]) for r in pairs.collect()})
+        return verified(pairs, *args)
+
+    monkeypatch.setattr(alike, "_verified", listed)
+    monkeypatch.setattr(alike, "CROWD", crowd)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    base = [word() for _ in range(150)]
+    texts = [(0, " ".join(base))]
+    for i in range(1, 81):
+        w = list(base)
+        for k in rng.sample(range(150), 8):
+            w[k] = word()
+        texts.append((i, " ".join(w)))
+        if i % 4 == 0:  # about as far from this one as two texts that are alike can be
+            for k in rng.sample(range(150), i // 20 + 1):
+                w[k] = word()
+            texts.append((1000 + i, " ".join(w)))
+    kept = {r["doc_id"] for r in got(corpus_pipeline.near_dedup(spark, table(spark, texts), FOLDER))}
+    assert kept == brute_unlike(texts) and {*range(81)} <= kept and 90 > len(kept) > 81
+    assert len(set().union(*met)) < 500
+
+
 @pytest.mark.parametrize("like", [0.8, 0.5])
 def test_alike_sets_share_a_part(like):
     """Of any two sets at ``like`` or more one is found by the other, in sizes up to a class beyond, frequent numbers or not."""
