@@ -18,6 +18,8 @@ from territoria.session import cut_lineage
 
 #: Sources of a block, lines of a block that is solved as arrays, and distances that are held at a time there.
 SOURCES, BLOCK_LINES, CELLS = 512, 1 << 20, 1 << 22
+#: Nodes of a block whose mixes are traced as arrays, and the share of the tolerance to which a block settles in a round.
+MIX_NODES, FINE = 2048, 1e-3
 
 
 def both_ways(edges: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
@@ -283,12 +285,39 @@ def inflow_mix(flows: DataFrame, production: DataFrame, values: DataFrame, node:
     return j.select(node, value, F.when(p + i < minimum, F.col(value)).otherwise(mixed).alias("mixed"))
 
 
+def _mixed(held: pa.Table, sent: pa.Table, iters: int, tol: float, high: float) -> pa.Table:
+    """id, mix and its move of a block's nodes ``held`` with the lines between them, after what was ``sent``: their last mixes and what flows in from other blocks."""
+    # Ids of a block are numbered without gaps from its own first one.
+    at = lambda x: (x.to_numpy() & ((1 << 33) - 1)).astype(np.int64)
+    ids = held.column("id")
+    n, node = len(ids), at(ids)
+    t, e = np.zeros(n), np.zeros(n)
+    t[node], e[node] = held.column("t").to_numpy(), held.column("e").to_numpy()
+    line, mw = (held.column(c).combine_chunks() for c in ("s", "mw"))
+    head = np.repeat(node, pc.list_value_length(line).to_numpy(zero_copy_only=False))
+    tail, mw = at(line.flatten()), mw.flatten().to_numpy(zero_copy_only=False)
+    last, come = sent.filter(pc.is_valid(sent.column("mix"))), sent.filter(pc.is_valid(sent.column("g")))
+    first = np.zeros(n)
+    first[at(last.column("id"))] = last.column("mix").to_numpy()
+    e += np.bincount(at(come.column("id")), come.column("g").to_numpy(), n)
+    through = ~(t <= 0.1)
+    mix, fine = first, tol * FINE
+    for _ in range(iters):
+        was = mix
+        mix = np.divide(e + np.bincount(head, mw * was[tail], n), t, out=np.zeros(n), where=through)
+        mix = np.where(np.isnan(mix), high, np.clip(mix, 0.0, high))
+        if np.abs(mix - was).max() <= max(fine, 8 * np.spacing(mix.max())):
+            break
+    return pa.table({"id": ids, "mix": mix[node], "move": np.abs(mix - first)[node]})
+
+
 def trace_mix(flows: DataFrame, production: DataFrame, keys: Sequence[str] = (), node: str = "id", prod: str = "prod", emission: str = "co2",
-              iters: int = 1000, tol: float = 1e-6, high: float = 800.0, cut_every: int = 4) -> DataFrame:
+              iters: int = 1000, tol: float = 1e-6, high: float = 800.0) -> DataFrame:
     """Proportional sharing: every node's mix is its own emissions plus inflows at the source's mix, over its throughput.
 
     Fixed-point rounds over (snapshot, node) for all snapshots at once, stopped when no mix moves more than ``tol``;
-    not settling within ``iters`` rounds is an error.
+    not settling within ``iters`` rounds is an error. Nodes are dealt by order of id into blocks. In a round each block settles its own
+    lines as arrays, in one task, so only mixes that flow to other blocks are joined; the lines of the blocks stay where they are.
     """
     keys = list(keys)
     f = directed_flows(flows, keys)
@@ -296,24 +325,34 @@ def trace_mix(flows: DataFrame, production: DataFrame, keys: Sequence[str] = (),
     base = production.select(*keys, node, F.col(prod).alias("_p"), F.col(emission).alias("_e")).join(inflow, [*keys, node], "full_outer")
     p, e = F.coalesce("_p", F.lit(0.0)), F.coalesce("_e", F.lit(0.0))
     thru = p + F.coalesce("_in", F.lit(0.0))
-    base = cut_lineage(base.select(*keys, node, thru.alias("_t"), e.alias("_e")))
-    f = cut_lineage(f)
-    state = base.select(*keys, node, "_t", "_e", F.coalesce(F.try_divide("_e", "_t"), F.lit(0.0)).alias("mix"))
-    for i in range(1, iters + 1):
-        src = state.select(*keys, F.col(node).alias("frm"), F.col("mix").alias("_m"))
-        got = f.join(src, [*keys, "frm"]).groupBy(*keys, F.col("to").alias(node)).agg(F.sum(F.col("mw") * F.col("_m")).alias("_g"))
-        new = F.when(F.col("_t") > 0.1, (F.col("_e") + F.coalesce("_g", F.lit(0.0))) / F.col("_t")).otherwise(F.lit(0.0))
-        new = F.least(F.greatest(new, F.lit(0.0)), F.lit(high))
-        state = state.join(got, [*keys, node], "left").select(
-            *keys, node, "_t", "_e", new.alias("mix"), F.abs(new - F.col("mix")).alias("_move"))
-        if i % cut_every == 0 or i == iters:
-            state = cut_lineage(state)
-            if state.where(F.col("_move") > tol).isEmpty():
+    base = cut_lineage(base.select(*keys, node, thru.cast("double").alias("_t"), e.cast("double").alias("_e")))
+    blocks = max(1, -(-base.count() // MIX_NODES))
+    base = cut_lineage(base.repartitionByRange(blocks, *keys, node).withColumn("_id", F.monotonically_increasing_id()))
+    names, block = base.select(*keys, node, "_id"), lambda c: F.shiftright(c, 33)
+    f = f.join(names.withColumnsRenamed({node: "frm", "_id": "s"}), [*keys, "frm"]).join(names.withColumnsRenamed({node: "to", "_id": "d"}), [*keys, "to"])
+    f = cut_lineage(f.select("s", "d", F.col("mw").cast("double").alias("mw")))
+    cut = cut_lineage(f.where(block("s") != block("d")))
+    lines = f.where(block("s") == block("d")).groupBy(F.col("d").alias("_id")).agg(F.collect_list(F.struct("s", "mw")).alias("_l"))
+    held = base.join(lines, "_id", "left").select(
+        block("_id").alias("block"), F.col("_id").alias("id"), F.col("_t").alias("t"), F.col("_e").alias("e"),
+        F.coalesce("_l.s", F.array().cast("array<long>")).alias("s"), F.coalesce("_l.mw", F.array().cast("array<double>")).alias("mw"))
+    # Stored as it is dealt, which a checkpoint does not tell the planner.
+    held = held.repartition(int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block").persist()
+    state = base.select(F.col("_id").alias("id"), F.coalesce(F.try_divide("_e", "_t"), F.lit(0.0)).alias("mix"))
+    try:
+        for _ in range(iters):
+            got = cut.join(state.select(F.col("id").alias("s"), "mix"), "s").groupBy(F.col("d").alias("id")).agg(F.sum(F.col("mw") * F.col("mix")).alias("g"))
+            sent = state.select("id", "mix", F.lit(None).cast("double").alias("g")).unionByName(got, allowMissingColumns=True).withColumn("block", block("id"))
+            made = held.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(lambda x, y: _mixed(x, y, iters, tol, high), "id long, mix double, move double")
+            made = cut_lineage(made)
+            state = made.select("id", "mix")
+            if made.where(F.col("move") > tol).isEmpty():
                 break
-        state = state.drop("_move") if "_move" in state.columns else state
-    else:
-        raise RuntimeError(f"tracing has not settled within {iters} rounds")
-    return state.select(*keys, node, F.col("_t").alias("throughput"), "mix")
+        else:
+            raise RuntimeError(f"tracing has not settled within {iters} rounds")
+    finally:
+        held.unpersist()
+    return base.join(state.withColumnRenamed("id", "_id"), "_id").select(*keys, node, F.col("_t").alias("throughput"), "mix")
 
 
 def sampled_closeness(edges: DataFrame, weight: str, sources: DataFrame, cutoff: float, node: str = "id") -> DataFrame:

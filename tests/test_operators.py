@@ -263,6 +263,26 @@ def test_traced_mix_solves_the_balance(spark):
     assert [got[i] for i in range(4)] == pytest.approx(list(np.linalg.solve(a, [50, 400, 0, 0])), abs=1e-6)
 
 
+def test_traced_mix_settles_in_blocks(spark, monkeypatch):
+    """A chain of 200 nodes takes few rounds, as a block settles in one; blocks and snapshots keep the balance."""
+    monkeypatch.setattr(graph, "MIX_NODES", 64, raising=False)
+    rows = [(k, i, i + 1, 10.0) for k in (0, 1) for i in range(200)] + [(k, 190, 3, 2.0 + k) for k in (0, 1)]
+    flows = spark.createDataFrame(rows, "ts int, src long, dst long, flow double")
+    made = [(k, i, 10.0 if i == 0 else 1.0, 300.0 * (k + 1) if i == 0 else 7.0 * (i % 5)) for k in (0, 1) for i in range(201)]
+    prod = spark.createDataFrame(made, "ts int, id long, prod double, co2 double")
+    got = {(r["ts"], r["id"]): r["mix"] for r in graph.trace_mix(flows, prod, ["ts"], iters=30, tol=1e-10).collect()}
+    assert len(got) == 402
+    for k in (0, 1):
+        a, e = np.zeros((201, 201)), np.zeros(201)
+        for t, i, p, c in made:
+            if t == k:
+                a[i, i], e[i] = a[i, i] + p, c
+        for t, i, j, mw in rows:
+            if t == k:
+                a[j, j], a[j, i] = a[j, j] + mw, a[j, i] - mw
+        assert [got[k, i] for i in range(201)] == pytest.approx(list(np.linalg.solve(a, e)), abs=1e-7)
+
+
 def test_laplacian_matches_a_dense_solve(spark, net):
     e, w, nodes, edges = net
     ids = sorted({x for p in e for x in p})
