@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
-from itertools import count
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from territoria.operators.ranking import surrogate_key
 from territoria.operators.spatial import knn_join
 from territoria.session import cut_lineage
 
@@ -361,29 +360,152 @@ def sampled_closeness(edges: DataFrame, weight: str, sources: DataFrame, cutoff:
     return d.groupBy(node).agg(F.count(F.lit(1)).alias("n_sources"), F.try_divide(F.lit(1.0), F.avg("dist")).alias("closeness"))
 
 
+def _packed(block: int, kind: int, keys: np.ndarray, values: np.ndarray) -> tuple:
+    """A row of cells: their keys (source << 33 | node) in ascending order, as steps, and their values."""
+    keys, values = np.diff(keys, prepend=0).astype("<i8"), values.astype("<f8")
+    return int(block), kind, len(keys), *(pa.compress(c.tobytes(), codec="zstd", asbytes=True) for c in (keys, values))
+
+
+def _cells(t: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and values of all rows of a kind, by ascending key."""
+    keys, values = [np.zeros(0, np.int64)], [np.zeros(0)]
+    for r in t.filter(pc.equal(t.column("kind"), kind)).to_pylist():
+        keys.append(np.cumsum(np.frombuffer(pa.decompress(r["key"], 8 * r["n"], "zstd"), "<i8")))
+        values.append(np.frombuffer(pa.decompress(r["value"], 8 * r["n"], "zstd"), "<f8"))
+    key, value = np.concatenate(keys), np.concatenate(values)
+    if len(keys) <= 2:
+        return key, value
+    order = np.argsort(key, kind="stable")
+    return key[order], value[order]
+
+
+#: Kinds of rows of cells: a block's own level, what comes from other blocks, the level before (outwards) or to come (back), sums by node.
+OWN, SENT, NEXT, SUMS = range(4)
+CELL_ROWS = "block long, kind int, n long, key binary, value binary"
+
+
+def _level(held: pa.Table, got: pa.Table, back: bool) -> pa.Table:
+    """The next level of a block's nodes ``held``, and what it sends to other blocks.
+
+    Outwards, paths go on along the lines of the last level to cells of neither it nor the level before. Back, the cells of the
+    level are given with their paths and sum what the level behind them sends.
+    """
+    held = held.sort_by("id").combine_chunks()
+    ids, line = held.column("id").to_numpy(), held.column("dst").combine_chunks()
+    low, n, home = (1 << 33) - 1, len(ids), ids[0] >> 33
+    tail, head = np.repeat(np.arange(n), pc.list_value_length(line).to_numpy(zero_copy_only=False)), line.flatten().to_numpy(zero_copy_only=False)
+    here = head >> 33 == home
+    outer, to = np.unique(head[~here], return_inverse=True)
+    near, far = (tail[here], head[here] & low, n), (tail[~here], to, max(1, len(outer)))
+    starts = {id(x): np.searchsorted(x[0], np.arange(n + 1)) for x in (near, far)}
+
+    def carried(source: np.ndarray, node: np.ndarray, value: np.ndarray, lines: tuple, size: int) -> np.ndarray:
+        at, (_, ends, width) = starts[id(lines)], lines
+        k = at[node + 1] - at[node]
+        along = np.repeat(at[node] - np.cumsum(k) + k, k) + np.arange(k.sum())
+        return np.bincount(np.repeat(source * width, k) + ends[along], np.repeat(value, k), size * width)
+
+    last, sent, other = (_cells(got, kind) for kind in (OWN, SENT, NEXT))
+    present = np.unique(np.concatenate([last[0], sent[0], other[0]]) >> 33)
+    own, out, sums, step = [], [], np.zeros(n), max(1, CELLS // max(n, len(outer), len(tail)))
+    touched = np.zeros(n, bool)
+    for i in range(0, len(present), step):
+        some = present[i:i + step]
+
+        def part(cells: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            a, b = np.searchsorted(cells[0], [some[0] << 33, (some[-1] + 1) << 33])
+            return np.searchsorted(some, cells[0][a:b] >> 33), cells[0][a:b] & low, cells[1][a:b]
+
+        (s, v, x), (ss, sv, sx), (os, ov, ox) = part(last), part(sent), part(other)
+        total = carried(s, v, x, near, len(some)) + np.bincount(ss * n + sv, sx, len(some) * n)
+        if back:
+            found = os * n + ov
+            gain = ox * total[found]
+            sums += np.bincount(ov, gain, n)
+            touched[ov] = True
+            value = (1 + gain) / ox
+        else:
+            total[s * n + v] = total[os * n + ov] = 0.0
+            found = np.flatnonzero(total)
+            value = total[found]
+        source, node = found // n, found % n
+        own.append((some[source] << 33 | node, value))
+        if len(outer) and len(found):
+            sends = carried(source, node, value, far, len(some))
+            hit = np.flatnonzero(sends)
+            out.append((outer[hit % len(outer)], some[hit // len(outer)], sends[hit]))
+    rows = []
+    if any(len(k) for k, _ in own):
+        rows.append(_packed(home, OWN, *map(np.concatenate, zip(*own))))
+    if out:
+        to, source, value = map(np.concatenate, zip(*out))
+        order = np.argsort(to >> 33, kind="stable")
+        to, key, value = to[order] >> 33, source[order] << 33 | to[order] & low, value[order]
+        cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1], True]) if len(to) else []
+        rows += [_packed(to[a], SENT, key[a:b], value[a:b]) for a, b in zip(cuts, cuts[1:])]
+    if touched.any():
+        nodes = np.flatnonzero(touched)
+        rows.append(_packed(home, SUMS, nodes, sums[nodes]))
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+    return pa.table({f.split()[0]: pa.array([r[k] for r in rows], types[k]) for k, f in enumerate(CELL_ROWS.split(", "))})
+
+
+def _first_cells(t: pa.Table) -> pa.Table:
+    """Sources of a block as cells that are sent to it, one path each."""
+    keys = np.sort(t.column("s").to_numpy() << 33 | t.column("v").to_numpy())
+    row = _packed(t.column("block")[0].as_py(), SENT, keys, np.ones(len(keys)))
+    return pa.Table.from_pylist([dict(zip(("block", "kind", "n", "key", "value"), row))], pa.schema(
+        [("block", pa.int64()), ("kind", pa.int32()), ("n", pa.int64()), ("key", pa.binary()), ("value", pa.binary())]))
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(b.num_rows):
+            keys, values = _cells(pa.Table.from_batches([b.slice(i, 1)]), SUMS)
+            yield pa.RecordBatch.from_arrays([pa.array(keys + (b.column("block")[i].as_py() << 33)), pa.array(values)], names=["_id", "d"])
+
+
 def sampled_betweenness(edges: DataFrame, sources: DataFrame, node: str = "id") -> DataFrame:
-    """Hop-count betweenness from sampled sources: path counts outwards by level, dependencies back by level."""
+    """Hop-count betweenness from sampled sources: path counts outwards by level, dependencies back by level.
+
+    Nodes are dealt by order of id into blocks that keep their lines. A round is one level: a block carries it along its own lines
+    as arrays, in one task, and only sums that go to other blocks travel besides the level itself, packed and compressed. A block has
+    about CELLS pairs of a node and a source; sources go in parts of up to SOURCES.
+    """
     e = cut_lineage(both_ways(edges).distinct())
-    seen = cut_lineage(sources.select(F.col(node).alias("s")).distinct().select("s", F.col("s").alias("v"), F.lit(0).alias("h"), F.lit(1.0).alias("paths")))
-    levels = [seen]
-    for h in count(1):
-        # Edges go both ways, so a neighbour of a level lies on it, next to it on the way back, or is new.
-        near = reduce(DataFrame.unionByName, levels[-2:]).select("s", "v")
-        nxt = levels[-1].join(e, levels[-1]["v"] == e["src"]).select("s", F.col("dst").alias("v"), "paths").join(near, ["s", "v"], "left_anti")
-        frontier = cut_lineage(nxt.groupBy("s", "v").agg(F.sum("paths").alias("paths")).select("s", "v", F.lit(h).alias("h"), "paths"))
-        if frontier.isEmpty():
-            break
-        levels.append(frontier)
-    dep = None
+    start = cut_lineage(surrogate_key(sources.select(F.col(node).alias("v")).distinct(), "v", None, "s"))
+    n_sources = start.count()
+    nodes = cut_lineage(e.select(F.col("src").alias("v")).distinct())
+    blocks = max(1, -(-nodes.count() * min(n_sources, SOURCES) // CELLS))
+    names = cut_lineage(nodes.repartitionByRange(blocks, "v").withColumn("_id", F.monotonically_increasing_id()))
+    ends = e.join(names.withColumnsRenamed({"v": "src", "_id": "id"}), "src").join(names.withColumnsRenamed({"v": "dst", "_id": "to"}), "dst")
+    block = lambda c: F.shiftright(c, 33)
+    held = ends.groupBy("id").agg(F.collect_list("to").alias("dst")).select(block("id").alias("block"), "id", "dst")
+    # Stored as it is dealt, which a checkpoint does not tell the planner.
+    held = held.repartition(int(e.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block").persist()
+    first = start.join(names, "v").select(block("_id").alias("block"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)).alias("v"), "s")
+
+    def step(got: DataFrame, back: bool) -> DataFrame:
+        return cut_lineage(held.groupBy("block").cogroup(got.groupBy("block")).applyInArrow(lambda x, y: _level(x, y, back), CELL_ROWS))
+
+    kind = lambda rows, k, to=None: rows.where(F.col("kind") == k).withColumn("kind", F.lit(k if to is None else to))
     total = None
-    for h in range(len(levels) - 1, 0, -1):
-        level = levels[h].join(dep, ["s", "v"], "left").withColumn("d", F.coalesce("d", F.lit(0.0))) if dep is not None else levels[h].withColumn("d", F.lit(0.0))
-        level = cut_lineage(level)
-        mine = level.select("v", "d")
-        total = mine if total is None else total.unionByName(mine)
-        prev = levels[h - 1].select("s", F.col("v").alias("u"), F.col("paths").alias("pu"))
-        back = level.select("s", F.col("v").alias("src"), ((1 + F.col("d")) / F.col("paths")).alias("k")).join(e, "src").select("s", F.col("dst").alias("u"), "k")
-        dep = back.join(prev, ["s", "u"]).groupBy("s", F.col("u").alias("v")).agg(F.sum(F.col("pu") * F.col("k")).alias("d"))
+    try:
+        for low in range(0, n_sources, SOURCES):
+            mine = first.where(F.col("s").between(low + 1, low + SOURCES)).withColumn("s", F.col("s") - low - 1)
+            levels = [step(mine.groupBy("block").applyInArrow(_first_cells, CELL_ROWS), False)]
+            while not kind(levels[-1], OWN).isEmpty():
+                # Edges go both ways, so a neighbour of a level lies on it, next to it on the way back, or is new.
+                levels.append(step(levels[-1] if len(levels) == 1 else levels[-1].unionByName(kind(levels[-2], OWN, NEXT)), False))
+            got = None
+            for level in levels[-2:0:-1]:
+                level = kind(level, OWN, NEXT)
+                got = step(level if got is None else level.unionByName(got.where(F.col("kind") != SUMS)), True)
+                part = kind(got, SUMS)
+                total = part if total is None else total.unionByName(part)
+    finally:
+        held.unpersist()
     if total is None:
-        return seen.select(F.col("v").alias(node), F.lit(0.0).alias("betweenness"))
-    return total.groupBy(F.col("v").alias(node)).agg(F.sum("d").alias("betweenness"))
+        return start.select(F.col("v").alias(node), F.lit(0.0).alias("betweenness"))
+    sums = total.mapInArrow(_unpacked, "_id long, d double").groupBy("_id").agg(F.sum("d").alias("betweenness"))
+    return names.join(sums, "_id").select(F.col("v").alias(node), "betweenness")

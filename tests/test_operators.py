@@ -616,3 +616,37 @@ def test_variance_indices_of_arrays_are_those_of_columns(spark):
     want, got = ({(r["id"], r["param"]): (r["first_order"], r["total"]) for r in rows} for rows in (columns, arrays))
     assert set(got) == set(want) and len(arrays) == 140
     assert all(got[k] == (pytest.approx(w) if w[0] is not None else (None, None)) for k, w in want.items())
+
+
+def test_betweenness_is_carried_by_blocks(spark, monkeypatch):
+    """Blocks of few nodes and parts of few sources give the exact sums, and write less rows than there are pairs of a source and a node."""
+    written = []
+    monkeypatch.setattr(graph, "cut_lineage", lambda df: (lambda made: (written.append(made.count() if {"kind", "paths"} & set(made.columns) else 0), made)[1])(cut_lineage(df)))
+    monkeypatch.setattr(graph, "CELLS", 160)
+    monkeypatch.setattr(graph, "SOURCES", 16)
+    pairs = {(5 * i, 5 * j) for i in range(60) for j in (i + 1, i + 2, i // 8) if i < j < 60 or j < i and i % 3} | {(1000, 1001), (7, 7)}
+    adj = {}
+    for a, b in pairs:
+        if a != b:
+            adj.setdefault(a, set()).add(b)
+            adj.setdefault(b, set()).add(a)
+    sources = [5 * i for i in range(0, 60, 3)] + [1000, 9999]
+    want = {}
+    for s in sources:
+        hop, paths, order = {s: 0}, {s: 1.0}, [s]
+        for v in order:
+            for u in adj.get(v, ()):
+                if u not in hop:
+                    hop[u], paths[u] = hop[v] + 1, 0.0
+                    order.append(u)
+                paths[u] += paths[v] * (hop[u] == hop[v] + 1)
+        gain = dict.fromkeys(order, 0.0)
+        for v in reversed(order[1:]):
+            for u in adj[v]:
+                gain[u] += (hop[u] == hop[v] - 1) * paths[u] / paths[v] * (1 + gain[v])
+        for v in order[1:]:
+            want[v] = want.get(v, 0.0) + gain[v]
+    edges = spark.createDataFrame(sorted(pairs), "src long, dst long")
+    got = {r["id"]: r["betweenness"] for r in graph.sampled_betweenness(edges, spark.createDataFrame([(s,) for s in sources], "id long")).collect()}
+    assert got == {v: pytest.approx(x, abs=1e-9) for v, x in want.items()}
+    assert 0 < sum(written) < len(sources) * 60
