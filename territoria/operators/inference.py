@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Callable, Iterator, Mapping, Sequence
-from functools import reduce
+from functools import lru_cache, reduce
 from math import pi
 
 import numpy as np
@@ -23,15 +23,18 @@ from territoria.functions.combine import RELATIVE_SIGMA, WEIGHTS_INDEX
 from territoria.functions.scalars import clip, let
 from territoria.operators.ranking import quantiles, surrogate_key, value_ranks
 from territoria.operators.stats import spearman
+from territoria.session import cut_lineage
 
 #: Rows whose columns travel to the replicates as one row of arrays; with more, draws and ranks are tables.
 ARRAY_ROWS = 1 << 20
 #: Replicates of one task.
 REPLICATES = 50
+#: With more rows: bytes of the draws that a task holds, and rows that pass by at a time.
+DRAWN_BYTES, STREAM_ROWS = 1 << 27, 1 << 13
 #: What md5 adds in each step and by how many bits it turns, and the digests that are made at a time.
 MD5_ADDED = [np.uint32(int(abs(math.sin(i + 1)) * 2**32)) for i in range(64)]
 MD5_TURNS = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
-MD5_ROWS = 16384
+MD5_ROWS = 10000
 #: Rows of a Monte Carlo run whose draws are held at a time.
 DRAWN_ROWS = 32
 
@@ -56,34 +59,61 @@ def labelled(*parts) -> Column:
     return F.concat_ws(":", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
 
 
+@lru_cache(maxsize=8)
+def _digits(first: int, n: int, size: int) -> np.ndarray:
+    """The last ``size`` digits of n numbers from ``first`` on, as text, a row each."""
+    return (np.arange(first, first + n)[:, None] // 10 ** np.arange(size)[::-1] % 10 + 48).astype(np.uint8)
+
+
 def _digests(prefix: bytes, first: int, last: int) -> np.ndarray:
     """The md5 of ``prefix`` and each of the numbers first..last-1, which have the same count of digits, as four words each (RFC 1321, a column at a time)."""
     n, size = last - first, len(prefix) + len(str(first))
-    text, rest = np.zeros((n, 64), np.uint8), np.arange(first, last)
-    text[:, :len(prefix)] = np.frombuffer(prefix, np.uint8)
-    for k in range(size - 1, len(prefix) - 1, -1):
-        rest, digit = np.divmod(rest, 10)
-        text[:, k] = digit + 48
-    text[:, size] = 0x80
-    text[:, 56:] = np.frombuffer((8 * size).to_bytes(8, "little"), np.uint8)
-    block = np.ascontiguousarray(text.view("<u4").T)
-    start = [np.full(n, v, np.uint32) for v in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
-    a, b, c, d = start
+    text = bytearray(prefix + str(first).encode() + b"\x80").ljust(56, b"\0") + (8 * size).to_bytes(8, "little")
+    block = list(np.frombuffer(bytes(text), "<u4"))
+    # Only the last digits differ, in one or a few words.
+    differ = next((len(str(first)) - k for k, (x, y) in enumerate(zip(str(first), str(last - 1))) if x != y), 0)
+    if differ:
+        low, high = (size - differ) // 4, (size + 3) // 4
+        part = np.empty((n, 4 * (high - low)), np.uint8)
+        part[:] = text[4 * low:4 * high]
+        part[:, size - differ - 4 * low:size - 4 * low] = _digits(first % 10 ** differ, n, differ)
+        block[low:high] = np.ascontiguousarray(part.view("<u4").T)
+    # Words that all texts share are added with the constant of the step; the rest is done in place.
+    shared = [None if w.ndim else int(w) for w in block]
+    start = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+    a, b, c, d = (np.full(n, v, np.uint32) for v in start)
+    f, turned = np.empty(n, np.uint32), np.empty(n, np.uint32)
     for r in range(64):
         if r < 16:
-            f, g = d ^ (b & (c ^ d)), r
+            g = r
+            np.bitwise_xor(c, d, out=f)
+            f &= b
+            f ^= d
         elif r < 32:
-            f, g = c ^ (d & (b ^ c)), (5 * r + 1) % 16
+            g = (5 * r + 1) % 16
+            np.bitwise_xor(b, c, out=f)
+            f &= d
+            f ^= c
         elif r < 48:
-            f, g = b ^ c ^ d, (3 * r + 5) % 16
+            g = (3 * r + 5) % 16
+            np.bitwise_xor(b, c, out=f)
+            f ^= d
         else:
-            f, g = c ^ (b | ~d), 7 * r % 16
+            g = 7 * r % 16
+            np.invert(d, out=f)
+            f |= b
+            f ^= c
         f += a
-        f += MD5_ADDED[r]
-        f += block[g]
+        if shared[g] is None:
+            f += block[g]
+        f += np.uint32((int(MD5_ADDED[r]) + (shared[g] or 0)) & 0xFFFFFFFF)
         turn = MD5_TURNS[r // 16][r % 4]
-        a, d, c, b = d, c, b, b + ((f << np.uint32(turn)) | (f >> np.uint32(32 - turn)))
-    return np.stack([x + y for x, y in zip(start, (a, b, c, d))], axis=1).astype("<u4")
+        np.left_shift(f, np.uint32(turn), out=turned)
+        f >>= np.uint32(32 - turn)
+        f |= turned
+        f += b
+        a, d, c, b, f = d, c, b, f, a
+    return np.stack([np.uint32(x) + y for x, y in zip(start, (a, b, c, d))], axis=1).astype("<u4", copy=False)
 
 
 def halves(prefix: str, n: int) -> np.ndarray:
@@ -92,7 +122,7 @@ def halves(prefix: str, n: int) -> np.ndarray:
     if len(head) + len(str(n)) > 55:  # more than one block
         return np.frombuffer(b"".join(hashlib.md5(head + str(i).encode()).digest() for i in range(n)), ">u8").reshape(n, 2).astype(np.uint64) >> np.uint64(4)
     while low < n:
-        high = min(n, low + MD5_ROWS, 10 ** len(str(low)))
+        high = min(n, low + MD5_ROWS - low % MD5_ROWS, 10 ** len(str(low)))
         out[low:high] = _digests(head, low, high)
         low = high
     return out.view(">u8").astype(np.uint64) >> np.uint64(4)
@@ -112,13 +142,6 @@ def numbered(df: DataFrame, key: str) -> DataFrame:
     return surrogate_key(df, key, None, "_i").withColumn("_i", F.col("_i") - 1)
 
 
-def draws(df: DataFrame, key: str, n_boot: int, seed: int) -> DataFrame:
-    """(rep, _i, times): with-replacement draws of n rows per replicate, already counted per row."""
-    size = df.agg(F.count(F.lit(1)).alias("_n"))
-    rows = numbered(df.select(key), key).select(F.col("_i").alias("_j")).crossJoin(F.broadcast(size)).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    return rows.select("rep", (drawn(seed, "rep", "_j") % F.col("_n")).alias("_i")).groupBy("rep", "_i").agg(F.count(F.lit(1)).alias("times"))
-
-
 def _arrays(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """One row: an array of each column, by ascending key."""
     row = F.struct(F.col(key).alias("_k"), *[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)])
@@ -162,17 +185,13 @@ def _correlation(a: np.ndarray, b: np.ndarray, times: np.ndarray | float = 1.0)
 def bootstrap_rho(df: DataFrame, key: str, models: Sequence[str], target: str, n_boot: int = 5000, seed: int = 42, min_distinct: int = 5) -> DataFrame:
     """(model, rep, rho): rank correlation of every model with the target on shared draws; degenerate draws are dropped.
 
-    Up to ARRAY_ROWS rows, the columns are numbered once a task and each replicate is two prefix sums; beyond, draws are
-    counted, joined and ranked as tables. Both draw the same rows.
+    Up to ARRAY_ROWS rows, the columns are numbered once a task and each replicate is two prefix sums; beyond, a task holds what a
+    few replicates draw of each row and the rows pass by in blocks. Both draw the same rows.
     """
     models = list(models)
     ok = df.dropna(subset=[*models, target]).select(key, *[F.col(m).cast("double").alias(m) for m in models], F.col(target).cast("double").alias(target))
     if ok.limit(ARRAY_ROWS + 1).count() > ARRAY_ROWS:
-        d = draws(ok, key, n_boot, seed)
-        rows = d.join(numbered(ok, key).drop(key), "_i")
-        good = d.groupBy("rep").agg(F.count(F.lit(1)).alias("_d")).where(F.col("_d") >= min_distinct).select("rep")
-        long = rows.join(good, "rep").unpivot(["rep", "times", target], models, "model", "value")
-        return spearman(long, "value", target, ["model", "rep"], "times").where(F.col("rho").isNotNull()).select("model", "rep", "rho")
+        return _streamed_rho(ok, key, models, target, n_boot, seed, min_distinct)
 
     def kernel(places: list[np.ndarray], rep: int) -> list[tuple]:
         *xs, y = places
@@ -187,6 +206,113 @@ def bootstrap_rho(df: DataFrame, key: str, models: Sequence[str], target: str, n
     return _replicated(ok, key, [*models, target], n_boot, _places, kernel, "model string, rep long, rho double")
 
 
+def _block(t: pa.Table) -> pa.Table:
+    """The rows of a block in one: numbers of its rows, whether a value is new after the row before, codes of the target, first and last value."""
+    t = t.sort_by("pos")
+    i, v, y = (t.column(c).to_numpy() for c in ("_i", "v", "y"))
+    packed = [pa.compress(a.tobytes(), codec="zstd", asbytes=True) for a in (i.astype("<i4" if i.max() < 1 << 31 else "<i8"), np.r_[True, v[1:] != v[:-1]], y.astype("<i4"))]
+    return pa.table({"model": t.column("model")[:1], "block": t.column("block")[:1], "n": [len(i)], "wide": [bool(i.max() >= 1 << 31)], "i": pa.array(packed[:1], pa.binary()),
+                     "fresh": pa.array(packed[1:2], pa.binary()), "y": pa.array(packed[2:], pa.binary()), "low": [float(v[0])], "high": [float(v[-1])]})
+
+
+class _Ranked:
+    """Sums of a model over its rows by ascending value, for some replicates at a time: ``at`` by target, ``cross`` of the rows' ranks by target, ``square``."""
+
+    def __init__(self, rows: int, codes: int, reps: int):
+        self.middle, self.below, self.square = (rows + 1) / 2, np.zeros(reps), np.zeros(reps)
+        self.at, self.cross = np.zeros((codes, reps)), np.zeros((codes, reps))
+        self.code, self.times, self.last = np.zeros(0, int), np.zeros((0, reps)), None  # of the last value, which may go on
+
+    def add(self, times: np.ndarray, fresh: np.ndarray, code: np.ndarray, low: float, high: float) -> None:
+        fresh = fresh.copy()
+        fresh[0] = self.last is None or low != self.last
+        first = np.flatnonzero(fresh | np.r_[True, code[1:] != code[:-1]])
+        cells = times.astype(float) if len(first) == len(code) else np.add.reduceat(times, first, axis=0, dtype=float)
+        code, place = np.r_[self.code, code[first]], np.r_[np.zeros(len(self.code), int), np.cumsum(fresh)[first]]
+        cells = np.concatenate([self.times, cells])
+        ended = int(np.searchsorted(place, place[-1]))
+        self.settle(cells[:ended], code[:ended], place[:ended])
+        self.code, group = np.unique(code[ended:], return_inverse=True)
+        self.times = np.zeros((len(self.code), times.shape[1]))
+        np.add.at(self.times, group, cells[ended:])
+        self.last = high
+
+    def settle(self, cells: np.ndarray, code: np.ndarray, place: np.ndarray) -> None:
+        if not len(code):
+            return
+        starts = np.r_[True, place[1:] != place[:-1]]
+        of = cells if starts.all() else np.add.reduceat(cells, np.flatnonzero(starts), axis=0)
+        rank = np.cumsum(of, axis=0)
+        total = rank[-1].copy()
+        rank += self.below + 0.5 - self.middle
+        rank -= of / 2
+        self.below += total
+        self.square += (of * rank * rank).sum(0)
+        if not starts.all():
+            rank = rank[np.cumsum(starts) - 1]
+        order = np.argsort(code, kind="stable")
+        cut = np.flatnonzero(np.r_[True, np.diff(code[order]) > 0])
+        present = code[order][cut]
+        cells = cells[order]
+        self.at[present] += np.add.reduceat(cells, cut, axis=0)
+        self.cross[present] += np.add.reduceat(cells * rank[order], cut, axis=0)
+
+    def rho(self) -> list[float | None]:
+        self.settle(self.times, self.code, np.zeros(len(self.code)))
+        b = np.cumsum(self.at, axis=0) - self.at / 2 + 0.5 - self.middle
+        scale = np.sqrt(self.square * (self.at * b * b).sum(0))
+        return [float(c / x) if x > 0 else None for c, x in zip((self.cross * b).sum(0), scale)]
+
+
+def _streamed_rho(ok: DataFrame, key: str, models: list[str], target: str, n_boot: int, seed: int, min_distinct: int) -> DataFrame:
+    """As ``bootstrap_rho``, for any number of rows: a task draws up to REPLICATES replicates, as many as take DRAWN_BYTES, and keeps only how often each row
+    is drawn, a byte each. The rows of a model pass by in order of its values, STREAM_ROWS at a time, and are summed by target."""
+    ok = cut_lineage(numbered(ok, key).select("_i", F.col(target).alias("_t"), *[F.col(m).alias(f"_m{k}") for k, m in enumerate(models)]))
+    rows = ok.count()
+    codes = cut_lineage(surrogate_key(ok.select("_t").distinct(), "_t", None, "y").withColumn("y", F.col("y") - 1))
+    n_codes = codes.count()
+    coded = cut_lineage(ok.join(codes, "_t").drop("_t"))
+    placed = None
+    for k in range(len(models)):
+        part = surrogate_key(coded.select("_i", "y", F.col(f"_m{k}").alias("v")), "v", "y", "pos", ["_i"])
+        part = part.select(F.lit(k).alias("model"), F.floor((F.col("pos") - 1) / STREAM_ROWS).alias("block"), "pos", "_i", "v", "y")
+        placed = part if placed is None else placed.unionByName(part)
+    schema = "model int, block long, n long, wide boolean, i binary, fresh binary, y binary, low double, high double"
+    blocks = cut_lineage(placed.groupBy("model", "block").applyInArrow(_block, schema))
+    each = max(1, min(REPLICATES, DRAWN_BYTES // (rows + 16 * n_codes)))
+    groups = -(-n_boot // each)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine, times, reps, sums = None, None, [], None
+
+        def found() -> pa.RecordBatch:
+            got = [(models[mine[1]], rep, x) for rep, x, good in zip(reps, sums.rho(), enough) if good and x is not None]
+            return pa.RecordBatch.from_pydict({n: pa.array([g[k] for g in got], t) for k, (n, t) in enumerate((("model", pa.string()), ("rep", pa.int64()), ("rho", pa.float64())))})
+
+        for b in batches:
+            for r in b.to_pylist():
+                if mine != (r["group"], r["model"]):
+                    if mine is not None:
+                        yield found()
+                    if mine is None or mine[0] != r["group"]:
+                        reps = list(range(r["group"] * each, min(n_boot, (r["group"] + 1) * each)))
+                        times, enough = np.zeros((rows, len(reps)), np.uint8), []
+                        for k in range(0, len(reps), 8):
+                            some = [np.bincount((words(seed, rep, rows) % np.uint64(rows)).astype(np.int64), minlength=rows) for rep in reps[k:k + 8]]
+                            enough += [np.count_nonzero(x) >= min_distinct for x in some]
+                            if max(x.max() for x in some) > np.iinfo(times.dtype).max:
+                                times = times.astype(np.uint32)
+                            times[:, k:k + 8] = np.stack([x.astype(times.dtype) for x in some]).T
+                    mine, sums = (r["group"], r["model"]), _Ranked(rows, n_codes, len(reps))
+                i, fresh, y = (np.frombuffer(pa.decompress(r[c], r["n"] * np.dtype(t).itemsize, "zstd"), t) for c, t in (("i", "<i8" if r["wide"] else "<i4"), ("fresh", bool), ("y", "<i4")))
+                sums.add(times[i], fresh, y, r["low"], r["high"])
+        if mine is not None:
+            yield found()
+
+    dealt = blocks.crossJoin(ok.sparkSession.range(groups).withColumnRenamed("id", "group")).repartitionById(groups, F.col("group").cast("int")).sortWithinPartitions("group", "model", "block")
+    return cut_lineage(dealt.mapInArrow(run, "model string, rep long, rho double"))
+
+
 def interval(df: DataFrame, value: str, keys: Sequence[str] = (), level: float = 0.95) -> DataFrame:
     """Median and central interval per group."""
     a = (1 - level) / 2

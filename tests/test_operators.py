@@ -650,3 +650,20 @@ def test_betweenness_is_carried_by_blocks(spark, monkeypatch):
     got = {r["id"]: r["betweenness"] for r in graph.sampled_betweenness(edges, spark.createDataFrame([(s,) for s in sources], "id long")).collect()}
     assert got == {v: pytest.approx(x, abs=1e-9) for v, x in want.items()}
     assert 0 < sum(written) < len(sources) * 60
+
+
+@pytest.mark.parametrize("levels", [3, 90])
+def test_many_rows_are_resampled_without_listing_their_draws(spark, monkeypatch, levels):
+    """Beyond the bound, rows pass by in blocks that cut through ties and replicates go in groups; nothing is ranked as a table of draws."""
+    rng = np.random.default_rng(levels)
+    df = spark.createDataFrame([(int(7 * i), float(a), float(b), float(c)) for i, (a, b, c) in enumerate(zip(rng.integers(0, 4, 120), rng.normal(size=120), rng.integers(0, levels, 120)))],
+                               "id long, a double, y double, t double")
+    want = {(r["model"], r["rep"]): r["rho"] for r in inference.bootstrap_rho(df, "id", ["a", "y"], "t", 11).collect()}
+    monkeypatch.setattr(inference, "ARRAY_ROWS", 0)
+    monkeypatch.setattr(inference, "spearman", lambda *args, **more: pytest.fail("draws are ranked as a table"))
+    for name, value in (("STREAM_ROWS", 7), ("REPLICATES", 4), ("DRAWN_BYTES", 1 << 20)):
+        monkeypatch.setattr(inference, name, value, raising=False)
+    got = {(r["model"], r["rep"]): r["rho"] for r in inference.bootstrap_rho(df, "id", ["a", "y"], "t", 11).collect()}
+    assert len(want) == 22 and got == pytest.approx(want, abs=1e-12)
+    few = df.where("id < 28")
+    assert inference.bootstrap_rho(few, "id", ["a"], "t", 11, min_distinct=5).count() == 0
