@@ -667,3 +667,28 @@ def test_many_rows_are_resampled_without_listing_their_draws(spark, monkeypatch,
     assert len(want) == 22 and got == pytest.approx(want, abs=1e-12)
     few = df.where("id < 28")
     assert inference.bootstrap_rho(few, "id", ["a"], "t", 11, min_distinct=5).count() == 0
+
+
+def test_fits_of_many_rows_go_one_by_one(spark, monkeypatch):
+    """A fit of many rows has the cores to itself, and its rows keep their nodes between levels."""
+    import threading
+    import time
+
+    lock, running, most, models = threading.Lock(), [], [], []
+    fit = learning.fit_forest
+
+    def watched(train, feats):
+        with lock:
+            running.append(1)
+            most.append(len(running))
+        time.sleep(0.2)
+        models.append(fit(train, feats, "y", trees=2, depth=2))
+        with lock:
+            running.pop()
+        return models[-1]
+
+    rows = cut_lineage(spark.range(120).selectExpr("id % 3 AS zone", "double(id * 37 % 101) AS a", "double(id % 7) AS y"))
+    monkeypatch.setattr(learning, "TASK_ROWS", 10)
+    assert learning.leave_group_out(rows, "zone", [0, 1, 2], {"a": ["a"], "b": ["a"]}, "y", watched).count() == 6
+    assert max(most) == 1 and len(models) == 6
+    assert all(m.model.stages[-1].getOrDefault("cacheNodeIds") for m in models)
