@@ -692,3 +692,28 @@ def test_fits_of_many_rows_go_one_by_one(spark, monkeypatch):
     assert learning.leave_group_out(rows, "zone", [0, 1, 2], {"a": ["a"], "b": ["a"]}, "y", watched).count() == 6
     assert max(most) == 1 and len(models) == 6
     assert all(m.model.stages[-1].getOrDefault("cacheNodeIds") for m in models)
+
+
+def test_importance_predicts_a_row_once_for_all_shuffles(spark, monkeypatch):
+    """The forest itself predicts each row once, and the figures are those of predicting every shuffled row."""
+    rng = np.random.default_rng(3)
+    rows = [(7 * i, float(a), float(b % 5), float(a > 0.4) + 0.3 * float(b % 5) + float(c)) for i, (a, b, c) in enumerate(zip(rng.uniform(size=160), range(160), rng.normal(0, 0.1, 160)))]
+    df = cut_lineage(spark.createDataFrame(rows, "id long, a double, b double, y double"))
+    f = learning.fit_forest(df, ["a", "b"], "y", trees=7, depth=5)
+    data = {i: (a, b, y) for i, a, b, y in rows}
+    ids = sorted(data)
+    base, want = {r["id"]: r["pred"] for r in f.predict(df).collect()}, {}
+    sst = 160 * np.var([data[i][2] for i in ids])
+    for k, name in enumerate(["a", "b"]):
+        moved = inference.permutations(df, "id", 3, 42 + k).collect()
+        other = spark.createDataFrame([(r["rep"], r["id"], *[data[ids[r["_i"]] if j == k else r["id"]][j] for j in (0, 1)]) for r in moved], "rep long, id long, a double, b double")
+        sse = {}
+        for r in f.predict(other).collect():
+            sse[r["rep"]] = sse.get(r["rep"], 0.0) + (data[r["id"]][2] - r["pred"]) ** 2
+        loss = (np.array(list(sse.values())) - sum((data[i][2] - base[i]) ** 2 for i in ids)) / sst
+        want[name] = (pytest.approx(loss.mean()), pytest.approx(loss.std()))
+    predicted, predict = [], learning.Forest.predict
+    monkeypatch.setattr(learning.Forest, "predict", lambda self, rows, out="pred": predicted.append(rows.count()) or predict(self, rows, out))
+    monkeypatch.setattr(learning, "ANSWERED_ROWS", 50, raising=False)
+    got = {r["feature"]: (r["importance"], r["std"]) for r in learning.permutation_importance(f, df, "id", "y", repeats=3).collect()}
+    assert got == want and predicted == [160]
